@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,3 +67,24 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
                 start, held = i, 0
             held += int(n)
         yield batch.slice(start)
+
+
+#: Bits of the maps below: 8 MB, however many values there are. A full map saves nothing and loses nothing.
+MAP_BITS = 1 << 26
+
+
+def bit_map(df: DataFrame, column: str) -> np.ndarray:
+    """Bit ``value mod MAP_BITS`` of every value of a long column; at most MAP_BITS / 64 words reach the driver.
+
+    It says which values may be in ``df``, and only saves shuffling rows that are not:
+    an exact join has to follow.
+    """
+    words = df.selectExpr(f"CAST(pmod({column}, {MAP_BITS}) DIV 64 AS INT) AS word", f"shiftleft(1L, CAST(pmod({column}, 64) AS INT)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(MAP_BITS // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def in_bit_map(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values & (MAP_BITS - 1)
+    return ((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)

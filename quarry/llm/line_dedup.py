@@ -37,14 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, stored, whole_text
+from quarry.llm.common import bit_map, in_bit_map, slices, stored, whole_text
 from quarry.llm.fingerprints import mix
 
 BLOCK = 512
 #: Lines of one batch that share a key before it is salted, and the number of salts.
 HOT_LINES, SALTS = 32, 256
-#: Bits of the map of lines that have a partner by key; it only saves shuffling, its size is fixed.
-MAP_BITS = 1 << 26
 INDEX, PROBE, MARK = 1, 2, 4
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
@@ -213,17 +211,9 @@ def met_entries(docs: DataFrame, threshold: int, min_chars: int, text: str = "te
     return rows.repartition("key", "salt").sortWithinPartitions("key").mapInArrow(meet, "key long, h1 long, role byte").distinct()
 
 
-def _bit_map(lines: DataFrame) -> np.ndarray:
-    """Bit ``h1 mod MAP_BITS`` of every line: at most MAP_BITS / 64 words reach the driver."""
-    words = lines.selectExpr(f"CAST(pmod(h1, {MAP_BITS}) DIV 64 AS INT) AS word", "shiftleft(1L, CAST(pmod(h1, 64) AS INT)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(MAP_BITS // 64, np.int64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return out.view(np.uint64)
-
-
 def line_texts(docs: DataFrame, lines: DataFrame, min_chars: int, text: str = "text") -> DataFrame:
     """``h1, h2, line`` of distinct lines; all whose ``h1`` is in ``lines``, and few others."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bit_map(lines))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(lines, "h1"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -231,8 +221,7 @@ def line_texts(docs: DataFrame, lines: DataFrame, min_chars: int, text: str = "t
             found = [(*line_hash(x), x) for x in _batch_lines(b, min_chars)]
             if not found:
                 continue
-            at = np.array([f[0] for f in found], np.int64) & (MAP_BITS - 1)
-            hit = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            hit = in_bit_map(bits, np.array([f[0] for f in found], np.int64))
             found = [f for f, h in zip(found, hit.tolist(), strict=True) if h]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)], ["h1", "h2", "line"])
