@@ -6,8 +6,8 @@ so the root is the leftmost pair of minimum rank. A merge updates at most three
 leaves (the merged pair, its live left neighbour and the swallowed right one), each
 in logarithmic time, so a match of n bytes takes O(n log n) however long it is.
 
-Results of matches are kept in a table of bounded size per Python worker, which is
-emptied when full: it changes speed, never results.
+Results of matches are kept in a table of bounded size per Python worker: it changes
+speed, never results.
 
 Defined results: a null text is an empty one, which has no tokens; special tokens
 are ordinary text; repeated rows give repeated results; other columns are not read.
@@ -20,8 +20,8 @@ import functools
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -90,42 +90,162 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Pairs:
+    """Rank of the concatenation of two tokens, for arrays of ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        split = [(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        pairs = np.array(sorted(split) or [(-1, 0)], np.int64)
+        self.keys, self.ranks = pairs[:, 0].copy(), pairs[:, 1].copy()
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NONE)
+
+
+def merge_many(pieces: list[bytes], ranks: dict[bytes, int], pairs: Pairs) -> list[list[int]]:
+    """``merge_piece`` of many matches of at most 64 bytes: one segment tree per row of an array, merged in step."""
+    out: list[list[int]] = [[]] * len(pieces)
+    byte_id = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
+    classes: dict[int, list[int]] = {}
+    for i, piece in enumerate(pieces):
+        if (r := ranks.get(piece)) is not None:
+            out[i] = [r]
+        else:
+            classes.setdefault(max(2, 1 << (len(piece) - 1).bit_length()), []).append(i)
+    for size, members in classes.items():
+        length = np.array([len(pieces[i]) for i in members])
+        n, place = len(members), np.arange(size)
+        data = np.frombuffer(b"".join(pieces[i].ljust(size, b"\0") for i in members), np.uint8).reshape(n, size)
+        token = byte_id[data]
+        live = place[None, :] < length[:, None]
+        after = np.broadcast_to(place + 1, (n, size)).copy()
+        before = np.broadcast_to(place - 1, (n, size)).copy()
+        tree = np.full((n, 2 * size), NONE, np.int64)
+        rank = pairs(token[:, :-1], token[:, 1:])
+        tree[:, size:-1] = np.where(live[:, 1:] & (rank < NONE), rank * size + place[:-1], NONE)
+        low = size // 2
+        while low:
+            tree[:, low : 2 * low] = np.minimum(tree[:, 2 * low : 4 * low : 2], tree[:, 2 * low + 1 : 4 * low : 2])
+            low //= 2
+
+        def put(row: np.ndarray, at: np.ndarray, value: np.ndarray | int) -> None:
+            at = at + size  # noqa: B023
+            tree[row, at] = value  # noqa: B023
+            while at[0] > 1:  # all rows are on one level
+                at = at >> 1
+                tree[row, at] = np.minimum(tree[row, 2 * at], tree[row, 2 * at + 1])  # noqa: B023
+
+        def pair(row: np.ndarray, at: np.ndarray) -> np.ndarray:
+            right = after[row, at]  # noqa: B023
+            inside = right < length[row]  # noqa: B023
+            right = np.where(inside, right, 0)
+            r = pairs(token[row, at], token[row, right])  # noqa: B023
+            return np.where(inside & (r < NONE), r * size + at, NONE)  # noqa: B023
+
+        row = np.flatnonzero(tree[:, 1] < NONE)
+        while len(row):
+            best = tree[row, 1]
+            at = best & (size - 1)
+            gone = after[row, at]
+            token[row, at] = best // size
+            live[row, gone] = False
+            follows = after[row, gone]
+            after[row, at] = follows
+            inner = follows < length[row]
+            before[row[inner], follows[inner]] = at[inner]
+            put(row, gone, NONE)
+            put(row, at, pair(row, at))
+            left = before[row, at]
+            has = left >= 0
+            if has.any():
+                put(row[has], left[has], pair(row[has], left[has]))
+            row = row[tree[row, 1] < NONE]
+        ids, stop = token[live].tolist(), np.cumsum(live.sum(axis=1)).tolist()
+        start = 0
+        for i, end in zip(members, stop, strict=True):
+            out[i] = ids[start:end]
+            start = end
+    return out
+
+
 class Codec:
-    """Encoder and decoder for one vocabulary and one split pattern."""
+    """Encoder and decoder for one vocabulary and one split pattern.
 
-    #: Bound of the table of known matches: entries, and the length of the longest one kept.
-    KEEP, LONGEST = 400_000, 64
+    An entry of the table of known strings is (number of ids, their decimal names joined
+    by one space, the bytes that the ids decode to). The table has two generations: when
+    the young one has more than ``KEEP`` entries it replaces the old one, and an entry
+    found in the old one moves to the young one, so frequent strings stay.
+    """
+
+    KEEP, LONGEST = 250_000, 64
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
+        self.pairs = Pairs(ranks)
         self.pattern = regex.compile(pattern)
         self.bytes_of = {v: k for k, v in ranks.items()}
-        self.name_of = {v: str(v) for v in self.bytes_of}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, tuple[int, str, bytes]] = {}
+        self.old: dict[str, tuple[int, str, bytes]] = {}
         # A single space before a word character always starts a match: no alternative of
         # the pattern crosses it. So texts are cut there first, which is a cheap scan.
-        self.cut = re.compile(r" (?=\w)").split if " ?\\p{L}+" in pattern else None
-
-    def _fresh(self, chunk: str) -> tuple[int, ...]:
-        ids = tuple(chain.from_iterable(merge_piece(m.encode("utf-8"), self.ranks) for m in self.pattern.findall(chunk)))
-        if len(chunk) <= self.LONGEST:
-            if len(self.known) >= self.KEEP:
-                self.known.clear()
-            self.known[chunk] = ids
-        return ids
+        self.cut = re.compile(r" (?=\w)").split if " ?\\p{L}+" in pattern else self.pattern.findall
+        self.lead = " " if " ?\\p{L}+" in pattern else ""
+
+    def _learn(self, unknown: set[str]) -> dict[str, tuple[int, str, bytes]]:
+        """Entries of strings of one or more matches each; all their matches are merged together."""
+        matches = {c: self.pattern.findall(c) for c in unknown}
+        fresh: dict[str, tuple[int, str, bytes]] = {}
+        short = []
+        for m in {m for found in matches.values() for m in found}:
+            if e := self.young.get(m) or self.old.get(m):
+                fresh[m] = e
+            else:
+                short.append(m)
+        raw = [m.encode("utf-8") for m in short]
+        small = [i for i, x in enumerate(raw) if len(x) <= 64]
+        for i, ids in zip(small, merge_many([raw[i] for i in small], self.ranks, self.pairs), strict=True):
+            fresh[short[i]] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+        for m, x in zip(short, raw, strict=True):
+            if len(x) > 64:
+                ids = merge_piece(x, self.ranks)
+                fresh[m] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+        for c, found in matches.items():
+            if c not in fresh:
+                parts = [fresh[m] for m in found]
+                fresh[c] = (sum(x[0] for x in parts), " ".join(x[1] for x in parts), b"".join(x[2] for x in parts))
+        return fresh
+
+    def entries(self, texts: list[str]) -> list[list[tuple[int, str, bytes]]]:
+        """Per text, the entries of its pieces in order."""
+        lead = self.lead
+        cut = []
+        for t in texts:
+            parts = self.cut(t) if t else []
+            if lead and parts:
+                parts[1:] = [lead + x for x in parts[1:]]
+                if not parts[0]:
+                    del parts[0]
+            cut.append(parts)
+        young, old = self.young, self.old
+        wanted = set().union(*cut) if cut else set()
+        missing = {c for c in wanted if c not in young}
+        if old:
+            moved = {c: old[c] for c in missing if c in old}
+            young.update(moved)
+            missing.difference_update(moved)
+        fresh = self._learn(missing)
+        long = {c: e for c, e in fresh.items() if len(c) > self.LONGEST}
+        young.update((c, e) for c, e in fresh.items() if len(c) <= self.LONGEST)
+        get = young.__getitem__
+        out = [list(map(get, parts)) for parts in cut] if not long else [[young.get(c) or long[c] for c in parts] for parts in cut]
+        if len(young) > self.KEEP:
+            self.old, self.young = young, {}
+        return out
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        if self.cut is None:
-            return list(self._fresh(text))
-        first, *rest = self.cut(text)
-        known, fresh = self.known, self._fresh
-        parts = [known.get(first) or fresh(first)] if first else []
-        for x in rest:
-            x = " " + x
-            parts.append(known.get(x) or fresh(x))
-        return list(chain.from_iterable(parts))
+        return [int(i) for e in self.entries([text])[0] for i in e[1].split(" ")]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -179,14 +299,12 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern)
-        name_of = codec.name_of.__getitem__
         for b in slices(batches, "text"):
             counts, id_hashes, hashes = [], [], []
-            for t in b.column(1).to_pylist():
-                ids = codec.encode(t)
-                counts.append(len(ids))
-                id_hashes.append(hashlib.sha256(" ".join(map(name_of, ids)).encode("ascii")).hexdigest())
-                hashes.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+            for parts in codec.entries(b.column(1).to_pylist()):
+                counts.append(sum([n for n, _, _ in parts]))
+                id_hashes.append(hashlib.sha256(" ".join([names for _, names, _ in parts]).encode("ascii")).hexdigest())
+                hashes.append(hashlib.sha256(b"".join([content for _, _, content in parts])).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(hashes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _columns(docs, text).mapInArrow(run, DIGEST)
