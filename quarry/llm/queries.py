@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, fingerprints, html_extract, jaccard_join, line_dedup, media, toxicity, warc
+from quarry.llm import bpe, chat, fingerprints, html_extract, jaccard_join, line_dedup, media, mixing, toxicity, warc
 from quarry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-#: None of these can be stated in DuckDB's SQL; the tests hold each against brute force, a round trip or held-out rows.
-ORACLES: dict[str, str] = {}
+#: The others can't be stated in DuckDB's SQL; the tests hold each against brute force, a round trip or held-out rows.
+ORACLES: dict[str, str] = {"op7_chat_pairs": chat.ORACLE}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -29,6 +29,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), *bpe.public_vocabulary())
 
 
+@query
+def op7_chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_pairs(chat.branched_pairs(table(spark, sf_dir, "conversations")))
+
+
 @query
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
@@ -39,6 +44,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
