@@ -19,6 +19,7 @@ import base64
 import functools
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import slices, whole_text
 
 NONE = 1 << 62
+Entry = tuple[int, str, bytes, bytes]
 
 
 def ranks_from_lines(lines: list[str]) -> dict[bytes, int]:
@@ -174,7 +176,7 @@ class Codec:
     """Encoder and decoder for one vocabulary and one split pattern.
 
     An entry of the table of known strings is (number of ids, their decimal names joined
-    by one space, the bytes that the ids decode to). The table has two generations: when
+    by one space, the bytes that the ids decode to, the ids as packed 32-bit integers). The table has two generations: when
     the young one has more than ``KEEP`` entries it replaces the old one, and an entry
     found in the old one moves to the young one, so frequent strings stay.
     """
@@ -186,17 +188,20 @@ class Codec:
         self.pairs = Pairs(ranks)
         self.pattern = regex.compile(pattern)
         self.bytes_of = {v: k for k, v in ranks.items()}
-        self.young: dict[str, tuple[int, str, bytes]] = {}
-        self.old: dict[str, tuple[int, str, bytes]] = {}
+        self.young: dict[str, Entry] = {}
+        self.old: dict[str, Entry] = {}
         # A single space before a word character always starts a match: no alternative of
         # the pattern crosses it. So texts are cut there first, which is a cheap scan.
         self.cut = re.compile(r" (?=\w)").split if " ?\\p{L}+" in pattern else self.pattern.findall
         self.lead = " " if " ?\\p{L}+" in pattern else ""
 
-    def _learn(self, unknown: set[str]) -> dict[str, tuple[int, str, bytes]]:
+    def _entry(self, ids: list[int]) -> Entry:
+        return len(ids), " ".join(map(str, ids)), self.decode(ids), array("i", ids).tobytes()
+
+    def _learn(self, unknown: set[str]) -> dict[str, Entry]:
         """Entries of strings of one or more matches each; all their matches are merged together."""
         matches = {c: self.pattern.findall(c) for c in unknown}
-        fresh: dict[str, tuple[int, str, bytes]] = {}
+        fresh: dict[str, Entry] = {}
         short = []
         for m in {m for found in matches.values() for m in found}:
             if e := self.young.get(m) or self.old.get(m):
@@ -206,18 +211,17 @@ class Codec:
         raw = [m.encode("utf-8") for m in short]
         small = [i for i, x in enumerate(raw) if len(x) <= 64]
         for i, ids in zip(small, merge_many([raw[i] for i in small], self.ranks, self.pairs), strict=True):
-            fresh[short[i]] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+            fresh[short[i]] = self._entry(ids)
         for m, x in zip(short, raw, strict=True):
             if len(x) > 64:
-                ids = merge_piece(x, self.ranks)
-                fresh[m] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+                fresh[m] = self._entry(merge_piece(x, self.ranks))
         for c, found in matches.items():
             if c not in fresh:
                 parts = [fresh[m] for m in found]
-                fresh[c] = (sum(x[0] for x in parts), " ".join(x[1] for x in parts), b"".join(x[2] for x in parts))
+                fresh[c] = (sum(x[0] for x in parts), " ".join(x[1] for x in parts), b"".join(x[2] for x in parts), b"".join(x[3] for x in parts))
         return fresh
 
-    def entries(self, texts: list[str]) -> list[list[tuple[int, str, bytes]]]:
+    def entries(self, texts: list[str]) -> list[list[Entry]]:
         """Per text, the entries of its pieces in order."""
         lead = self.lead
         cut = []
@@ -245,7 +249,7 @@ class Codec:
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for e in self.entries([text])[0] for i in e[1].split(" ")]
+        return array("i", b"".join([e[3] for e in self.entries([text])[0]])).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -268,14 +272,7 @@ def _columns(docs: DataFrame, text: str) -> DataFrame:
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
     """``doc_id, ids array<int>``."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(ranks_path))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value, pattern)
-        for b in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([codec.encode(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
-
-    return _columns(docs, text).mapInArrow(run, "doc_id long, ids array<int>")
+    return round_trip(docs, ranks_path, pattern, text, with_ids=True).select("doc_id", "ids")
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -293,21 +290,28 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Encodes whole texts, decodes the ids and digests both, in one pass."""
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encodes whole texts, decodes the ids and digests both, in one pass; with ``with_ids``, also the ids."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern)
         for b in slices(batches, "text"):
-            counts, id_hashes, hashes = [], [], []
+            counts, id_hashes, hashes, packed = [], [], [], []
             for parts in codec.entries(b.column(1).to_pylist()):
-                counts.append(sum([n for n, _, _ in parts]))
-                id_hashes.append(hashlib.sha256(" ".join([names for _, names, _ in parts]).encode("ascii")).hexdigest())
-                hashes.append(hashlib.sha256(b"".join([content for _, _, content in parts])).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(hashes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return _columns(docs, text).mapInArrow(run, DIGEST)
+                counts.append(sum([e[0] for e in parts]))
+                id_hashes.append(hashlib.sha256(" ".join([e[1] for e in parts]).encode("ascii")).hexdigest())
+                hashes.append(hashlib.sha256(b"".join([e[2] for e in parts])).hexdigest())
+                if with_ids:
+                    packed.append(b"".join([e[3] for e in parts]))
+            cols = [b.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(hashes, pa.string())]
+            if with_ids:
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32))))
+            yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in schema.split(", ")])
+
+    schema = DIGEST + ", ids array<int>" * with_ids
+    return _columns(docs, text).mapInArrow(run, schema)
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
