@@ -1,13 +1,23 @@
-"""Registered queries over the fixed tables and their DuckDB equivalents."""
+"""Registered queries over the fixed tables and their DuckDB equivalents.
+
+Every query reads whole tables. Small inline tables (rules, layers, goldens) are the
+operators' parameters.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quarry.functions import paths, scanning, text
+from quarry.functions.replacing import replace_udf
+from quarry.operators import changes, config_layers, content, documents, graph, hooks, policy, pysource, search, transcripts
+from quarry.plans import goldens
 from quarry.session import table
+from quarry.streaming import expiry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,7 +35,608 @@ def query(oracle: str | None = None) -> Callable:
     return register
 
 
-@query("SELECT doc_id, sha256(coalesce(text, '')) AS sha256, strlen(coalesce(text, '')) AS size FROM documents")
+def _text(df: DataFrame) -> DataFrame:
+    return df.withColumn("text", F.coalesce("text", F.lit("")))
+
+
+# -- content ---------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS sha256, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size FROM documents")
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.cast("binary"), 256).alias("sha256"), F.octet_length(text).cast("long").alias("size"))
+    return content.hashed(table(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+_SLICE = """
+WITH l AS (SELECT doc_id, t, string_split(t, chr(10)) AS parts,
+             len(string_split(t, chr(10))) - CASE WHEN t = '' OR ends_with(t, chr(10)) THEN 1 ELSE 0 END AS n
+           FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
+SELECT doc_id, {fields} FROM (
+  SELECT doc_id, n, t, CASE WHEN least(n, {e}) <= {s} THEN '' ELSE array_to_string(list_slice(parts, {s} + 1, least(n, {e})), chr(10))
+     || CASE WHEN least(n, {e}) < n OR ends_with(t, chr(10)) THEN chr(10) ELSE '' END END AS content, least(n, {e}) AS last FROM l)
+"""
+
+
+@query(_SLICE.format(s=1, e=3, fields="content, CAST(1 AS BIGINT) AS returned_start, CAST(greatest(1, last) AS BIGINT) AS returned_end, last < n AS has_more"))
+def line_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _text(table(spark, sf_dir, "documents")).select("doc_id", content.line_slice(F.col("text"), 1, 3).alias("s"))
+    return d.select("doc_id", "s.content", "s.returned_start", "s.returned_end", "s.has_more")
+
+
+@query()
+def byte_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _text(table(spark, sf_dir, "documents")).select("doc_id", content.line_slice(F.col("text"), 0, 100, 1024).alias("s"))
+    return d.select("doc_id", "s.content", "s.truncated", "s.has_more")
+
+
+@query(
+    """
+WITH l AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), c AS (
+  SELECT doc_id, t, string_split(t, chr(10)) AS parts, len(string_split(t, chr(10))) - CASE WHEN t = '' OR ends_with(t, chr(10)) THEN 1 ELSE 0 END AS n FROM l)
+SELECT doc_id, sha256(t) AS sha256, CAST(strlen(t) AS BIGINT) AS size, CAST(n AS BIGINT) AS n_lines,
+  CASE WHEN n = 0 THEN '' ELSE array_to_string(list_slice(parts, 1, least(n, 2)), chr(10)) || CASE WHEN n > 2 OR ends_with(t, chr(10)) THEN chr(10) ELSE '' END END AS content,
+  n > 2 AS has_more, 'text' AS kind FROM c
+"""
+)
+def inspect_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _text(table(spark, sf_dir, "documents"))
+    cap = content.capabilities(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")), content.is_binary(F.col("text")), F.lit(None).cast("int"))
+    d = d.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.octet_length("text").cast("long").alias("size"), content.line_count(F.col("text")).alias("n_lines"), content.line_slice(F.col("text"), 0, 2).alias("s"), cap.alias("c"))
+    return d.select("doc_id", "sha256", "size", "n_lines", "s.content", "s.has_more", "c.kind")
+
+
+@query("SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def duplicate_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return d.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("sha256")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+
+
+_LANGUAGE_CASE = "CASE ext " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in paths.LANGUAGES.items()) + " END"
+
+
+@query(
+    f"""
+WITH e AS (SELECT page_id, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '[^/](\\.[^./]*)$', 1)) AS ext FROM pages)
+SELECT page_id, coalesce(ext, '') AS ext, coalesce({_LANGUAGE_CASE}, 'none') AS language,
+  CASE WHEN ext IN ('.json', '.jsonc', '.toml', '.yaml', '.yml') THEN 'document' WHEN {_LANGUAGE_CASE} IS NOT NULL THEN 'source' ELSE 'text' END AS kind FROM e
+"""
+)
+def capabilities_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.regexp_replace("url", "[?#].*$", "")
+    p = table(spark, sf_dir, "pages").select("page_id", url.alias("u"), content.is_binary(F.coalesce("html", F.lit(""))).alias("b"))
+    c = content.capabilities(F.col("u"), F.col("b"), F.lit(None).cast("int"))
+    return p.select("page_id", F.coalesce(paths.extension(F.col("u")), F.lit("")).alias("ext"), c.alias("c")).select("page_id", "ext", F.coalesce("c.language", F.lit("none")).alias("language"), "c.kind")
+
+
+@query("SELECT doc_id, CAST(length(text) + length(regexp_replace(text, '[\\x{0000}-\\x{FFFF}]', '', 'g')) AS BIGINT) AS utf16, md5(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g')) AS plain FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
+def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _text(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", text.utf16_length(F.col("text")).alias("utf16"), F.md5(text.normalize_newlines(F.col("text")).cast("binary")).alias("plain"))
+
+
+# -- documents -------------------------------------------------------------------------
+
+
+@query("SELECT event_id, props->>'/k' AS k FROM events")
+def json_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", documents.fixed_pointer(F.col("props"), "/k").alias("k"))
+
+
+@query("SELECT event_id, CASE WHEN json_type(props, '/k') IS NULL THEN 'missing' WHEN json_type(props, '/k') = 'NULL' THEN 'null' ELSE 'value' END AS k_state, 'missing' AS absent_state FROM events")
+def json_pointer_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", documents.null_state(F.col("props"), "k").alias("k_state"), documents.null_state(F.col("props"), "absent").alias("absent_state"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '/k') AS VARCHAR) AS value, TRUE AS present FROM events")
+def document_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", documents.query_udf("props", F.lit(".json"), F.lit("/k")).alias("r"))
+    return e.select("event_id", "r.value", "r.present")
+
+
+# -- transcripts -----------------------------------------------------------------------
+
+
+@query(
+    """
+SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN md5(coalesce(text, '')) END IGNORE NULLS)
+  OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS active FROM conversations
+"""
+)
+def bind_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.when(F.col("role") == "user", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.last(own, ignorenulls=True).over(w).alias("active"))
+
+
+@query(
+    """
+SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'assistant') AS answers, CAST(sum(length(coalesce(text, ''))) FILTER (role = 'assistant') AS BIGINT) AS answer_chars,
+  avg(CASE WHEN contains(coalesce(text, ''), chr(10)) THEN 1.0 ELSE 0.0 END) AS multi_line, count(*) FILTER (role = 'user') = count(*) FILTER (role = 'assistant') AS passed
+FROM conversations GROUP BY conv_id
+"""
+)
+def conversation_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    said = F.col("role") == "assistant"
+    body = F.coalesce("text", F.lit(""))
+    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(said).alias("answers"), F.sum(F.when(said, F.length(body))).alias("answer_chars"), F.avg(F.contains(body, F.lit("\n")).cast("double")).alias("multi_line"), (F.count_if(F.col("role") == "user") == F.count_if(said)).alias("passed"))
+
+
+@query("SELECT role, count(*) AS n FROM conversations GROUP BY role")
+def role_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END)::BIGINT AS large FROM events GROUP BY event_type")
+def error_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.count_if(F.col("value") > 50).alias("large"))
+
+
+@query(
+    """
+WITH a AS (SELECT user_id, min((epoch_us(ts), event_id)) FILTER (event_type = 'view') AS v FROM events GROUP BY user_id),
+b AS (SELECT a.user_id, v, min((epoch_us(ts), event_id)) FILTER (event_type = 'click' AND (epoch_us(ts), event_id) > v) AS c FROM a JOIN events e ON a.user_id = e.user_id GROUP BY a.user_id, v),
+d AS (SELECT b.user_id, count(*) FILTER (event_type = 'purchase' AND (epoch_us(ts), event_id) > c) > 0 AS ok FROM b JOIN events e ON b.user_id = e.user_id GROUP BY b.user_id)
+SELECT user_id, coalesce(ok, FALSE) AS in_order FROM d
+"""
+)
+def ordered_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    seq = F.transform(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id", "event_type"))), lambda x: x.event_type)
+    wanted = F.array(F.lit("view"), F.lit("click"), F.lit("purchase"))
+    return e.groupBy("user_id").agg(seq.alias("s")).select("user_id", transcripts.ordered_subsequence(wanted, F.col("s")).alias("in_order"))
+
+
+@query("SELECT user_id, coalesce(min(ts) FILTER (event_type = 'signup') < min(ts) FILTER (event_type = 'purchase'), FALSE) AS signup_first FROM events GROUP BY user_id")
+def first_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda t: F.min(F.when(F.col("event_type") == t, F.col("ts")))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.coalesce(at("signup") < at("purchase"), F.lit(False)).alias("signup_first"))
+
+
+@query("SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
+def first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+
+
+@query(
+    """
+SELECT l.doc_id, 'label without document' AS problem FROM labels l ANTI JOIN documents d ON l.doc_id = d.doc_id
+UNION ALL SELECT d.doc_id, 'document without label' FROM documents d ANTI JOIN labels l ON l.doc_id = d.doc_id
+"""
+)
+def label_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, lab = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
+    return lab.join(d, "doc_id", "left_anti").withColumn("problem", F.lit("label without document")).unionByName(d.join(lab, "doc_id", "left_anti").withColumn("problem", F.lit("document without label")))
+
+
+@query(
+    """
+SELECT d.source, count(*) AS documents, count(l.doc_id) AS labelled, count(*) FILTER (l.toxic = 1) AS toxic, count(l.doc_id) < 3 OR count(*) FILTER (l.quality = 0) = 0 AS thin
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source
+"""
+)
+def suite_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").withColumn("has", F.lit(1)), "doc_id", "left")
+    return d.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count("has").alias("labelled"), F.count_if(F.col("toxic") == 1).alias("toxic"), ((F.count("has") < 3) | (F.count_if(F.col("quality") == 0) == 0)).alias("thin"))
+
+
+@query()
+def transcript_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as sessions: each assistant turn is a call whose output is the next user turn."""
+    c = table(spark, sf_dir, "conversations")
+    call = F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("custom_tool_call").alias("type"), F.col("turn").cast("string").alias("call_id"), F.lit("mcp__tools__search").alias("name"), F.to_json(F.struct(F.left(F.coalesce("text", F.lit("")), F.lit(40)).alias("query"))).alias("input")).alias("payload")))
+    answer = F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("custom_tool_call_output").alias("type"), (F.col("turn") - 1).cast("string").alias("call_id"), F.coalesce("text", F.lit("")).alias("output")).alias("payload")))
+    line = F.when(F.col("role") == "assistant", call).otherwise(answer)
+    sessions = c.groupBy(F.col("conv_id").cast("string").alias("session")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x.l), "\n").alias("text"))
+    s = transcripts.score(sessions, goldens.cases(spark))
+    return s.select("session", "batches", "unscored_batches", "output_chars", "mutation_calls", "invocations", "batch_density", "calls_per_turn", "tool_calls", F.size("errors").cast("long").alias("n_errors"), "passed")
+
+
+@query()
+def transcript_goldens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = transcripts.score(goldens.sessions(spark), goldens.cases(spark))
+    return s.withColumn("errors", F.array_join("errors", "; "))
+
+
+# -- policy and configuration ------------------------------------------------------------
+
+
+def _page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/site/"), F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^[a-z]+://", "")).alias("path"))
+
+
+_PATH_SQL = "(SELECT page_id, '/site/' || regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://', '') AS path FROM pages)"
+
+
+@query(
+    f"""
+WITH p AS {_PATH_SQL},
+c AS (
+  SELECT page_id, path, 'site' AS rule_id, 'allow' AS policy, 2 * 10000 AS s, 0 AS k, 0 AS o FROM p WHERE starts_with(path, '/site/')
+  UNION ALL SELECT page_id, path, 'french', 'request', 20000, 1, 1 FROM p WHERE starts_with(path, '/site/') AND regexp_matches(path, '^/site/(.+/)?fr/[^/]*$')
+  UNION ALL SELECT page_id, path, 'english', 'deny', 20000, 2, 2 FROM p WHERE starts_with(path, '/site/') AND regexp_matches(path, '^/site/(.+/)?en/[^/]*$') AND NOT regexp_matches(path, '^/site/m\\.[^/]*/')
+)
+SELECT page_id, arg_max(policy, (s, k, -o)) AS policy, arg_max(rule_id, (s, k, -o)) AS rule_id, CAST(max(s) AS BIGINT) AS specificity FROM (
+  SELECT page_id, rule_id, policy, s + 10000 AS s, k, o FROM c) GROUP BY page_id
+"""
+)
+def policy_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [
+        policy.Rule("site", "/site", "allow", "request"),
+        policy.Rule("french", "/site", "request", "deny", includes=("**/fr/*",)),
+        policy.Rule("english", "/site", "deny", "deny", includes=("**/en/*",), excludes=("m.*/**",)),
+    ]
+    p = _page_paths(spark, sf_dir)
+    d = policy.decide(p.select("path", F.lit("read").alias("operation")), rules, policy.Baseline(("/site",)))
+    # Three segments ("", "site", and the literal prefix 0): see the depth rule.
+    return p.join(d, "path").select("page_id", "policy", "rule_id", (F.col("specificity") + 10_000).alias("specificity"))
+
+
+@query(
+    f"""
+SELECT page_id, CASE WHEN starts_with(path, '/site/m.') AND regexp_matches(path, '^/site/m\\.') THEN '/site' WHEN starts_with(path, '/site/') THEN '/site' END AS root,
+  CASE WHEN regexp_matches(path, '/en/[^/]*$') THEN 'english' WHEN starts_with(path, '/site/') THEN 'any' END AS formatter FROM {_PATH_SQL}
+"""
+)
+def longest_prefix_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = policy.longest_root(_page_paths(spark, sf_dir), "path", ["/", "/site", "/site/unused"])
+    f = policy.first_formatter(p, "path", [("off", (), ("**",), False), ("english", (), ("**/en/*",), True), ("any", (".html",), ("**",), True)])
+    return f.select("page_id", "root", "formatter")
+
+
+_LAYERS = """
+(SELECT 'nation.' || n_nationkey AS leaf, 'default' AS layer, 0 AS layer_ord, n_name AS value FROM nation
+ UNION ALL SELECT 'nation.' || n_nationkey, 'global', 1, CASE WHEN n_regionkey % 2 = 0 THEN upper(n_name) || '-g' END FROM nation
+ UNION ALL SELECT 'nation.' || n_nationkey, 'project', 2, CASE WHEN n_regionkey = 1 THEN n_name || '-p' END FROM nation)
+"""
+
+
+@query(f"SELECT leaf, arg_max(value, layer_ord) AS value, arg_max(layer, layer_ord) AS provenance FROM {_LAYERS} WHERE value IS NOT NULL GROUP BY leaf")
+def layer_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    leaf = F.concat(F.lit("nation."), F.col("n_nationkey").cast("string")).alias("leaf")
+    layer = lambda name, order, value: n.select(leaf, F.lit(name).alias("layer"), F.lit(order).alias("layer_ord"), value.alias("value"))
+    leaves = layer("default", 0, F.col("n_name")).unionByName(layer("global", 1, F.when(F.col("n_regionkey") % 2 == 0, F.concat(F.upper("n_name"), F.lit("-g"))))).unionByName(layer("project", 2, F.when(F.col("n_regionkey") == 1, F.concat("n_name", F.lit("-p")))))
+    return config_layers.merge(leaves).select("leaf", "value", "provenance")
+
+
+@query("SELECT n_regionkey AS region, count(*) AS rules, CAST(count(*) = 5 AS BOOLEAN) AS equal_size FROM nation GROUP BY 1")
+def policy_equal_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.count(F.lit(1)).alias("rules"), (F.count(F.lit(1)) == 5).alias("equal_size"))
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT n_name FROM nation EXCEPT ALL SELECT n_name FROM nation)) = 0 AS equal")
+def policy_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select("n_name")
+    return changes.same_multiset(n, n.orderBy(F.desc("n_name")))
+
+
+@query(
+    """
+WITH a AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice + 1 ELSE o_totalprice END AS v FROM orders WHERE o_orderpriority <> '1-URGENT'
+           UNION ALL SELECT -o_orderkey - 1, o_totalprice FROM orders WHERE o_orderpriority = '5-LOW')
+SELECT coalesce(b.o_orderkey, a.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'new' WHEN a.o_orderkey IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM orders b FULL JOIN a ON a.o_orderkey = b.o_orderkey WHERE b.o_totalprice IS DISTINCT FROM a.v OR a.o_orderkey IS NULL OR b.o_orderkey IS NULL
+"""
+)
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    price = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    after = o.where("o_orderpriority <> '1-URGENT'").select("o_orderkey", price.alias("v")).unionByName(o.where("o_orderpriority = '5-LOW'").select((-F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_totalprice").alias("v")))
+    return changes.snapshot_diff(o.select("o_orderkey", F.col("o_totalprice").alias("v")), after, "o_orderkey", "v")
+
+
+@query(
+    """
+WITH u AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS used FROM events GROUP BY user_id)
+SELECT user_id, array_to_string(list_filter(['click', 'purchase', 'view'], lambda x: NOT list_contains(used, x)), ',') AS missing,
+  array_to_string(list_filter(['error', 'signup'], lambda x: list_contains(used, x)), ',') AS forbidden FROM u
+"""
+)
+def set_diff_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("used"))
+    arr = lambda *v: F.array(*map(F.lit, v))
+    return u.select("user_id", F.array_join(F.array_except(arr("click", "purchase", "view"), "used"), ",").alias("missing"), F.array_join(F.array_intersect(arr("error", "signup"), "used"), ",").alias("forbidden"))
+
+
+@query(
+    """
+SELECT c_nationkey, c_custkey, rn, total FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn,
+  count(*) OVER (PARTITION BY c_nationkey) AS total FROM customer) WHERE rn <= 5
+"""
+)
+def capped_topk_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A top-k report: the five largest balances of each nation, with the exact total."""
+    c = table(spark, sf_dir, "customer")
+    w = Window.partitionBy("c_nationkey")
+    r = c.select("c_nationkey", "c_custkey", F.row_number().over(w.orderBy(F.desc("c_acctbal"), "c_custkey")).cast("long").alias("rn"), F.count(F.lit(1)).over(w).alias("total"))
+    return r.where("rn <= 5")
+
+
+# -- graph -----------------------------------------------------------------------------
+
+_EDGES = """(SELECT DISTINCT src, dst FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem) WHERE dst IS NOT NULL AND dst > src - 7 AND dst < src + 3)"""
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between suppliers that follow each other in an order and whose keys are near: a sparse graph over all lines."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(w).alias("dst"))
+    return e.where("dst IS NOT NULL AND dst > src - 7 AND dst < src + 3").distinct()
+
+
+def _start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").agg(F.max("s_suppkey").alias("node"))
+
+
+def _levels(edges: str, start: str, depth: int) -> str:
+    """CTEs of a breadth-first search written out level by level."""
+    parts = [f"e AS {edges}", f"s0 AS ({start})"]
+    seen = "SELECT NULL::BIGINT AS node WHERE FALSE"
+    for i in range(1, depth + 1):
+        parts.append(f"s{i} AS (SELECT DISTINCT e.dst AS node FROM e JOIN s{i - 1} p ON e.src = p.node WHERE e.dst NOT IN (SELECT node FROM ({seen})))")
+        seen += f" UNION ALL SELECT node FROM s{i}"
+    return "WITH " + ", ".join(parts)
+
+
+def _reach_sql(edges: str, depth: int) -> str:
+    union = " UNION ALL ".join(f"SELECT node, CAST({i} AS INTEGER) AS depth FROM s{i}" for i in range(1, depth + 1))
+    return f"{_levels(edges, 'SELECT max(s_suppkey) AS node FROM supplier', depth)} {union}"
+
+
+_REVERSED = f"(SELECT dst AS src, src AS dst FROM {_EDGES})"
+
+
+@query(_reach_sql(_EDGES, 3))
+def deps_depth3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.reach(_edges(spark, sf_dir), _start(spark, sf_dir), 3)
+
+
+@query(_reach_sql(_REVERSED, 3))
+def reverse_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.reach(graph.reversed_edges(_edges(spark, sf_dir)), _start(spark, sf_dir), 3)
+
+
+@query(f"SELECT src, dst, dst % 5 = 0 AS external FROM {_EDGES}")
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "supplier").where("s_suppkey % 5 != 0").select(F.col("s_suppkey").alias("node"))
+    return graph.tagged(_edges(spark, sf_dir), known)
+
+
+@query(
+    f"""
+WITH RECURSIVE e AS {_EDGES}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src),
+m AS (SELECT a.src AS node, a.dst AS other FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src)
+SELECT min(other) AS component, node FROM m GROUP BY node
+"""
+)
+def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.cycles(_edges(spark, sf_dir))
+
+
+def _capped_sql(edges: str) -> str:
+    return f"WITH f AS (SELECT DISTINCT dst AS node FROM {edges} WHERE src = (SELECT max(s_suppkey) FROM supplier)) SELECT node, count(*) OVER () AS total FROM f ORDER BY node LIMIT 200"
+
+
+@query(_capped_sql(_REVERSED))
+def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.capped(graph.reach(graph.reversed_edges(_edges(spark, sf_dir)), _start(spark, sf_dir), 1).select("node"), 200, "node")
+
+
+@query(_capped_sql(_EDGES))
+def callees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.capped(graph.reach(_edges(spark, sf_dir), _start(spark, sf_dir), 1).select("node"), 200, "node")
+
+
+def _trace_sql(hops: int) -> str:
+    parts = [f"e AS {_EDGES}", "g AS (SELECT max(s_suppkey) AS a, max(s_suppkey) - 9 AS b FROM supplier)", "s0 AS (SELECT a AS node, [a] AS path FROM g)"]
+    seen = "SELECT node FROM s0"
+    for i in range(1, hops + 1):
+        parts.append(f"s{i} AS (SELECT e.dst AS node, min(list_append(p.path, e.dst)) AS path FROM e JOIN s{i - 1} p ON e.src = p.node WHERE e.dst NOT IN ({seen}) GROUP BY e.dst)")
+        seen += f" UNION ALL SELECT node FROM s{i}"
+    union = " UNION ALL ".join(f"SELECT path FROM s{i} WHERE node = (SELECT b FROM g)" for i in range(1, hops + 1))
+    return f"WITH {', '.join(parts)}, p AS ({union}), x AS (SELECT coalesce((SELECT path FROM p LIMIT 1), (SELECT [a, b] FROM g)) AS path, (SELECT count(*) FROM p) > 0 AS found) SELECT CAST(unnest(range(len(path))) AS INTEGER) AS position, unnest(path) AS node, found FROM x"
+
+
+@query(_trace_sql(12))
+def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = _start(spark, sf_dir).first().node
+    return graph.shortest_path(_edges(spark, sf_dir), top, top - 9)
+
+
+@query(
+    _reach_sql(_EDGES, 2).replace("SELECT node, CAST(1 AS INTEGER) AS depth FROM s1 UNION ALL SELECT node, CAST(2 AS INTEGER) AS depth FROM s2", "")
+    + ", "
+    + _levels(_REVERSED, "SELECT max(s_suppkey) AS node FROM supplier", 2)[5:].replace("e AS", "f AS").replace("FROM e JOIN s", "FROM e2 JOIN s").replace("e.dst", "e2.dst").replace("e.src", "e2.src").replace("FROM e2", "FROM f e2").replace("s0", "t0").replace("s1", "t1").replace("s2", "t2")
+    + """
+SELECT 'callees' AS section, node, CAST(1 AS INTEGER) AS depth FROM s1 UNION ALL SELECT 'callees', node, 2 FROM s2
+UNION ALL SELECT 'callers', node, 1 FROM t1 UNION ALL SELECT 'callers', node, 2 FROM t2
+UNION ALL SELECT 'dependents', node, 1 FROM t1 UNION ALL SELECT 'dependents', node, 2 FROM t2
+UNION ALL SELECT 'tests', node, 1 FROM t1 WHERE node % 2 = 1 UNION ALL SELECT 'tests', node, 2 FROM t2 WHERE node % 2 = 1
+"""
+)
+def impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _edges(spark, sf_dir)
+    tests = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 1").select(F.col("s_suppkey").alias("node"))
+    return graph.impact(e, e, _start(spark, sf_dir), tests)
+
+
+@query(f"WITH RECURSIVE e AS {_EDGES}, r AS (SELECT max(s_suppkey) AS node FROM supplier UNION SELECT e.dst FROM r JOIN e ON r.node = e.src), d AS (SELECT DISTINCT e.dst AS node FROM e JOIN r ON e.src = r.node) SELECT node FROM d")
+def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.reach(_edges(spark, sf_dir), _start(spark, sf_dir)).select("node")
+
+
+@query(
+    """
+SELECT doc_id, tokens, used FROM (SELECT source, doc_id, CAST(ceil(strlen(coalesce(text, '')) / 4.0) AS BIGINT) AS tokens,
+  CAST(sum(CAST(ceil(strlen(coalesce(text, '')) / 4.0) AS BIGINT)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS used FROM documents) WHERE used <= 8000
+"""
+)
+def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"))
+    return graph.pack(d, 8000, "source", order="doc_id").select("doc_id", "tokens", "used")
+
+
+# -- search ----------------------------------------------------------------------------
+
+_QUERY = "the license agreement of this"
+_BM25 = f"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+')) AS term FROM documents),
+n AS (SELECT d.doc_id, coalesce(x.n, 0) AS n FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id) x ON d.doc_id = x.doc_id),
+s AS (SELECT count(*) AS docs, avg(n) AS mean FROM n),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN ({", ".join(f"'{w}'" for w in _QUERY.split())}) GROUP BY ALL),
+d AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+b AS (SELECT f.doc_id, sum(ln(1 + (s.docs - d.df + 0.5) / (d.df + 0.5)) * f.tf * 2.2 / (f.tf + 1.2 * (0.25 + 0.75 * n.n / s.mean))) AS score FROM f JOIN d ON f.term = d.term JOIN n ON n.doc_id = f.doc_id, s GROUP BY f.doc_id)
+"""
+
+
+@query(_BM25 + "SELECT doc_id, round(score, 5) AS score FROM b ORDER BY round(score, 5) DESC, doc_id LIMIT 10")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of a query, a top-k report."""
+    s = search.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", _QUERY)
+    return s.select("doc_id", F.round("score", 5).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
+
+
+_PROBE = [((i * 37) % 64 - 31.5) / 32 for i in range(64)]
+
+
+def _probe(spark: SparkSession, sf_dir: str) -> list[float]:
+    """The vector of the smallest id."""
+    return list(table(spark, sf_dir, "embeddings").orderBy("vec_id").first().embedding)
+
+
+_COSINE = "list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(p.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[]))))"
+
+
+@query(f"SELECT e.vec_id, round({_COSINE}, 5) AS score FROM embeddings e, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) p ORDER BY score DESC, vec_id LIMIT 10")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.round(search.cosine(F.col("embedding"), _probe(spark, sf_dir)), 5).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
+
+
+@query(
+    _BM25
+    + f""", v AS (SELECT e.vec_id AS doc_id, {_COSINE} AS score FROM embeddings e, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) p),
+bs AS (SELECT doc_id, (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) AS score FROM b),
+vs AS (SELECT doc_id, (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) AS score FROM v)
+SELECT coalesce(bs.doc_id, vs.doc_id) AS doc_id, round(0.5 * coalesce(bs.score, 0) + 0.5 * coalesce(vs.score, 0), 5) AS score FROM bs FULL JOIN vs ON bs.doc_id = vs.doc_id ORDER BY score DESC, 1 LIMIT 10
+"""
+)
+def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexical = search.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", _QUERY)
+    dense = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), search.cosine(F.col("embedding"), _probe(spark, sf_dir)).alias("score"))
+    return search.hybrid(lexical, dense, "doc_id", 0.5).select("doc_id", F.round("score", 5).alias("score"))
+
+
+_LINES = "(SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)"
+
+
+@query(f"SELECT sha256(line) AS code, line, count(*) AS n FROM {_LINES} WHERE length(line) >= 8 GROUP BY line HAVING count(*) > 1")
+def squeeze_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.legend(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("SELECT doc_id, TRUE AS same FROM documents")
+def squeeze_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _text(table(spark, sf_dir, "documents")).select("doc_id", "text")
+    codes = search.legend(d, "doc_id", "text")
+    back = search.unsqueeze(search.squeeze(d, "doc_id", "text", codes), "doc_id", codes)
+    return d.join(back.withColumnRenamed("text", "back"), "doc_id").select("doc_id", (F.col("text") == F.col("back")).alias("same"))
+
+
+@query(
+    """
+WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(coalesce(text, ''), chr(10), ' '), '[.!?]+(\\s|$)'),
+  lambda x: len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> ''))), lambda n: n > 0) AS n FROM documents)
+SELECT doc_id, CAST(len(n) AS BIGINT) AS sentences, CAST(coalesce(list_sum(n), 0) AS BIGINT) AS words, CAST(len(list_filter(n, lambda x: x > 20)) AS BIGINT) AS over_soft, CAST(len(list_filter(n, lambda x: x > 25)) AS BIGINT) AS over_hard FROM s
+"""
+)
+def prose_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.prose(_text(table(spark, sf_dir, "documents")), "doc_id", "text")
+
+
+# -- state -----------------------------------------------------------------------------
+
+
+@query(
+    """
+SELECT user_id, event_id, CAST(used_bytes AS BIGINT) AS used_bytes, used_items, used_bytes <= 400 AND used_items <= 32 AS accepted FROM (
+  SELECT user_id, event_id, sum(strlen(coalesce(props, ''))) OVER w AS used_bytes, count(*) OVER w AS used_items FROM events
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+"""
+)
+def storage_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("size", F.octet_length(F.coalesce("props", F.lit(""))).cast("long"))
+    return expiry.quota(e, "user_id", "size", "ts", "event_id", max_bytes=400).select("user_id", "event_id", "used_bytes", "used_items", "accepted")
+
+
+@query(
+    """
+WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM events),
+r AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM g)
+SELECT user_id, epoch_us(min(ts)) AS started_us, epoch_us(max(ts)) + 1800000000 AS expires_us, count(*) AS events FROM r GROUP BY user_id, run
+"""
+)
+def session_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = expiry.sessions(table(spark, sf_dir, "events"))
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return s.select("user_id", us("started").alias("started_us"), us("expires").alias("expires_us"), "events")
+
+
+@query(
+    """
+SELECT user_id, max(event_id) AS generation, arg_max(event_type, event_id) FILTER (event_type <> 'error') AS config, arg_max(event_type <> 'error', event_id) AS healthy FROM events GROUP BY user_id
+"""
+)
+def registry_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("generation"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("config"))
+    return expiry.registry_batch(e, "user_id")
+
+
+@query("SELECT user_id, max(epoch_us(ts)) AS last_us FROM events GROUP BY user_id ORDER BY max(ts) DESC, user_id OFFSET 8")
+def lru_evicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All users but the eight touched last, as a cache of eight entries would evict them."""
+    return expiry.least_recent(table(spark, sf_dir, "events"), "user_id", "ts", 8).select("user_id", F.unix_micros(F.col("last_touch").cast("timestamp")).alias("last_us"))
+
+
+# -- replace, hooks, sources -------------------------------------------------------------
+
+
+@query(
+    """
+SELECT doc_id, CASE WHEN n = 1 THEN md5(replace(t, 'the ', 'THE ')) END AS replaced, CASE WHEN n = 0 THEN 'no_match' WHEN n > 1 THEN 'ambiguous' ELSE 'exact' END AS outcome
+FROM (SELECT doc_id, t, (length(t) - length(replace(t, 'the ', ''))) // 4 AS n FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
+"""
+)
+def exact_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _text(table(spark, sf_dir, "documents"))
+    n = text.occurrences(F.col("text"), "the ")
+    return d.select("doc_id", F.when(n == 1, F.md5(F.replace("text", F.lit("the "), F.lit("THE ")).cast("binary"))).alias("replaced"), F.when(n == 0, F.lit("no_match")).when(n > 1, F.lit("ambiguous")).otherwise(F.lit("exact")).alias("outcome"))
+
+
+@query()
+def cascade_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = goldens.replacements(spark)
+    return g.select("name", replace_udf()("content", "search", "replacement").alias("r")).select("name", "r.*")
+
+
+@query()
+def hook_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hooks.decide(goldens.events(spark), "event", allow=("reader",), block=("danger",)).select("name", "denied", "rule")
+
+
+@query()
+def shell_mutates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return goldens.shell(spark).select("command", scanning.shell_mutates_udf("command").alias("mutates"))
+
+
+@query()
+def python_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pysource.symbol_map(goldens.sources(spark)).select("path", "kind", "name", "start", "end", "public")
+
+
+@query()
+def preflight_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch, files, importers = goldens.batch(spark)
+    return changes.preflight(batch, files, importers)
