@@ -1,9 +1,11 @@
-"""Connected components of an edge table, by local contraction and alternating star rounds.
+"""Connected components of an edge table, by rounds of local contraction.
 
-Edges are first contracted within each partition by a union-find (an edge to the
-smallest node of each local component stays), then large-star and small-star rounds
-run as aggregates and joins until no edge changes. Each round is written to the shared
-folder, so a lost executor costs one round. Nothing is collected but two sums a round.
+Within each partition a union-find replaces the edges by one from each node to the
+smallest node of its local component. A round deals every edge out by each of its two
+ends, so that all edges at a node meet, and contracts again; rounds end when nothing
+changes, which leaves one edge from each node to its component's smallest. A round is
+one shuffle of narrow rows and is written to the shared folder, so a lost executor
+costs one round. Nothing is collected but two sums a round.
 """
 
 from __future__ import annotations
@@ -40,33 +42,31 @@ def roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last two columns are u and v; edges of one partition, narrow, are contracted as they come."""
     u = v = np.empty(0, np.int64)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
     for b in batches:
-        u, v = np.concatenate([u, b.column(0).to_numpy()]), np.concatenate([v, b.column(1).to_numpy()])
-        if len(u) > 1 << 20:
-            u, v = roots(u, v)
-            if len(u) > 1 << 19:
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-                u = v = np.empty(0, np.int64)
-    if len(u):
-        u, v = roots(u, v)
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        waiting.append((b.column(b.num_columns - 2).to_numpy(), b.column(b.num_columns - 1).to_numpy()))
+        held += b.num_rows
+        if held > 1 << 19:
+            u, v = roots(np.concatenate([u, *(w[0] for w in waiting)]), np.concatenate([v, *(w[1] for w in waiting)]))
+            waiting, held = [], 0
+    if waiting:
+        u, v = roots(np.concatenate([u, *(w[0] for w in waiting)]), np.concatenate([v, *(w[1] for w in waiting)]))
+    for i in range(0, len(u), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(u[i : i + (1 << 16)]), pa.array(v[i : i + (1 << 16)])], ["u", "v"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` of every node of ``edges`` (u, v), root being the smallest node it reaches."""
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    now = stored(edges.select("u", "v").where("u != v").mapInArrow(_contract, "u long, v long").distinct())
+    now = stored(edges.select("u", "v").where("u != v").mapInArrow(_contract, "u long, v long"))
     seen = mark(now)
     while seen[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v")
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        now = stored(small)
+        ends = now.select(F.explode(F.array("u", "v")).alias("key"), "u", "v")
+        now = stored(ends.repartition("key").mapInArrow(_contract, "u long, v long"))
         before, seen = seen, mark(now)
         if before == seen:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return now.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("root")), F.struct(F.col("v").alias("node"), F.col("v").alias("root"))))).distinct()

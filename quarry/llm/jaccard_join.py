@@ -20,9 +20,9 @@ equal sets are one class from the start.
    one component are not compared: a link between them changes nothing.
 4. The links' components give each class, and so each document, its smallest id.
 
-Hot keys: a shingle that many documents of one batch share is salted, with a node of
-its own that ties its parts together; groups are split into blocks; classes that hold
-more than a 256th of the documents (at most 256) are joined back by broadcast.
+Hot keys: a shingle that many documents of one batch share sends one entry from there;
+groups are split into blocks; classes that hold more than a 256th of the documents (at
+most 256) are joined back by broadcast.
 
 Defined results: null and empty texts, and texts of white space, have no set and are
 their own component; a text of fewer than five words has one shingle, its whole word
@@ -50,8 +50,11 @@ WORDS = 5
 NUM, DEN = 75, 100
 #: Bound of the broadcast list of frequent shingles, and the least count of one.
 LISTED, OFTEN = 1 << 21, 4
-#: Documents of one batch that share a prefix shingle before it is salted; salts.
-HOT_DOCS, SALTS = 64, 256
+#: Documents of one batch that share a prefix shingle before they send one entry for all.
+HOT_DOCS = 64
+#: Bits of a class in candidate edges, and of positions and sizes there; kinds of rows.
+NODE, CAP = (1 << 48) - 1, (1 << 16) - 1
+ALL, EDGE = 1, 2
 #: Lists up to this length are filtered pair by pair.
 SMALL = 16
 #: Sets and shingles in a block of a large group.
@@ -129,6 +132,10 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return int(mix(s ^ np.uint64(0x1234567)).sum().view(np.int64)), int(mix(s ^ np.uint64(0x89ABCDEF)).sum().view(np.int64))
 
 
+def node_of(s1: np.ndarray) -> np.ndarray:
+    return s1 & NODE
+
+
 def prefix(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
@@ -171,7 +178,7 @@ def frequent(docs: DataFrame, entries: int, text: str = "text") -> np.ndarray:
         for b in slices(batches, "text"):
             parts = [s[: prefix(len(s))] for _, _, s in _distinct_sets(b)]
             if parts:
-                token, n = np.unique(np.concatenate(parts), return_counts=True)
+                token, n = np.unique(np.concatenate(parts), return_counts=True)  # copies within the batch count once
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int32))], ["token", "n"])
 
     counted = _keyed(docs, text).mapInArrow(run, "token long, n int").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > often)
@@ -179,12 +186,18 @@ def frequent(docs: DataFrame, entries: int, text: str = "text") -> np.ndarray:
 
 
 def candidate_edges(docs: DataFrame, listed: np.ndarray, text: str = "text") -> DataFrame:
-    """``u, v``: classes (or salted shingles) that may belong to one group."""
+    """``u, v``: nodes (classes by 48 bits of their signature) that may belong to one group.
+
+    A prefix entry is two longs: 48 bits of the shingle and 16 of the position, 48 bits of
+    the class and 16 of the size. Equal bits of different shingles or classes, and capped
+    positions and sizes, only add candidates. A shingle that many documents of one batch
+    have in their prefixes sends one entry from there, with the others chained to it.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(listed)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed = shared.value
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 8 << 20):
             tokens, owners, sizes, places = [], [], [], []
             for s1, _, s in _distinct_sets(b):
                 n = len(s)
@@ -200,52 +213,63 @@ def candidate_edges(docs: DataFrame, listed: np.ndarray, text: str = "text") ->
                 places.append(np.arange(p))
             if not tokens:
                 continue
-            token = np.concatenate(tokens)
-            owner = np.concatenate(owners)
+            token, owner = np.concatenate(tokens) >> np.uint64(16), node_of(np.concatenate(owners))
+            a = ((token << np.uint64(16)) | np.minimum(np.concatenate(places), CAP).astype(np.uint64)).view(np.int64)
+            c = (owner << 16) | np.minimum(np.concatenate(sizes), CAP)
             values, at, count = np.unique(token, return_inverse=True, return_counts=True)
-            salt = np.where((count >= HOT_DOCS)[at], 1 + (owner & (SALTS - 1)), 0).astype(np.int16)
-            room = (np.concatenate(sizes) << 32) | np.concatenate(places)
-            if (count >= HOT_DOCS).any():  # keeps an unsalted entry of the same shingle elsewhere from standing alone
-                hot = values[count >= HOT_DOCS]
-                token, owner, salt, room = np.concatenate([token, hot]), np.concatenate([owner, hot.view(np.int64)]), np.concatenate([salt, np.zeros(len(hot), np.int16)]), np.concatenate([room, np.full(len(hot), -1)])
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt), pa.array(room), pa.array(owner)], ["token", "salt", "room", "owner"])
-
-    def edges_of(token: np.ndarray, salt: np.ndarray, room: np.ndarray, owner: np.ndarray, going_on: bool) -> np.ndarray:
-        """Edges of lists; rows are in order of shingle, salt and size. ``going_on``: the first list is a piece of a longer one."""
-        n, place = room >> 32, room & 0xFFFFFFFF
-        same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
+            hot = (count >= HOT_DOCS)[at]
+            kind = np.zeros(len(a), np.int8)
+            if hot.any():
+                # Chain the owners by shingle; the first of each stands for all, joined with any other entry there.
+                rows = np.flatnonzero(hot)
+                rows = rows[np.argsort(at[rows], kind="stable")]
+                same = at[rows][1:] == at[rows][:-1]
+                u, v = owner[rows][:-1][same], owner[rows][1:][same]
+                first = rows[np.concatenate([[True], ~same])]
+                kind[first] = ALL
+                keep = ~hot
+                keep[first] = True
+                a, c, kind = np.concatenate([a[keep], u]), np.concatenate([c[keep], v]), np.concatenate([kind[keep], np.full(len(u), EDGE, np.int8)])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(kind)], ["a", "c", "kind"])
+
+    def edges_of(a: np.ndarray, c: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Edges of whole lists; rows are in order of shingle."""
+        ready = kind == EDGE
+        out = [np.stack([a[ready], c[ready]])]
+        a, c, kind = a[~ready], c[~ready], kind[~ready]
+        if not len(a):
+            return out[0]
+        token, place, owner, n = a >> 16, a & CAP, (c >> 16) & NODE, c & CAP
+        order = np.lexsort((n, token))
+        token, place, owner, n, kind = token[order], place[order], owner[order], n[order], kind[order]
+        same = token[1:] == token[:-1]
         first = np.flatnonzero(np.concatenate([[True], ~same]))
         size = np.diff(np.append(first, len(token)))
-        out = []
 
-        def pairs(a: np.ndarray, b: np.ndarray) -> None:
-            least = -(-NUM * (n[a] + n[b]) // (NUM + DEN))
-            ok = (owner[a] != owner[b]) & (DEN * n[a] >= NUM * n[b]) & (place[a] + least <= n[a]) & (place[b] + least <= n[b])
-            out.append(np.stack([owner[a][ok], owner[b][ok]]))
+        def pairs(x: np.ndarray, y: np.ndarray) -> None:
+            least = -(-NUM * (n[x] + n[y]) // (NUM + DEN))
+            fits = (DEN * n[x] >= NUM * n[y]) & (place[x] + least <= n[x]) & (place[y] + least <= n[y])
+            ok = (owner[x] != owner[y]) & (fits | (n[y] == CAP))
+            out.append(np.stack([owner[x][ok], owner[y][ok]]))
 
-        plain = (room[first] >= 0) & (salt[first] == 0)
-        plain[0] &= not going_on
+        plain = ~np.logical_or.reduceat(kind == ALL, first)
         for length in range(2, SMALL + 1):
             at = first[plain & (size == length)]
             if len(at):
                 for i in range(length):
                     for j in range(i + 1, length):
                         pairs(at + i, at + j)
-        long = np.repeat(~plain | (size > SMALL), size)
-        chain = np.flatnonzero(same & long[1:])
-        ok = (DEN * n[chain] >= NUM * n[chain + 1]) & (room[chain] >= 0)
+        # Longer lists chain neighbours by size; where an entry stands for others, all are chained.
+        chain = np.flatnonzero(same & np.repeat(~plain | (size > SMALL), size)[1:])
+        ok = (DEN * n[chain] >= NUM * n[chain + 1]) | (n[chain + 1] == CAP) | np.repeat(~plain, size)[chain]
         out.append(np.stack([owner[chain][ok], owner[chain + 1][ok]]))
-        # A salted part, and the unsalted rows beside a mark, hang on the shingle's own node.
-        tied = np.repeat((room[first] < 0) | (salt[first] > 0), size) & (room >= 0)
-        out.append(np.stack([owner[tied], token[tied].view(np.int64)]))
         return np.concatenate(out, axis=1)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: list[np.ndarray] | None = None
-        going_on = False
 
         def give(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            e = edges_of(*cols, going_on)
+            e = edges_of(*cols)
             e = e[:, e[0] != e[1]]
             if e.shape[1]:
                 e = np.unique(np.sort(e, axis=0), axis=1)
@@ -254,25 +278,19 @@ def candidate_edges(docs: DataFrame, listed: np.ndarray, text: str = "text") ->
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [c.to_numpy() for c in b.columns]
+            cols = [x.to_numpy() for x in b.columns]
             if carry is not None:
                 cols = [np.concatenate(x) for x in zip(carry, cols, strict=True)]
-            token = cols[0]
-            cut = int(np.searchsorted(token, token[-1]))  # the last shingle's list may go on
-            if not cut and len(token) > 1 << 18:
-                # One shingle fills the batch: give its rows and go on from the last one.
-                yield from give(cols)
-                cut = len(token) - 1
-                going_on = True
-            elif cut:
-                yield from give([c[:cut] for c in cols])
-                going_on = False
-            carry = [c[cut:] for c in cols]
+            cut = int(np.searchsorted(cols[0], cols[0][-1] >> 16 << 16))  # the last shingle's list may go on
+            if cut:
+                yield from give([x[:cut] for x in cols])
+            carry = [x[cut:] for x in cols]
         if carry is not None:
             yield from give(carry)
 
-    rows = _keyed(docs, text).mapInArrow(emit, "token long, salt short, room long, owner long")
-    return rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "room").mapInArrow(meet, "u long, v long")
+    rows = _keyed(docs, text).mapInArrow(emit, "a long, c long, kind byte")
+    # Ready edges have an arbitrary `a` and go where it sends them; they need no partner.
+    return rows.repartition(F.expr("shiftright(a, 16)")).sortWithinPartitions("a").mapInArrow(meet, "u long, v long")
 
 
 class SkipJoin:
@@ -411,30 +429,44 @@ class SkipJoin:
                 yield z
 
 
-def group_links(docs: DataFrame, groups: DataFrame, text: str = "text") -> DataFrame:
-    """``u, v``: a spanning forest of the links between classes; ``groups``: node, root."""
+def packed(s: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash of a set, in order."""
+    return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1)
+
+
+def group_links(docs: DataFrame, groups: DataFrame, sizes: DataFrame, text: str = "text") -> DataFrame:
+    """``u, v`` (signatures): a spanning forest of the links between classes.
+
+    ``groups``: node, root. ``sizes``: node, n of every class. Sets are compared by 48 bits
+    of each shingle's hash; two sets of a million shingles have a false match in one of 280.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bit_map(groups, "node"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 8 << 20):
             found = list(_distinct_sets(b))
             if not found:
                 continue
-            hit = in_bit_map(shared.value, np.array([f[0] for f in found], np.int64))
-            found = [(s1, s2, len(s), s.tobytes()) for (s1, s2, s), h in zip(found, hit.tolist(), strict=True) if h]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["s1", "s2", "n", "shingles"])
+            nodes = node_of(np.array([f[0] for f in found], np.int64))
+            rows = [(k, s1, s2, packed(s)) for (s1, s2, s), k, h in zip(found, nodes.tolist(), in_bit_map(shared.value, nodes).tolist(), strict=True) if h]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["node", "s1", "s2", "shingles"])
 
-    sets = _keyed(docs, text).mapInArrow(emit, "s1 long, s2 long, n long, shingles binary").groupBy("s1", "s2").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
-    members = stored(sets.join(groups, F.col("s1") == F.col("node")).select("root", "s1", "s2", "n", "shingles"))
+    # Groups too large for one task are dealt out in blocks; sizes say which, before any set moves.
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    large = members.groupBy("root").agg(blocks.alias("blocks")).where("blocks > 1")
+    large = groups.join(sizes, "node").groupBy("root").agg(blocks.alias("blocks")).where("blocks > 1")
+    placed = groups.join(large, "root", "left").select("node", "root", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    # One shuffle by node serves both the removal of copies and the join.
+    sets = _keyed(docs, text).mapInArrow(emit, "node long, s1 long, s2 long, shingles binary").repartition("node").dropDuplicates(["node", "s1", "s2"])
     own = F.pmod(F.xxhash64("s2"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: F.struct(F.least(t, own).alias("a"), F.greatest(t, own).alias("b"), own.alias("own")))
-    cols = ["root", "s1", "n", "shingles"]
-    split = members.join(large, "root").select(*cols, F.inline(pairs))
-    whole = members.join(large, "root", "left_anti").select(*cols, *(F.lit(0).alias(c) for c in ("a", "b", "own")))
-    rows = whole.unionByName(split).select("root", "a", "b", "own", "s1", "shingles")
+    rows = sets.join(placed, "node").select("root", "s1", "shingles", F.inline(pairs)).select("root", "a", "b", "own", "s1", "shingles")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple[int, int, np.ndarray]] = []
@@ -444,7 +476,7 @@ def group_links(docs: DataFrame, groups: DataFrame, text: str = "text") -> DataF
             if len(group) < 2:
                 return []
             sides = [g[0] for g in group] if at[1] != at[2] else None
-            return [(group[a][1], group[b][1]) for a, b in SkipJoin([g[2] for g in group], sides).links()]
+            return [(group[x][1], group[y][1]) for x, y in SkipJoin([g[2] for g in group], sides).links()]
 
         for b in slices(batches, "shingles"):
             found = []
@@ -452,7 +484,7 @@ def group_links(docs: DataFrame, groups: DataFrame, text: str = "text") -> DataF
                 if (root, a, c) != at:
                     found += links()
                     group, at = [], (root, a, c)
-                group.append((own, s1, np.frombuffer(data, np.uint64)))
+                group.append((own, s1, unpacked(data)))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["u", "v"])
         if found := links():
@@ -467,7 +499,8 @@ def near_components(docs: DataFrame, text: str = "text") -> DataFrame:
     entries = head.agg(F.coalesce(F.sum(F.when(F.col("n") > 0, F.expr(f"n - ceil(n * {NUM} / {DEN}) + 1"))), F.lit(0)).cast("long"), F.count(F.lit(1))).first()
     listed = frequent(docs, entries[0], text)
     groups = stored(components(candidate_edges(docs, listed, text)))
-    linked = components(group_links(docs, groups, text))
+    sizes = head.where("n > 0").groupBy("s1", "s2").agg(F.first("n").alias("n")).select(F.expr(f"s1 & {NODE}").alias("node"), "n")
+    linked = components(group_links(docs, groups, sizes, text))
     classes = head.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
     rooted = classes.join(linked, F.col("s1") == F.col("node"), "left").select("s1", "s2", "first", "rows", "root")
     shared = stored(rooted.where("rows > 1 OR root IS NOT NULL"))
