@@ -356,14 +356,14 @@ def capped_topk_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- graph -----------------------------------------------------------------------------
 
-_EDGES = """(SELECT DISTINCT src, dst FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem) WHERE dst IS NOT NULL AND dst > src - 7 AND dst < src + 3)"""
+_EDGES = """(SELECT DISTINCT src, dst FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst, l_quantity AS q FROM lineitem) WHERE dst IS NOT NULL AND q > 48)"""
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between suppliers that follow each other in an order and whose keys are near: a sparse graph over all lines."""
+    """Edges from the supplier of each large line to that of the order's next line: a sparse graph at every size."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(w).alias("dst"))
-    return e.where("dst IS NOT NULL AND dst > src - 7 AND dst < src + 3").distinct()
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(w).alias("dst"), F.col("l_quantity").alias("q"))
+    return e.where("dst IS NOT NULL AND q > 48").select("src", "dst").distinct()
 
 
 def _start(spark: SparkSession, sf_dir: str) -> DataFrame:
