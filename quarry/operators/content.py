@@ -42,7 +42,7 @@ def line_slice(text: Column, start: int, end: int, max_bytes: int = MAX_BYTES) -
     parts = F.split(text, "\n", end + 1)
     body = F.array_join(F.slice(parts, start + 1, F.greatest(F.lit(0), F.least(F.lit(end), F.size(parts)) - start)), "\n")
     closed = (last < n) | F.endswith(text, F.lit("\n"))
-    full = F.when(last <= start, F.lit("")).otherwise(F.concat(F.when(last < n, body).otherwise(F.regexp_replace(body, "\n$", "")), F.when(closed, F.lit("\n")).otherwise(F.lit(""))))
+    full = F.when(last <= start, F.lit("")).otherwise(F.concat(F.when(last < n, body).otherwise(F.regexp_replace(body, r"\n\z", "")), F.when(closed, F.lit("\n")).otherwise(F.lit(""))))
     truncated = F.octet_length(full) > max_bytes
     cut = F.when(truncated, F.make_valid_utf8(F.substring(full.cast("binary"), 1, max_bytes).cast("string"))).otherwise(full)
     return F.struct(cut.alias("content"), F.lit(start).cast("long").alias("returned_start"), F.when(last <= start, F.lit(start)).otherwise(last).cast("long").alias("returned_end"), truncated.alias("truncated"), (truncated | (last < n)).alias("has_more"))

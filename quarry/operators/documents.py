@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 from quarry.functions.lazy import pandas_udf
 
 MAX_RESULT, MAX_SOURCE = 256 << 10, 1 << 20
-_MISSING = object()
+
+
+class _MISSING:  # noqa: N801
+    """Marks a value that is not there; null is a value."""
+
 
 
 class SelectorError(ValueError):

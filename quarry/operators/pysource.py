@@ -130,7 +130,7 @@ def surface(sources: DataFrame, path: str = "path", text: str = "text") -> DataF
 
         return source.map(one)
 
-    top = F.transform(F.filter(symbols_udf(text), lambda s: s.parent.isNull() & s.public), lambda s: s.name)
+    top = F.transform(F.filter(symbols_udf(text), lambda s: s.parent.isNull() & s.public), lambda s: s["name"])
     return sources.select(F.col(path).alias("path"), F.explode(F.coalesce(listed(text), top)).alias("name"))
 
 
