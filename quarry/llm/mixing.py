@@ -6,8 +6,8 @@ gradient least squares: with n tokens and posterior p of each document, the expe
 tokens of the domains are sum(rate * n * p), and the rates, none below ``floor``, are
 moved until these match the targets. The gradient is taken in the metric of the Gram
 matrix sum(n^2 p p') of the documents whose rates are above the floor, in which its
-Lipschitz constant over these is 1, so the step is 1; a step that does not lessen the
-error is halved.
+Lipschitz constant over these is 1, so the step is 1; where such a step does not lessen
+the error, the one in the metric of all documents is taken, which always does.
 
 A step depends on the data only through one number per domain, so a document's rate is
 a fold over the list of past steps: no rates are stored or sent, and each round is one
@@ -118,7 +118,7 @@ def fit(y: np.ndarray, row: np.ndarray, term: np.ndarray, dense: np.ndarray, dom
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, domains: list[str], domain: str = DOMAIN, sample: int = 8000, text: str = "text") -> Softmax:
+def train(docs: DataFrame, labels: DataFrame, domains: list[str], domain: str = DOMAIN, sample: int = 4000, text: str = "text") -> Softmax:
     """Fits on at most ``sample`` labelled rows, chosen by a hash of their ids."""
     chosen = labels.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(domain).alias("d")).where(F.col("d").isin(domains)).groupBy("doc_id").agg(F.min("d").alias("d")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long"), whole_text(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("d", "text")
@@ -130,8 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], domain: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(term.astype(np.int32))), pa.array(shape(b.column(1)).tolist(), pa.list_(pa.float64()))], ["d", "terms", "dense"])
 
     got = rows.mapInArrow(features, "d string, terms array<int>, dense array<double>").toArrow()
-    y, lists = got.column("d").to_pylist(), [np.array(x, np.int64) for x in got.column("terms").to_pylist()]
-    dense = np.array(got.column("dense").to_pylist(), np.float64).reshape(len(y), 9)
+    y, dense = got.column("d").to_pylist(), np.array(got.column("dense").to_pylist(), np.float64).reshape(len(got), 9)
+    lists = [x.values.to_numpy().astype(np.int64) for x in got.column("terms")]
     # The rows' order depends on the cluster; the fit must not.
     order = sorted(range(len(y)), key=lambda i: (dense[i].tolist(), y[i]))
     row = np.repeat(np.arange(len(order)), [len(lists[i]) for i in order]).astype(np.int64)
@@ -205,19 +205,23 @@ def fit_rates(members: DataFrame, domains: int, weights: list[float], floor: flo
         budget = float(now.sum()) if not floor else floor * max(float(now[d] / share[d]) for d in range(domains) if share[d] > 0)
     targets = budget * share
     rates = Rates(max(floor, budget / float(now.sum())), floor, [], targets.tolist())
-    metric = np.linalg.pinv(gram, rcond=1e-12, hermitian=True)
-    best = np.inf
-    for _ in range(rounds):
+    metric = np.linalg.pinv(gram, rcond=1e-10, hermitian=True)
+    best, safe = np.inf, None
+    for i in range(rounds):
         got, active = state(rates)
         missing = targets - got
         if np.abs(missing).max() <= CLOSE * budget:
             break
         error = float(missing @ metric @ missing)
-        if error >= best:
-            rates.steps[-1] = [x / 2 for x in rates.steps[-1]]
+        if i + 1 == rounds:  # targets that the posteriors can't meet are come near to
+            if error > best:
+                rates.steps.pop()
+            break
+        if error >= best and safe is not None:
+            rates.steps[-1], safe = safe, None  # the plain step always lessens the error
             continue
-        best = error
-        rates.steps.append((np.linalg.pinv(active if active.any() else gram, rcond=1e-12, hermitian=True) @ missing).tolist())
+        best, safe = error, (metric @ missing).tolist()
+        rates.steps.append((np.linalg.pinv(active, rcond=1e-10, hermitian=True) @ missing).tolist() if active.any() else safe)
     return rates
 
 
