@@ -146,7 +146,7 @@ def fold(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id) % 5
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 12_000, features: int = 4096, text: str = "text") -> Machine:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 5_000, features: int = 4096, text: str = "text") -> Machine:
     """Fits on at most ``sample`` labelled rows outside fold 0."""
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(fold() != 0).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most `sample` rows of two numbers: broadcast.
