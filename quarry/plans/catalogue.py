@@ -257,8 +257,7 @@ c AS (
   UNION ALL SELECT page_id, path, 'french', 'request', 20000, 1, 1 FROM p WHERE starts_with(path, '/site/') AND regexp_matches(path, '^/site/(.+/)?fr/[^/]*$')
   UNION ALL SELECT page_id, path, 'english', 'deny', 20000, 2, 2 FROM p WHERE starts_with(path, '/site/') AND regexp_matches(path, '^/site/(.+/)?en/[^/]*$') AND NOT regexp_matches(path, '^/site/m\\.[^/]*/')
 )
-SELECT page_id, arg_max(policy, (s, k, -o)) AS policy, arg_max(rule_id, (s, k, -o)) AS rule_id, CAST(max(s) AS BIGINT) AS specificity FROM (
-  SELECT page_id, rule_id, policy, s + 10000 AS s, k, o FROM c) GROUP BY page_id
+SELECT page_id, arg_max(policy, (s, k, -o)) AS policy, arg_max(rule_id, (s, k, -o)) AS rule_id, CAST(max(s) AS BIGINT) AS specificity FROM c GROUP BY page_id
 """
 )
 def policy_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,8 +268,7 @@ def policy_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     p = _page_paths(spark, sf_dir)
     d = policy.decide(p.select("path", F.lit("read").alias("operation")), rules, policy.Baseline(("/site",)))
-    # Three segments ("", "site", and the literal prefix 0): see the depth rule.
-    return p.join(d, "path").select("page_id", "policy", "rule_id", (F.col("specificity") + 10_000).alias("specificity"))
+    return p.join(d, "path").select("page_id", "policy", "rule_id", "specificity")
 
 
 @query(
@@ -498,9 +496,6 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", F.round("score", 5).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
 
 
-_PROBE = [((i * 37) % 64 - 31.5) / 32 for i in range(64)]
-
-
 def _probe(spark: SparkSession, sf_dir: str) -> list[float]:
     """The vector of the smallest id."""
     return list(table(spark, sf_dir, "embeddings").orderBy("vec_id").first().embedding)
