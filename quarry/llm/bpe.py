@@ -181,7 +181,7 @@ class Codec:
     found in the old one moves to the young one, so frequent strings stay.
     """
 
-    KEEP, LONGEST = 250_000, 64
+    KEEP, LONGEST = 120_000, 64
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
@@ -296,7 +296,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 1 << 20):
             counts, id_hashes, hashes, packed = [], [], [], []
             for parts in codec.entries(b.column(1).to_pylist()):
                 counts.append(sum([e[0] for e in parts]))

@@ -13,7 +13,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of whole texts in one Arrow batch; Spark's own default of 10,000 is for narrow rows.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker and its JVM hold of one batch, where the session has not chosen a bound."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,6 +40,7 @@ def scratch(spark: SparkSession) -> str:
     The setting is read from the session. Only where it is unset, as in tests, a
     local folder is made and remembered in the session.
     """
+    small_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quarry.scratch.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="quarry-")
@@ -53,7 +66,7 @@ def drop_stored(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that ``column`` holds about ``max_bytes`` in each (one row at least), without copying."""
     for batch in batches:
         if not batch.num_rows:

@@ -4,9 +4,9 @@ A document's set is its distinct five-word shingles as 64-bit hashes. Documents
 equal sets are one class from the start.
 
 1. Prefixes. Under one order of all shingles, two sets that link share a shingle in
-   their prefixes. The order is by hash, but shingles that are in more than ``often``
-   prefixes come last; their number is bounded by the number of prefix entries over
-   ``often``, which keeps the broadcast list below ``LISTED`` entries.
+   their prefixes. The order is by hash, but shingles that are in more than ``OFTEN``
+   prefixes come last, counted over all documents; the list of these is broadcast, and
+   the count from which a shingle is listed rises where it would exceed ``LISTED``.
 2. Candidate groups. Prefix entries meet by shingle; entries whose sizes and positions
    leave room for a link connect their classes. A list of many classes only chains
    neighbours by size, so its edges are linear in its length. The components of these
@@ -48,10 +48,12 @@ from quarry.llm.fingerprints import mix
 WORDS = 5
 #: Two sets link when DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
-#: Bound of the broadcast list of frequent shingles, and the least count of one.
-LISTED, OFTEN = 1 << 21, 4
+#: Bound of the broadcast list of frequent shingles (32 MB), and the least count of one.
+LISTED, OFTEN = 1 << 22, 4
 #: Documents of one batch that share a prefix shingle before they send one entry for all.
 HOT_DOCS = 64
+#: Bytes of text hashed at once in a Python worker; arrays of 64-bit numbers over them take eight times as much each.
+SLICE = 1 << 20
 #: Bits of a class in candidate edges, and of positions and sizes there; kinds of rows.
 NODE, CAP = (1 << 48) - 1, (1 << 16) - 1
 ALL, EDGE = 1, 2
@@ -74,7 +76,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, n.bit_length())
+    size = 1 << max(16, (n - 1).bit_length())
     if size not in _powers:
         _powers.clear()
         _powers[size] = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, r)])) for r in (_R, _R_INVERSE))
@@ -95,7 +97,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     end = np.flatnonzero(after[1:] & ~space) + 1
     power, inverse = _power_tables(n)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUE[data] * power[:n], out=total[1:])
+    np.take(_VALUE, data, out=total[1:])
+    total[1:] *= power[:n]
+    np.cumsum(total, out=total)
     hashes = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
     return hashes, np.searchsorted(offsets[1:], start, "right")
 
@@ -162,7 +166,7 @@ def heads(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id, n, s1, s2``: set size and signature of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             sets = shingle_sets(b.column(1))
             s1, s2 = zip(*map(signature, sets), strict=True)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())], ["doc_id", "n", "s1", "s2"])
@@ -170,19 +174,21 @@ def heads(docs: DataFrame, text: str = "text") -> DataFrame:
     return _keyed(docs, text).mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
 
 
-def frequent(docs: DataFrame, entries: int, text: str = "text") -> np.ndarray:
-    """Sorted shingles that are in more prefixes than ``often``; at most ``LISTED``."""
-    often = max(OFTEN, entries // LISTED)
+def frequent(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """Sorted shingles in more than ``OFTEN`` prefixes or, if those are over ``LISTED``, in more than the least doubling of it that leaves so few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             parts = [s[: prefix(len(s))] for _, _, s in _distinct_sets(b)]
             if parts:
                 token, n = np.unique(np.concatenate(parts), return_counts=True)  # copies within the batch count once
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int32))], ["token", "n"])
 
-    counted = _keyed(docs, text).mapInArrow(run, "token long, n int").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > often)
-    return np.sort(counted.select("token").toArrow().column("token").to_numpy().view(np.uint64))
+    counted = stored(_keyed(docs, text).mapInArrow(run, "token long, n int").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > OFTEN))
+    steps = [OFTEN << i for i in range(48)]
+    left = counted.agg(*(F.count_if(F.col("n") > x) for x in steps)).first()
+    often = next(x for x, n in zip(steps, left, strict=True) if n <= LISTED)
+    return np.sort(counted.where(F.col("n") > often).select("token").toArrow().column("token").to_numpy().view(np.uint64))
 
 
 def candidate_edges(docs: DataFrame, listed: np.ndarray, text: str = "text") -> DataFrame:
@@ -197,7 +203,7 @@ def candidate_edges(docs: DataFrame, listed: np.ndarray, text: str = "text") ->
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed = shared.value
-        for b in slices(batches, "text", 8 << 20):
+        for b in slices(batches, "text", SLICE):
             tokens, owners, sizes, places = [], [], [], []
             for s1, _, s in _distinct_sets(b):
                 n = len(s)
@@ -449,7 +455,7 @@ def group_links(docs: DataFrame, groups: DataFrame, sizes: DataFrame, text: str
     shared = docs.sparkSession.sparkContext.broadcast(bit_map(groups, "node"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 8 << 20):
+        for b in slices(batches, "text", SLICE):
             found = list(_distinct_sets(b))
             if not found:
                 continue
@@ -478,7 +484,7 @@ def group_links(docs: DataFrame, groups: DataFrame, sizes: DataFrame, text: str
             sides = [g[0] for g in group] if at[1] != at[2] else None
             return [(group[x][1], group[y][1]) for x, y in SkipJoin([g[2] for g in group], sides).links()]
 
-        for b in slices(batches, "shingles"):
+        for b in slices(batches, "shingles", SLICE):
             found = []
             for root, a, c, own, s1, data in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if (root, a, c) != at:
@@ -496,8 +502,7 @@ def group_links(docs: DataFrame, groups: DataFrame, sizes: DataFrame, text: str
 def near_components(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     head = stored(heads(docs, text))
-    entries = head.agg(F.coalesce(F.sum(F.when(F.col("n") > 0, F.expr(f"n - ceil(n * {NUM} / {DEN}) + 1"))), F.lit(0)).cast("long"), F.count(F.lit(1))).first()
-    listed = frequent(docs, entries[0], text)
+    listed = frequent(docs, text)
     groups = stored(components(candidate_edges(docs, listed, text)))
     sizes = head.where("n > 0").groupBy("s1", "s2").agg(F.first("n").alias("n")).select(F.expr(f"s1 & {NODE}").alias("node"), "n")
     linked = components(group_links(docs, groups, sizes, text))
@@ -506,7 +511,7 @@ def near_components(docs: DataFrame, text: str = "text") -> DataFrame:
     shared = stored(rooted.where("rows > 1 OR root IS NOT NULL"))
     least = shared.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"))
     named = stored(shared.join(least, "root", "left").select("s1", "s2", "rows", F.coalesce("least", "first").alias("component_id")))
-    often = max(1000, entries[1] // 256)
+    often = max(1000, head.count() // 256)
     hot = F.broadcast(named.where(F.col("rows") > often).drop("rows"))  # at most 256 classes
     cold = named.where(F.col("rows") <= often).drop("rows")
     out = head.join(hot, ["s1", "s2"]).unionByName(head.join(hot, ["s1", "s2"], "left_anti").join(cold, ["s1", "s2"], "left"))

@@ -43,6 +43,8 @@ from quarry.llm.fingerprints import mix
 BLOCK = 512
 #: Lines of one batch that share a key before it is salted, and the number of salts.
 HOT_LINES, SALTS = 32, 256
+#: Bytes of text cut at once in a Python worker.
+SLICE = 2 << 20
 INDEX, PROBE, MARK = 1, 2, 4
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
@@ -150,7 +152,7 @@ def occurrences(docs: DataFrame, min_chars: int, text: str = "text") -> DataFram
     """``h1, h2, id, place`` of every line that takes part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             rows = [(*line_hash(x), i, p) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for p, x in enumerate(t.split("\n")) if len(x) >= min_chars]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["h1", "h2", "id", "place"])
@@ -167,7 +169,7 @@ def met_entries(docs: DataFrame, threshold: int, min_chars: int, text: str = "te
     """``key, h1, role`` of the entries whose key has two lines or more, one of them in the index."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             lines = _batch_lines(b, min_chars)
             if not lines:
                 continue
@@ -217,7 +219,7 @@ def line_texts(docs: DataFrame, lines: DataFrame, min_chars: int, text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             found = [(*line_hash(x), x) for x in _batch_lines(b, min_chars)]
             if not found:
                 continue
