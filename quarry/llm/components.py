@@ -63,7 +63,9 @@ def components(edges: DataFrame) -> DataFrame:
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     # A node has an edge from each partition that met it: contract where each node's own edges meet before any is copied.
     local = edges.select("u", "v").where("u != v").mapInArrow(_contract, "u long, v long")
-    now = stored(local.repartition("u").mapInArrow(_contract, "u long, v long").repartition("v").mapInArrow(_contract, "u long, v long"))
+    for end in ("u", "v", "u", "v"):
+        local = local.repartition(end).mapInArrow(_contract, "u long, v long")
+    now = stored(local)
     seen = mark(now)
     while seen[0]:
         ends = now.select(F.explode(F.array("u", "v")).alias("key"), "u", "v")
