@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that repeat or nearly repeat an earlier line, and documents that consist of such lines."""
-    return line_dedup.dedup_lines(docs)
+    return line_dedup.dedup_lines(docs, **line_dedup.WHOLE)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 A line of ``min_chars`` code points or more goes if an equal line, or one within
 ``threshold`` edits (insert, delete, replace a code point), stands earlier in the
-table; order is by id, then by place. Shorter lines stay.
+table; order is by id, then by place. Shorter lines stay, or with ``copies`` go if an
+equal line stands earlier and they have that many code points and are not blank.
+``WHOLE`` has what the query and the pipeline use.
 
 1. Occurrences ``(hash, id, place)`` of lines are aggregated to distinct lines with
    their first occurrence; no text is shuffled for exact copies.
@@ -46,6 +48,8 @@ HOT_LINES, SALTS = 32, 256
 #: Bytes of text cut at once in a Python worker.
 SLICE = 2 << 20
 INDEX, PROBE, MARK = 1, 2, 4
+#: Parameters of the query and the pipeline.
+WHOLE = {"min_chars": 12, "copies": 1}
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
 NO_ID = -(1 << 63)
@@ -148,12 +152,13 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), whole_text(text).alias("text"))
 
 
-def occurrences(docs: DataFrame, min_chars: int, text: str = "text") -> DataFrame:
+def occurrences(docs: DataFrame, min_chars: int, text: str = "text", copies: int | None = None) -> DataFrame:
     """``h1, h2, id, place`` of every line that takes part."""
+    least = min_chars if copies is None else max(1, min(copies, min_chars))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", SLICE):
-            rows = [(*line_hash(x), i, p) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for p, x in enumerate(t.split("\n")) if len(x) >= min_chars]
+            rows = [(*line_hash(x), i, p) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for p, x in enumerate(t.split("\n")) if len(x) >= least and (len(x) >= min_chars or not x.isspace())]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["h1", "h2", "id", "place"])
 
@@ -282,9 +287,9 @@ def near_lines(docs: DataFrame, distinct: DataFrame, threshold: int, min_chars:
     return rows.repartition("key", "a", "b").sortWithinPartitions(*order).mapInArrow(compare, "h1 long, h2 long").distinct()
 
 
-def dropped(docs: DataFrame, threshold: int = 2, min_chars: int = 24, text: str = "text") -> DataFrame:
+def dropped(docs: DataFrame, threshold: int = 2, min_chars: int = 24, text: str = "text", copies: int | None = None) -> DataFrame:
     """``id, place, h1, near`` of every occurrence that goes."""
-    all_ = stored(occurrences(docs, min_chars, text))
+    all_ = stored(occurrences(docs, min_chars, text, copies))
     distinct = stored(all_.groupBy("h1", "h2").agg(F.min(F.struct("id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).select("h1", "h2", "first.id", "first.place", "n"))
     near = near_lines(docs, distinct.select("h1", "h2", "id", "place"), threshold, min_chars, text).withColumn("near", F.lit(True))
     gone = stored(distinct.join(near, ["h1", "h2"], "left").where("n > 1 OR near").select("h1", "h2", F.col("id").alias("_id"), F.col("place").alias("_place"), "n", F.coalesce("near", F.lit(False)).alias("near")))
@@ -294,8 +299,8 @@ def dropped(docs: DataFrame, threshold: int = 2, min_chars: int = 24, text: str
     return parts[0].unionByName(parts[1]).where("near OR id != _id OR place != _place").select("id", "place", "h1", "near")
 
 
-def _joined(docs: DataFrame, threshold: int, min_chars: int, text: str) -> DataFrame:
-    drops = dropped(docs, threshold, min_chars, text).groupBy(F.col("id").alias("__line_id")).agg(F.array_sort(F.collect_set(F.struct("place", "h1", "near"))).alias("__line_drops"))
+def _joined(docs: DataFrame, threshold: int, min_chars: int, text: str, copies: int | None) -> DataFrame:
+    drops = dropped(docs, threshold, min_chars, text, copies).groupBy(F.col("id").alias("__line_id")).agg(F.array_sort(F.collect_set(F.struct("place", "h1", "near"))).alias("__line_drops"))
     keyed = docs.withColumn("__line_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
     return keyed.join(drops, F.col("__line_key") == F.col("__line_id"), "left").drop("__line_key", "__line_id")
 
@@ -308,9 +313,9 @@ def _kept(text: str, drops: list[dict]) -> tuple[str, int, int]:
     return "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone) - near, near
 
 
-def dedup_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 24, text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 24, text: str = "text", copies: int | None = None) -> DataFrame:
     """``docs`` without repeated lines, and without documents that lose all their text; the same columns."""
-    out = _joined(docs, threshold, min_chars, text)
+    out = _joined(docs, threshold, min_chars, text, copies)
     at, drops_at, width = docs.columns.index(text), len(docs.columns), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +338,7 @@ def dedup_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 24, text:
 RESULT = "doc_id long, n_lines int, n_copies int, n_near int, kept_sha256 string"
 
 
-def line_report(docs: DataFrame, threshold: int = 2, min_chars: int = 24, text: str = "text") -> DataFrame:
+def line_report(docs: DataFrame, threshold: int = 2, min_chars: int = 24, text: str = "text", copies: int | None = None) -> DataFrame:
     """Per row: lines, lines that go as copies and as near copies, and the digest of what stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,4 +351,4 @@ def line_report(docs: DataFrame, threshold: int = 2, min_chars: int = 24, text:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)], [x.split()[0] for x in RESULT.split(", ")])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    return _joined(slim, threshold, min_chars, "text").mapInArrow(run, RESULT)
+    return _joined(slim, threshold, min_chars, "text", copies).mapInArrow(run, RESULT)

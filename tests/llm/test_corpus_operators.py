@@ -263,6 +263,16 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, small):
     assert len(report) == len(rows)
 
 
+def test_line_dedup_copies_of_short_lines(spark):
+    """Every copy of a line that is not blank goes, whatever its length; blank lines stay."""
+    rows = [(d, "}\n\n  \nAll rights reserved.\nown line %s" % ("abcdefghijkl"[d] * (d + 1)), "en", "s", 1) for d in range(12)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, **line_dedup.WHOLE).collect()}
+    assert got[0] == rows[0][1] and all("}" not in got[d] and "reserved" not in got[d] and got[d].startswith("\n  \nown line") for d in range(1, 12) if d in got)
+    assert {r.doc_id: r.n_copies for r in line_dedup.line_report(df, **line_dedup.WHOLE).collect()} == {d: 2 if d else 0 for d in range(12)}
+    assert line_dedup.line_report(awkward(spark), **line_dedup.WHOLE).count() == len(AWKWARD) and line_dedup.dedup_lines(empty(spark), **line_dedup.WHOLE).count() == 0
+
+
 def test_line_dedup_awkward(spark):
     assert line_dedup.dedup_lines(awkward(spark)).columns == awkward(spark).columns
     assert line_dedup.dedup_lines(empty(spark)).count() == 0 and line_dedup.line_report(awkward(spark)).count() == len(AWKWARD)
