@@ -3,8 +3,10 @@
 A line of ``min_chars`` code points or more goes if an equal line, or one within
 ``threshold`` edits (insert, delete, replace a code point), stands earlier in the
 table; order is by id, then by place. Shorter lines stay, or with ``copies`` go if an
-equal line stands earlier and they have that many code points and are not blank.
-``WHOLE`` has what the query and the pipeline use.
+equal line stands earlier and they have that many code points and are not blank. With
+``words``, a line also goes if an earlier one is within one edit of a word (insert,
+delete, replace) for every ``words`` words of the shorter of both. ``WHOLE`` has what
+the query and the pipeline use.
 
 1. Occurrences ``(hash, id, place)`` of lines are aggregated to distinct lines with
    their first occurrence; no text is shuffled for exact copies.
@@ -14,9 +16,13 @@ equal line stands earlier and they have that many code points and are not blank.
    threshold with the substrings at the starts that the numbers of edits left and right
    of the segment allow. Entries meet by key in one shuffle of narrow rows; keys with a
    single line go.
-3. Lines that are left get their text, and each key's lines are compared with the
-   earlier ones, by character counts and then by a banded bit-parallel edit distance,
-   until one is near.
+3. Edits of words are found alike, with words for code points, where up to ``SEGMENTED``
+   are allowed. Longer lines share a run of words of a known least length, and so the
+   smallest hash of word n-grams in a window of that run; lines meet under these hashes
+   in buckets of length, each line in its own and, if a shorter one can be near, the lower.
+4. Of keys with the same lines one stays. Lines that are left get their text, and each
+   key's lines are compared with the earlier ones, by character or word counts and then
+   by a banded bit-parallel edit distance, until one is near.
 
 Hot keys: a key that many lines of one batch share is salted (a marker row keeps the
 unsalted rest alive), and a key with more than ``BLOCK`` lines is compared in pairs of
@@ -32,7 +38,8 @@ input are passed on unchanged, whatever their names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +54,11 @@ BLOCK = 512
 HOT_LINES, SALTS = 32, 256
 #: Bytes of text cut at once in a Python worker.
 SLICE = 2 << 20
-INDEX, PROBE, MARK = 1, 2, 4
+INDEX, PROBE, MARK, WORDS = 1, 2, 4, 8
+#: Largest number of word edits that is found by segments.
+SEGMENTED = 3
 #: Parameters of the query and the pipeline.
-WHOLE = {"min_chars": 12, "copies": 1}
+WHOLE = {"min_chars": 12, "copies": 1, "words": 12}
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
 NO_ID = -(1 << 63)
@@ -60,7 +69,7 @@ def line_hash(line: str) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def within(a: str, b: str, k: int) -> bool:
+def within(a: Sequence[str], b: Sequence[str], k: int) -> bool:
     """Whether the edit distance of ``a`` and ``b`` is ``k`` or less.
 
     Equal ends are cut off; what is left goes through a bit-parallel dynamic program
@@ -122,15 +131,24 @@ def cuts(length: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(size, axis=1) - size, size
 
 
+@lru_cache(1 << 16)
+def _word_hash(word: str) -> int:
+    return line_hash(word)[0]
+
+
+def _sums(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums and inverse powers: the hash of symbols s to e is ``(total[e] - total[s]) * inverse[s]``."""
+    n = len(symbols)
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _R)]))
+    inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _R_INVERSE)]))
+    return np.concatenate([[np.uint64(0)], np.cumsum(symbols * power[:n])]), inverse
+
+
 def entries(lines: list[str], hashes: np.ndarray, threshold: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, line hashes and roles of all index and probe entries of some lines."""
     length = np.fromiter(map(len, lines), np.int64, len(lines))
     base = np.cumsum(length) - length
-    symbols = mix(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64))
-    n = len(symbols)
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _R)]))
-    inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _R_INVERSE)]))
-    total = np.concatenate([[np.uint64(0)], np.cumsum(symbols * power[:n])])
+    total, inverse = _sums(mix(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)))
     parts = threshold + 1
     keys, owners, roles = [], [], []
     for less in range(threshold + 1):
@@ -148,6 +166,50 @@ def entries(lines: list[str], hashes: np.ndarray, threshold: int, min_chars: int
     return np.concatenate(keys), np.concatenate(owners), np.concatenate(roles)
 
 
+def word_entries(split: list[list[str]], hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, line hashes and roles of the entries for edits of words, one for every ``words`` of a line."""
+    length = np.fromiter(map(len, split), np.int64, len(split))
+    base = np.cumsum(length) - length
+    flat = [w for s in split for w in s]
+    total, inverse = _sums(mix(np.fromiter(map(_word_hash, flat), np.int64, len(flat)).view(np.uint64)))
+    keys, owners, roles = [], [], []
+
+    def add(h: np.ndarray, tag: np.ndarray, owner: np.ndarray, role: int) -> None:
+        keys.append(mix(h ^ mix(tag.astype(np.uint64) ^ _R)).view(np.int64))
+        owners.append(owner)
+        roles.append(np.full(len(h), WORDS | role, np.int8))
+
+    for k in range(1, SEGMENTED + 1):
+        for less in range(k + 1):
+            other = length - less
+            of = np.flatnonzero(other // words == k)
+            start, size = cuts(other[of], k + 1)
+            for i in range(k + 1):
+                for move in range(max(-i, less - (k - i)), min(i, less + k - i) + 1):
+                    at = start[:, i] + move
+                    ok = (at >= 0) & (at + size[:, i] <= length[of])
+                    s = (base[of] + at)[ok]
+                    add((total[s + size[ok, i]] - total[s]) * inverse[s], other[of][ok] * 64 + i, hashes[of][ok], PROBE | (INDEX if less == 0 and move == 0 else 0))
+    # k edits leave a run of (n - k) / (k + 1) words, which is shortest for the least n and k.
+    k = SEGMENTED + 1
+    run = -(-(words - 1) * k // (k + 1))
+    gram = run // 2
+    window = run - gram + 1
+    long = length >= words * k
+    if long.any():
+        at = np.arange(len(flat) - run + 1)
+        line = np.repeat(np.arange(len(split)), length)
+        at = at[long[line[at]] & (at + run <= (base + length)[line[at]])]
+        s = np.arange(len(flat) - gram + 1)
+        h = mix((total[s + gram] - total[s]) * inverse[s])
+        s = np.unique(at + np.lib.stride_tricks.sliding_window_view(h, window)[at].argmin(axis=1))
+        bucket = np.floor(np.log2(length[line[s]])).astype(np.int64)
+        add(h[s], bucket * 64 + 63, hashes[line[s]], PROBE | INDEX)
+        near = length[line[s]] < 2.0**bucket * (1 + 1 / words)
+        add(h[s[near]], (bucket[near] - 1) * 64 + 63, hashes[line[s[near]]], PROBE)
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(roles)
+
+
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), whole_text(text).alias("text"))
 
@@ -170,7 +232,7 @@ def _batch_lines(b: pa.RecordBatch, min_chars: int) -> list[str]:
     return list(dict.fromkeys(x for t in b.column(1).to_pylist() for x in t.split("\n") if len(x) >= min_chars))
 
 
-def met_entries(docs: DataFrame, threshold: int, min_chars: int, text: str = "text") -> DataFrame:
+def met_entries(docs: DataFrame, threshold: int, min_chars: int, text: str = "text", words: int = 0) -> DataFrame:
     """``key, h1, role`` of the entries whose key has two lines or more, one of them in the index."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +240,15 @@ def met_entries(docs: DataFrame, threshold: int, min_chars: int, text: str = "te
             lines = _batch_lines(b, min_chars)
             if not lines:
                 continue
-            key, h1, role = entries(lines, np.array([line_hash(x)[0] for x in lines], np.int64), threshold, min_chars)
+            hashes = np.array([line_hash(x)[0] for x in lines], np.int64)
+            if words:
+                split = [x.split() for x in lines]
+                # An edit of a code point is two of words at most, and changes their number by one: longer lines need no entries of code points.
+                few = np.array([len(s) < words * 2 * threshold + threshold for s in split])
+                by_char = entries([x for x, f in zip(lines, few, strict=True) if f], hashes[few], threshold, min_chars)
+                key, h1, role = (np.concatenate(x) for x in zip(by_char, word_entries(split, hashes, words), strict=True))
+            else:
+                key, h1, role = entries(lines, hashes, threshold, min_chars)
             values, at, n = np.unique(key, return_inverse=True, return_counts=True)
             hot = (n >= HOT_LINES)[at]
             salt = np.where(hot, 1 + (h1 & (SALTS - 1)), 0).astype(np.int16)
@@ -236,9 +306,12 @@ def line_texts(docs: DataFrame, lines: DataFrame, min_chars: int, text: str = "t
     return _keyed(docs, text).mapInArrow(run, "h1 long, h2 long, line string").groupBy("h1", "h2").agg(F.first("line").alias("line"))
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame, threshold: int, min_chars: int, text: str = "text") -> DataFrame:
+def near_lines(docs: DataFrame, distinct: DataFrame, threshold: int, min_chars: int, text: str = "text", words: int = 0) -> DataFrame:
     """``h1, h2`` of the distinct lines with an earlier line within the threshold."""
-    met = stored(met_entries(docs, threshold, min_chars, text))
+    met = stored(met_entries(docs, threshold, min_chars, text, words))
+    if words:  # long near copies share many keys: of keys with the same lines in the same roles one does
+        same = met.groupBy("key").agg(F.bit_xor(F.xxhash64("h1", "role")).alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        met = stored(met.join(same.groupBy("x", "n").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"))
     texts = line_texts(docs, met.select("h1"), min_chars, text).join(distinct, ["h1", "h2"])
     # Keys with more lines than a block: each of their lines goes to every pair of blocks that has its own.
     hot = met.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
@@ -255,19 +328,23 @@ def near_lines(docs: DataFrame, distinct: DataFrame, threshold: int, min_chars:
         def near() -> list[tuple[int, int]]:
             if len(group) < 2:
                 return []
-            counts = np.zeros((len(group), 32), np.int16)
-            for g, r in enumerate(group):
-                counts[g] = np.bincount(np.frombuffer(r[-1].encode("utf-32-le", "surrogatepass"), np.uint32) & 31, minlength=32).clip(0, 30000)
-            size = np.array([len(r[-1]) for r in group])
+            by_word = bool(group[0][4] & WORDS)
+            items = [r[-1].split() if by_word else r[-1] for r in group]
+            counts = np.zeros((len(group), 64 if by_word else 32), np.int16)
+            for g, x in enumerate(items):
+                codes = np.fromiter(map(hash, x), np.int64, len(x)) & 63 if by_word else np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) & 31
+                counts[g] = np.bincount(codes, minlength=counts.shape[1]).clip(0, 30000)
+            size = np.array([len(x) for x in items])
             role = np.array([r[4] for r in group])
             own = np.array([r[3] for r in group])
             out = []
             for k in range(1, len(group)):
-                ok = (np.abs(size[:k] - size[k]) <= threshold) & (((role[:k] & INDEX > 0) & bool(role[k] & PROBE)) | ((role[:k] & PROBE > 0) & bool(role[k] & INDEX)))
+                most = np.minimum(size[:k], size[k]) // words if by_word else np.full(k, threshold)
+                ok = (np.abs(size[:k] - size[k]) <= most) & (((role[:k] & INDEX > 0) & bool(role[k] & PROBE)) | ((role[:k] & PROBE > 0) & bool(role[k] & INDEX)))
                 if at[1] != at[2]:
                     ok &= own[:k] != own[k]
-                ok &= np.abs(counts[:k] - counts[k]).sum(axis=1) <= 2 * threshold
-                if any(group[j][-1] != group[k][-1] and within(group[j][-1], group[k][-1], threshold) for j in np.flatnonzero(ok)):
+                ok[ok] = np.abs(counts[:k][ok] - counts[k]).sum(axis=1) <= 2 * most[ok]
+                if any(group[j][-1] != group[k][-1] and within(items[j], items[k], int(most[j])) for j in np.flatnonzero(ok)):
                     out.append(group[k][7:9])
             return out
 
@@ -287,11 +364,11 @@ def near_lines(docs: DataFrame, distinct: DataFrame, threshold: int, min_chars:
     return rows.repartition("key", "a", "b").sortWithinPartitions(*order).mapInArrow(compare, "h1 long, h2 long").distinct()
 
 
-def dropped(docs: DataFrame, threshold: int = 2, min_chars: int = 24, text: str = "text", copies: int | None = None) -> DataFrame:
+def dropped(docs: DataFrame, threshold: int = 2, min_chars: int = 24, text: str = "text", copies: int | None = None, words: int = 0) -> DataFrame:
     """``id, place, h1, near`` of every occurrence that goes."""
     all_ = stored(occurrences(docs, min_chars, text, copies))
     distinct = stored(all_.groupBy("h1", "h2").agg(F.min(F.struct("id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).select("h1", "h2", "first.id", "first.place", "n"))
-    near = near_lines(docs, distinct.select("h1", "h2", "id", "place"), threshold, min_chars, text).withColumn("near", F.lit(True))
+    near = near_lines(docs, distinct.select("h1", "h2", "id", "place"), threshold, min_chars, text, words).withColumn("near", F.lit(True))
     gone = stored(distinct.join(near, ["h1", "h2"], "left").where("n > 1 OR near").select("h1", "h2", F.col("id").alias("_id"), F.col("place").alias("_place"), "n", F.coalesce("near", F.lit(False)).alias("near")))
     # At most 256 lines are more than a 256th of all; those go by broadcast, so that no task gets the copies of a hot line.
     often = max(1000, all_.count() // 256)
@@ -299,8 +376,8 @@ def dropped(docs: DataFrame, threshold: int = 2, min_chars: int = 24, text: str
     return parts[0].unionByName(parts[1]).where("near OR id != _id OR place != _place").select("id", "place", "h1", "near")
 
 
-def _joined(docs: DataFrame, threshold: int, min_chars: int, text: str, copies: int | None) -> DataFrame:
-    drops = dropped(docs, threshold, min_chars, text, copies).groupBy(F.col("id").alias("__line_id")).agg(F.array_sort(F.collect_set(F.struct("place", "h1", "near"))).alias("__line_drops"))
+def _joined(docs: DataFrame, threshold: int, min_chars: int, text: str, copies: int | None, words: int) -> DataFrame:
+    drops = dropped(docs, threshold, min_chars, text, copies, words).groupBy(F.col("id").alias("__line_id")).agg(F.array_sort(F.collect_set(F.struct("place", "h1", "near"))).alias("__line_drops"))
     keyed = docs.withColumn("__line_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
     return keyed.join(drops, F.col("__line_key") == F.col("__line_id"), "left").drop("__line_key", "__line_id")
 
@@ -313,9 +390,9 @@ def _kept(text: str, drops: list[dict]) -> tuple[str, int, int]:
     return "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone) - near, near
 
 
-def dedup_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 24, text: str = "text", copies: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 24, text: str = "text", copies: int | None = None, words: int = 0) -> DataFrame:
     """``docs`` without repeated lines, and without documents that lose all their text; the same columns."""
-    out = _joined(docs, threshold, min_chars, text, copies)
+    out = _joined(docs, threshold, min_chars, text, copies, words)
     at, drops_at, width = docs.columns.index(text), len(docs.columns), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +415,7 @@ def dedup_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 24, text:
 RESULT = "doc_id long, n_lines int, n_copies int, n_near int, kept_sha256 string"
 
 
-def line_report(docs: DataFrame, threshold: int = 2, min_chars: int = 24, text: str = "text", copies: int | None = None) -> DataFrame:
+def line_report(docs: DataFrame, threshold: int = 2, min_chars: int = 24, text: str = "text", copies: int | None = None, words: int = 0) -> DataFrame:
     """Per row: lines, lines that go as copies and as near copies, and the digest of what stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,4 +428,4 @@ def line_report(docs: DataFrame, threshold: int = 2, min_chars: int = 24, text:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)], [x.split()[0] for x in RESULT.split(", ")])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    return _joined(slim, threshold, min_chars, "text", copies).mapInArrow(run, RESULT)
+    return _joined(slim, threshold, min_chars, "text", copies, words).mapInArrow(run, RESULT)

@@ -263,6 +263,44 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, small):
     assert len(report) == len(rows)
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_line_dedup_finds_word_edits_and_short_copies(spark, monkeypatch, small):
+    """Long lines with some words replaced, added or left out, and copies of lines of any length, with the production parameters."""
+    if small:
+        monkeypatch.setattr(line_dedup, "BLOCK", 3)
+        monkeypatch.setattr(line_dedup, "HOT_LINES", 2)
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))) for _ in range(300)]
+    base = [[rng.choice(vocabulary) for _ in range(n)] for n in (11, 12, 23, 25, 36, 47, 48, 49, 63, 65, 81, 129, 240, 401)]
+
+    def changed(line, most):
+        x = list(line)
+        for _ in range(rng.randint(0, most)):
+            i = rng.randrange(len(x))
+            rng.choice([lambda: x.insert(i, rng.choice(vocabulary)), lambda: x.pop(i), lambda: x.__setitem__(i, rng.choice(vocabulary))])()
+        return " ".join(x)
+
+    rows = [(d, "\n".join([changed(base[d % 14], 1 + len(base[d % 14]) // 11), rng.choice(["", "  ", "ok", "}", "All rights reserved."]), edited(rng, " ".join(base[d % 7]), 3)]), "en", "s", 1) for d in range(98)]
+    occ = sorted((i, p, x) for i, t, *_ in rows for p, x in enumerate(t.split("\n")) if x.strip())
+    words = {x: tuple(x.split()) for *_, x in occ}
+    want, seen, by_words = {r[0]: 0 for r in rows}, [], 0
+
+    def near(a, b):
+        k = min(len(words[a]), len(words[b])) // line_dedup.WHOLE["words"]
+        by_char = min(len(a), len(b)) >= 12 and abs(len(a) - len(b)) <= 2 and line_dedup.within(a, b, 2)
+        return a == b or by_char, k > 0 and abs(len(words[a]) - len(words[b])) <= k and distance(words[a], words[b]) <= k
+
+    for i, _, x in occ:
+        hits = [near(x, s) for s in seen]
+        want[i] += any(any(h) for h in hits)
+        by_words += any(h[1] for h in hits) and not any(h[0] for h in hits)
+        if x not in seen:
+            seen.append(x)
+    df = spark.createDataFrame(rows, DOCS).repartition(4)
+    got = {r.doc_id: r.n_copies + r.n_near for r in line_dedup.line_report(df, **line_dedup.WHOLE).collect()}
+    assert got == want and by_words > 20
+
+
 def test_line_dedup_copies_of_short_lines(spark):
     """Every copy of a line that is not blank goes, whatever its length; blank lines stay."""
     rows = [(d, "}\n\n  \nAll rights reserved.\nown line %s" % ("abcdefghijkl"[d] * (d + 1)), "en", "s", 1) for d in range(12)]
