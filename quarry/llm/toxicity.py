@@ -7,8 +7,10 @@ weights the inner products of learned term vectors, so a pair such as an insult
 a group mention can weigh more than its two terms.
 
 Fitting takes at most ``sample`` labelled rows, chosen by a hash of their ids, and
-keeps the ``features`` terms with the largest standardised difference between the
-classes; both bounds are parameters. Scoring reads every whole text.
+keeps up to ``features`` terms: those with a standardised difference between the classes
+of ``least_z``, and those of pairs, among the ``paired`` most frequent terms, whose texts
+differ by ``least_pair_z`` from what the two terms' own shares say, as a term can matter
+in a pair without a difference of its own. All are parameters. Scoring reads every whole text.
 
 Defined results: a null or empty text has no terms and gets the score of the bias;
 labels that are null are left out, repeated labels of one id count once (the largest);
@@ -92,7 +94,32 @@ class Machine:
         return out
 
 
-def fit(labels: np.ndarray, row: np.ndarray, term: np.ndarray, features: int = 4096, rank: int = 8, epochs: int = 40, rate: float = 0.2, decay: float = 1e-5, least_z: float = 5.0, seed: int = 7) -> Machine:
+def pair_z(labels: np.ndarray, row: np.ndarray, term: np.ndarray, df: np.ndarray, hit: np.ndarray, paired: int) -> np.ndarray:
+    """Per term, the largest deviation over its pairs among the ``paired`` most frequent terms: label 1
+    in texts with both, against the sum of both terms' log odds, in standard deviations."""
+    n, out = len(labels), np.zeros(len(df))
+    often = np.argsort(-df, kind="stable")[:paired]
+    often = often[df[often] >= 3]
+    place = np.full(len(df), -1)
+    place[often] = np.arange(len(often))
+    t = place[term]
+    x = np.zeros((n, len(often)), np.float32)
+    x[row[t >= 0], t[t >= 0]] = 1
+    # Both counts are whole numbers below 2^24, so float32 is exact.
+    positive = x[labels > 0]
+    share = (labels.sum() + 0.5) / (n + 1)
+    odds = lambda p: np.log(p / (1 - p))
+    own = odds((hit[often] + share) / (df[often] + 1)) - odds(share)
+    for i in range(0, len(often), 256):  # bounds what is held beside ``x``
+        both, hits = x[:, i : i + 256].T @ x, positive[:, i : i + 256].T @ positive
+        p = 1 / (1 + np.exp(-np.clip(own[i : i + 256, None] + own[None] + odds(share), -35, 35)))
+        z = np.abs(hits - both * p) / np.sqrt(both * p * (1 - p) + 1)
+        z[np.arange(len(z)), i + np.arange(len(z))] = 0
+        out[often[i : i + 256]] = z.max(axis=1, initial=0)
+    return out
+
+
+def fit(labels: np.ndarray, row: np.ndarray, term: np.ndarray, features: int = 4096, rank: int = 8, epochs: int = 40, rate: float = 0.2, decay: float = 1e-5, least_z: float = 5.0, seed: int = 7, paired: int = 2048, least_pair_z: float = 6.0) -> Machine:
     """Fits by AdaGrad on logistic loss. ``row, term``: distinct pairs, rows ascending."""
     n, positive = len(labels), int(labels.sum())
     if positive in (0, n):
@@ -105,7 +132,10 @@ def fit(labels: np.ndarray, row: np.ndarray, term: np.ndarray, features: int = 4
     p1, p0 = hit / positive, (df - hit) / (n - positive)
     p = df / n
     z = np.abs(p1 - p0) / np.sqrt(p * (1 - p) * (1 / positive + 1 / (n - positive)) + 1e-12)
+    of_pairs = pair_z(labels, row, at, df, hit, paired)
+    of_pairs[of_pairs < least_pair_z] = 0
     z[(df < 3) | (z < least_z)] = 0  # a difference that a million chance terms would hardly show
+    z = np.maximum(z, of_pairs)
     top = np.sort(np.argsort(-z, kind="stable")[:features])
     top = top[z[top] > 0]
     place = np.full(len(known), -1)

@@ -341,6 +341,20 @@ def test_machine_learns_a_pair():
     assert (((1 / (1 + np.exp(-m.margin(*toxicity_pairs(row[order], term[order], m), n)))) >= 0.5) == y).mean() > 0.95
 
 
+def test_machine_learns_a_pair_among_others():
+    """The same with the production parameters, among terms that say nothing."""
+    rng = np.random.default_rng(1)
+    n = 4000
+    has = rng.random((n, 30)) < 0.1
+    has[:, 5], has[:, 9] = rng.random(n) < 0.5, rng.random(n) < 0.5
+    y = (has[:, 5] == has[:, 9]).astype(float)
+    row, term = (x.astype(np.int64) for x in np.nonzero(has))
+    m = toxicity.fit(y, row, term)
+    assert {5, 9} <= set(m.terms)
+    known = np.isin(term, m.terms)
+    assert ((m.margin(*toxicity_pairs(row[known], term[known], m), n) >= 0) == y).mean() > 0.95
+
+
 def toxicity_pairs(row, term, m):
     return row, np.searchsorted(m.terms, term)
 
