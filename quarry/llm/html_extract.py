@@ -4,10 +4,11 @@ The standard library's ``HTMLParser`` streams events; block tags cut the page in
 lines. A line's ratio is its characters over the tags met in it (one at least); lines
 in menus, forms, notices and the like have ratio 0. Ratios are smoothed with a
 Gaussian over neighbouring lines, and lines above the ratios' standard deviation form
-the content cluster. The content region is the ``article`` (or ``main``) that holds
-most of the cluster's characters or, without one, the deepest element that holds
-``HOLDS`` of them; a region's lines are all kept, apart from those marked above, so
-short paragraphs are not lost.
+the content cluster. The content regions are all ``article`` (or ``main``) elements, if
+they hold half of the cluster's characters, or else the lowest element that holds all
+of the cluster, or its container if that is a block without others or a part such as a
+list, table, quote or section; a region's lines are all kept, apart from those marked
+above, so short paragraphs are not lost.
 
 Defined results: a null or empty page, or one without text, gives an empty text;
 unclosed, stray and misnested tags are accepted; character references are decoded;
@@ -36,7 +37,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Words in class, id or role that mark such a part.
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs masthead header footer sidebar side aside complementary contentinfo widget comment comments commentlist disqus reply replies respond discussion cookie cookies consent gdpr notice notices alert popup modal overlay share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager copyright hidden form dialog".split())
 REGIONS = frozenset(["article", "main"])
-HOLDS = 0.8
+#: Parts of a text: what stands beside them belongs to it too.
+PARTS = frozenset("p li ul ol dl dt dd table tbody thead tfoot tr td th span h1 h2 h3 h4 h5 h6 hgroup pre blockquote figure figcaption section details summary".split())
 SIGMA = 1.0
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _RADIUS = 3
@@ -163,19 +165,16 @@ def main_text(html: str | None) -> str:
         by_region[r] = by_region.get(r, 0.0) + size[i]
     regions = {r for r in by_region if r}
     if regions and sum(by_region[r] for r in regions) >= 0.5 * total:
-        largest = max(by_region[r] for r in regions)
-        chosen = {r for r in regions if by_region[r] >= 0.25 * largest}
-        return "\n\n".join(t for t, o, k in zip(page.texts, owner, kept, strict=True) if k and page.region[o] in chosen)
-    held = np.zeros(len(page.tag))
-    np.add.at(held, [owner[i] for i in np.flatnonzero(content)], size[content])
+        return "\n\n".join(t for t, o, k in zip(page.texts, owner, kept, strict=True) if k and page.region[o])
+    held = np.zeros(len(page.tag), np.int64)
+    np.add.at(held, [owner[i] for i in np.flatnonzero(content)], 1)
     for e in range(len(page.tag) - 1, 0, -1):  # children come after their parents
         held[page.parent[e]] += held[e]
-    root = 0
-    inner = np.flatnonzero(held >= HOLDS * total)
-    if len(inner):
-        root = int(inner[-1])
-        if page.tag[root] in ("p", "li", "td", "th", "span", "h1", "h2", "h3", "h4", "h5", "h6"):
-            root = page.parent[root]
+    root = int(np.flatnonzero(held == held[0])[-1])
+    if root and root not in page.parent[1:]:
+        root = page.parent[root]
+    while page.tag[root] in PARTS:
+        root = page.parent[root]
     inside = np.zeros(len(page.tag), bool)
     inside[root] = True
     for e in range(1, len(page.tag)):

@@ -446,6 +446,20 @@ def test_html_without_article():
     assert html_extract.main_text(page).split("\n\n") == [" ".join(PARAGRAPH.split()), "Mid.", " ".join(PARAGRAPH.split())]
 
 
+@pytest.mark.parametrize("block", ["pre", "blockquote", "div", "section"])
+def test_html_keeps_what_stands_beside_a_long_block(block):
+    page = f'<body><div class="menu"><a>one</a></div><div class="post"><h1>T</h1><p>Intro</p><{block}>{PARAGRAPH * 5}</{block}><p>End</p></div><div class="sidebar">s</div></body>'
+    assert html_extract.main_text(page).split("\n\n") == ["T", "Intro", " ".join((PARAGRAPH * 5).split()), "End"]
+
+
+def test_html_keeps_all_containers_and_articles():
+    long, short = " ".join((PARAGRAPH * 8).split()), " ".join(PARAGRAPH.split())
+    page = f'<body><div class="wrap"><div><p>{long}</p><p>{long}</p></div><div><p>{short}</p></div></div></body>'
+    assert html_extract.main_text(page).split("\n\n") == [long, long, short]
+    page = f'<body><p>out</p><article><p>{long}</p></article><article><p>Brief.</p></article><article class="ad"><p>{short}</p></article></body>'
+    assert html_extract.main_text(page).split("\n\n") == [long, "Brief."]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text("<>/apdiv &;=\"'!-x\n", max_size=80))
 def test_html_never_fails(page):
