@@ -379,6 +379,17 @@ def test_chat_oracle(spark, sf_dir):
     compare(spark, "op7_chat_pairs", queries.op7_chat_pairs, chat.ORACLE, sf_dir)
 
 
+def test_chat_whole(spark, sf_dir):
+    """Every conversation with all its turns."""
+    from oracle import compare
+
+    compare(spark, "op7_chat_pairs_whole", queries.op7_chat_pairs_whole, chat.ORACLE_WHOLE, sf_dir)
+    df = spark.createDataFrame([(4, 0, "user", "no answer"), (6, 0, "user", "u"), (6, 1, "assistant", "x"), (6, 2, "user", "thanks")], "conv_id long, turn long, role string, text string")
+    got = {r.pair_id: r for r in chat.format_pairs(chat.branched_pairs(df, whole=True)).collect()}
+    assert set(got) == {4, 6} and got[4].prompt + got[4].chosen == "<|user|>\nno answer<|end|>\n" and got[4].chosen_spans == ""
+    assert (got[6].prompt + got[6].chosen).endswith("<|user|>\nthanks<|end|>\n")
+
+
 def test_chat_pairs_by_hand(spark):
     t = lambda *x: [{"role": r, "text": v} for r, v in x]
     rows = [
