@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,15 +15,40 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows of whole texts in one Arrow batch; Spark's own default of 10,000 is for narrow rows.
-BATCH_ROWS = 1000
+#: Bounds of one Arrow batch: bytes for whole texts, rows for narrow ones. Spark's own are 64 MB and 10,000 rows.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "32768")}
 
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds what a Python worker and its JVM hold of one batch, where the session has not chosen a bound."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, BATCH_ROWS)
+    for key, (default, own) in BATCH.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, own)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def release() -> None:
+    """Gives freed memory of this Python worker back to the system, so that a worker that waits holds little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` for mapInArrow, with its memory released when a task ends; workers are used again by other stages."""
+
+    @functools.wraps(run)
+    def task(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,18 +61,27 @@ def whole_text(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+#: Paths handed out by ``scratch`` in this process and not yet dropped.
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
     """A fresh path below the folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Only where it is unset, as in tests, a
-    local folder is made and remembered in the session.
+    The setting is read from the session. Where it is unset, a local master, as in tests,
+    gets a local folder that the session remembers; any other has no folder that all its
+    executors see, which is an error.
     """
     small_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quarry.scratch.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir has to name a folder that all executors of {master} share")
         root = tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("quarry.scratch.dir", root)
-    return f"{root.rstrip('/')}/quarry-{uuid.uuid4().hex}"
+    _made.append(f"{root.rstrip('/')}/quarry-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def stored(df: DataFrame, *partition_hint: str) -> DataFrame:
@@ -59,19 +95,22 @@ def stored(df: DataFrame, *partition_hint: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch table through Hadoop's file system, wherever it is."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def drop_scratch(spark: SparkSession, keep: DataFrame) -> None:
+    """Deletes the scratch tables made so far but those that ``keep`` reads; for callers that need no other result."""
+    read = {x.rsplit("/part-", 1)[0].split(":", 1)[-1].lstrip("/") for x in keep.inputFiles()}
+    for path in list(_made):
+        if path.split(":", 1)[-1].lstrip("/") not in read:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _made.remove(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches so that ``column`` holds about ``max_bytes`` in each (one row at least), without copying."""
+def slices(batches: Iterator[pa.RecordBatch], column: str | int, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches so that ``column`` (name or place) holds about ``max_bytes`` in each (one row at least), without copying."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        values = batch.column(batch.schema.get_field_index(column))
+        values = batch.column(batch.schema.get_field_index(column) if isinstance(column, str) else column)
         lengths = pa.compute.fill_null(pa.compute.binary_length(values), 0).to_numpy(zero_copy_only=False)
         start = held = 0
         for i, n in enumerate(lengths):

@@ -41,8 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bit_map, in_bit_map, slices, stored, whole_text
-from quarry.llm.components import components
+from quarry.llm.common import bit_map, in_bit_map, lean, slices, stored, whole_text
+from quarry.llm.components import components, contracted
 from quarry.llm.fingerprints import mix
 
 WORDS = 5
@@ -76,11 +76,14 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        _powers[size] = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, r)])) for r in (_R, _R_INVERSE))
-    return _powers[size]
+    """Powers up to ``n``; kept for the usual sizes only, so that a long text's are freed with it."""
+    size = max(SLICE, n)
+    if size == SLICE and _powers:
+        return _powers[0]
+    tables = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, r)])) for r in (_R, _R_INVERSE))
+    if size == SLICE:
+        _powers[0] = tables
+    return tables
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,6 +168,7 @@ def _distinct_sets(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
 def heads(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id, n, s1, s2``: set size and signature of every row."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", SLICE):
             sets = shingle_sets(b.column(1))
@@ -177,6 +181,7 @@ def heads(docs: DataFrame, text: str = "text") -> DataFrame:
 def frequent(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Sorted shingles in more than ``OFTEN`` prefixes or, if those are over ``LISTED``, in more than the least doubling of it that leaves so few."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", SLICE):
             parts = [s[: prefix(len(s))] for _, _, s in _distinct_sets(b)]
@@ -201,6 +206,7 @@ def candidate_edges(docs: DataFrame, listed: np.ndarray, text: str = "text") ->
     """
     shared = docs.sparkSession.sparkContext.broadcast(listed)
 
+    @lean
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed = shared.value
         for b in slices(batches, "text", SLICE):
@@ -296,7 +302,7 @@ def candidate_edges(docs: DataFrame, listed: np.ndarray, text: str = "text") ->
 
     rows = _keyed(docs, text).mapInArrow(emit, "a long, c long, kind byte")
     # Ready edges have an arbitrary `a` and go where it sends them; they need no partner.
-    return rows.repartition(F.expr("shiftright(a, 16)")).sortWithinPartitions("a").mapInArrow(meet, "u long, v long")
+    return rows.repartition(F.expr("shiftright(a, 16)")).sortWithinPartitions("a").mapInArrow(contracted(meet), "u long, v long")
 
 
 class SkipJoin:
@@ -454,6 +460,7 @@ def group_links(docs: DataFrame, groups: DataFrame, sizes: DataFrame, text: str
     """
     shared = docs.sparkSession.sparkContext.broadcast(bit_map(groups, "node"))
 
+    @lean
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", SLICE):
             found = list(_distinct_sets(b))
@@ -496,7 +503,7 @@ def group_links(docs: DataFrame, groups: DataFrame, sizes: DataFrame, text: str
         if found := links():
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["u", "v"])
 
-    return rows.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b", "s1").mapInArrow(join, "u long, v long")
+    return rows.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b", "s1").mapInArrow(contracted(join), "u long, v long")
 
 
 def near_components(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -522,3 +529,18 @@ def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with, of each component, only the rows of its smallest id; the same columns."""
     gone = near_components(docs, text).where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+
+
+#: The query's rows by all pairs of documents that share a shingle; for small tables.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE 100 * c >= 75 * (i.n + j.n - c)),
+ends AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(d, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT d, y FROM reach JOIN ends ON r = x)
+SELECT CAST(d AS BIGINT) AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, CAST(min(r) AS BIGINT) AS component_id FROM reach LEFT JOIN n ON n.doc_id = d GROUP BY d
+"""
