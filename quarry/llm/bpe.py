@@ -6,8 +6,9 @@ so the root is the leftmost pair of minimum rank. A merge updates at most three
 leaves (the merged pair, its live left neighbour and the swallowed right one), each
 in logarithmic time, so a match of n bytes takes O(n log n) however long it is.
 
-Results of matches are kept in a table of bounded size per Python worker: it changes
-speed, never results.
+Matches are found by the kinds of code points for all texts of a batch together, and
+each distinct match is merged once. The ids of known matches are kept in a table of
+bounded size per Python worker: it changes speed, never results.
 
 Defined results: a null text is an empty one, which has no tokens; special tokens
 are ordinary text; repeated rows give repeated results; other columns are not read.
@@ -18,8 +19,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +27,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, whole_text
+from quarry.llm.common import lean, slices, whole_text
 
 NONE = 1 << 62
-Entry = tuple[int, str, bytes, bytes]
 
 
 def ranks_from_lines(lines: list[str]) -> dict[bytes, int]:
@@ -172,91 +170,189 @@ def merge_many(pieces: list[bytes], ranks: dict[bytes, int], pairs: Pairs) -> li
     return out
 
 
+#: Fixed value: the split pattern of the public byte-level vocabularies.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+SPACE, LETTER, NUMBER, OTHER = range(4)
+
+
+@functools.cache
+def kinds() -> np.ndarray:
+    """Kind of every code point, by the same expressions as the pattern's."""
+    points = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    out = np.full(0x110000, OTHER, np.uint8)
+    for kind, expression in ((SPACE, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+        for m in regex.finditer(expression, points):
+            a, b = ord(points[m.start()]), ord(points[m.end() - 1])
+            out[a : b + 1] = kind
+    out[0xD800:0xE000] = OTHER
+    return out
+
+
+def match_starts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the matches of ``SPLIT`` start in the code points of some texts; ``first`` marks each text's first one.
+
+    A match is a run of one kind, and a run that follows a single blank takes that blank.
+    White space before another kind gives up its last character, which is that blank or
+    a match of its own. An apostrophe that is a run and a match of its own takes the
+    letters of a contraction, and what follows these starts a match.
+    """
+    n = len(codes)
+    kind = kinds()[codes]
+    start = first.copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    inside = ~first[1:]
+    last = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] != SPACE) & inside)
+    start[last] = True
+    blank = last[codes[last] == 32]
+    start[blank + 1] = False
+    quote = np.flatnonzero((codes[:-1] == 39) & start[:-1] & (kind[1:] == LETTER) & inside)
+    if len(quote):
+        padded = np.concatenate([codes, np.zeros(2, codes.dtype)])
+        one = padded[quote + 1]
+        two = np.where(np.concatenate([first, [True, True]])[quote + 2], 0, padded[quote + 2])
+        short = np.isin(one, [ord(x) for x in "stmd"])
+        long = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+        for chosen, width in ((short, 2), (long, 3)):
+            at = quote[chosen]
+            start[at + 1] = False
+            start[(at + width)[at + width < n]] = True
+    return np.flatnonzero(start)
+
+
+def _gathered(first: np.ndarray, count: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The runs ``values[first : first + count]`` one after another."""
+    ends = np.cumsum(count)
+    return values[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - ends + count, count)]
+
+
 class Codec:
     """Encoder and decoder for one vocabulary and one split pattern.
 
-    An entry of the table of known strings is (number of ids, their decimal names joined
-    by one space, the bytes that the ids decode to, the ids as packed 32-bit integers). The table has two generations: when
-    the young one has more than ``KEEP`` entries it replaces the old one, and an entry
-    found in the old one moves to the young one, so frequent strings stay.
+    The ids of known strings are runs of one array; ``known`` has the place of each
+    string's run in ``first`` and ``count``. The vocabulary's own strings are always
+    known. Where more than ``KEEP`` others are, those of the last batch are kept.
     """
 
-    KEEP, LONGEST = 120_000, 64
+    KEEP, LONGEST = 200_000, 64
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.pairs = Pairs(ranks)
-        self.pattern = regex.compile(pattern)
-        self.bytes_of = {v: k for k, v in ranks.items()}
-        self.young: dict[str, Entry] = {}
-        self.old: dict[str, Entry] = {}
-        # A single space before a word character always starts a match: no alternative of
-        # the pattern crosses it. So texts are cut there first, which is a cheap scan.
-        self.cut = re.compile(r" (?=\w)").split if " ?\\p{L}+" in pattern else self.pattern.findall
-        self.lead = " " if " ?\\p{L}+" in pattern else ""
-
-    def _entry(self, ids: list[int]) -> Entry:
-        return len(ids), " ".join(map(str, ids)), self.decode(ids), array("i", ids).tobytes()
-
-    def _learn(self, unknown: set[str]) -> dict[str, Entry]:
-        """Entries of strings of one or more matches each; all their matches are merged together."""
-        matches = {c: self.pattern.findall(c) for c in unknown}
-        fresh: dict[str, Entry] = {}
-        short = []
-        for m in {m for found in matches.values() for m in found}:
-            if e := self.young.get(m) or self.old.get(m):
-                fresh[m] = e
-            else:
-                short.append(m)
-        raw = [m.encode("utf-8") for m in short]
+        self.pattern = pattern
+        self.finder = regex.compile(pattern)
+        size = max(ranks.values(), default=-1) + 1
+        words = [b""] * size
+        for token, i in ranks.items():
+            words[i] = token
+        self.words = pa.array(words, pa.large_binary())
+        self.names = pa.array([b"%d " % i for i in range(size)], pa.large_binary())
+        self.own: dict[str, int] = {}
+        for token, i in ranks.items():
+            try:
+                self.own[token.decode("utf-8")] = i
+            except UnicodeDecodeError:  # part of a character: never a whole match
+                pass
+        self._forget()
+
+    def _forget(self, kept: dict[str, np.ndarray] | None = None) -> None:
+        kept = kept or {}
+        n = len(self.words)
+        self.known = dict(self.own)
+        self.known.update(zip(kept, range(n, n + len(kept)), strict=True))
+        lengths = np.fromiter(map(len, kept.values()), np.int64, len(kept))
+        self.flat = np.concatenate([np.arange(n, dtype=np.int32), *kept.values()])
+        self.count = np.concatenate([np.ones(n, np.int64), lengths])
+        self.first = np.cumsum(self.count) - self.count
+
+    def _add(self, strings: list[str], ids: list[list[int]]) -> None:
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.known.update(zip(strings, range(len(self.first), len(self.first) + len(strings)), strict=True))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.count = np.concatenate([self.count, lengths])
+        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))])
+
+    def _learn(self, strings: list[str]) -> None:
+        raw = [m.encode("utf-8") for m in strings]
         small = [i for i, x in enumerate(raw) if len(x) <= 64]
-        for i, ids in zip(small, merge_many([raw[i] for i in small], self.ranks, self.pairs), strict=True):
-            fresh[short[i]] = self._entry(ids)
-        for m, x in zip(short, raw, strict=True):
+        ids: list[list[int]] = [[]] * len(raw)
+        for i, found in zip(small, merge_many([raw[i] for i in small], self.ranks, self.pairs), strict=True):
+            ids[i] = found
+        for i, x in enumerate(raw):
             if len(x) > 64:
-                fresh[m] = self._entry(merge_piece(x, self.ranks))
-        for c, found in matches.items():
-            if c not in fresh:
-                parts = [fresh[m] for m in found]
-                fresh[c] = (sum(x[0] for x in parts), " ".join(x[1] for x in parts), b"".join(x[2] for x in parts), b"".join(x[3] for x in parts))
-        return fresh
-
-    def entries(self, texts: list[str]) -> list[list[Entry]]:
-        """Per text, the entries of its pieces in order."""
-        lead = self.lead
-        cut = []
-        for t in texts:
-            parts = self.cut(t) if t else []
-            if lead and parts:
-                parts[1:] = [lead + x for x in parts[1:]]
-                if not parts[0]:
-                    del parts[0]
-            cut.append(parts)
-        young, old = self.young, self.old
-        wanted = set().union(*cut) if cut else set()
-        missing = {c for c in wanted if c not in young}
-        if old:
-            moved = {c: old[c] for c in missing if c in old}
-            young.update(moved)
-            missing.difference_update(moved)
-        fresh = self._learn(missing)
-        long = {c: e for c, e in fresh.items() if len(c) > self.LONGEST}
-        young.update((c, e) for c, e in fresh.items() if len(c) <= self.LONGEST)
-        get = young.__getitem__
-        out = [list(map(get, parts)) for parts in cut] if not long else [[young.get(c) or long[c] for c in parts] for parts in cut]
-        if len(young) > self.KEEP:
-            self.old, self.young = young, {}
-        return out
+                ids[i] = merge_piece(x, self.ranks)
+        self._add(strings, ids)
+
+    def matches(self, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The matches of texts in UTF-8 bytes, and the number of each text's first match (and one past the last)."""
+        if self.pattern != SPLIT:
+            found = [self.finder.findall(data[a:b].tobytes().decode("utf-8")) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            return pa.array([m for f in found for m in f], pa.large_string()), np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int64)
+        codes = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        if not len(codes):
+            return pa.array([], pa.large_string()), np.zeros(len(offsets), np.int64)
+        at = np.flatnonzero((data & 0xC0) != 0x80)  # where each code point starts
+        first = np.zeros(len(codes), bool)
+        begins = np.searchsorted(at, offsets)
+        first[begins[begins < len(codes)]] = True
+        start = match_starts(codes, first)
+        cut = np.append(at[start], len(data))
+        return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(data)), np.searchsorted(start, begins)
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts in UTF-8 bytes, one after another, and where each text's begin (and the last's end)."""
+        matches, of = self.matches(np.ascontiguousarray(data), offsets)
+        coded = matches.dictionary_encode()
+        strings = coded.dictionary.to_pylist()
+        get = self.known.get
+        place = [get(x, -1) for x in strings]
+        unknown = [x for x, p in zip(strings, place, strict=True) if p < 0]
+        if unknown:
+            self._learn(unknown)
+            get = self.known.get
+            place = [get(x, -1) for x in strings]
+        slot = np.array(place, np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if strings else np.empty(0, np.int64)
+        count = self.count[slot]
+        out = _gathered(self.first[slot], count, self.flat)
+        ends = np.concatenate([[0], np.cumsum(count)])
+        if unknown and len(self.known) > self.KEEP + len(self.own):
+            self._forget({x: self.flat[self.first[p] : self.first[p] + self.count[p]] for x, p in zip(strings, place, strict=True) if x not in self.own and len(x) <= self.LONGEST})
+        else:
+            for x in unknown:
+                if len(x) > self.LONGEST:  # bounds what is kept; its run stays unused until the next clearing
+                    del self.known[x]
+        return out, ends[of]
 
     def encode(self, text: str) -> list[int]:
-        return array("i", b"".join([e[3] for e in self.entries([text])[0]])).tolist()
+        data = np.frombuffer(text.encode("utf-8"), np.uint8)
+        return self.ids(data, np.array([0, len(data)]))[0].tolist()
+
+    def decode(self, ids: list[int] | np.ndarray) -> bytes:
+        return _bytes(self.words.take(pa.array(ids, pa.int32())))[0].tobytes()
+
+
+def _bytes(taken: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Content and offsets of an array of large binaries."""
+    offsets = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+    raw = taken.buffers()[2] if len(taken) else None
+    return (np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8))[offsets[0] : offsets[-1]], offsets - offsets[0]
+
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+def _parts(data: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[int, int, int]]:
+    """Pieces of whole texts (first text, and its start and end in ``data``), a longer one cut before a blank and an ASCII letter, where a match of any text starts."""
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        while b - a > most:
+            far = data[a + most : b]
+            letter = (far[1:] | 32) - 97 < 26  # unsigned
+            ok = np.flatnonzero((far[:-1] == 32) & letter)
+            if not len(ok):
+                break
+            yield i, a, a + most + int(ok[0])
+            a += most + int(ok[0])
+        yield i, a, b
 
 
-@functools.lru_cache(maxsize=4)
 def _codec(data: bytes, pattern: str) -> Codec:
+    """Made by each task, so that a worker that goes on to other stages doesn't hold it."""
     return Codec(ranks_from_lines(data.decode("ascii").splitlines()), pattern)
 
 
@@ -279,38 +375,60 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``doc_id, content binary`` from ``doc_id, ids``."""
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary(ranks_path))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([codec.decode(x or []) for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "content"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([codec.decode(np.array(x or [], np.int32)) for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "content"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, content binary")
 
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+#: Bytes of text encoded at once in a Python worker.
+SLICE = 1 << 20
+
+
+def _utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of an array of strings without nulls, and the offsets of each in them."""
+    large = texts.cast(pa.large_string())
+    return _bytes(large.view(pa.large_binary()))
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", with_ids: bool = False) -> DataFrame:
     """Encodes whole texts, decodes the ids and digests both, in one pass; with ``with_ids``, also the ids."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(ranks_path))
+    schema = DIGEST + ", ids array<int>" * with_ids
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern)
-        for b in slices(batches, "text", 1 << 20):
-            counts, id_hashes, hashes, packed = [], [], [], []
-            for parts in codec.entries(b.column(1).to_pylist()):
-                counts.append(sum([e[0] for e in parts]))
-                id_hashes.append(hashlib.sha256(" ".join([e[1] for e in parts]).encode("ascii")).hexdigest())
-                hashes.append(hashlib.sha256(b"".join([e[2] for e in parts])).hexdigest())
-                if with_ids:
-                    packed.append(b"".join([e[3] for e in parts]))
-            cols = [b.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(hashes, pa.string())]
+        for b in slices(batches, "text", SLICE):
+            data, offsets = _utf8(b.column(1))
+            n = b.num_rows
+            counts, names, decoded = np.zeros(n, np.int64), [hashlib.sha256() for _ in range(n)], [hashlib.sha256() for _ in range(n)]
+            packed = []
+            parts = list(_parts(data, offsets, 4 * SLICE)) if len(data) > 4 * SLICE and pattern == SPLIT else None
+            groups = [([i], np.array([x, y])) for i, x, y in parts] if parts else [(range(n), offsets)]
+            for rows, at in groups:
+                ids, ends = codec.ids(data[at[0] : at[-1]], at - at[0])
+                taken = pa.array(ids, pa.int32())
+                for table, digests, cut in ((codec.names, names, 1), (codec.words, decoded, 0)):
+                    content, places = _bytes(table.take(taken))
+                    for k, i in enumerate(rows):
+                        x, y = int(places[ends[k]]), int(places[ends[k + 1]])
+                        if y > x:
+                            if cut and counts[i]:
+                                digests[i].update(b" ")
+                            digests[i].update(content[x : y - cut])
+                for k, i in enumerate(rows):
+                    counts[i] += ends[k + 1] - ends[k]
+                packed.append(ids)
+            cols = [b.column(0), pa.array(counts), pa.array([x.hexdigest() for x in names]), pa.array([x.hexdigest() for x in decoded])]
             if with_ids:
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32))))
+                cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(np.concatenate(packed), pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in schema.split(", ")])
 
-    schema = DIGEST + ", ids array<int>" * with_ids
     return _columns(docs, text).mapInArrow(run, schema)
 
 
