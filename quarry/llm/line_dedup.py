@@ -39,14 +39,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bit_map, in_bit_map, slices, stored, whole_text
+from quarry.llm.common import bit_map, in_bit_map, lean, slices, stored, whole_text
 from quarry.llm.fingerprints import mix
 
 BLOCK = 512
@@ -54,7 +54,13 @@ BLOCK = 512
 HOT_LINES, SALTS = 32, 256
 #: Bytes of text cut at once in a Python worker.
 SLICE = 2 << 20
-INDEX, PROBE, MARK, WORDS = 1, 2, 4, 8
+INDEX, PROBE, MARK, WORDS, HOT = 1, 2, 4, 8, 16
+#: What of a line's hash names it in entries; lines with equal bits there are told apart when they are compared.
+LINE = (1 << 48) - 32
+#: Entries of a line, about, and entries of a bucket that meet at once in a Python worker.
+ENTRIES, BUCKET = 32, 1 << 18
+#: Lines that are compared as one group; a line is found near once in it.
+ROUTE = 4096
 #: Largest number of word edits that is found by segments.
 SEGMENTED = 3
 #: Parameters of the query and the pipeline.
@@ -64,9 +70,16 @@ _R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
 NO_ID = -(1 << 63)
 
 
-def line_hash(line: str) -> tuple[int, int]:
-    d = hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+def line_hashes(lines: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The first two 60 bits of the SHA-256 digest of each line."""
+    high, low = np.frombuffer(b"".join([hashlib.sha256(x.encode("utf-8")).digest()[:16] for x in lines]), ">u8").reshape(-1, 2).T.astype(np.uint64)
+    return (high >> np.uint64(4)).view(np.int64), ((high & np.uint64(15)) << np.uint64(56) | low >> np.uint64(8)).view(np.int64)
+
+
+def _hash_columns(line: Column) -> tuple[Column, Column]:
+    """``line_hashes`` as DataFrame functions."""
+    digest = F.sha2(line.cast("binary"), 256)
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.conv(F.substring(digest, 16, 15), 16, 10).cast("long")
 
 
 def within(a: Sequence[str], b: Sequence[str], k: int) -> bool:
@@ -87,8 +100,12 @@ def within(a: Sequence[str], b: Sequence[str], k: int) -> bool:
         j += 1
     a, b = a[i : m - j], b[i : len(b) - j]
     m, n = len(a), len(b)
+    if n <= k:
+        return True
     if not m:
-        return n <= k
+        return False
+    if m == n and sum(map(ne, a, b)) <= k:  # replacements alone
+        return True
     # Bit r of the window for column j is row j - k + r; rows outside 1..m are padding.
     width = 2 * k + 1
     full = (1 << width) - 1
@@ -112,6 +129,8 @@ def within(a: Sequence[str], b: Sequence[str], k: int) -> bool:
         shifted_p, shifted_n = ((hp << 1) | 1) & full, (hn << 1) & full  # above the window each column is taken to be one more
         plus = (shifted_n | ~(zero | shifted_p)) & full
         minus = zero & shifted_p
+        if not j & 7 and score - plus.bit_count() > k:  # no value of the column is within k
+            return False
     # Walk up from the lowest row of the band to row m.
     row = n + k
     for r in range(width - 1, -1, -1):
@@ -131,24 +150,52 @@ def cuts(length: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(size, axis=1) - size, size
 
 
-@lru_cache(1 << 16)
-def _word_hash(word: str) -> int:
-    return line_hash(word)[0]
+_KNOWN = mix(np.arange(1 << 16, dtype=np.uint64))
+#: White space as str.split() has it; it ends before the table does.
+_BLANK = np.array([chr(c).isspace() for c in range(0x3002)])
+
+
+class Lines:
+    """Some lines as one array of code points: running sums for hashes of substrings, and the words.
+
+    The hash of code points s to e is ``(total[e] - total[s]) * inverse[s]``.
+    """
+
+    def __init__(self, lines: list[str]):
+        self.length = np.fromiter(map(len, lines), np.int64, len(lines))
+        self.base = np.cumsum(self.length) - self.length
+        self.codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+        symbols = _KNOWN[self.codes & 0xFFFF]
+        high = np.flatnonzero(self.codes > 0xFFFF)
+        symbols[high] = mix(self.codes[high].astype(np.uint64))
+        self.total, self.inverse = _sums(symbols)
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words, and the number of words of each line."""
+        blank = _BLANK[np.minimum(self.codes, len(_BLANK) - 1)]
+        edge = np.ones(len(blank) + 1, bool)
+        edge[1:] = blank
+        edge[self.base] = True
+        start = np.flatnonzero(edge[:-1] & ~blank)
+        edge[:-1] = blank
+        edge[-1] = True
+        edge[self.base] = True
+        end = np.flatnonzero(edge[1:] & ~blank) + 1
+        hashes = mix((self.total[end] - self.total[start]) * self.inverse[start] ^ (end - start).astype(np.uint64))
+        return hashes, np.bincount(np.searchsorted(self.base, start, "right") - 1, minlength=len(self.base))
 
 
 def _sums(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Running sums and inverse powers: the hash of symbols s to e is ``(total[e] - total[s]) * inverse[s]``."""
+    """Running sums of symbols times powers, and inverse powers."""
     n = len(symbols)
     power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _R)]))
     inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _R_INVERSE)]))
     return np.concatenate([[np.uint64(0)], np.cumsum(symbols * power[:n])]), inverse
 
 
-def entries(lines: list[str], hashes: np.ndarray, threshold: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, line hashes and roles of all index and probe entries of some lines."""
-    length = np.fromiter(map(len, lines), np.int64, len(lines))
-    base = np.cumsum(length) - length
-    total, inverse = _sums(mix(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)))
+def entries(lines: Lines, of: np.ndarray, hashes: np.ndarray, threshold: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, line hashes and roles of all index and probe entries of the lines ``of`` by code points."""
+    length, base, hashes, total, inverse = lines.length[of], lines.base[of], hashes[of], lines.total, lines.inverse
     parts = threshold + 1
     keys, owners, roles = [], [], []
     for less in range(threshold + 1):
@@ -166,12 +213,10 @@ def entries(lines: list[str], hashes: np.ndarray, threshold: int, min_chars: int
     return np.concatenate(keys), np.concatenate(owners), np.concatenate(roles)
 
 
-def word_entries(split: list[list[str]], hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, line hashes and roles of the entries for edits of words, one for every ``words`` of a line."""
-    length = np.fromiter(map(len, split), np.int64, len(split))
+def word_entries(found: np.ndarray, length: np.ndarray, hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, line hashes and roles of the entries for edits of words, one for every ``words`` of a line. ``found``: hashes of all words; ``length``: words of each line."""
     base = np.cumsum(length) - length
-    flat = [w for s in split for w in s]
-    total, inverse = _sums(mix(np.fromiter(map(_word_hash, flat), np.int64, len(flat)).view(np.uint64)))
+    total, inverse = _sums(found)
     keys, owners, roles = [], [], []
 
     def add(h: np.ndarray, tag: np.ndarray, owner: np.ndarray, role: int) -> None:
@@ -197,10 +242,10 @@ def word_entries(split: list[list[str]], hashes: np.ndarray, words: int) -> tupl
     window = run - gram + 1
     long = length >= words * k
     if long.any():
-        at = np.arange(len(flat) - run + 1)
-        line = np.repeat(np.arange(len(split)), length)
+        at = np.arange(len(found) - run + 1)
+        line = np.repeat(np.arange(len(length)), length)
         at = at[long[line[at]] & (at + run <= (base + length)[line[at]])]
-        s = np.arange(len(flat) - gram + 1)
+        s = np.arange(len(found) - gram + 1)
         h = mix((total[s + gram] - total[s]) * inverse[s])
         s = np.unique(at + np.lib.stride_tricks.sliding_window_view(h, window)[at].argmin(axis=1))
         bucket = np.floor(np.log2(length[line[s]])).astype(np.int64)
@@ -214,17 +259,18 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), whole_text(text).alias("text"))
 
 
+#: All white space, as str.isspace() has it.
+BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
 def occurrences(docs: DataFrame, min_chars: int, text: str = "text", copies: int | None = None) -> DataFrame:
     """``h1, h2, id, place`` of every line that takes part."""
     least = min_chars if copies is None else max(1, min(copies, min_chars))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", SLICE):
-            rows = [(*line_hash(x), i, p) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for p, x in enumerate(t.split("\n")) if len(x) >= least and (len(x) >= min_chars or not x.isspace())]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["h1", "h2", "id", "place"])
-
-    return _keyed(docs, text).mapInArrow(run, "h1 long, h2 long, id long, place int")
+    x = F.col("line")
+    takes_part = (F.length(x) >= min_chars) | ((F.length(x) >= least) & (F.length(F.translate(x, BLANKS, "")) > 0))
+    lines = _keyed(docs, text).select("id", F.posexplode(F.split("text", "\n")).alias("place", "line")).where(takes_part)
+    h1, h2 = _hash_columns(x)
+    return lines.select(h1.alias("h1"), h2.alias("h2"), "id", "place")
 
 
 def _batch_lines(b: pa.RecordBatch, min_chars: int) -> list[str]:
@@ -232,142 +278,288 @@ def _batch_lines(b: pa.RecordBatch, min_chars: int) -> list[str]:
     return list(dict.fromkeys(x for t in b.column(1).to_pylist() for x in t.split("\n") if len(x) >= min_chars))
 
 
-def met_entries(docs: DataFrame, threshold: int, min_chars: int, text: str = "text", words: int = 0) -> DataFrame:
-    """``key, h1, role`` of the entries whose key has two lines or more, one of them in the index."""
+def _packed(key: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    """Twelve bytes a row: the upper 48 bits of the key, the lower 48 of the entry."""
+    out = np.empty((len(key), 12), np.uint8)
+    out[:, :6] = key.astype("<i8", copy=False).view(np.uint8).reshape(-1, 8)[:, 2:]
+    out[:, 6:] = entry.astype("<i8", copy=False).view(np.uint8).reshape(-1, 8)[:, :6]
+    return out
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, 12)
+    key, entry = np.zeros((2, len(raw), 8), np.uint8)
+    key[:, 2:], entry[:, :6] = raw[:, :6], raw[:, 6:]
+    return key.view("<i8").reshape(-1), entry.view("<i8").reshape(-1)
+
+
+class Meeting:
+    """The entries of one bucket as they come: rows of keys with partners go out, the others wait.
+
+    What waits is one row for each key and line without a partner, however many lines a hot key has.
+    """
+
+    def __init__(self) -> None:
+        self.key = self.entry = self.alive = np.empty(0, np.int64)
+
+    def add(self, key: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key, entry = np.concatenate([self.key, key]), np.concatenate([self.entry, entry])
+        order = np.argsort(key)
+        key, entry = key[order], entry[order]
+        same = key[1:] == key[:-1]
+        some = entry & (MARK | HOT) != 0
+        some[1:] |= same
+        some[:-1] |= same
+        if len(self.alive):
+            some |= self.alive[np.minimum(np.searchsorted(self.alive, key), len(self.alive) - 1)] == key
+        waits = key[~some], entry[~some]
+        key, entry = key[some], entry[some]
+        if not len(key):
+            self.key, self.entry = waits
+            return key, entry
+        order = np.lexsort((entry, key))
+        key, entry = key[order], entry[order]
+        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (entry[1:] != entry[:-1])])
+        key, entry = key[fresh], entry[fresh]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        own = entry & MARK == 0
+        line = entry & LINE
+        low = np.minimum.reduceat(np.where(own, line, np.iinfo(np.int64).max), first)
+        high = np.maximum.reduceat(np.where(own, line, np.iinfo(np.int64).min), first)
+        bits = np.bitwise_or.reduceat(entry & ~LINE, first)
+        good = ((low < high) & (bits & INDEX > 0)) | (bits & (MARK | HOT) > 0) | np.isin(key[first], self.alive)
+        self.alive = np.union1d(self.alive, key[first[good]])
+        good = np.repeat(good, np.diff(np.append(first, len(key))))
+        self.key, self.entry = np.concatenate([waits[0], key[~good]]), np.concatenate([waits[1], entry[~good]])
+        return key[good & own], entry[good & own]
+
+
+def met_entries(docs: DataFrame, threshold: int, min_chars: int, text: str = "text", words: int = 0, lines: int = 1 << 20) -> DataFrame:
+    """``key, h1, role`` of the entries whose key has two lines or more, one of them in the index; ``h1`` is 43 bits of a line's hash.
+
+    ``lines``: about how many distinct lines there are; they set the number of buckets.
+    """
+    buckets = 1 << max(6, (lines * ENTRIES // BUCKET).bit_length())
 
+    @lean
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", SLICE):
             lines = _batch_lines(b, min_chars)
             if not lines:
                 continue
-            hashes = np.array([line_hash(x)[0] for x in lines], np.int64)
+            hashes = line_hashes(lines)[0]
+            cut = Lines(lines)
             if words:
-                split = [x.split() for x in lines]
+                found, length = cut.words()
                 # An edit of a code point is two of words at most, and changes their number by one: longer lines need no entries of code points.
-                few = np.array([len(s) < words * 2 * threshold + threshold for s in split])
-                by_char = entries([x for x, f in zip(lines, few, strict=True) if f], hashes[few], threshold, min_chars)
-                key, h1, role = (np.concatenate(x) for x in zip(by_char, word_entries(split, hashes, words), strict=True))
+                few = np.flatnonzero(length < words * 2 * threshold + threshold)
+                key, h1, role = (np.concatenate(x) for x in zip(entries(cut, few, hashes, threshold, min_chars), word_entries(found, length, hashes, words), strict=True))
             else:
-                key, h1, role = entries(lines, hashes, threshold, min_chars)
+                key, h1, role = entries(cut, np.arange(len(lines)), hashes, threshold, min_chars)
             values, at, n = np.unique(key, return_inverse=True, return_counts=True)
-            hot = (n >= HOT_LINES)[at]
-            salt = np.where(hot, 1 + (h1 & (SALTS - 1)), 0).astype(np.int16)
+            hot = n >= HOT_LINES
+            entry = h1 & LINE | role | np.where(hot[at], HOT, 0)
+            where = mix(key.view(np.uint64) + np.where(hot[at], 1 + (h1 & (SALTS - 1)), 0).astype(np.uint64))
             if hot.any():
-                marked = values[n >= HOT_LINES]
-                key, h1 = np.concatenate([key, marked]), np.concatenate([h1, np.zeros(len(marked), np.int64)])
-                role, salt = np.concatenate([role, np.full(len(marked), MARK, np.int8)]), np.concatenate([salt, np.zeros(len(marked), np.int16)])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(salt), pa.array(h1), pa.array(role)], ["key", "salt", "h1", "role"])
-
+                key, entry = np.concatenate([key, values[hot]]), np.concatenate([entry, np.full(int(hot.sum()), MARK)])
+                where = np.concatenate([where, mix(values[hot].view(np.uint64))])
+            bucket = (where & np.uint64(buckets - 1)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket = bucket[order]
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            offsets = pa.py_buffer((np.append(first, len(bucket)) * 12).astype(np.int64))
+            packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, offsets, pa.py_buffer(_packed(key[order], entry[order]))])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), packed.cast(pa.binary())], ["bucket", "packed"])
+
+    @lean
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: list[np.ndarray] | None = None
-        alive = None  # a key already known to have partners
+        waiting: list[bytes] = []
+        at, held, meeting = None, 0, Meeting()
+
+        def give() -> Iterator[pa.RecordBatch]:
+            key, entry = meeting.add(*_unpacked(b"".join(waiting)))
+            waiting.clear()
+            if len(key):
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(entry & LINE), pa.array((entry & (INDEX | PROBE | WORDS)).astype(np.int8))], ["key", "h1", "role"])
+
         for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [c.to_numpy() for c in b.columns]
-            if carry is not None:
-                cols = [np.concatenate(x) for x in zip(carry, cols, strict=True)]
-            key, salt, h1, role = cols
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            own = role != MARK
-            low = np.minimum.reduceat(np.where(own, h1, np.iinfo(np.int64).max), first)
-            high = np.maximum.reduceat(np.where(own, h1, np.iinfo(np.int64).min), first)
-            bits = np.bitwise_or.reduceat(role, first)
-            good = ((low < high) & (bits & INDEX > 0)) | (bits & MARK > 0) | (np.maximum.reduceat(salt, first) > 0) | (key[first] == alive if alive is not None else False)
-            size = np.diff(np.append(first, len(key)))
-            take = np.repeat(good, size)
-            if good[-1]:
-                alive, carry = key[-1], None
-            else:
-                alive, carry = None, [c[first[-1] :] for c in cols]
-            take &= own
-            if take.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[take]) for c in (key, h1, role)], ["key", "h1", "role"])
+            for bucket, packed in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if bucket != at or held > 12 * max(4 * BUCKET, 2 * len(meeting.key)):
+                    yield from give()
+                    held = 0
+                    if bucket != at:
+                        at, meeting = bucket, Meeting()
+                waiting.append(packed)
+                held += len(packed)
+        yield from give()
 
-    rows = _keyed(docs, text).mapInArrow(emit, "key long, salt short, h1 long, role byte")
-    return rows.repartition("key", "salt").sortWithinPartitions("key").mapInArrow(meet, "key long, h1 long, role byte").distinct()
+    # Entries move as blocks of bytes, one for each batch and bucket: no row for each of them.
+    rows = _keyed(docs, text).mapInArrow(emit, "bucket long, packed binary")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key long, h1 long, role byte").distinct()
 
 
 def line_texts(docs: DataFrame, lines: DataFrame, min_chars: int, text: str = "text") -> DataFrame:
-    """``h1, h2, line`` of distinct lines; all whose ``h1`` is in ``lines``, and few others."""
+    """``h1, h2, line`` of distinct lines; all whose ``h1`` has its bits of ``LINE`` in ``lines``, and few others."""
     shared = docs.sparkSession.sparkContext.broadcast(bit_map(lines, "h1"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for b in slices(batches, "text", SLICE):
-            found = [(*line_hash(x), x) for x in _batch_lines(b, min_chars)]
-            if not found:
+            lines = _batch_lines(b, min_chars)
+            if not lines:
                 continue
-            hit = in_bit_map(bits, np.array([f[0] for f in found], np.int64))
-            found = [f for f, h in zip(found, hit.tolist(), strict=True) if h]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)], ["h1", "h2", "line"])
+            h1, h2 = line_hashes(lines)
+            hit = np.flatnonzero(in_bit_map(bits, h1 & LINE))
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array(h1[hit]), pa.array(h2[hit]), pa.array([lines[i] for i in hit.tolist()], pa.string())], ["h1", "h2", "line"])
 
     return _keyed(docs, text).mapInArrow(run, "h1 long, h2 long, line string").groupBy("h1", "h2").agg(F.first("line").alias("line"))
 
 
+class Route:
+    """Lines that are compared with each other, by the keys that some of them share."""
+
+    FEW = 6
+
+    def __init__(self, threshold: int, words: int):
+        self.threshold, self.words = threshold, words
+        self.lines: dict[int, list[tuple]] = {}  # by the bits that name it: id, place, h1, h2, line
+        self.near: set[tuple[int, int]] = set()
+        self.far: set[tuple] = set()
+        self.split: dict[tuple[int, int], list[str]] = {}
+        self.sets: dict[tuple, frozenset[str]] = {}
+        self.counts: dict[tuple, np.ndarray] = {}
+
+    def _symbols(self, line: tuple, by_word: bool) -> Sequence[str]:
+        """The line's words or code points."""
+        if not by_word:
+            return line[4]
+        name = line[2:4]
+        if name not in self.split:
+            self.split[name] = line[4].split()
+        return self.split[name]
+
+    def _counts(self, line: tuple, by_word: bool) -> np.ndarray:
+        """Numbers of the line's words or code points by classes."""
+        name = (*line[2:4], by_word)
+        if name not in self.counts:
+            x = self._symbols(line, by_word)
+            codes = np.fromiter(map(hash, x), np.int64, len(x)) & 63 if by_word else np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) & 63
+            self.counts[name] = np.minimum(np.bincount(codes, minlength=64), 30000).astype(np.int16)
+        return self.counts[name]
+
+    def _distinct(self, line: tuple, by_word: bool) -> frozenset[str]:
+        name = (*line[2:4], by_word)
+        if name not in self.sets:
+            self.sets[name] = frozenset(self._symbols(line, by_word))
+        return self.sets[name]
+
+    def _near(self, a: tuple, b: tuple, by_word: bool) -> bool:
+        """Whether two lines are near; pairs that are not are remembered."""
+        name = (*a[2:4], *b[2:4], by_word)
+        if a[4] == b[4] or name in self.far:
+            return False
+        x, y = self._symbols(a, by_word), self._symbols(b, by_word)
+        most = min(len(x), len(y)) // self.words if by_word else self.threshold
+        if abs(len(x) - len(y)) <= most:
+            one, other = self._distinct(a, by_word), self._distinct(b, by_word)
+            # An edit takes one distinct symbol away at most, and adds one.
+            if len(one - other) <= most and len(other - one) <= most and within(x, y, most):
+                return True
+        self.far.add(name)
+        return False
+
+    def compare(self, group: dict[int, tuple[int, int]], across: bool) -> None:
+        """Adds to ``near`` the lines of one key with an earlier one within the threshold. ``group``: role and block of each name; ``across``: only of different blocks."""
+        rows = sorted((*line, role, own) for name, (role, own) in group.items() for line in self.lines.get(name, ()))
+        open_ = [k for k in range(1, len(rows)) if rows[k][2:4] not in self.near]
+        if not open_:
+            return
+        by_word = bool(rows[0][5] & WORDS)
+        meets = lambda a, b: (a[5] & INDEX and b[5] & PROBE or a[5] & PROBE and b[5] & INDEX) and not (across and a[6] == b[6])
+        hits = lambda j, k: meets(rows[j], rows[k]) and self._near(rows[j], rows[k], by_word)
+        counts = None
+        for k in open_:
+            near = any(hits(j, k) for j in range(min(k, self.FEW)))
+            if not near and k > self.FEW:
+                if counts is None:
+                    counts = np.stack([self._counts(r, by_word) for r in rows])
+                    size = np.array([len(self._symbols(r, by_word)) for r in rows])
+                limit = np.minimum(size[self.FEW : k], size[k]) // self.words if by_word else np.full(k - self.FEW, self.threshold)
+                fits = np.flatnonzero(np.abs(size[self.FEW : k] - size[k]) <= limit)
+                fits = fits[np.abs(counts[fits + self.FEW] - counts[k]).sum(axis=1) <= 2 * limit[fits]]
+                near = any(hits(j, k) for j in (fits + self.FEW).tolist())
+            if near:
+                self.near.add(rows[k][2:4])
+
+
 def near_lines(docs: DataFrame, distinct: DataFrame, threshold: int, min_chars: int, text: str = "text", words: int = 0) -> DataFrame:
     """``h1, h2`` of the distinct lines with an earlier line within the threshold."""
-    met = stored(met_entries(docs, threshold, min_chars, text, words))
-    if words:  # long near copies share many keys: of keys with the same lines in the same roles one does
-        same = met.groupBy("key").agg(F.bit_xor(F.xxhash64("h1", "role")).alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        met = stored(met.join(same.groupBy("x", "n").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"))
-    texts = line_texts(docs, met.select("h1"), min_chars, text).join(distinct, ["h1", "h2"])
-    # Keys with more lines than a block: each of their lines goes to every pair of blocks that has its own.
-    hot = met.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    met = stored(met_entries(docs, threshold, min_chars, text, words, distinct.count()))
+    # Near copies share many keys: of keys with the same lines in the same roles one does.
+    keys = met.groupBy("key").agg(F.bit_xor(F.xxhash64("h1", "role")).alias("x"), F.count(F.lit(1)).alias("n"), F.min("h1").alias("root")).where("n > 1")
+    keys = stored(keys.groupBy("x", "n").agg(F.min("key").alias("key"), F.min("root").alias("root")))
+    # Keys with the same smallest line are compared together, so that its copies' texts come once; too many lines go by key.
+    heavy = keys.groupBy("root").agg(F.sum("n").alias("all")).where(F.col("all") > ROUTE).select("root", F.lit(True).alias("heavy"))
+    # A key with more lines than a block: each of its lines goes to every pair of blocks that has its own.
+    routed = keys.join(heavy, "root", "left").select("key", "n", F.when(F.col("heavy"), F.col("key")).otherwise(F.col("root")).alias("route"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    often = max(1000, (keys.agg(F.sum("n")).first()[0] or 0) // 256)  # at most 256 keys have more lines
+    hot = F.broadcast(routed.where(F.col("n") > often))
     own = F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: F.struct(F.least(t, own).alias("a"), F.greatest(t, own).alias("b"), own.alias("own")))
-    hot_rows = met.join(hot, "key").select("key", "h1", "role", F.inline(pairs))
-    cold_rows = met.join(hot, "key", "left_anti").select("key", "h1", "role", *(F.lit(0).alias(c) for c in ("a", "b", "own")))
-    rows = cold_rows.unionByName(hot_rows).join(texts, "h1").select("key", "a", "b", "own", "role", "id", "place", "h1", "h2", "line")
-
+    joined = met.join(hot, "key").unionByName(met.join(routed.where(F.col("n") <= often), "key"))
+    one = joined.where("blocks = 1").select("route", "key", *(F.lit(0).alias(c) for c in ("a", "b", "own")), "role", "h1")
+    more = joined.where("blocks > 1").select("key", "role", "h1", F.inline(pairs)).select(F.xxhash64("key", "a", "b").alias("route"), "key", "a", "b", "own", "role", "h1")
+    members = stored(one.unionByName(more))
+    # Texts are shuffled twice: to be one for each line, and to their routes.
+    shown = members.select("route", F.col("h1").alias("name")).distinct().join(distinct.withColumn("name", F.col("h1").bitwiseAND(LINE)), "name")
+    shown = shown.join(line_texts(docs, members.select("h1"), min_chars, text), ["h1", "h2"])
+    null = lambda t: F.lit(None).cast(t)
+    rows = shown.select("route", F.lit(0).alias("key"), *(F.lit(0).alias(c) for c in ("a", "b", "own", "role")), "name", "id", "place", "h1", "h2", "line")
+    rows = rows.unionByName(members.select("route", "key", "a", "b", "own", F.col("role").cast("int").alias("role"), F.col("h1").alias("name"), null("long").alias("id"), null("int").alias("place"), null("long").alias("h1"), null("long").alias("h2"), null("string").alias("line")))
+
+    @lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        at = None
-
-        def near() -> list[tuple[int, int]]:
-            if len(group) < 2:
-                return []
-            by_word = bool(group[0][4] & WORDS)
-            items = [r[-1].split() if by_word else r[-1] for r in group]
-            counts = np.zeros((len(group), 64 if by_word else 32), np.int16)
-            for g, x in enumerate(items):
-                codes = np.fromiter(map(hash, x), np.int64, len(x)) & 63 if by_word else np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) & 31
-                counts[g] = np.bincount(codes, minlength=counts.shape[1]).clip(0, 30000)
-            size = np.array([len(x) for x in items])
-            role = np.array([r[4] for r in group])
-            own = np.array([r[3] for r in group])
-            out = []
-            for k in range(1, len(group)):
-                most = np.minimum(size[:k], size[k]) // words if by_word else np.full(k, threshold)
-                ok = (np.abs(size[:k] - size[k]) <= most) & (((role[:k] & INDEX > 0) & bool(role[k] & PROBE)) | ((role[:k] & PROBE > 0) & bool(role[k] & INDEX)))
-                if at[1] != at[2]:
-                    ok &= own[:k] != own[k]
-                ok[ok] = np.abs(counts[:k][ok] - counts[k]).sum(axis=1) <= 2 * most[ok]
-                if any(group[j][-1] != group[k][-1] and within(items[j], items[k], int(most[j])) for j in np.flatnonzero(ok)):
-                    out.append(group[k][7:9])
-            return out
-
-        for b in batches:
-            found = []
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if row[:3] != at:
-                    found += near()
-                    group, at = [], row[:3]
-                group.append(row)
+        found: list[tuple[int, int]] = []
+        at = key = None
+        route, group = Route(threshold, words), {}
+
+        def settle() -> None:
+            if len(group) > 1 or any(len(route.lines.get(x, ())) > 1 for x in group):
+                route.compare(group, key[1] != key[2])
+            group.clear()
+
+        for b in slices(batches, "line", SLICE):
+            for to, *k, own, role, name, id_, place, h1, h2, line in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if to != at or (line is None and k != key):
+                    settle()
+                    if to != at:
+                        found += route.near
+                        at, route = to, Route(threshold, words)
+                    key = k
+                if line is not None:
+                    route.lines.setdefault(name, []).append((id_, place, h1, h2, line))
+                else:
+                    group[name] = (group[name][0] | role if name in group else role), own
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["h1", "h2"])
-        if found := near():
+                found = []
+        settle()
+        if found := [*found, *route.near]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["h1", "h2"])
 
-    order = ("key", "a", "b", "id", "place", "h1", "h2")
-    return rows.repartition("key", "a", "b").sortWithinPartitions(*order).mapInArrow(compare, "h1 long, h2 long").distinct()
+    order = F.col("route"), F.col("line").isNull(), F.col("key"), F.col("a"), F.col("b")
+    return rows.repartition("route").sortWithinPartitions(*order).mapInArrow(compare, "h1 long, h2 long").distinct()
 
 
 def dropped(docs: DataFrame, threshold: int = 2, min_chars: int = 24, text: str = "text", copies: int | None = None, words: int = 0) -> DataFrame:
     """``id, place, h1, near`` of every occurrence that goes."""
     all_ = stored(occurrences(docs, min_chars, text, copies))
-    distinct = stored(all_.groupBy("h1", "h2").agg(F.min(F.struct("id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).select("h1", "h2", "first.id", "first.place", "n"))
+    # The first occurrence as one number, which a hash aggregate can hold, as it can't a struct.
+    first = all_.groupBy("h1", "h2").agg(F.min(F.expr("CAST(id AS DECIMAL(20, 0)) * 2147483648 + place")).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = first.withColumn("place", F.expr("CAST(pmod(first, 2147483648) AS INT)"))
+    distinct = stored(first.select("h1", "h2", F.expr("CAST((first - place) / 2147483648 AS BIGINT)").alias("id"), "place", "n"))
     near = near_lines(docs, distinct.select("h1", "h2", "id", "place"), threshold, min_chars, text, words).withColumn("near", F.lit(True))
     gone = stored(distinct.join(near, ["h1", "h2"], "left").where("n > 1 OR near").select("h1", "h2", F.col("id").alias("_id"), F.col("place").alias("_place"), "n", F.coalesce("near", F.lit(False)).alias("near")))
     # At most 256 lines are more than a 256th of all; those go by broadcast, so that no task gets the copies of a hot line.
@@ -385,7 +577,8 @@ def _joined(docs: DataFrame, threshold: int, min_chars: int, text: str, copies:
 def _kept(text: str, drops: list[dict]) -> tuple[str, int, int]:
     """The text without the dropped lines, and how many went as copies and as near copies."""
     lines = text.split("\n")
-    gone = {d["place"]: d["near"] for d in drops if d["place"] < len(lines) and line_hash(lines[d["place"]])[0] == d["h1"]}
+    there = [d for d in drops if d["place"] < len(lines)]
+    gone = {d["place"]: d["near"] for d, h in zip(there, line_hashes([lines[d["place"]] for d in there])[0].tolist(), strict=True) if h == d["h1"]}
     near = sum(gone.values())
     return "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone) - near, near
 
@@ -395,8 +588,9 @@ def dedup_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 24, text:
     out = _joined(docs, threshold, min_chars, text, copies, words)
     at, drops_at, width = docs.columns.index(text), len(docs.columns), len(docs.columns)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, at, SLICE):
             drops = b.column(drops_at).to_pylist()
             texts, keep = b.column(at).to_pylist(), []
             for i, d in enumerate(drops):
@@ -418,8 +612,9 @@ RESULT = "doc_id long, n_lines int, n_copies int, n_near int, kept_sha256 string
 def line_report(docs: DataFrame, threshold: int = 2, min_chars: int = 24, text: str = "text", copies: int | None = None, words: int = 0) -> DataFrame:
     """Per row: lines, lines that go as copies and as near copies, and the digest of what stays."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text", SLICE):
             rows = []
             for i, t, d in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 kept, copies, near = _kept(t, d or [])
