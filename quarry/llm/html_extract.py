@@ -10,15 +10,22 @@ of the cluster, or its container if that is a block without others or a part suc
 list, table, quote or section; a region's lines are all kept, apart from those marked
 above, so short paragraphs are not lost.
 
+Marks are whole classes, ids and roles, and on containers some compounds of them; none
+counts on headings, nor on the page's only main or article and what that stands in. An
+inline element that is left out does not end its block.
+
 Defined results: a null or empty page, or one without text, gives an empty text;
-unclosed, stray and misnested tags are accepted; character references are decoded;
-white space in a block is one space; repeated rows give repeated results.
+unclosed, stray and misnested tags are accepted, and so is any ``<!`` declaration; a
+comment or tag that is not ended goes with the rest of the page; character references
+are decoded; white space in a block is one space; repeated rows give repeated results.
+A page of n bytes takes time in proportion to n, however its tags are nested.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -26,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices
+from quarry.llm.common import lean, slices
 
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol option p pre section select summary table tbody td template tfoot th thead title tr ul".split())
 #: Never part of a text, wherever they stand.
@@ -34,21 +41,42 @@ SKIPPED = frozenset("head script style noscript template nav footer aside form m
 #: Inline tags that open such a part, and so are kept on the stack.
 OPENED = frozenset("script style button textarea svg math object canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that mark such a part.
+#: Classes, ids and roles that mark such a part, each as a whole.
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs masthead header footer sidebar side aside complementary contentinfo widget comment comments commentlist disqus reply replies respond discussion cookie cookies consent gdpr notice notices alert popup modal overlay share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager copyright hidden form dialog".split())
+#: Of compounds such as site-footer or cookie_banner, on containers: last words that mark one whatever stands before,
+#: words before which a page or site header is meant, and words that may follow any mark.
+LAST = frozenset("ad ads advert adverts advertisement banner nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar comments commentlist disqus respond cookie cookies consent gdpr newsletter subscribe popup modal overlay pagination pager widget widgets promo sponsored".split())
+OF_SITE = frozenset("site page main global top".split())
+AFTER = frozenset("area bar block body bottom box button buttons col column container content dialog form group holder icons inner left link links list main message notice outer panel primary right row secondary section slot text thread title top unit wrap wrapper".split())
+#: A compound that starts with one of these says something about its surroundings.
+ABOUT = frozenset("has have with without no not non is show hide".split())
+CONTAINERS = frozenset("div section ul ol dl table aside header footer nav form details center".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 REGIONS = frozenset(["article", "main"])
 #: Parts of a text: what stands beside them belongs to it too.
 PARTS = frozenset("p li ul ol dl dt dd table tbody thead tfoot tr td th span h1 h2 h3 h4 h5 h6 hgroup pre blockquote figure figcaption section details summary".split())
 SIGMA = 1.0
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_TAG_LIKE = re.compile(r"<[a-zA-Z/!?]")
 _RADIUS = 3
 _KERNEL = np.exp(-(np.arange(-_RADIUS, _RADIUS + 1) ** 2) / (2 * SIGMA**2))
 _KERNEL /= _KERNEL.sum()
 
 
-def _marked(attrs: list[tuple[str, str | None]]) -> bool:
+def _is_mark(token: str, tag: str) -> bool:
+    if token.lower() in MARKS:
+        return True
+    if tag not in CONTAINERS:
+        return False
+    words = [w.lower() for w in _WORDS.findall(token) if len(w) > 1]
+    if not words or words[0] in ABOUT:
+        return False
+    return words[-1] in LAST or (words[0] in OF_SITE and words[-1] == "header") or (words[0] in MARKS and all(w in AFTER for w in words[1:]))
+
+
+def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     for name, value in attrs:
-        if name in ("class", "id", "role") and value and any(w.lower() in MARKS for w in _WORDS.findall(value)):
+        if name in ("class", "id", "role") and value and tag not in HEADINGS and any(_is_mark(t, tag) for t in value.split()):
             return True
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and "display:none" in value.replace(" ", "").lower()):
             return True
@@ -60,16 +88,20 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.tag, self.parent, self.skip, self.region = ["#page"], [0], [False], [0]
+        self.tag, self.parent, self.region = ["#page"], [0], [0]
+        self.hard, self.soft, self.inline = [False], [False], [False]  # skipped by tag, by a mark; an inline element
         self.stack = [0]
+        self.depths: dict[str, list[int]] = {}  # depths in the stack of the open elements of each tag
+        self.hidden = 0  # open inline elements whose text goes; they don't end a block
         self.texts: list[str] = []
         self.tags: list[int] = []
         self.owner: list[int] = []
         self._data: list[str] = []
         self._count = 0
+        self._unclosed = False
 
     def line(self) -> None:
-        if self._data:
+        if self._data and not self.hidden:
             text = " ".join("".join(self._data).split())
             if text:
                 self.texts.append(text)
@@ -78,30 +110,68 @@ class Lines(HTMLParser):
                 self._count = 0
             self._data.clear()
 
+    def read(self, page: str) -> None:
+        """The whole page. What follows the last ``>`` is text up to a tag that is not ended."""
+        end = page.rfind(">") + 1
+        self.feed(page[:end])
+        self.close()
+        tail = page[end:]
+        if tail and not self.cdata_elem and not self._unclosed:
+            cut = _TAG_LIKE.search(tail)
+            self.handle_data(unescape(tail[: cut.start()] if cut else tail))
+        self.line()
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        """A comment that is not ended takes the rest of the page."""
+        if not self._unclosed:
+            end = self.rawdata.find("-->", i + 2)
+            if end >= 0:
+                return end + 3
+            self._unclosed = True
+        return len(self.rawdata)
+
+    def parse_html_declaration(self, i: int) -> int:
+        """Declarations and marked sections, whatever their names, end at the next ``>``."""
+        return self.rawdata.find(">", i) + 1 or -1
+
+    def _pop(self, depth: int) -> None:
+        """Closes the elements from this depth of the stack on."""
+        while len(self.stack) > depth:
+            e = self.stack.pop()
+            self.depths[self.tag[e]].pop()
+            self.hidden -= self.inline[e]
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
-            self._data.append(" ")
+            self.handle_data(" ")
         block = tag in BLOCKS
         if block:
             self.line()
         self._count += 1
-        if tag in VOID or not (block or tag in OPENED or (attrs and _marked(attrs))):
+        marked = bool(attrs) and tag not in ("html", "body", "main") and _marked(tag, attrs)
+        if tag in VOID or not (block or tag in OPENED or marked or self.depths.get(tag)):
             return
-        top = self.stack[-1]
-        if self.tag[top] == "p" and block:
-            self.stack.pop()
-        elif tag == "li" and self.tag[top] == "li":
-            self.stack.pop()
+        if block:
+            depth = len(self.stack) - 1
+            while self.inline[self.stack[depth]] and self.tag[self.stack[depth]] not in OPENED:
+                depth -= 1
+            own = self.tag[self.stack[depth]]
+            if own == "p" or (tag == "li" and own == "li"):
+                self._pop(depth)
+                self.line()
         top = self.stack[-1]
         inside = self.region[top]
-        marked = bool(attrs) and _marked(attrs) and tag not in ("html", "body", "main")
+        if marked and inside and tag not in REGIONS and any(n in ("class", "id") and v and v.lower() == "header" for n, v in attrs):
+            marked = False  # as with the tag: an article's own
         self.tag.append(tag)
         self.parent.append(top)
-        self.skip.append(self.skip[top] or tag in SKIPPED or marked or (tag == "header" and not inside))
+        self.hard.append(tag in SKIPPED or (tag == "header" and not inside))
+        self.soft.append(marked)
+        self.inline.append(not block and (marked or tag in OPENED))
         self.region.append(len(self.tag) - 1 if tag in REGIONS and not inside else inside)
-        if not block and tag not in OPENED:
-            self.line()
+        self.depths.setdefault(tag, []).append(len(self.stack))
         self.stack.append(len(self.tag) - 1)
+        self.hidden += self.inline[-1]
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -112,27 +182,37 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.line()
         self._count += 1
-        if tag in VOID or not (tag in BLOCKS or tag in OPENED or any(self.tag[i] == tag for i in self.stack[-3:])):
+        open_ = self.depths.get(tag)
+        if not open_:
             return
-        for depth in range(len(self.stack) - 1, 0, -1):
-            own = self.tag[self.stack[depth]]
-            if own == tag:
-                if tag not in BLOCKS:
-                    self.line()
-                del self.stack[depth:]
-                return
-            if own in REGIONS and tag not in ("body", "html", "main", "article"):
-                return  # a stray end tag doesn't leave the article
+        barrier = max((self.depths[r][-1] for r in REGIONS if self.depths.get(r)), default=0)
+        if open_[-1] < barrier and tag not in ("body", "html", "main", "article"):
+            return  # a stray end tag doesn't leave the article
+        self._pop(open_[-1])
+        if tag in BLOCKS:
+            self.line()
 
     def handle_data(self, data: str) -> None:
-        if not self.skip[self.stack[-1]]:
-            self._data.append(data)
-        elif data.strip():
+        if not self.hidden:
             self._data.append(data)
 
-    def close(self) -> None:
-        super().close()
-        self.line()
+    def skipped(self) -> list[bool]:
+        """Per element, whether its text goes. The only main or article, and what it stands in, is never marked."""
+        for region in ("main", "article"):
+            aside = [False] * len(self.tag)
+            for e in range(1, len(self.tag)):
+                aside[e] = aside[self.parent[e]] or (self.hard[e] and self.tag[e] != "form")
+            found = [e for e, t in enumerate(self.tag) if t == region and not aside[e]]
+            if len(found) == 1:
+                e = found[0]
+                while e:
+                    self.soft[e] = self.hard[e] = False
+                    e = self.parent[e]
+                break
+        out = [False] * len(self.tag)
+        for e in range(1, len(self.tag)):
+            out[e] = out[self.parent[e]] or self.hard[e] or self.soft[e]
+        return out
 
 
 def smooth(ratios: np.ndarray) -> np.ndarray:
@@ -143,13 +223,12 @@ def smooth(ratios: np.ndarray) -> np.ndarray:
 
 def main_text(html: str | None) -> str:
     page = Lines()
-    page.feed(html or "")
-    page.close()
+    page.read(html or "")
     n = len(page.texts)
     if not n:
         return ""
-    owner = page.owner
-    kept = np.array([not page.skip[o] for o in owner])
+    owner, skipped = page.owner, page.skipped()
+    kept = np.array([not skipped[o] for o in owner])
     size = np.array([len(t) for t in page.texts], np.float64)
     ratio = np.where(kept, size / np.maximum(1, page.tags), 0.0)
     smoothed = smooth(ratio)
@@ -188,6 +267,7 @@ RESULT = "page_id long, url string, text string, n_chars long"
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "html"):
             texts = [main_text(h) for h in b.column(2).to_pylist()]
