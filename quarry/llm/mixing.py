@@ -29,8 +29,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from quarry.llm.common import slices, stored, whole_text
+from quarry.llm.common import lean, slices, stored, whole_text
 from quarry.llm.toxicity import text_terms
 
 #: Domain of a labelled row, and the share of tokens that each domain is to have.
@@ -121,8 +122,11 @@ def fit(y: np.ndarray, row: np.ndarray, term: np.ndarray, dense: np.ndarray, dom
 def train(docs: DataFrame, labels: DataFrame, domains: list[str], domain: str = DOMAIN, sample: int = 4000, text: str = "text") -> Softmax:
     """Fits on at most ``sample`` labelled rows, chosen by a hash of their ids."""
     chosen = labels.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(domain).alias("d")).where(F.col("d").isin(domains)).groupBy("doc_id").agg(F.min("d").alias("d")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long"), whole_text(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("d", "text")
+    # Of documents that repeat an id the smallest text counts, so `sample` bounds what reaches the driver.
+    rows = docs.select(F.col("doc_id").cast("long"), whole_text(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("d").alias("d"), F.min("text").alias("text")).select("d", "text")
 
+    @lean
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             row, term = text_terms(b.column(1))
@@ -139,17 +143,30 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], domain: str =
     return fit(np.array([domains.index(y[i]) for i in order], np.int64), row, term, dense[order], len(domains))
 
 
-def posteriors(docs: DataFrame, model: Softmax, text: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, p``; tokens are words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _tokens(texts: pa.Array) -> pa.Array:
+    """Number of words of each text."""
+    trimmed = pc.utf8_trim_whitespace(texts)
+    return pc.if_else(pc.equal(trimmed, ""), 0, pc.list_value_length(pc.utf8_split_whitespace(trimmed))).cast(pa.int64())
+
 
+def _with_posteriors(rows: DataFrame, at: int, model: Softmax, n: str, p: str) -> DataFrame:
+    """``rows`` with words and posteriors of the text column at place ``at``, a null one as empty."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    schema = StructType([*rows.schema.fields, StructField(n, LongType()), StructField(p, ArrayType(DoubleType()))])
+
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            n = pc.list_value_length(pc.utf8_split_whitespace(pc.utf8_trim_whitespace(b.column(1))))
-            n = pc.if_else(pc.equal(pc.utf8_trim_whitespace(b.column(1)), ""), 0, n)
-            yield pa.RecordBatch.from_arrays([b.column(0), n.cast(pa.int64()), pa.array(shared.value.posteriors(b.column(1)).tolist(), pa.list_(pa.float64()))], ["doc_id", "n_tokens", "p"])
+        for b in slices(batches, at):
+            texts = pc.fill_null(b.column(at), "")
+            found = pa.array(shared.value.posteriors(texts).tolist(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, _tokens(texts), found], names=[f.name for f in schema.fields])
+
+    return rows.mapInArrow(run, schema)
 
-    return docs.select(F.col("doc_id").cast("long"), whole_text(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, p array<double>")
+
+def posteriors(docs: DataFrame, model: Softmax, text: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, p``; tokens are words."""
+    return _with_posteriors(docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")), 1, model, "n_tokens", "p").drop("text")
 
 
 @dataclass
@@ -225,9 +242,9 @@ def fit_rates(members: DataFrame, domains: int, weights: list[float], floor: flo
     return rates
 
 
-def copies(rate: Column, doc_id: str = "doc_id", seed: int = 17) -> Column:
+def copies(rate: Column, doc_id: str | Column = "doc_id", seed: int = 17) -> Column:
     """Whole copies: the rate rounded up or down by a hash of the id, so that its expectation is the rate."""
-    chance = F.pmod(F.xxhash64(F.col(doc_id), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    chance = F.pmod(F.xxhash64(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     return (F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")).cast("long")
 
 
@@ -244,25 +261,13 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain:
     """``docs`` with each row as often as its rate says; the same columns.
 
     With the floor of 1 no document goes: domains below their share are repeated. The
-    rows are not shuffled: posteriors and rates are computed again where they are read.
+    rows are written once with their posteriors, which the rates are fitted on and
+    computed from, and are not shuffled.
     """
-    domains = sorted(weights)
+    domains, n, p = sorted(weights), "__mix_tokens", "__mix_p"
     model = train(docs, labels, domains, domain, text=text)
-    rates = fit_rates(stored(posteriors(docs, model, text)), len(domains), [weights[d] for d in domains], floor)
-    shared = docs.sparkSession.sparkContext.broadcast((model, rates))
-    width, at = len(docs.columns), docs.columns.index(text)
-    chance = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, rates = shared.value
-        for b in slices(batches, "__mix_text"):
-            texts = b.column(width + 1)
-            p = model.posteriors(texts)
-            n = np.array([len(t.split()) for t in texts.to_pylist()], np.float64)
-            w = rates.of(n, p)
-            times = np.floor(w) + (b.column(width).to_numpy() < w - np.floor(w))
-            rows = b.select(b.schema.names[:width]) if len(set(b.schema.names)) == len(b.schema.names) else pa.RecordBatch.from_arrays(b.columns[:width], names=b.schema.names[:width])
-            yield rows.take(pa.array(np.repeat(np.arange(b.num_rows), times.astype(np.int64))))
-
-    marked = docs.select("*", chance.alias("__mix_chance"), whole_text(docs.columns[at]).alias("__mix_text"))
-    return marked.mapInArrow(run, docs.schema)
+    members = stored(_with_posteriors(docs, docs.columns.index(text), model, n, p))
+    rates = fit_rates(members.select(F.col(n).alias("n_tokens"), F.col(p).alias("p")), len(domains), [weights[d] for d in domains], floor)
+    times = copies(rates.column(n, p), F.col("doc_id").cast("long"))
+    again = F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias("__mix_copy")
+    return members.select(*docs.columns, again).drop("__mix_copy")

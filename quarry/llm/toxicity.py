@@ -13,7 +13,8 @@ differ by ``least_pair_z`` from what the two terms' own shares say, as a term ca
 in a pair without a difference of its own. All are parameters. Scoring reads every whole text.
 
 Defined results: a null or empty text has no terms and gets the score of the bias;
-labels that are null are left out, repeated labels of one id count once (the largest);
+labels that are null are left out, repeated labels of one id count once (the largest),
+and of documents with that id the smallest text is learned from;
 without labels of both classes every score is the share of label 1 (0 if none).
 Columns of ``docs`` that a filter keeps are passed on unchanged, whatever their names.
 """
@@ -30,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, whole_text
+from quarry.llm.common import lean, slices, whole_text
 
 BUCKETS = 1 << 22
 OUTER = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’¿¡…–—"
@@ -179,9 +180,11 @@ def fold(doc_id: str | Column = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 5_000, features: int = 4096, text: str = "text") -> Machine:
     """Fits on at most ``sample`` labelled rows outside fold 0."""
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(fold() != 0).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # At most `sample` rows of two numbers: broadcast.
-    rows = docs.select(F.col("doc_id").cast("long"), whole_text(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("y", "text")
+    # At most `sample` rows of two numbers: broadcast. Of documents that repeat an id the smallest text counts, so `sample` bounds these too.
+    rows = docs.select(F.col("doc_id").cast("long"), whole_text(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text")).select("y", "text")
 
+    @lean
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             row, term = text_terms(b.column(1))
@@ -211,6 +214,7 @@ def scores(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             s = shared.value.scores(b.column(2))
@@ -224,6 +228,7 @@ def without_toxic(docs: DataFrame, machine: Machine, text: str = "text", thresho
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     at = docs.columns.index(text)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.concatenate([shared.value.scores(b.column(at)) for b in slices(iter([batch]), batch.schema.names[at])] or [np.empty(0)]) < threshold
