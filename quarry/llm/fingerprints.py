@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, whole_text
+from quarry.llm.common import lean, slices, whole_text
 
 #: First level of each group of levels, and sketch size of each; the last group takes all higher levels.
 GROUPS, KEPT = (2, 3, 4), (32, 24, 24)
@@ -160,6 +160,7 @@ def likeness(a: list[np.ndarray], b: list[np.ndarray]) -> float:
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id, fingerprint`` of every row."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", CHUNK):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(as_string, sketches(b.column(1).to_pylist())), pa.string())], ["doc_id", "fingerprint"])
@@ -239,6 +240,7 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", rows: int = 2048) -
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in RESULT.split(", ")])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None  # last: the row that waits for its next
         for b in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, whole_text
+from quarry.llm.common import lean, slices, whole_text
 
 BLOCK = 64
 RATE = 8000
@@ -96,6 +96,7 @@ def peak_pairs(samples: bytes) -> np.ndarray:
 def to_media(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``media`` (the WAV bytes) and ``n_bytes`` to ``doc_id``."""
 
+    @lean
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             rows = [to_payload(t) for t in b.column(1).to_pylist()]
@@ -107,6 +108,7 @@ def to_media(docs: DataFrame, text: str = "text") -> DataFrame:
 def media_features(media: DataFrame) -> DataFrame:
     """Reads ``media`` back and computes ``pairs``, the time-coded peak pairs."""
 
+    @lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "media"):
             pairs = [peak_pairs(read_wav(m)) for m in b.column(1).to_pylist()]
@@ -115,7 +117,7 @@ def media_features(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "media").mapInArrow(read, "doc_id long, pairs array<long>")
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pairs long"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pairs long, pairs array<long>"
 
 
 def digest_row(text: str | None) -> tuple:
@@ -125,16 +127,17 @@ def digest_row(text: str | None) -> tuple:
     back = read_wav(media)
     pairs = peak_pairs(back)
     sha = lambda x: hashlib.sha256(x).hexdigest()
-    return n, len(back), sha(back), zlib.crc32(back[-BLOCK:]), len(media), sha(media), f"{len(pairs)}:{sha(pairs.astype('<i8').tobytes())}", len(pairs)
+    return n, len(back), sha(back), zlib.crc32(back[-BLOCK:]), len(media), sha(media), f"{len(pairs)}:{sha(pairs.astype('<i8').tobytes())}", len(pairs), pairs
 
 
 def media_digests(docs: DataFrame, text: str = "text") -> DataFrame:
     """Store, read back and fingerprint in one pass, without moving media between processes."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             cols = list(zip(*map(digest_row, b.column(1).to_pylist()), strict=True))
-            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [x.split()[0] for x in DIGEST.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), whole_text(text).alias("text")).mapInArrow(run, DIGEST)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import scratch, stored
+from quarry.llm.common import lean, scratch, stored
 
 EOL = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -82,10 +82,23 @@ def records(pages: DataFrame, decided: DataFrame, html: str = "html", date: str
     )
 
 
+#: Payloads up to so many bytes are archived with so many records in a file, which is 256 MB at most;
+#: of larger ones, a file has 16.
+CLASSES = ((1 << 16, 4096), (1 << 20, 256), (None, 16))
+
+
 def write_archives(pages: DataFrame, path: str, html: str = "html", least: int = 1000, date: str | None = None) -> None:
-    """Writes every page to gzip archives below ``path``; no archive has more than 20,000 records."""
-    decided = revisits(stored(headers(pages, html)), least)
-    records(pages, decided, html, date).write.option("lineSep", EOL * 2).option("compression", "gzip").option("maxRecordsPerFile", 20_000).text(path)
+    """Writes every page to gzip archives below ``path``, one folder for each class of sizes; see ``CLASSES``."""
+    heads = stored(headers(pages, html))
+    decided = revisits(heads, least)
+    size = F.octet_length(F.coalesce(F.col(html), F.lit("")).cast("binary"))
+    low = -1
+    for most, records_ in CLASSES:
+        inside = lambda n: (n > low) & ((n <= most) if most else F.lit(True))  # noqa: B023, E731
+        if low < 0 or heads.where(inside(F.col("n"))).limit(1).count():
+            chosen = records(pages.where(inside(size)), decided, html, date)
+            chosen.write.option("lineSep", EOL * 2).option("compression", "gzip").option("maxRecordsPerFile", records_).text(f"{path}/upto-{most or 'any'}")
+        low = most or 0
 
 
 def parse(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
@@ -125,7 +138,7 @@ def parse(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, byte
         yield fields, head, payload
 
 
-def unpacked(content: bytes, step: int = 1 << 18) -> Iterator[bytes]:
+def unpacked(content: bytes | memoryview, step: int = 1 << 18) -> Iterator[bytes]:
     """Gzip (any number of members) in pieces; other content as it is."""
     if content[:2] != b"\x1f\x8b":
         yield content
@@ -155,6 +168,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = False) -> Data
     names = [x.split()[0] for x in schema.split(", ")]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()][: len(names)]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
@@ -164,7 +178,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = False) -> Data
 
         for batch in batches:
             for content in batch.column(0):
-                for fields, head, body in parse(unpacked(content.as_buffer().to_pybytes())):
+                for fields, head, body in parse(unpacked(memoryview(content.as_buffer()).cast("B"))):
                     page = _id(fields["warc-record-id"])
                     declared = fields["warc-payload-digest"].removeprefix("sha1:")
                     if fields["warc-type"] == "response":
@@ -182,7 +196,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = False) -> Data
         if rows:
             yield flush()
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, schema)
 
 
 def archived(pages: DataFrame, least: int = 1000) -> DataFrame:
@@ -190,3 +204,14 @@ def archived(pages: DataFrame, least: int = 1000) -> DataFrame:
     path = scratch(pages.sparkSession)
     write_archives(pages, path, least=least)
     return read_archives(pages.sparkSession, path)
+
+
+#: The query's rows; archives don't show in them.
+ORACLE = """
+WITH p AS (SELECT CAST(page_id AS BIGINT) AS page_id, url, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, url, sha1(h) AS digest, CAST(strlen(h) AS BIGINT) AS n FROM p),
+top AS (SELECT digest, max(page_id) AS top FROM d WHERE n >= 1000 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, d.digest AS payload_digest, CASE WHEN top IS DISTINCT FROM page_id AND top IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN top IS DISTINCT FROM page_id THEN top END AS refers_to, url
+FROM d LEFT JOIN top ON top.digest = d.digest AND n >= 1000
+"""
