@@ -7,7 +7,8 @@ assistant's turns and their end marks. All of it is DataFrame functions.
 
 Defined results: a null role or text is empty; turns are ordered by number, then role,
 then text, nulls first, and repeated turns all count; equal conversations have empty
-completions; an empty conversation shares nothing. Offsets are code points.
+completions; an empty conversation shares nothing; a conversation without an assistant
+turn has no loss spans. Offsets are code points.
 """
 
 from __future__ import annotations
@@ -56,15 +57,11 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
     return cut.select("pair_id", "n_prompt_turns", render(F.col("prompt")).alias("prompt"), render(F.col("c")).alias("chosen"), spans(F.col("c")).alias("chosen_spans"), render(F.col("r")).alias("rejected"), spans(F.col("r")).alias("rejected_spans"))
 
 
-def branched_pairs(rows: DataFrame, whole: bool = False) -> DataFrame:
-    """Pairs from plain conversations, each cut after its last assistant turn: chosen is the
-    conversation; rejected keeps the first half of its turns (rounded up) and goes on as the
-    conversation whose id differs in the lowest bit does from there, if there is one. With
-    ``whole``, nothing is cut, and conversations without an assistant turn stay."""
+def branched_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs from plain conversations, every one with all its turns: chosen is the conversation;
+    rejected keeps the first half of its turns (rounded up) and goes on as the conversation
+    whose id differs in the lowest bit does from there, if there is one."""
     all_ = turns(rows)
-    if not whole:
-        last = F.size("turns") - F.array_position(F.reverse(F.transform("turns", lambda t: t.role)), "assistant") + 1
-        all_ = all_.where(F.exists("turns", lambda t: t.role == "assistant")).select("conv_id", F.slice("turns", 1, last.cast("int")).alias("turns"))
     other = all_.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("turns").alias("other"))
     half = F.ceil(F.size("turns") / 2).cast("int")
     tail = F.when(F.size("other") > half, F.slice("other", half + 1, F.greatest(F.lit(1), F.size("other") - half))).otherwise(F.slice("turns", 1, 0))
@@ -77,7 +74,7 @@ WITH t AS (
   SELECT CAST(conv_id AS BIGINT) AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
   FROM conversations
-), ends AS (SELECT c, max(k) AS n FROM t WHERE role = 'assistant' GROUP BY c),
+), ends AS (SELECT c, max(k) AS n FROM t GROUP BY c),
 u AS (SELECT t.c, t.k, t.role, t.text, e.n, CAST(ceil(e.n / 2.0) AS BIGINT) AS h FROM t JOIN ends e ON t.c = e.c WHERE t.k <= e.n),
 rejected AS (
   SELECT c, k, role, text FROM u WHERE k <= h
@@ -103,6 +100,3 @@ SELECT c AS pair_id, CAST(max(p) AS INTEGER) AS n_prompt_turns,
   coalesce(string_agg(CAST(off + length(head) AS VARCHAR) || '-' || CAST(off + length(shown) AS VARCHAR), ',' ORDER BY k) FILTER (side = 'r' AND later AND role = 'assistant'), '') AS rejected_spans
 FROM placed GROUP BY c
 """
-
-#: Without the cut of ``ends``: every conversation ends with its last turn.
-ORACLE_WHOLE = ORACLE.replace(" FROM t WHERE role = 'assistant' GROUP BY c", " FROM t GROUP BY c")

@@ -11,7 +11,7 @@ from quarry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: The others can't be stated in DuckDB's SQL; the tests hold each against brute force, a round trip or held-out rows.
-ORACLES: dict[str, str] = {"op7_chat_pairs": chat.ORACLE, "op7_chat_pairs_whole": chat.ORACLE_WHOLE}
+ORACLES: dict[str, str] = {"op3_warc": warc.ORACLE, "op7_chat_pairs": chat.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -34,11 +34,6 @@ def op7_chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_pairs(chat.branched_pairs(table(spark, sf_dir, "conversations")))
 
 
-@query
-def op7_chat_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_pairs(chat.branched_pairs(table(spark, sf_dir, "conversations"), whole=True))
-
-
 @query
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
