@@ -158,18 +158,36 @@ def glob_regex(glob: str) -> str:
     return "^(?:" + "|".join(one(a) for a in alternatives) + ")$"
 
 
+def _states(glob: str, root: str) -> list[tuple[list[str], set[int]]]:
+    """For each alternative of a glob, its segments and the places in them that the root's segments lead to.
+
+    A place is how many segments are used up; ``**`` keeps its place and lets the next one begin.
+    """
+    out = []
+    for alternative in expand_braces(glob) or [glob]:
+        parts = [x for x in alternative.split("/") if x]
+        tests = [None if x == "**" else re.compile(glob_regex(x)) for x in parts]
+
+        def opened(places: set[int], tests: list = tests) -> set[int]:
+            more = set(places)
+            for k in range(len(tests)):
+                if k in more and tests[k] is None:
+                    more.add(k + 1)
+            return more
+
+        places = opened({0})
+        for segment in filter(None, root.split("/")):
+            stay = {k for k in places if k < len(parts) and tests[k] is None}
+            places = opened(stay | {k + 1 for k in places if k < len(parts) and tests[k] is not None and tests[k].match(segment)})
+        out.append((parts, places))
+    return out
+
+
 def can_match_below(glob: str, root: str) -> bool:
-    """Whether the glob can match the root or something below it (segment by segment)."""
-    wanted = [s for s in root.split("/") if s]
-
-    @functools.cache
-    def go(parts: tuple[str, ...], i: int) -> bool:
-        if i == len(wanted):
-            return True
-        if not parts:
-            return False
-        if parts[0] == "**":
-            return go(parts[1:], i) or go(parts, i + 1)
-        return re.match(glob_regex(parts[0]), wanted[i]) is not None and go(parts[1:], i + 1)
-
-    return any(go(tuple(s for s in g.split("/") if s), 0) for g in expand_braces(glob) or [glob])
+    """Whether the glob can match the root or something below it."""
+    return any(places for _, places in _states(glob, root))
+
+
+def covers_below(glob: str, root: str) -> bool:
+    """Whether the glob matches all that is below the root."""
+    return any(k < len(parts) and all(x == "**" for x in parts[k:]) for parts, places in _states(glob, root) for k in places)

@@ -103,7 +103,7 @@ def decide_links(checks: DataFrame, links: DataFrame, rules: list[Rule], baselin
 
 
 def tree_readable(root: str, rules: list[Rule]) -> bool:
-    """Whether a whole directory may be read: one allow rule covers it, and no rule that can match below denies."""
+    """Whether a whole directory may be read: one allow rule covers it, and no rule that can match below, its exclusions weighed, denies."""
     covers = any(r.read == "allow" and (root == r.anchor or root.startswith(r.anchor.rstrip("/") + "/")) and "**" in r.includes and not r.excludes for r in rules)
 
     def touches(r: Rule) -> bool:
@@ -112,7 +112,7 @@ def tree_readable(root: str, rules: list[Rule]) -> bool:
         if not root.startswith(r.anchor.rstrip("/") + "/"):
             return False
         below = root[len(r.anchor.rstrip("/")) + 1 :]
-        return any(paths.can_match_below(g, below) for g in r.includes)
+        return any(paths.can_match_below(g, below) for g in r.includes) and not any(paths.covers_below(g, below) for g in r.excludes)
 
     return covers and not any(r.read == "deny" and touches(r) for r in rules)
 

@@ -81,6 +81,8 @@ SHELL = {
     "bash -c 'rm f'": True, "bash -lc 'ls'": False, "python3 -c \"open('f', 'w').write('x')\"": True, "python3 -c \"print(open('f').read())\"": False,
     "node -e \"fs.writeFileSync('f', 'x')\"": True, "xargs rm": True, "echo 'rm f'": False, "echo $(rm f)": True, "command -v rm": False,
     "ls; rm f": True, "echo \"unterminated": False, "eval rm f": True, "env -S 'rm f'": True, "ls | tee out": False, "cat <<< rm": False, "": False,
+    "cat <<EOF\nrm x\nEOF": False, "cat <<EOF\n$(rm x)\nEOF": True, "cat <<'EOF'\n$(rm x)\nEOF": False, "cat <<-E\n\trm x\n\tE\nrm y": True, "cat <<A <<B\nrm\nA\nrm\nB\nls": False,
+    "function f { rm x; }": True, "f() { rm x; }": True, "coproc rm x": True, "coproc P { rm x; }": True, "coproc cat": False,
 }
 
 

@@ -68,6 +68,8 @@ def test_selector_expansion():
     assert paths.expand_selector("[!a]") == ["[!a]"]
     assert paths.expand_selector("[0-9][0-9][0-9]") is None
     assert paths.can_match_below("src/**", "src/a") and not paths.can_match_below("lib/*", "src") and paths.can_match_below("**/x", "a/b")
+    assert not paths.can_match_below("a/b", "a/b/c") and paths.can_match_below("a/{b,c}/**", "a/c")
+    assert [paths.covers_below(g, r) for g, r in [("**", "a"), ("a/**", "a"), ("a/*", "a"), ("a/**/x", "a"), ("private/**", "private/k")]] == [True, True, False, False, True]
 
 
 def test_policy_goldens(spark):
@@ -90,6 +92,7 @@ def test_policy_goldens(spark):
     assert got["/o/f"][0] == "request" and got["/w"][:2] == ("allow", "workspace")
     assert policy.tree_readable("/w/lib", [policy.Rule("a", "/w", "allow", "deny")])
     assert not policy.tree_readable("/w", [policy.Rule("a", "/w", "allow", "deny"), policy.Rule("b", "/w/x", "deny", "deny")])
+    assert policy.tree_readable("/w/x/y", [policy.Rule("a", "/w", "allow", "deny"), policy.Rule("b", "/w/x", "deny", "deny", excludes=("y/**",))])
 
 
 def test_links(spark):
@@ -142,8 +145,9 @@ def test_graph(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 6), (7, 1)], "src long, dst long")
     assert sorted(map(tuple, graph.cycles(e).collect())) == [(1, 1), (1, 2), (1, 3), (4, 4), (4, 5), (6, 6)]
     assert {r.node: r.depth for r in graph.reach(e, spark.createDataFrame([(7,)], "node long")).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5}
-    assert [r.node for r in graph.shortest_path(e, 7, 5).orderBy("position").collect()] == [7, 1, 2, 3, 4, 5]
-    assert [tuple(r) for r in graph.shortest_path(e, 5, 7).orderBy("position").collect()] == [(0, 5, False), (1, 7, False)]
+    path = lambda a, b: graph.shortest_path(e, spark.createDataFrame([(a, b)], "start long, goal long")).orderBy("position").collect()
+    assert [r.node for r in path(7, 5)] == [7, 1, 2, 3, 4, 5]
+    assert [tuple(r) for r in path(5, 7)] == [(0, 5, False), (1, 7, False)]
 
 
 def test_scanners():
@@ -191,6 +195,46 @@ def test_python_source(spark):
     assert pysource.search(s, "s.side($$$A)").first().total == 2
 
 
+def test_squeeze_shows_a_damaged_line(spark):
+    docs = spark.createDataFrame([(1, "a line that repeats\nshort\n\na line that repeats"), (2, "a line that repeats")], "k long, t string")
+    codes = search.legend(docs, "k", "t")
+    squeezed = search.squeeze(docs, "k", "t", codes)
+    assert sorted((r.k, r.place, r.code is None, r.line) for r in squeezed.collect()) == [(1, 0, False, None), (1, 1, True, "short"), (1, 2, True, ""), (1, 3, False, None), (2, 0, False, None)]
+    damaged = squeezed.withColumn("line", F.when(F.col("line") == "short", "shorn").otherwise(F.col("line")))
+    back = {r.k: r.text for r in search.unsqueeze(damaged, "k", codes).collect()}
+    assert back[1] != docs.where("k = 1").first().t and back[2] == "a line that repeats"
+
+
+def test_never_queried_operators(spark):
+    """Drift, versions, conflicts, redaction, nearest vectors, strict scores, quota of refused items."""
+    kv = lambda *rows: spark.createDataFrame(list(rows), "k string, v string")
+    assert sorted(map(tuple, changes.drift(kv(("a", "1"), ("b", "2"), ("c", None)), kv(("a", "1"), ("b", "3")), "k", "v").collect())) == [("b", "unequal")]
+    assert changes.same_multiset(kv(("a", "1"), ("a", "1")), kv(("a", "1"))).first().equal is False
+    versions = spark.createDataFrame([("r", 2), ("r", 1), ("q", 2)], "root string, version int")
+    assert {r.root: r.version for r in config_layers.effective_version(versions, "root").collect()} == {"r": 1, "q": 2}
+    rules = lambda *rows: config_layers.conflicts(spark.createDataFrame(list(rows), "root string, rule string")).first()
+    assert tuple(rules(("a", "x"), ("a", "y"), ("b", "y"), ("b", "x"))) == (2, True) and tuple(rules(("a", "x"), ("b", "y"))) == (2, False)
+    shown = config_layers.status(spark.createDataFrame([("api.token", "t"), ("color", "red")], "leaf string, value string"))
+    assert {r.leaf: r.value for r in shown.collect()} == {"api.token": "[redacted]", "color": "red"}
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]), (4, [2.0, 0.0])], "k long, v array<double>")
+    assert [r.k for r in search.nearest(vectors, "k", "v", [1.0, 0.0], 3).collect()] == [1, 4, 3]
+    strict = transcripts.score(goldens.sessions(spark), goldens.cases(spark), strict=True).collect()
+    assert all(any(e.startswith("missing eval ID") for e in r.errors) for r in strict if r.evaluated_cases == 0)
+    items = spark.createDataFrame([("s", 1, 6), ("s", 2, 9), ("s", 3, 4), ("s", 4, 1)], "session string, at long, size long")
+    got = expiry.quota(items, "session", "size", "at", max_bytes=10, max_items=2).orderBy("at").collect()
+    assert [(r.accepted, r.used_bytes, r.used_items) for r in got] == [(True, 6, 1), (False, 6, 1), (True, 10, 2), (False, 10, 2)]
+
+
+def test_stored_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from quarry.operators.shared import stored
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        stored(SimpleNamespace(sparkSession=far))
+
+
 def test_suite(spark):
     got = {r.problem for r in transcripts.suite_problems(goldens.cases(spark), ["file_hash"]).collect()}
     assert {"unknown surface: file_rename", "fewer than 3 cases: file_hash", "file_hash has no case of category negative"} <= got
