@@ -20,6 +20,7 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 
 def reach(edges: DataFrame, sources: DataFrame, depth: int | None = None) -> DataFrame:
     """``node, depth`` (1 at least) of all that ``sources`` (node) reach; a source only if a cycle leads back to it."""
+    edges = stored(edges.select("src", "dst")) if depth is None or depth > 1 else edges  # read again in every round
     start = stored(sources.select("node").distinct())
     frontier, known, level = start, None, 0
     while depth is None or level < depth:
@@ -47,20 +48,24 @@ def tagged(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(inner, "dst", "left").select("src", "dst", F.coalesce("_in", F.lit(True)).alias("external"))
 
 
-def shortest_path(edges: DataFrame, start: int, goal: int, hops: int = 12) -> DataFrame:
-    """``position, node`` of a shortest path of at most ``hops`` edges, the smallest of them as a list; both ends if none."""
-    spark = edges.sparkSession
-    frontier = spark.createDataFrame([(start, [start])], "node long, path array<long>")
+def shortest_path(edges: DataFrame, ends: DataFrame, hops: int = 12) -> DataFrame:
+    """``position, node`` of a shortest path of at most ``hops`` edges, the smallest of them as a list; both ends if none.
+
+    ``ends``: one row of start and goal.
+    """
+    edges, ends = stored(edges.select(F.col("src").cast("long"), F.col("dst").cast("long"))), stored(ends.select(F.col("start").cast("long"), F.col("goal").cast("long")))
+    goal = ends.select(F.col("goal").alias("node"))
+    none = ends.select(F.posexplode(F.array("start", "goal")).alias("position", "node"), F.lit(False).alias("found"))
+    frontier = ends.select(F.col("start").alias("node"), F.array("start").alias("path"))
     known = frontier.select("node")
-    none = spark.createDataFrame([([start, goal],)], "path array<long>").select(F.posexplode("path").alias("position", "node"), F.lit(False).alias("found"))
     for _ in range(hops):
-        step = edges.join(frontier, edges.src == frontier.node).select(F.col("dst").cast("long").alias("node"), F.concat("path", F.array(F.col("dst").cast("long"))).alias("path"))
+        step = edges.join(frontier, edges.src == frontier.node).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         frontier = stored(step.groupBy("node").agg(F.min("path").alias("path")).join(known, "node", "left_anti"))
-        if frontier.isEmpty():
-            return none
-        done = frontier.where(F.col("node") == goal)
+        done = frontier.join(goal, "node", "left_semi")
         if not done.isEmpty():
             return done.select(F.posexplode("path").alias("position", "node"), F.lit(True).alias("found"))
+        if frontier.isEmpty():
+            return none
         known = known.unionByName(frontier.select("node"))
     return none
 

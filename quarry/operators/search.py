@@ -11,6 +11,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.shared import stored
+
 K1, B = 1.2, 0.75
 WORD = r"[a-z0-9_]+"
 
@@ -23,11 +25,15 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
-    """``key, score`` of documents with a query term. Only query terms are exploded; the index is not."""
+    """``key, score`` of documents with a query term.
+
+    One pass counts words and the query's terms where they stand and stores these few
+    numbers; statistics and scores come from them.
+    """
     wanted = sorted(set(re.findall(WORD, query.lower())))
-    terms = docs.select(key, F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(f"({WORD})"), F.lit(1)).alias("terms"))
-    count_of = lambda w: F.size(F.filter("terms", lambda t: t == w))
-    counted = terms.select(key, F.size("terms").alias("n"), *(count_of(w).alias(f"tf{i}") for i, w in enumerate(wanted)))
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    alone = lambda w: F.lit(f"(?<![a-z0-9_]){w}(?![a-z0-9_])")
+    counted = stored(docs.select(key, F.regexp_count(low, F.lit(WORD)).alias("n"), *(F.regexp_count(low, alone(w)).alias(f"tf{i}") for i, w in enumerate(wanted))))
     stats = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))))
     joined = counted.join(F.broadcast(stats), F.lit(True))  # one row
     score: Column = F.lit(0.0)
@@ -76,11 +82,15 @@ def legend(docs: DataFrame, key: str, text: str, min_chars: int = 8) -> DataFram
     return lines.where(F.length("line") >= min_chars).groupBy("line").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.sha2(F.col("line").cast("binary"), 256).alias("code"), "line", "n")
 
 
-def squeeze(docs: DataFrame, key: str, text: str, codes: DataFrame) -> DataFrame:
-    """``key, place, code, line``: each line as a code of the legend or, where it has none, as itself."""
+def squeeze(docs: DataFrame, key: str, text: str, codes: DataFrame, min_chars: int = 8) -> DataFrame:
+    """``key, place, code, line``: each line as a code of the legend or, where it has none, as itself.
+
+    Lines below ``min_chars``, which a legend doesn't have, are not shuffled: blank ones are often a third of all.
+    """
     lines = docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("place", "line"))
-    coded = lines.withColumn("code", F.sha2(F.col("line").cast("binary"), 256)).join(codes.select("code", F.lit(True).alias("_in")), "code", "left")
-    return coded.select(key, "place", F.when(F.col("_in"), F.col("code")).alias("code"), F.when(F.col("_in").isNull(), F.col("line")).alias("line"))
+    short = lines.where(F.length("line") < min_chars).select(key, "place", F.lit(None).cast("string").alias("code"), "line")
+    long = lines.where(F.length("line") >= min_chars).withColumn("code", F.sha2(F.col("line").cast("binary"), 256)).join(codes.select("code", F.lit(True).alias("_in")), "code", "left")
+    return long.select(key, "place", F.when(F.col("_in"), F.col("code")).alias("code"), F.when(F.col("_in").isNull(), F.col("line")).alias("line")).unionByName(short)
 
 
 def unsqueeze(squeezed: DataFrame, key: str, codes: DataFrame) -> DataFrame:

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Writes a table below ``spark.checkpoint.dir`` (a local folder only where that is unset) and reads it again."""
+    """Writes a table below ``spark.checkpoint.dir`` and reads it again; a local folder serves only a local master."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quarry.scratch.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir has to name a folder that all executors of {master} share")
         root = tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("quarry.scratch.dir", root)
     path = f"{root.rstrip('/')}/quarry-{uuid.uuid4().hex}"
