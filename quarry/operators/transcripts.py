@@ -149,6 +149,12 @@ def invocations(sessions_calls: DataFrame) -> DataFrame:
     return rows.withColumn("number", number).withColumn("targets", target_count_udf("input"))
 
 
+def hashed_first(inv: DataFrame, hashes: tuple[str, ...] = ("file_hash",), mutations: tuple[str, ...] = MUTATIONS) -> DataFrame:
+    """``session, hashed_first`` of the sessions that mutate: whether a hash comes before the first mutation."""
+    at = lambda tools: F.min(F.when(F.col("tool").isin(*tools), F.col("number")))
+    return inv.groupBy("session").agg(at(hashes).alias("_h"), at(mutations).alias("_m")).where("_m IS NOT NULL").select("session", F.coalesce(F.col("_h") < F.col("_m"), F.lit(False)).alias("hashed_first"))
+
+
 def has_key(text: Column, key: str) -> Column:
     return F.regexp_like(text, F.lit(rf"(?:[\"']{key}[\"']|\b{key})\s*:"))
 

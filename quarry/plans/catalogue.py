@@ -7,7 +7,6 @@ operators' parameters.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
@@ -87,12 +86,6 @@ def inspect_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "sha256", "size", "n_lines", "s.content", "s.has_more", "c.kind")
 
 
-@query("SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
-def duplicate_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return d.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("sha256")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
-
-
 _LANGUAGE_CASE = "CASE ext " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in paths.LANGUAGES.items()) + " END"
 
 
@@ -141,98 +134,134 @@ def document_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN md5(coalesce(text, '')) END IGNORE NULLS)
-  OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS active FROM conversations
+WITH a AS (SELECT user_id, min((epoch_us(ts), event_id)) FILTER (event_type = 'view') AS v FROM events GROUP BY user_id),
+b AS (SELECT a.user_id, v, min((epoch_us(ts), event_id)) FILTER (event_type = 'click' AND (epoch_us(ts), event_id) > v) AS c FROM a JOIN events e ON a.user_id = e.user_id GROUP BY a.user_id, v),
+d AS (SELECT b.user_id, count(*) FILTER (event_type = 'purchase' AND (epoch_us(ts), event_id) > c) > 0 AS ok FROM b JOIN events e ON b.user_id = e.user_id GROUP BY b.user_id)
+SELECT user_id, coalesce(ok, FALSE) AS in_order FROM d
 """
 )
-def bind_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    own = F.when(F.col("role") == "user", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.last(own, ignorenulls=True).over(w).alias("active"))
+def ordered_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    seq = F.transform(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id", "event_type"))), lambda x: x.event_type)
+    wanted = F.array(F.lit("view"), F.lit("click"), F.lit("purchase"))
+    return e.groupBy("user_id").agg(seq.alias("s")).select("user_id", transcripts.ordered_subsequence(wanted, F.col("s")).alias("in_order"))
 
 
-@query(
-    """
-SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'assistant') AS answers, CAST(sum(length(coalesce(text, ''))) FILTER (role = 'assistant') AS BIGINT) AS answer_chars,
-  avg(CASE WHEN contains(coalesce(text, ''), chr(10)) THEN 1.0 ELSE 0.0 END) AS multi_line, count(*) FILTER (role = 'user') = count(*) FILTER (role = 'assistant') AS passed
-FROM conversations GROUP BY conv_id
+#: Sessions made of the conversations: an assistant turn is a call, its output is the user turn after it.
+_SCORED = """
+WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS session, turn, role, coalesce(text, '') AS text FROM conversations),
+calls AS (SELECT c.session, c.turn, o.text AS output, o.turn IS NOT NULL AS answered FROM t c LEFT JOIN t o ON o.session = c.session AND o.turn = c.turn + 1 AND o.role <> 'assistant' WHERE c.role = 'assistant'),
+loose AS (SELECT o.session, count(*) AS n FROM t o WHERE o.role <> 'assistant' AND NOT EXISTS (SELECT 1 FROM t c WHERE c.session = o.session AND c.turn = o.turn - 1 AND c.role = 'assistant') GROUP BY 1),
+per AS (SELECT session, count(*) AS batches, count(*) FILTER (answered) AS answered, coalesce(sum(length(output) + length(regexp_replace(output, '[\\x{{0000}}-\\x{{FFFF}}]', '', 'g'))) FILTER (answered), 0) AS chars,
+  count(*) FILTER (NOT answered OR output = '') AS faults FROM calls GROUP BY 1),
+alls AS (SELECT DISTINCT session FROM t)
+SELECT {fields} FROM alls a LEFT JOIN per p ON p.session = a.session LEFT JOIN loose l ON l.session = a.session
 """
-)
-def conversation_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
-    said = F.col("role") == "assistant"
-    body = F.coalesce("text", F.lit(""))
-    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(said).alias("answers"), F.sum(F.when(said, F.length(body))).alias("answer_chars"), F.avg(F.contains(body, F.lit("\n")).cast("double")).alias("multi_line"), (F.count_if(F.col("role") == "user") == F.count_if(said)).alias("passed"))
 
 
-@query("SELECT role, count(*) AS n FROM conversations GROUP BY role")
-def role_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    call = F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("custom_tool_call").alias("type"), F.col("turn").cast("string").alias("call_id"), F.lit("mcp__tools__search").alias("name"), F.to_json(F.struct(F.left(F.coalesce("text", F.lit("")), F.lit(40)).alias("query"))).alias("input")).alias("payload")))
+    answer = F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("custom_tool_call_output").alias("type"), (F.col("turn") - 1).cast("string").alias("call_id"), F.coalesce("text", F.lit("")).alias("output")).alias("payload")))
+    line = F.when(F.col("role") == "assistant", call).otherwise(answer)
+    return c.groupBy(F.col("conv_id").cast("string").alias("session")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x.l), "\n").alias("text"))
 
 
-@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END)::BIGINT AS large FROM events GROUP BY event_type")
-def error_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.count_if(F.col("value") > 50).alias("large"))
+@query(
+    _SCORED.format(
+        fields="""a.session, coalesce(batches, 0) AS batches, coalesce(batches, 0) AS unscored_batches, CAST(coalesce(chars, 0) AS BIGINT) AS output_chars, CAST(0 AS BIGINT) AS mutation_calls, coalesce(batches, 0) AS invocations,
+  CAST(0 AS DOUBLE) AS batch_density, CASE WHEN batches > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS calls_per_turn, CASE WHEN answered > 0 THEN 'search=' || answered ELSE '' END AS tool_calls,
+  coalesce(faults, 0) + coalesce(n, 0) AS n_errors, coalesce(faults, 0) + coalesce(n, 0) = 0 AS passed"""
+    )
+)
+def transcript_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = transcripts.score(_sessions(spark, sf_dir), goldens.cases(spark))
+    return s.select("session", "batches", "unscored_batches", "output_chars", "mutation_calls", "invocations", "batch_density", "calls_per_turn", "tool_calls", F.size("errors").cast("long").alias("n_errors"), "passed")
 
 
 @query(
     """
-WITH a AS (SELECT user_id, min((epoch_us(ts), event_id)) FILTER (event_type = 'view') AS v FROM events GROUP BY user_id),
-b AS (SELECT a.user_id, v, min((epoch_us(ts), event_id)) FILTER (event_type = 'click' AND (epoch_us(ts), event_id) > v) AS c FROM a JOIN events e ON a.user_id = e.user_id GROUP BY a.user_id, v),
-d AS (SELECT b.user_id, count(*) FILTER (event_type = 'purchase' AND (epoch_us(ts), event_id) > c) > 0 AS ok FROM b JOIN events e ON b.user_id = e.user_id GROUP BY b.user_id)
-SELECT user_id, coalesce(ok, FALSE) AS in_order FROM d
+WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS session, turn, role, coalesce(text, '') AS text FROM conversations)
+SELECT 'missing output for call ID: ' || c.turn AS error, session FROM t c WHERE role = 'assistant' AND NOT EXISTS (SELECT 1 FROM t o WHERE o.session = c.session AND o.turn = c.turn + 1 AND o.role <> 'assistant')
+UNION ALL SELECT 'unmatched output ID: ' || (o.turn - 1), session FROM t o WHERE role <> 'assistant' AND NOT EXISTS (SELECT 1 FROM t c WHERE c.session = o.session AND c.turn = o.turn - 1 AND c.role = 'assistant')
+UNION ALL SELECT 'empty output for call ID: ' || c.turn, c.session FROM t c JOIN t o ON o.session = c.session AND o.turn = c.turn + 1 WHERE c.role = 'assistant' AND o.role <> 'assistant' AND o.text = ''
 """
 )
-def ordered_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    seq = F.transform(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id", "event_type"))), lambda x: x.event_type)
-    wanted = F.array(F.lit("view"), F.lit("click"), F.lit("purchase"))
-    return e.groupBy("user_id").agg(seq.alias("s")).select("user_id", transcripts.ordered_subsequence(wanted, F.col("s")).alias("in_order"))
+def transcript_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls without an output, outputs without a call, and empty outputs."""
+    recs = transcripts.records(transcripts.lines(_sessions(spark, sf_dir)))
+    return transcripts.errors(recs, transcripts.calls(recs), transcripts.outputs(recs))
 
 
-@query("SELECT user_id, coalesce(min(ts) FILTER (event_type = 'signup') < min(ts) FILTER (event_type = 'purchase'), FALSE) AS signup_first FROM events GROUP BY user_id")
-def first_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = lambda t: F.min(F.when(F.col("event_type") == t, F.col("ts")))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.coalesce(at("signup") < at("purchase"), F.lit(False)).alias("signup_first"))
+@query(
+    """
+WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS session, turn, role, conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS line FROM conversations),
+u AS (SELECT *, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY session ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS asked FROM t)
+SELECT session, CAST(line AS INTEGER) AS line, CASE WHEN asked IS NULL THEN '' ELSE CAST(conv_id * 100 + asked AS VARCHAR) END AS eval_ids FROM u WHERE role = 'assistant'
+"""
+)
+def bind_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation that is active at each call: the one that the last user message names."""
+    c = table(spark, sf_dir, "conversations")
+    said = F.concat(F.lit("eval:"), (F.col("conv_id") * 100 + F.col("turn")).cast("string"))
+    item = lambda *fields: F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(*fields).alias("payload")))
+    call = item(F.lit("custom_tool_call").alias("type"), F.col("turn").cast("string").alias("call_id"), F.lit("mcp__tools__search").alias("name"), F.lit("{}").alias("input"))
+    message = item(F.lit("message").alias("type"), F.col("role").alias("role"), said.alias("content"))
+    line = F.when(F.col("role") == "assistant", call).otherwise(message)
+    sessions = c.groupBy(F.col("conv_id").cast("string").alias("session")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x.l), "\n").alias("text"))
+    calls = transcripts.calls(transcripts.records(transcripts.lines(sessions)))
+    return calls.select("session", F.col("line").cast("int").alias("line"), F.array_join(F.transform("eval_ids", lambda x: x.cast("string")), ",").alias("eval_ids"))
 
 
-@query("SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
-def first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+_ORDERED = """
+a AS (SELECT user_id, min((epoch_us(ts), event_id)) FILTER (event_type = 'click') AS v FROM events GROUP BY user_id),
+b AS (SELECT a.user_id, v, min((epoch_us(ts), event_id)) FILTER (event_type = 'purchase' AND (epoch_us(ts), event_id) > v) AS c FROM a JOIN events e ON a.user_id = e.user_id GROUP BY a.user_id, v),
+o AS (SELECT b.user_id, count(*) FILTER (event_type = 'view' AND (epoch_us(ts), event_id) > c) > 0 AS ok FROM b JOIN events e ON b.user_id = e.user_id GROUP BY b.user_id)
+"""
 
 
 @query(
-    """
-SELECT l.doc_id, 'label without document' AS problem FROM labels l ANTI JOIN documents d ON l.doc_id = d.doc_id
-UNION ALL SELECT d.doc_id, 'document without label' FROM documents d ANTI JOIN labels l ON l.doc_id = d.doc_id
+    f"""
+WITH u AS (SELECT user_id, list_distinct(list(event_type)) AS used FROM events WHERE event_type <> 'error' OR event_id % 7 = 0 GROUP BY user_id),
+events AS (SELECT * FROM events WHERE event_type <> 'error' OR event_id % 7 = 0), {_ORDERED},
+m AS (SELECT u.user_id, array_to_string(list_filter(['click', 'purchase', 'view'], lambda x: NOT list_contains(used, x)), ', ') AS missing, list_contains(used, 'error') AS bad, coalesce(ok, FALSE) AS ok FROM u JOIN o ON o.user_id = u.user_id)
+SELECT CAST(user_id AS VARCHAR) AS session, CASE WHEN missing <> '' THEN 'missing tools: ' || missing WHEN bad THEN 'forbidden tools: error' WHEN NOT ok THEN 'tools out of order' END AS problem,
+  CAST(CASE WHEN missing = '' AND NOT bad AND ok THEN 2 ELSE 0 END AS BIGINT) AS assertions FROM m
 """
 )
-def label_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, lab = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
-    return lab.join(d, "doc_id", "left_anti").withColumn("problem", F.lit("label without document")).unionByName(d.join(lab, "doc_id", "left_anti").withColumn("problem", F.lit("document without label")))
+def case_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Required and forbidden tools and their order, users as sessions and events as calls; a seventh of the errors is seen."""
+    e = table(spark, sf_dir, "events").where("event_type <> 'error' OR event_id % 7 = 0")
+    call = F.array(F.struct(F.col("event_type").alias("tool"), F.lit("{}").alias("input"), F.lit(False).alias("concurrent")))
+    at = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    bound = e.select(F.col("user_id").cast("string").alias("session"), at.alias("line"), call.alias("invocations"), F.array(F.lit(1).cast("long")).alias("eval_ids"), F.lit(False).alias("failed"), F.lit("x").alias("output"))
+    cases = spark.createDataFrame([(1, ["click", "purchase", "view"], ["error"], ["a", "b"])], "id int, required_tools array<string>, forbidden_tools array<string>, assertions array<string>")
+    return transcripts.evaluate(bound, cases).select("session", "problem", "assertions")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS session, coalesce(min((epoch_us(ts), event_id)) FILTER (event_type = 'signup') < min((epoch_us(ts), event_id)) FILTER (event_type = 'purchase'), FALSE) AS hashed_first FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'purchase') > 0")
+def hash_before_mutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    inv = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session"), at.alias("number"), F.col("event_type").alias("tool"))
+    return transcripts.hashed_first(inv, hashes=("signup",), mutations=("purchase",))
 
 
 @query(
     """
-SELECT d.source, count(*) AS documents, count(l.doc_id) AS labelled, count(*) FILTER (l.toxic = 1) AS toxic, count(l.doc_id) < 3 OR count(*) FILTER (l.quality = 0) = 0 AS thin
-FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source
+WITH c AS (SELECT d.doc_id AS id, d.source AS surface, CASE WHEN l.toxic = 1 THEN 'negative' WHEN l.quality = 1 THEN 'positive' WHEN l.quality = 0 THEN 'variant' ELSE 'none' END AS category, d.doc_id % 5 AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+p AS (SELECT surface, count(*) AS n, list(DISTINCT category) AS got FROM c GROUP BY 1)
+SELECT 'unknown surface: ' || surface AS problem FROM (SELECT DISTINCT surface FROM c WHERE surface NOT IN ('web', 'books'))
+UNION ALL SELECT 'fewer than 3 cases: ' || surface FROM p WHERE n < 3
+UNION ALL SELECT surface || ' has no case of category ' || x FROM (SELECT surface, got, unnest(['positive', 'variant', 'negative']) AS x FROM p) WHERE NOT list_contains(got, x)
+UNION ALL SELECT 'fewer than 3 assertions: ' || id FROM c WHERE n < 3
 """
 )
 def suite_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").withColumn("has", F.lit(1)), "doc_id", "left")
-    return d.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count("has").alias("labelled"), F.count_if(F.col("toxic") == 1).alias("toxic"), ((F.count("has") < 3) | (F.count_if(F.col("quality") == 0) == 0)).alias("thin"))
-
-
-@query()
-def transcript_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as sessions: each assistant turn is a call whose output is the next user turn."""
-    c = table(spark, sf_dir, "conversations")
-    call = F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("custom_tool_call").alias("type"), F.col("turn").cast("string").alias("call_id"), F.lit("mcp__tools__search").alias("name"), F.to_json(F.struct(F.left(F.coalesce("text", F.lit("")), F.lit(40)).alias("query"))).alias("input")).alias("payload")))
-    answer = F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("custom_tool_call_output").alias("type"), (F.col("turn") - 1).cast("string").alias("call_id"), F.coalesce("text", F.lit("")).alias("output")).alias("payload")))
-    line = F.when(F.col("role") == "assistant", call).otherwise(answer)
-    sessions = c.groupBy(F.col("conv_id").cast("string").alias("session")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x.l), "\n").alias("text"))
-    s = transcripts.score(sessions, goldens.cases(spark))
-    return s.select("session", "batches", "unscored_batches", "output_chars", "mutation_calls", "invocations", "batch_density", "calls_per_turn", "tool_calls", F.size("errors").cast("long").alias("n_errors"), "passed")
+    """Checks of a case table; documents as cases and sources as surfaces."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    category = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").when(F.col("quality") == 0, "variant").otherwise("none")
+    cases = d.select(F.col("doc_id").alias("id"), F.col("source").alias("surface"), category.alias("category"), F.array_repeat(F.lit("a"), (F.col("doc_id") % 5).cast("int")).alias("assertions"))
+    return transcripts.suite_problems(cases, ["web", "books"])
 
 
 @query()
@@ -285,6 +314,24 @@ def longest_prefix_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("page_id", "root", "formatter")
 
 
+@query("SELECT count(DISTINCT n_regionkey) AS roots, (SELECT count(DISTINCT c) FROM (SELECT string_agg(CAST(n_nationkey % 3 AS VARCHAR), ',' ORDER BY n_nationkey % 3) AS c FROM nation GROUP BY n_regionkey)) <= 1 AS equal FROM nation")
+def conflicting_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether all roots have the same rules; regions as roots and their nations as rules."""
+    n = table(spark, sf_dir, "nation")
+    return config_layers.conflicts(n.select(F.col("n_regionkey").alias("root"), (F.col("n_nationkey") % 3).cast("string").alias("rule")))
+
+
+@query(
+    """
+WITH a AS (SELECT c_nationkey AS k FROM customer), b AS (SELECT s_nationkey AS k FROM supplier), d AS (SELECT k FROM a EXCEPT ALL SELECT k FROM b), e AS (SELECT k FROM b EXCEPT ALL SELECT k FROM a)
+SELECT (SELECT count(*) FROM d) + (SELECT count(*) FROM e) = 0 AS equal
+"""
+)
+def policy_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multiset equality of two tables that hold the same values, but not as often."""
+    return changes.same_multiset(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")))
+
+
 _LAYERS = """
 (SELECT 'nation.' || n_nationkey AS leaf, 'default' AS layer, 0 AS layer_ord, n_name AS value FROM nation
  UNION ALL SELECT 'nation.' || n_nationkey, 'global', 1, CASE WHEN n_regionkey % 2 = 0 THEN upper(n_name) || '-g' END FROM nation
@@ -301,17 +348,6 @@ def layer_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config_layers.merge(leaves).select("leaf", "value", "provenance")
 
 
-@query("SELECT n_regionkey AS region, count(*) AS rules, CAST(count(*) = 5 AS BOOLEAN) AS equal_size FROM nation GROUP BY 1")
-def policy_equal_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.count(F.lit(1)).alias("rules"), (F.count(F.lit(1)) == 5).alias("equal_size"))
-
-
-@query("SELECT (SELECT count(*) FROM (SELECT n_name FROM nation EXCEPT ALL SELECT n_name FROM nation)) = 0 AS equal")
-def policy_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").select("n_name")
-    return changes.same_multiset(n, n.orderBy(F.desc("n_name")))
-
-
 @query(
     """
 WITH a AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice + 1 ELSE o_totalprice END AS v FROM orders WHERE o_orderpriority <> '1-URGENT'
@@ -327,46 +363,12 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.snapshot_diff(o.select("o_orderkey", F.col("o_totalprice").alias("v")), after, "o_orderkey", "v")
 
 
-@query(
-    """
-WITH u AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS used FROM events GROUP BY user_id)
-SELECT user_id, array_to_string(list_filter(['click', 'purchase', 'view'], lambda x: NOT list_contains(used, x)), ',') AS missing,
-  array_to_string(list_filter(['error', 'signup'], lambda x: list_contains(used, x)), ',') AS forbidden FROM u
-"""
-)
-def set_diff_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("used"))
-    arr = lambda *v: F.array(*map(F.lit, v))
-    return u.select("user_id", F.array_join(F.array_except(arr("click", "purchase", "view"), "used"), ",").alias("missing"), F.array_join(F.array_intersect(arr("error", "signup"), "used"), ",").alias("forbidden"))
-
-
-@query(
-    """
-SELECT c_nationkey, c_custkey, rn, total FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn,
-  count(*) OVER (PARTITION BY c_nationkey) AS total FROM customer) WHERE rn <= 5
-"""
-)
-def capped_topk_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A top-k report: the five largest balances of each nation, with the exact total."""
-    c = table(spark, sf_dir, "customer")
-    w = Window.partitionBy("c_nationkey")
-    r = c.select("c_nationkey", "c_custkey", F.row_number().over(w.orderBy(F.desc("c_acctbal"), "c_custkey")).cast("long").alias("rn"), F.count(F.lit(1)).over(w).alias("total"))
-    return r.where("rn <= 5")
-
-
 # -- graph -----------------------------------------------------------------------------
 
-_EDGES = """(SELECT DISTINCT src, dst FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst, l_quantity AS q FROM lineitem) WHERE dst IS NOT NULL AND q > 48)"""
+_EDGES = """(SELECT DISTINCT src, dst FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem) WHERE dst IS NOT NULL)"""
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges from the supplier of each large line to that of the order's next line: a sparse graph at every size."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(w).alias("dst"), F.col("l_quantity").alias("q"))
-    return e.where("dst IS NOT NULL AND q > 48").select("src", "dst").distinct()
-
-
-def _all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges from the supplier of every line to that of the order's next line."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(w).alias("dst"))
@@ -396,30 +398,25 @@ _REVERSED = f"(SELECT dst AS src, src AS dst FROM {_EDGES})"
 
 
 @query(_reach_sql(_EDGES, 3))
-def deps_depth3(spark: SparkSession, sf_dir: str, edges: Query = _edges) -> DataFrame:
-    return graph.reach(edges(spark, sf_dir), _start(spark, sf_dir), 3)
+def deps_depth3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.reach(_edges(spark, sf_dir), _start(spark, sf_dir), 3)
 
 
 @query(_reach_sql(_REVERSED, 3))
-def reverse_deps(spark: SparkSession, sf_dir: str, edges: Query = _edges) -> DataFrame:
-    return graph.reach(graph.reversed_edges(edges(spark, sf_dir)), _start(spark, sf_dir), 3)
+def reverse_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.reach(graph.reversed_edges(_edges(spark, sf_dir)), _start(spark, sf_dir), 3)
 
 
 @query(f"SELECT src, dst, dst % 5 = 0 AS external FROM {_EDGES}")
-def graph_edges(spark: SparkSession, sf_dir: str, edges: Query = _edges) -> DataFrame:
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "supplier").where("s_suppkey % 5 != 0").select(F.col("s_suppkey").alias("node"))
-    return graph.tagged(edges(spark, sf_dir), known)
+    return graph.tagged(_edges(spark, sf_dir), known)
 
 
-@query(
-    f"""
-WITH RECURSIVE e AS {_EDGES}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src),
-m AS (SELECT a.src AS node, a.dst AS other FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src)
-SELECT min(other) AS component, node FROM m GROUP BY node
-"""
-)
-def cycles(spark: SparkSession, sf_dir: str, edges: Query = _edges) -> DataFrame:
-    return graph.cycles(edges(spark, sf_dir))
+@query()
+def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recursive SQL would make all pairs that reach each other; a test has brute force."""
+    return graph.cycles(_edges(spark, sf_dir))
 
 
 def _capped_sql(edges: str) -> str:
@@ -427,13 +424,13 @@ def _capped_sql(edges: str) -> str:
 
 
 @query(_capped_sql(_REVERSED))
-def callers(spark: SparkSession, sf_dir: str, edges: Query = _edges) -> DataFrame:
-    return graph.capped(graph.reach(graph.reversed_edges(edges(spark, sf_dir)), _start(spark, sf_dir), 1).select("node"), 200, "node")
+def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.capped(graph.reach(graph.reversed_edges(_edges(spark, sf_dir)), _start(spark, sf_dir), 1).select("node"), 200, "node")
 
 
 @query(_capped_sql(_EDGES))
-def callees(spark: SparkSession, sf_dir: str, edges: Query = _edges) -> DataFrame:
-    return graph.capped(graph.reach(edges(spark, sf_dir), _start(spark, sf_dir), 1).select("node"), 200, "node")
+def callees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.capped(graph.reach(_edges(spark, sf_dir), _start(spark, sf_dir), 1).select("node"), 200, "node")
 
 
 def _trace_sql(hops: int) -> str:
@@ -447,9 +444,9 @@ def _trace_sql(hops: int) -> str:
 
 
 @query(_trace_sql(12))
-def trace(spark: SparkSession, sf_dir: str, edges: Query = _edges) -> DataFrame:
-    top = _start(spark, sf_dir).first().node
-    return graph.shortest_path(edges(spark, sf_dir), top, top - 9)
+def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = _start(spark, sf_dir).select(F.col("node").alias("start"), (F.col("node") - 9).alias("goal"))
+    return graph.shortest_path(_edges(spark, sf_dir), ends)
 
 
 @query(
@@ -463,23 +460,15 @@ UNION ALL SELECT 'dependents', node, 1 FROM t1 UNION ALL SELECT 'dependents', no
 UNION ALL SELECT 'tests', node, 1 FROM t1 WHERE node % 2 = 1 UNION ALL SELECT 'tests', node, 2 FROM t2 WHERE node % 2 = 1
 """
 )
-def impact(spark: SparkSession, sf_dir: str, edges: Query = _edges) -> DataFrame:
-    e = edges(spark, sf_dir)
+def impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _edges(spark, sf_dir)
     tests = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 1").select(F.col("s_suppkey").alias("node"))
     return graph.impact(e, e, _start(spark, sf_dir), tests)
 
 
 @query(f"WITH RECURSIVE e AS {_EDGES}, r AS (SELECT max(s_suppkey) AS node FROM supplier UNION SELECT e.dst FROM r JOIN e ON r.node = e.src), d AS (SELECT DISTINCT e.dst AS node FROM e JOIN r ON e.src = r.node) SELECT node FROM d")
-def closure(spark: SparkSession, sf_dir: str, edges: Query = _edges) -> DataFrame:
-    return graph.reach(edges(spark, sf_dir), _start(spark, sf_dir)).select("node")
-
-
-#: Over every pair of adjacent lines: the queries above keep the lines of quantity over 48 that their SQL states.
-#: The recursive SQL of ``cycles`` makes all pairs that reach each other, too many here; a test has brute force.
-for _name in "deps_depth3 reverse_deps graph_edges cycles callers callees trace impact closure".split():
-    QUERIES[f"{_name}_whole"] = partial(QUERIES[_name], edges=_all_edges)
-    if _name != "cycles":
-        ORACLES[f"{_name}_whole"] = ORACLES[_name].replace(_EDGES, _EDGES.replace(" AND q > 48", ""))
+def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.reach(_edges(spark, sf_dir), _start(spark, sf_dir)).select("node")
 
 
 @query(
@@ -493,6 +482,12 @@ def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.pack(d, 8000, "source", order="doc_id").select("doc_id", "tokens", "used")
 
 
+@query("SELECT c_custkey AS node, (SELECT count(*) FROM customer WHERE c_acctbal > 0) AS total FROM customer WHERE c_acctbal > 0 ORDER BY c_custkey LIMIT 200")
+def capped_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of the first 200, with the exact total."""
+    return graph.capped(table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("node")), 200, "node")
+
+
 # -- search ----------------------------------------------------------------------------
 
 _QUERY = "the license agreement of this"
@@ -573,14 +568,15 @@ def prose_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-SELECT user_id, event_id, CAST(used_bytes AS BIGINT) AS used_bytes, used_items, used_bytes <= 400 AND used_items <= 32 AS accepted FROM (
-  SELECT user_id, event_id, sum(strlen(coalesce(props, ''))) OVER w AS used_bytes, count(*) OVER w AS used_items FROM events
-  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+WITH RECURSIVE e AS (SELECT user_id, event_id, strlen(coalesce(props, '')) AS size, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT user_id, event_id, k, size <= 400 AS accepted, CASE WHEN size <= 400 THEN size ELSE 0 END AS bytes, CASE WHEN size <= 400 THEN 1 ELSE 0 END AS items FROM e WHERE k = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.k, bytes + size <= 400 AND items < 32, CASE WHEN bytes + size <= 400 AND items < 32 THEN bytes + size ELSE bytes END, CASE WHEN bytes + size <= 400 AND items < 32 THEN items + 1 ELSE items END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, event_id, CAST(bytes AS BIGINT) AS used_bytes, CAST(items AS BIGINT) AS used_items, accepted FROM r
 """
 )
 def storage_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("size", F.octet_length(F.coalesce("props", F.lit(""))).cast("long"))
-    return expiry.quota(e, "user_id", "size", "ts", "event_id", max_bytes=400).select("user_id", "event_id", "used_bytes", "used_items", "accepted")
+    return expiry.quota(e.select("user_id", "event_id", "ts", "size"), "user_id", "size", "ts", "event_id", max_bytes=400).select("user_id", "event_id", "used_bytes", "used_items", "accepted")
 
 
 @query(
@@ -617,14 +613,15 @@ def lru_evicted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-SELECT doc_id, CASE WHEN n = 1 THEN md5(replace(t, 'the ', 'THE ')) END AS replaced, CASE WHEN n = 0 THEN 'no_match' WHEN n > 1 THEN 'ambiguous' ELSE 'exact' END AS outcome
-FROM (SELECT doc_id, t, (length(t) - length(replace(t, 'the ', ''))) // 4 AS n FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
+SELECT doc_id, CASE WHEN n = 1 THEN md5(replace(t, needle, 'THE ')) END AS replaced, CASE WHEN n = 1 THEN 'exact' END AS method, CASE WHEN n > 1 THEN 'ambiguous' END AS error
+FROM (SELECT doc_id, t, needle, (length(t) - length(replace(t, needle, ''))) // length(needle) AS n FROM (SELECT doc_id, t, substr(t, 1, 12) AS needle FROM (SELECT doc_id, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents)) WHERE length(trim(needle, ' ' || chr(10) || chr(9))) > 0)
 """
 )
 def exact_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _text(table(spark, sf_dir, "documents"))
-    n = text.occurrences(F.col("text"), "the ")
-    return d.select("doc_id", F.when(n == 1, F.md5(F.replace("text", F.lit("the "), F.lit("THE ")).cast("binary"))).alias("replaced"), F.when(n == 0, F.lit("no_match")).when(n > 1, F.lit("ambiguous")).otherwise(F.lit("exact")).alias("outcome"))
+    """The first twelve code points of each text replaced; where they come again the place is ambiguous."""
+    d = _text(table(spark, sf_dir, "documents")).select("doc_id", text.normalize_newlines(F.col("text")).alias("t")).withColumn("needle", F.substring("t", 1, 12)).where("length(trim(BOTH ' \n\t' FROM needle)) > 0")
+    r = d.select("doc_id", replace_udf()("t", "needle", F.lit("THE ")).alias("r"))
+    return r.select("doc_id", F.md5(F.col("r.content").cast("binary")).alias("replaced"), "r.method", "r.error")
 
 
 @query()

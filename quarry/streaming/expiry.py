@@ -116,17 +116,36 @@ def least_recent(touches: DataFrame, key: str, at: str, keep: int = 128) -> Data
 
 
 def quota(items: DataFrame, session: str, size: str, *order: str, max_bytes: int = MAX_BYTES, max_items: int = MAX_RECEIPTS) -> DataFrame:
-    """Items in order with running bytes and count per session, and whether all so far fit the limits."""
-    w = Window.partitionBy(session).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    fits: Column = (F.col("used_bytes") <= max_bytes) & (F.col("used_items") <= max_items)
-    return items.withColumn("used_bytes", F.sum(size).over(w)).withColumn("used_items", F.row_number().over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("long")).withColumn("accepted", fits)
+    """Items in order, whether each is accepted, and bytes and count that its session uses after it.
+
+    An item that doesn't fit is refused and uses nothing, so whether one fits depends on
+    which earlier ones did: a fold over a session's items. Its state and rows stay in
+    one task, as a window's partition does.
+    """
+    def step(state: Column, x: Column) -> Column:
+        fits = (state.bytes + x[size] <= max_bytes) & (state.items < max_items)
+        return F.struct((state.bytes + F.when(fits, x[size]).otherwise(0)).cast("long").alias("bytes"), (state.items + F.when(fits, 1).otherwise(0)).cast("long").alias("items"), fits.alias("fits"))
+
+    w = Window.partitionBy(session).orderBy(*order)
+    # Only sizes are folded; the verdicts go back to the rows by their place.
+    sized = items.withColumn("_place", F.row_number().over(w))
+    start = F.struct(F.lit(0).cast("long").alias("bytes"), F.lit(0).cast("long").alias("items"), F.lit(False).alias("fits"))
+    folded = F.aggregate(F.col("_rows"), F.struct(start.alias("now"), F.array().cast("array<struct<bytes:bigint,items:bigint,fits:boolean>>").alias("past")), lambda s, x: F.struct(step(s.now, x).alias("now"), F.concat(s.past, F.array(step(s.now, x))).alias("past")), lambda s: s.past)
+    verdicts = sized.groupBy(session).agg(F.array_sort(F.collect_list(F.struct("_place", F.col(size).cast("long").alias(size)))).alias("_rows")).select(session, F.posexplode(folded).alias("_at", "v"))
+    verdicts = verdicts.select(session, (F.col("_at") + 1).alias("_place"), F.col("v.bytes").alias("used_bytes"), F.col("v.items").alias("used_items"), F.col("v.fits").alias("accepted"))
+    return sized.join(verdicts, [session, "_place"]).drop("_place")
 
 
 def challenges(requests: DataFrame, max_pending: int = 64) -> DataFrame:
     """Per session, pending approval challenges at each request and whether one more is accepted.
 
-    ``requests``: session, at_ms, expires_ms. Pending are earlier ones that have not expired.
+    ``requests``: session, at_ms, expires_ms. Pending are earlier ones that have not expired:
+    each request counts from its time on and no more from when it expires, as a running sum.
     """
-    older = Window.partitionBy("session").orderBy("at_ms").rowsBetween(Window.unboundedPreceding, -1)
-    waiting = F.size(F.filter(F.collect_list("expires_ms").over(older), lambda e: e > F.col("at_ms")))
-    return requests.withColumn("pending", waiting.cast("long")).withColumn("accepted", waiting < max_pending)
+    keyed = requests.withColumn("_n", F.row_number().over(Window.partitionBy("session").orderBy("at_ms", "expires_ms")))
+    starts = keyed.select("session", F.col("at_ms").alias("_t"), F.lit(1).alias("_kind"), F.lit(1).alias("_step"), "at_ms", "expires_ms", "_n")
+    ends = keyed.where("expires_ms > at_ms").select("session", F.col("expires_ms").alias("_t"), F.lit(0).alias("_kind"), F.lit(-1).alias("_step"), F.lit(None).cast("long").alias("at_ms"), F.lit(None).cast("long").alias("expires_ms"), F.lit(0).alias("_n"))
+    live = F.when((F.col("_kind") == 1) & (F.col("expires_ms") <= F.col("at_ms")), 0).otherwise(F.col("_step"))
+    w = Window.partitionBy("session").orderBy("_t", "_kind", "_n").rowsBetween(Window.unboundedPreceding, -1)
+    counted = starts.unionByName(ends).withColumn("pending", F.coalesce(F.sum(live).over(w), F.lit(0)).cast("long"))
+    return counted.where("_kind = 1").select("session", "at_ms", "expires_ms", "pending", (F.col("pending") < max_pending).alias("accepted"))

@@ -80,7 +80,7 @@ def test_whole_graph_has_every_adjacent_pair(spark, sf_dir):
     for r in catalogue.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").collect():
         orders.setdefault(r[0], []).append(tuple(r)[1:])
     edges = {(a[2], b[2]) for lines in orders.values() for a, b in zip(sorted(lines), sorted(lines)[1:])}
-    assert {(r.src, r.dst) for r in catalogue.QUERIES["graph_edges_whole"](spark, sf_dir).collect()} == edges
+    assert {(r.src, r.dst) for r in catalogue.QUERIES["graph_edges"](spark, sf_dir).collect()} == edges
     nodes = {n for e in edges for n in e}
     reached = {}
     for n in nodes:
@@ -90,6 +90,6 @@ def test_whole_graph_has_every_adjacent_pair(spark, sf_dir):
             new = {b for a, b in edges if a in new} - seen
         reached[n] = seen
     mutual = {n: {m for m in reached[n] if n in reached[m]} for n in nodes}
-    assert {(r.component, r.node) for r in catalogue.QUERIES["cycles_whole"](spark, sf_dir).collect()} == {(min(m), n) for n, m in mutual.items() if m}
+    assert {(r.component, r.node) for r in catalogue.QUERIES["cycles"](spark, sf_dir).collect()} == {(min(m), n) for n, m in mutual.items() if m}
     top = max(r.s_suppkey for r in catalogue.table(spark, sf_dir, "supplier").collect())
-    assert {r.node for r in catalogue.QUERIES["closure_whole"](spark, sf_dir).collect()} == reached[top]
+    assert {r.node for r in catalogue.QUERIES["closure"](spark, sf_dir).collect()} == reached[top]
