@@ -95,14 +95,17 @@ def stored(df: DataFrame, *partition_hint: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession, keep: DataFrame) -> None:
-    """Deletes the scratch tables made so far but those that ``keep`` reads; for callers that need no other result."""
-    read = {x.rsplit("/part-", 1)[0].split(":", 1)[-1].lstrip("/") for x in keep.inputFiles()}
-    for path in list(_made):
-        if path.split(":", 1)[-1].lstrip("/") not in read:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-            _made.remove(path)
+def scratch_made() -> int:
+    """How many scratch paths were handed out and not dropped; see ``drop_scratch``."""
+    return len(_made)
+
+
+def drop_scratch(spark: SparkSession, since: int) -> None:
+    """Deletes the scratch tables made after the first ``since`` but for the last one, which a caller goes on with."""
+    for path in _made[since:-1]:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _made.remove(path)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str | int, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
