@@ -1,11 +1,16 @@
-"""Training-corpus pipeline over ``documents``: STAGES in order, each written and read again by its caller or by ``run``."""
+"""Training-corpus pipeline over ``documents``: STAGES in order, each written and read again by its caller or by ``run``.
+
+Defined results of every stage: columns of the input are passed on, whatever their
+names; a null or empty text is clean, and stays null or empty; rows without an id, and
+rows that repeat one, stay unless their text goes; an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import bpe, jaccard_join, line_dedup, mixing, toxicity
-from quarry.llm.common import stored, table
+from quarry.llm.common import drop_scratch, scratch_made, stored, table
 
 #: Domains of the mixing stage, and the shares of tokens they are to have; toxic documents are gone by then.
 DOMAIN = "CASE WHEN quality = 1 THEN 'high' WHEN quality = 0 THEN 'low' END"
@@ -50,7 +55,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), scratch_made()
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
+        drop_scratch(spark, since)  # only the stage's result is read again
     return STAGES[-1][1](spark, docs, sf_dir)
