@@ -52,6 +52,22 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
 
 
+def resolve(root: Column, path: Column) -> Column:
+    """The absolute path: a relative one taken from ``root``, empty and ``.`` segments dropped, ``..`` taking one back, not above ``/``."""
+    parts = F.split(F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(root, F.lit("/"), path)), "/")
+    start = F.array().cast("array<string>")
+    kept = F.aggregate(F.filter(parts, lambda x: ~x.isin("", ".")), start, lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def relative(root: Column, path: Column) -> Column:
+    """The way from one resolved path to another: ``..`` for each segment left, then those entered; empty where they are one."""
+    a, b = F.filter(F.split(root, "/"), lambda x: x != ""), F.filter(F.split(path, "/"), lambda x: x != "")
+    shared = F.size(F.filter(F.sequence(F.lit(0), F.least(F.size(a), F.size(b))), lambda n: F.slice(a, 1, n) == F.slice(b, 1, n))) - 1
+    up = F.array_repeat(F.lit(".."), F.size(a) - shared)
+    return F.array_join(F.concat(up, F.slice(b, shared + 1, F.size(b))), "/")
+
+
 def literal_prefix(glob: str) -> int:
     """Characters before the first wildcard."""
     found = re.search(r"[?*\[{]", glob)

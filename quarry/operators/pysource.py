@@ -6,6 +6,7 @@ Other languages have no parser here; their rows get ``language_unsupported``.
 from __future__ import annotations
 
 import ast
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -134,32 +135,58 @@ def surface(sources: DataFrame, path: str = "path", text: str = "text") -> DataF
     return sources.select(F.col(path).alias("path"), F.explode(F.coalesce(listed(text), top)).alias("name"))
 
 
-def pattern_matches(source: str, pattern: str) -> list[dict]:
-    """Places where an expression pattern matches; ``$X`` stands for any expression, equal names for equal ones, ``$$$X`` for any arguments."""
-    prepared = pattern.replace("$$$", "META_MANY_").replace("$", "META_ONE_")
-    wanted = ast.parse(prepared, mode="eval").body
-    out = []
+def _matches(source: str, pattern: str) -> list[tuple[ast.expr, dict[str, list[ast.AST]]]]:
+    """Expressions that match a pattern, in order of place, with the nodes that its variables stand for."""
+    wanted = ast.parse(pattern.replace("$$$", "META_MANY_").replace("$", "META_ONE_"), mode="eval").body
 
-    def same(p: object, n: object, bound: dict[str, str]) -> bool:
+    def same(p: object, n: object, bound: dict[str, list[ast.AST]]) -> bool:
         if isinstance(p, ast.Name) and p.id.startswith("META_ONE_"):
             if not isinstance(n, ast.expr):
                 return False
-            text = ast.dump(n)
-            return bound.setdefault(p.id, text) == text
+            return ast.dump(bound.setdefault(p.id, [n])[0]) == ast.dump(n)
         if type(p) is not type(n):
             return False
         if isinstance(p, ast.AST):
             return all(same(getattr(p, f, None), getattr(n, f, None), bound) for f in p._fields if f != "ctx")
         if isinstance(p, list):
             if p and isinstance(p[-1], ast.Name) and p[-1].id.startswith("META_MANY_"):
+                bound[p[-1].id] = n[len(p) - 1 :]
                 return len(n) >= len(p) - 1 and all(same(a, b, bound) for a, b in zip(p[:-1], n, strict=False))
             return len(p) == len(n) and all(same(a, b, bound) for a, b in zip(p, n, strict=True))
         return p == n
 
+    out = []
     for node in ast.walk(ast.parse(source)):
-        if isinstance(node, ast.expr) and same(wanted, node, {}):
-            out.append({"line": node.lineno, "column": node.col_offset + 1, "text": (ast.get_source_segment(source, node) or "")[:200]})
-    return sorted(out, key=lambda m: (m["line"], m["column"]))
+        bound: dict[str, list[ast.AST]] = {}
+        if isinstance(node, ast.expr) and same(wanted, node, bound):
+            out.append((node, bound))
+    return sorted(out, key=lambda m: (m[0].lineno, m[0].col_offset))
+
+
+def pattern_matches(source: str, pattern: str) -> list[dict]:
+    """Places where an expression pattern matches; ``$X`` stands for any expression, equal names for equal ones, ``$$$X`` for any arguments."""
+    return [{"line": n.lineno, "column": n.col_offset + 1, "text": (ast.get_source_segment(source, n) or "")[:200]} for n, _ in _matches(source, pattern)]
+
+
+def rewrite_first(source: str, pattern: str, template: str) -> tuple[int, str]:
+    """The number of matches, and the source with the first replaced by the template, whose variables take the matched text.
+
+    A pattern that is no expression matches nothing.
+    """
+    try:
+        found = _matches(source, pattern)
+    except SyntaxError:
+        return 0, source
+    if not found:
+        return 0, source
+    node, bound = found[0]
+    shown = {k: ", ".join(ast.get_source_segment(source, n) or "" for n in nodes) for k, nodes in bound.items()}
+    text = re.sub(r"(\$\$\$|\$)(\w+)", lambda m: shown.get(("META_MANY_" if m[1] == "$$$" else "META_ONE_") + m[2], m[0]), template)
+    # Columns of the parser count bytes of a line; its lines end at any newline.
+    raw = source.encode()
+    starts = [0, *(m.end() for m in re.finditer(rb"\r\n|\r|\n", raw))]
+    first, last = starts[node.lineno - 1] + node.col_offset, starts[node.end_lineno - 1] + node.end_col_offset
+    return len(found), (raw[:first] + text.encode() + raw[last:]).decode()
 
 
 def search(sources: DataFrame, pattern: str, path: str = "path", text: str = "text", shown: int = 10) -> DataFrame:
