@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import paths
+
 MAX_BATCH = 50
 
 
@@ -105,3 +107,19 @@ def stable_rewrite(files: DataFrame, rewrite, path: str) -> DataFrame:  # noqa:
         raise ValueError("the rewrite changed between preview and commit")
     rewrite(files).withColumn("sha256", F.sha2(F.col("content").cast("binary"), 256)).write.mode("errorifexists").parquet(path)
     return files.sparkSession.read.parquet(path)
+
+
+def rename_proof(requests: DataFrame, results: DataFrame, root: str = "/") -> DataFrame:
+    """``call, proven``: whether every rename that a call asks for is reported done, at the destination asked for.
+
+    ``requests``: call, source, destination; ``results``: call, file, destination_path,
+    renamed. A result may name the source as written or resolved from ``root``; the first
+    is preferred. Requests without a destination are not proven.
+    """
+    base = F.lit(root)
+    asked = requests.select("call", "source", paths.resolve(base, F.col("destination")).alias("_to"), F.monotonically_increasing_id().alias("_id"))
+    tried = asked.select("call", "_id", F.posexplode(F.array("source", paths.resolve(base, F.col("source")))).alias("_way", "file"))
+    said = results.select("call", "file", F.struct(paths.resolve(base, F.col("destination_path")).alias("at"), F.col("renamed").alias("done")).alias("_said")).groupBy("call", "file").agg(F.first("_said").alias("_said"))
+    best = tried.join(said, ["call", "file"]).groupBy("call", "_id").agg(F.min_by("_said", "_way").alias("_said"))
+    ok = F.coalesce((F.col("_said.at") == F.col("_to")) & F.col("_said.done"), F.lit(False))
+    return asked.join(best, ["call", "_id"], "left").groupBy("call").agg(F.bool_and(ok).alias("proven"))

@@ -7,7 +7,7 @@ Only the declared contracts of these tools are known, so ties and orders are sta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -141,3 +141,37 @@ def pack(items: DataFrame, budget: int, *partition: str, order: str = "priority"
     w = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     sized = items.withColumn("tokens", F.ceil(F.col(size) / 4).cast("long"))
     return sized.withColumn("used", F.sum("tokens").over(w)).where(F.col("used") <= budget)
+
+
+def suffixes(name: Column) -> Column:
+    """A dotted name and every tail of whole parts, the longest first."""
+    parts = F.split(name, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "."))
+
+
+def named(symbols: DataFrame, target: str) -> DataFrame:
+    """``node``: the symbols (name) that are ``target`` or end in it by whole parts."""
+    return symbols.where((F.col("name") == target) | F.endswith("name", F.lit("." + target))).select(F.col("name").alias("node")).distinct()
+
+
+def subtypes(bases: DataFrame, target: str, direct: bool = False) -> DataFrame:
+    """``type, depth`` of the types below those that ``target`` names, nearest way; ``bases``: type, base.
+
+    Both columns hold full names. With ``direct`` only the first level.
+    """
+    edges = bases.where("type IS NOT NULL AND base IS NOT NULL").select(F.col("base").alias("src"), F.col("type").alias("dst"))
+    names = edges.select(F.col("src").alias("name")).unionByName(edges.select(F.col("dst").alias("name")))
+    return reach(edges, named(names, target), 1 if direct else None).select(F.col("node").alias("type"), "depth")
+
+
+def callers_of(calls: DataFrame, symbols: DataFrame, target: str, limit: int = 200, hide_ambiguous: bool = False) -> DataFrame:
+    """``caller, callee, ambiguous, total``: the first ``limit`` callers by name, with their exact number.
+
+    ``calls``: caller, callee as written, a full name or a tail of one; ``symbols``: name. A
+    call is ambiguous if its written name is a tail of several symbols.
+    """
+    wanted = named(symbols, target).select(F.explode(suffixes(F.col("node"))).alias("callee")).distinct()
+    tails = symbols.select("name").distinct().select("name", F.explode(suffixes(F.col("name"))).alias("callee"))
+    candidates = tails.join(wanted, "callee", "left_semi").groupBy("callee").agg((F.count(F.lit(1)) > 1).alias("ambiguous"))
+    found = calls.select("caller", "callee").distinct().join(candidates, "callee").select("caller", "callee", "ambiguous")
+    return capped(found.where("NOT ambiguous") if hide_ambiguous else found, limit, "caller", "callee")

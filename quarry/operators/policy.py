@@ -135,3 +135,19 @@ def first_formatter(items: DataFrame, path: str, formatters: list[tuple[str, tup
                 hit = hit | F.regexp_like(path, F.lit(paths.glob_regex(g)))
             chosen = F.when(hit, F.lit(name)).otherwise(chosen)
     return items.withColumn("formatter", chosen)
+
+
+def selected_roots(roots: DataFrame, requests: DataFrame) -> DataFrame:
+    """``session, root``: the roots that contain an absolute path that the session asks for; if none does, its first.
+
+    ``roots``: session, root, place; ``requests``: session, path. Roots meet paths by an
+    equi-join on the paths' ancestors. A session without roots has none.
+    """
+    clean = roots.select("session", "root", "place", F.when(F.col("root") == "/", F.lit("/")).otherwise(F.regexp_replace("root", "/+$", "")).alias("_dir"))
+    asked = requests.where(F.startswith("path", F.lit("/"))).select("session", paths.resolve(F.lit("/"), F.col("path")).alias("_path")).distinct()
+    above = F.transform(paths.ancestors(F.col("_path")), lambda a: F.when(a == "", F.lit("/")).otherwise(a))
+    chain = asked.select("session", "_path", F.explode(above).alias("_dir"))
+    inside = chain.where(paths.within(F.col("_dir"), F.col("_path"))).select("session", "_dir").distinct()
+    met = clean.join(inside.withColumn("_met", F.lit(True)), ["session", "_dir"], "left")
+    per = met.groupBy("session").agg(F.bool_or(F.coalesce("_met", F.lit(False))).alias("_any"), F.min("place").alias("_first"))
+    return met.join(per, "session").where((F.col("_any") & F.col("_met")) | (~F.col("_any") & (F.col("place") == F.col("_first")))).select("session", "root").distinct()

@@ -149,3 +149,50 @@ def challenges(requests: DataFrame, max_pending: int = 64) -> DataFrame:
     w = Window.partitionBy("session").orderBy("_t", "_kind", "_n").rowsBetween(Window.unboundedPreceding, -1)
     counted = starts.unionByName(ends).withColumn("pending", F.coalesce(F.sum(live).over(w), F.lit(0)).cast("long"))
     return counted.where("_kind = 1").select("session", "at_ms", "expires_ms", "pending", (F.col("pending") < max_pending).alias("accepted"))
+
+
+ANSWERS = ("allow_once", "allow_session", "always_allow", "decline")
+
+
+def grants(actions: DataFrame, ttl_ms: int = RECEIPT_TTL_MS) -> DataFrame:
+    """Outcome of every request for an approval: ``session, grant, seq, outcome`` (allowed, denied, asked).
+
+    ``actions``: seq (unique), session, invocation, grant, at_ms, action, which is request,
+    allow_once, allow_session, always_allow or decline. A request that is not allowed opens
+    a challenge of its session and grant for ``ttl_ms``, unless one is open. An answer counts
+    only while one is open, and closes it. allow_once then holds for the invocation that
+    answers, allow_session for its session, always_allow for every session from then on;
+    decline denies the next request. Rows are sorted by key and folded as they stream, so a
+    key of any length needs the state of one.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, opened, whole, once, declined = None, None, False, set(), False
+        for frame in frames:
+            out = []
+            for a in frame.itertuples():
+                if (a.session, a.grant) != key:
+                    key, opened, whole, once, declined = (a.session, a.grant), None, False, set(), False
+                live = opened is not None and a.at_ms < opened + ttl_ms
+                outcome = None
+                if a.action == "request":
+                    outcome = "allowed" if whole or a.invocation in once else "denied" if declined else "asked"
+                    declined = False
+                    if outcome == "asked" and not live:
+                        opened = a.at_ms
+                elif live and a.action in ANSWERS:
+                    opened, outcome = None, a.action
+                    whole |= a.action == "allow_session"
+                    declined = a.action == "decline"
+                    if a.action in ("allow_once", "always_allow"):
+                        once.add(a.invocation)
+                if outcome:
+                    out.append((a.session, a.grant, a.seq, outcome))
+            yield pd.DataFrame(out, columns=["session", "grant", "seq", "outcome"])
+
+    wanted = actions.select(F.col("session").cast("string"), F.col("grant").cast("string"), F.col("seq").cast("long"), F.col("at_ms").cast("long"), "action", F.col("invocation").cast("string"))
+    ordered = wanted.repartition("session", "grant").sortWithinPartitions("session", "grant", "seq")
+    judged = ordered.mapInPandas(run, "session string, grant string, seq long, outcome string")
+    always = judged.where("outcome = 'always_allow'").groupBy("grant").agg(F.min("seq").alias("_from"))
+    requests = judged.where(~F.col("outcome").isin(*ANSWERS)).join(always, "grant", "left")
+    return requests.select("session", "grant", "seq", F.when(F.col("_from") < F.col("seq"), F.lit("allowed")).otherwise(F.col("outcome")).alias("outcome"))
