@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.functions.scanning import nested_calls_udf, target_count_udf
+from quarry.functions.scanning import embedded_mutates_udf, nested_calls_udf, shell_mutates_udf, strip_comments_all_udf, target_count_udf
 from quarry.functions.text import canonical_histogram, utf16_length
+from quarry.operators import assertions
+from quarry.operators.assertions import has_key
 
 # Tools that keep state, mutations that are counted, and required input keys of each tool.
 STATEFUL = ("file_chattr", "file_delete", "file_patch", "file_rename", "file_write", "find_related", "index", "search")
@@ -155,10 +157,6 @@ def hashed_first(inv: DataFrame, hashes: tuple[str, ...] = ("file_hash",), mutat
     return inv.groupBy("session").agg(at(hashes).alias("_h"), at(mutations).alias("_m")).where("_m IS NOT NULL").select("session", F.coalesce(F.col("_h") < F.col("_m"), F.lit(False)).alias("hashed_first"))
 
 
-def has_key(text: Column, key: str) -> Column:
-    return F.regexp_like(text, F.lit(rf"(?:[\"']{key}[\"']|\b{key})\s*:"))
-
-
 def meaningful(tool: Column, text: Column) -> Column:
     """Whether a call's input names all keys that its tool needs."""
     out: Column = F.lit(True)
@@ -175,37 +173,67 @@ def ordered_subsequence(wanted: Column, have: Column) -> Column:
     return F.aggregate(have, F.lit(0), lambda n, x: F.when(F.get(wanted, n).eqNullSafe(x) & (n < F.size(wanted)), n + 1).otherwise(n)) == F.size(wanted)
 
 
-def evaluate(sessions_bound: DataFrame, cases: DataFrame) -> DataFrame:
-    """``session, eval_id, problem`` (null if clean), ``assertions``: required and forbidden tools, order, input, results.
+def evaluate(sessions_bound: DataFrame, cases: DataFrame, declared: DataFrame | None = None, names: Names = Names(), access: assertions.Access = assertions.Access()) -> DataFrame:
+    """``session, eval_id, problem`` (the first, null if clean), ``assertions`` shown.
 
-    ``cases``: id, required_tools, forbidden_tools, assertions (arrays). A case's free
-    text assertions are judged only by the outcome of its calls.
+    ``cases``: id, required_tools, forbidden_tools, assertions (arrays), and if wanted files
+    (array) and expected_output. ``declared``: roots as ``roots`` gives them. Checked are, in
+    this order: tools and their inputs, their order, paths, files, expected output, each
+    assertion, and that no call failed.
     """
+    empty = F.array().cast("array<string>")
     one = sessions_bound.where("size(eval_ids) = 1").withColumn("eval_id", F.element_at("eval_ids", 1))
-    tools = F.transform(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line", "invocations"))), lambda x: x.invocations)), lambda i: i.tool)
-    ok_input = F.bool_and(F.forall("invocations", lambda i: meaningful(i.tool, i.input)))
+    placed = F.transform(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line", "invocations"))), lambda x: x.invocations)), lambda i, n: F.struct(n.alias("number"), i.tool.alias("tool"), i.input.alias("input"), i.concurrent.alias("concurrent")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "output"))), lambda x: F.coalesce(x.output, F.lit(""))), "\n")
     failed = F.bool_or(F.coalesce(F.col("failed") & ~excused(F.col("eval_ids"), F.col("invocations"), F.col("output")), F.lit(True)))
-    g = one.groupBy("session", "eval_id").agg(tools.alias("used"), ok_input.alias("ok_input"), failed.alias("any_failed"))
-    c = F.broadcast(cases.select(F.col("id").cast("long").alias("eval_id"), "required_tools", "forbidden_tools", F.size("assertions").alias("n")))
+    g = one.groupBy("session", "eval_id").agg(placed.alias("_raw"), text.alias("_out"), failed.alias("any_failed"))
+    if declared is None:
+        g = g.withColumn("_roots", empty)
+    else:
+        per = declared.groupBy("session").agg(F.array_sort(F.collect_set("root")).alias("_roots"))
+        g = g.join(per, "session", "left").withColumn("_roots", F.coalesce("_roots", empty))
+    have = lambda name, kind: F.col(name).cast(kind) if name in cases.columns else F.lit(None).cast(kind)
+    c = cases.select(F.col("id").cast("long").alias("eval_id"), "required_tools", "forbidden_tools", F.coalesce("assertions", empty).alias("_asserted"), F.coalesce(have("files", "array<string>"), empty).alias("_files"), have("expected_output", "string").alias("_expected"))
     j = g.join(c, "eval_id", "left")
+    j = j.withColumn("_plain", strip_comments_all_udf(F.transform("_raw", lambda x: x.input)))
+    j = j.withColumn("_calls", F.zip_with("_raw", "_plain", lambda x, p: F.struct(x.number.alias("number"), x.tool.alias("tool"), p.alias("input"), x.concurrent.alias("concurrent")))).withColumn("used", F.transform("_raw", lambda x: x.tool))
+    source = F.array_join("_plain", "\n")
+    j = j.withColumn("_mutates", embedded_mutates_udf(source) | shell_mutates_udf(source))
+    blank = lambda x: F.regexp_like(x, F.lit(r"^\s*(\{\})?\s*$"))
+    j = j.withColumn("_sound", F.forall("_calls", lambda x: F.when(blank(x.input), x.tool == "config_status").otherwise(meaningful(x.tool, x.input) & assertions.meaningful_change(x, names.prefix))))
+    shown = lambda a: assertions.holds(a, F.col("_calls"), F.col("_out"), F.col("required_tools"), F.col("forbidden_tools"), F.col("_mutates"), F.coalesce(F.get("_roots", F.lit(0)), F.lit("/")), F.col("_sound"), names.prefix)
+    # Words of seven letters and more of what is expected, where no tool is required.
+    words = F.filter(F.split(F.lower("_expected"), r"\W+"), lambda w: F.length(w) >= 7)
+    outside = assertions.path_problems(F.col("_calls"), F.col("_roots"), access) if declared is not None else empty
+    j = j.withColumn("_outside", outside).withColumn("_unshown", F.filter("_asserted", lambda a: ~shown(a)))
+    untargeted = F.filter("_files", lambda f: ~F.exists("_plain", lambda p: F.contains(p, f)))
+    unproven = F.filter("_files", lambda f: ~F.contains("_out", f))
+    concurrent = (F.size("required_tools") > 1) & F.exists("_calls", lambda x: x.concurrent & F.array_contains("required_tools", x.tool))
     problem = (
         F.when(F.col("required_tools").isNull(), F.concat(F.lit("unknown eval ID: "), F.col("eval_id").cast("string")))
         .when(F.size(F.array_except("required_tools", "used")) > 0, F.concat(F.lit("missing tools: "), F.array_join(F.array_except("required_tools", "used"), ", ")))
         .when(F.size(F.array_intersect("forbidden_tools", "used")) > 0, F.concat(F.lit("forbidden tools: "), F.array_join(F.array_intersect("forbidden_tools", "used"), ", ")))
-        .when(~F.col("ok_input"), F.lit("input lacks required keys"))
+        .when(~F.col("_sound"), F.lit("input lacks required keys"))
+        .when(concurrent, F.lit("required tool sequence is concurrent and cannot be proven"))
         .when(~ordered_subsequence(F.col("required_tools"), F.col("used")), F.lit("tools out of order"))
+        .when(F.size("_outside") > 0, F.get("_outside", F.lit(0)))
+        .when(F.size(untargeted) > 0, F.concat(F.lit("input does not target required file: "), F.get(untargeted, F.lit(0))))
+        .when(F.size(unproven) > 0, F.concat(F.lit("output does not prove file result: "), F.get(unproven, F.lit(0))))
+        .when(F.col("_expected").isNotNull() & ~shown(F.col("_expected")), F.concat(F.lit("expected output not proven: "), F.col("_expected")))
+        .when((F.size("required_tools") == 0) & F.col("_expected").isNotNull() & ~F.exists(words, lambda w: F.contains(F.lower("_out"), w)), F.lit("output does not prove expected transport behavior"))
+        .when(F.size("_unshown") > 0, F.concat(F.lit("assertion not proven: "), F.get("_unshown", F.lit(0))))
         .when(F.col("any_failed"), F.lit("a call failed or has no output"))
     )
-    return j.select("session", "eval_id", problem.alias("problem"), F.when(problem.isNull(), F.col("n")).otherwise(F.lit(0)).cast("long").alias("assertions"))
+    return j.select("session", "eval_id", problem.alias("problem"), F.when(problem.isNull(), F.size("_asserted")).otherwise(F.lit(0)).cast("long").alias("assertions"))
 
 
-def score(sessions: DataFrame, cases: DataFrame, names: Names = Names(), strict: bool = False) -> DataFrame:
+def score(sessions: DataFrame, cases: DataFrame, names: Names = Names(), strict: bool = False, access: assertions.Access = assertions.Access()) -> DataFrame:
     """One row of metrics per session."""
     recs = records(lines(sessions))
     all_calls, outs = calls(recs, names), outputs(recs)
     b = bound(all_calls, outs)
     inv = invocations(all_calls)
-    judged = evaluate(b, cases)
+    judged = evaluate(b, cases, roots(recs), names, access)
     problems = errors(recs, all_calls, outs).unionByName(judged.where("problem IS NOT NULL").select("session", F.concat(F.lit("eval "), F.col("eval_id").cast("string"), F.lit(": "), F.col("problem")).alias("error")))
     if strict:
         wanted = recs.select("session").distinct().crossJoin(F.broadcast(cases.select(F.col("id").cast("long").alias("eval_id"))))

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.functions import paths, scanning, text
+from quarry.functions import migrating, paths, scanning, text
 from quarry.functions.replacing import replace_udf
-from quarry.operators import changes, config_layers, content, documents, graph, hooks, policy, pysource, search, transcripts
+from quarry.operators import changes, config_layers, content, documents, graph, hooks, patching, policy, pysource, search, transcripts
 from quarry.plans import goldens
 from quarry.session import table
 from quarry.streaming import expiry
@@ -232,7 +232,7 @@ SELECT CAST(user_id AS VARCHAR) AS session, CASE WHEN missing <> '' THEN 'missin
 def case_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Required and forbidden tools and their order, users as sessions and events as calls; a seventh of the errors is seen."""
     e = table(spark, sf_dir, "events").where("event_type <> 'error' OR event_id % 7 = 0")
-    call = F.array(F.struct(F.col("event_type").alias("tool"), F.lit("{}").alias("input"), F.lit(False).alias("concurrent")))
+    call = F.array(F.struct(F.col("event_type").alias("tool"), F.col("props").alias("input"), F.lit(False).alias("concurrent")))
     at = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     bound = e.select(F.col("user_id").cast("string").alias("session"), at.alias("line"), call.alias("invocations"), F.array(F.lit(1).cast("long")).alias("eval_ids"), F.lit(False).alias("failed"), F.lit("x").alias("output"))
     cases = spark.createDataFrame([(1, ["click", "purchase", "view"], ["error"], ["a", "b"])], "id int, required_tools array<string>, forbidden_tools array<string>, assertions array<string>")
@@ -649,3 +649,143 @@ def python_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 def preflight_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch, files, importers = goldens.batch(spark)
     return changes.preflight(batch, files, importers)
+
+
+# -- patches, roots, names -----------------------------------------------------------------
+
+
+@query(
+    """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS raw, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents),
+n AS (SELECT doc_id, raw, t, substr(t, 1, 12) AS needle FROM d WHERE length(trim(substr(t, 1, 12), ' ' || chr(10) || chr(9))) > 0),
+c AS (SELECT doc_id, doc_id % 10 = 3 AS stale, t, needle, (length(t) - length(replace(t, needle, ''))) // length(needle) AS n FROM n)
+SELECT doc_id, CASE WHEN NOT stale AND n = 1 THEN sha256(replace(t, needle, 'THE ') || CASE WHEN ends_with(replace(t, needle, 'THE '), chr(10)) THEN '' ELSE chr(10) END || 'END') END AS after,
+  CASE WHEN NOT stale AND n = 1 THEN 'exact,append' END AS methods, CAST(CASE WHEN NOT stale AND n > 1 THEN 1 END AS INTEGER) AS failed_rule,
+  CASE WHEN stale THEN 'stale_or_missing_hash' WHEN n > 1 THEN 'ambiguous' END AS error FROM c
+"""
+)
+def patch_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rules for every text, its first twelve code points replaced and a line appended; a tenth states a hash that is not the file's."""
+    d = _text(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    needle = F.substring(text.normalize_newlines(F.col("content")), 1, 12)
+    expected = F.when(F.col("path").cast("long") % 10 == 3, F.lit("0")).otherwise(F.col("sha256")).alias("expected_sha256")
+    parts = F.explode(F.array(F.struct(F.lit(1).alias("ordinal"), needle.alias("search"), F.lit("THE ").alias("replace")), F.struct(F.lit(2).alias("ordinal"), F.lit("").alias("search"), F.lit("END").alias("replace")))).alias("r")
+    rules = d.where(F.length(F.trim(F.regexp_replace(needle, "[\n\t]", " "))) > 0).select("path", parts, expected).select("path", "r.*", F.lit("aider_block").alias("strategy"), F.lit(None).cast("int").alias("expected_matches"), "expected_sha256")
+    p = patching.preview(rules, d)
+    return p.select(F.col("path").cast("long").alias("doc_id"), "after", F.array_join("methods", ",").alias("methods"), "failed_rule", "error")
+
+
+@query(
+    """
+WITH r AS (SELECT DISTINCT l_orderkey AS batch, 'supplier/' || l_suppkey AS path FROM lineitem)
+SELECT batch, path, row_number() OVER (PARTITION BY batch ORDER BY path) - 1 AS place, lag(batch) OVER (PARTITION BY path ORDER BY batch) AS waits_for FROM r
+"""
+)
+def lock_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as batches, suppliers as the files they lock."""
+    return patching.lock_queue(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("batch"), F.concat(F.lit("supplier/"), F.col("l_suppkey").cast("string")).alias("path")))
+
+
+@query(
+    """
+WITH f AS (SELECT user_id, event_type, min((epoch_us(ts), event_id)) AS first_at FROM events GROUP BY ALL)
+SELECT user_id, string_agg(event_type, ',' ORDER BY first_at) AS kinds FROM f GROUP BY user_id
+"""
+)
+def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct event types of each user, in order of their first event."""
+    got = patching.distinct_in_order(table(spark, sf_dir, "events"), "user_id", "event_type", "ts", "event_id")
+    return got.select("user_id", F.array_join("values", ",").alias("kinds"))
+
+
+_ROOTS = f"""
+p AS (SELECT page_id, page_id % 50 AS session, path FROM {_PATH_SQL}),
+h AS (SELECT session, '/site/' || split_part(arg_min(path, page_id), '/', 3) AS root FROM p GROUP BY session),
+r AS (SELECT session, '/other' AS root, 0 AS place FROM h UNION ALL SELECT session, root, 1 FROM h UNION ALL SELECT session, '/site/m', 2 FROM h)
+"""
+
+
+@query(
+    f"""
+WITH {_ROOTS}, m AS (SELECT DISTINCT r.session, r.root FROM r JOIN p ON p.session = r.session AND p.session % 7 <> 0 AND (p.path = r.root OR starts_with(p.path, r.root || '/')))
+SELECT session, root FROM m UNION ALL SELECT session, '/other' FROM h WHERE session NOT IN (SELECT session FROM m)
+"""
+)
+def selected_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages asked for by fifty sessions; a seventh of them ask by relative paths, which choose no root."""
+    p = _page_paths(spark, sf_dir).withColumn("session", F.col("page_id") % 50)
+    host = p.groupBy("session").agg(F.concat(F.lit("/site/"), F.element_at(F.split(F.min_by("path", "page_id"), "/"), 3)).alias("host"))
+    roots = host.select("session", F.posexplode(F.array(F.lit("/other"), F.col("host"), F.lit("/site/m"))).alias("place", "root"))
+    asked = p.select("session", F.when(F.col("session") % 7 == 0, F.expr("substring(path, 2)")).otherwise(F.col("path")).alias("path"))
+    return policy.selected_roots(roots, asked)
+
+
+@query("SELECT event_id // 3 AS call, bool_and(value > 2 AND event_type <> 'error') AS proven FROM events GROUP BY 1")
+def rename_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as renames in calls of three; errors go elsewhere, small values are not done, odd ids are reported by resolved names."""
+    e = table(spark, sf_dir, "events").withColumn("call", F.floor(F.col("event_id") / 3).cast("long")).withColumn("k", F.col("event_id").cast("string"))
+    requests = e.select("call", F.concat(F.lit("./a"), "k").alias("source"), F.concat(F.lit("x/../b"), "k").alias("destination"))
+    file = F.when(F.col("event_id") % 2 == 1, F.concat(F.lit("/w/a"), "k")).otherwise(F.concat(F.lit("./a"), "k"))
+    results = e.select("call", file.alias("file"), F.concat(F.when(F.col("event_type") == "error", F.lit("/w/c")).otherwise(F.lit("/w/b")), "k").alias("destination_path"), (F.col("value") > 2).alias("renamed"))
+    return changes.rename_proof(requests, results, "/w")
+
+
+_MODULE = "'m' || ({0} % 7) || '.P' || ({0})"
+
+
+@query(
+    f"""
+WITH RECURSIVE t AS (SELECT p_partkey AS k, 1 AS depth FROM part WHERE p_partkey // 2 = 3
+  UNION ALL SELECT p.p_partkey, t.depth + 1 FROM t JOIN part p ON p.p_partkey // 2 = t.k)
+SELECT {_MODULE.format("k")} AS type, depth FROM t
+"""
+)
+def implements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All types below P3, parts as types and half their number as their base."""
+    name = lambda k: F.concat(F.lit("m"), (k % 7).cast("string"), F.lit(".P"), k.cast("string"))
+    bases = table(spark, sf_dir, "part").where("p_partkey > 1").select(name(F.col("p_partkey")).alias("type"), name(F.floor(F.col("p_partkey") / 2).cast("long")).alias("base"))
+    return graph.subtypes(bases, "P3")
+
+
+@query(
+    """
+WITH s AS (SELECT DISTINCT c_mktsegment || '.N' || c_nationkey AS name, 'N' || c_nationkey AS tail FROM customer),
+c AS (SELECT DISTINCT 'o' || o_orderkey AS caller, CASE WHEN o_custkey % 2 = 1 THEN 'N' || c_nationkey ELSE c_mktsegment || '.N' || c_nationkey END AS callee FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = 7),
+f AS (SELECT caller, callee, callee = 'N7' AND (SELECT count(*) FROM s WHERE tail = 'N7') > 1 AS ambiguous FROM c)
+SELECT caller, callee, ambiguous, (SELECT count(*) FROM f) AS total FROM f ORDER BY caller, callee LIMIT 200
+"""
+)
+def callers_by_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 200 callers of N7, orders as callers; half of them write the name without its segment. A capped report."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_mktsegment", F.lit(".N"), F.col("c_nationkey").cast("string")).alias("name"))
+    calls = table(spark, sf_dir, "orders").join(c, F.col("c_custkey") == F.col("o_custkey")).select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("caller"), F.when(F.col("o_custkey") % 2 == 1, F.regexp_extract("name", "[^.]*$", 0)).otherwise(F.col("name")).alias("callee"))
+    return graph.callers_of(calls, c.select("name"), "N7")
+
+
+@query()
+def approval_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests and answers of approvals; a test has brute force."""
+    return expiry.grants(_approvals(spark, sf_dir))
+
+
+def _approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    answers = F.array(*map(F.lit, expiry.ANSWERS))
+    action = F.when(F.col("event_type").isin("error", "signup"), F.get(answers, (F.col("event_id") % 4).cast("int"))).otherwise(F.lit("request"))
+    grant = F.concat(F.lit("g"), (F.floor(F.col("value")) % 40).cast("string"))
+    return e.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("session"), F.floor(F.col("event_id") / 500).cast("string").alias("invocation"), grant.alias("grant"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), action.alias("action"))
+
+
+@query(
+    """
+SELECT n_nationkey, 'version = 2 # ' || n_name || chr(10) || '[formatting]' || chr(10) || 'fallback = "none"' || chr(10) || '[files.patch]' || chr(10)
+  || 'aider_matchers = ["exact", "whitespace", "relative-indentation", "diff-match-patch"]' || chr(10) || '# kept' || chr(10) || '[safety]' || chr(10) || chr(10)
+  || '[[paths]]' || chr(10) || 'id = "legacy-os-temp"' || chr(10) || 'path = "/tmp"' || chr(10) || 'policies = { read = "allow", write = "allow", delete = "allow" }' || chr(10)
+  || 'follow_symlinks = ' || CASE WHEN n_regionkey = 1 THEN 'true' ELSE 'false' END || chr(10) || 'includes = ["**/*"]' || chr(10) || 'excludes = [".git/**"]' || chr(10) AS source, TRUE AS changed FROM nation
+"""
+)
+def config_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configurations of version 1 that differ in a comment and in a safety setting."""
+    follow = F.when(F.col("n_regionkey") == 1, F.lit("true")).otherwise(F.lit("false"))
+    source = F.concat(F.lit("version = 1 # "), "n_name", F.lit('\n[formatting]\nfallback = "none"\n[files.patch]\n# kept\n[safety]\nfollow_symlinks = '), follow, F.lit("\n"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", migrating.migrate_udf(source, F.lit("/w/c.toml")).alias("m")).select("n_nationkey", "m.source", "m.changed")
