@@ -175,3 +175,13 @@ def callers_of(calls: DataFrame, symbols: DataFrame, target: str, limit: int = 2
     candidates = tails.join(wanted, "callee", "left_semi").groupBy("callee").agg((F.count(F.lit(1)) > 1).alias("ambiguous"))
     found = calls.select("caller", "callee").distinct().join(candidates, "callee").select("caller", "callee", "ambiguous")
     return capped(found.where("NOT ambiguous") if hide_ambiguous else found, limit, "caller", "callee")
+
+
+def with_bodies(steps: DataFrame, bodies: DataFrame, max_lines: int = 40) -> DataFrame:
+    """``steps`` (node and more) with ``body``, the first ``max_lines`` lines of it, and ``cut``; both null where none is known.
+
+    ``bodies``: node, body. Of several bodies of a node the first in order of text is taken.
+    """
+    lines = F.split("body", "\n")
+    one = bodies.groupBy("node").agg(F.min("body").alias("body")).select("node", F.array_join(F.slice(lines, 1, max_lines), "\n").alias("body"), (F.size(lines) > max_lines).alias("cut"))
+    return steps.join(one, "node", "left")

@@ -275,3 +275,12 @@ def suite_problems(cases: DataFrame, surfaces: list[str]) -> DataFrame:
     missing = per.select("surface", F.explode(F.array_except(F.array(*map(F.lit, ("positive", "variant", "negative"))), F.col("got"))).alias("c")).select(F.concat(F.col("surface"), F.lit(" has no case of category "), F.col("c")).alias("problem"))
     few = cases.where(F.size("assertions") < 3).select(F.concat(F.lit("fewer than 3 assertions: "), F.col("id").cast("string")).alias("problem"))
     return dup.unionByName(unknown).unionByName(thin).unionByName(missing).unionByName(few)
+
+
+def catalogue_problems(inv: DataFrame, tools: dict[str, list[str]] = TOOL_KEYS) -> DataFrame:
+    """``session, number, problem`` of calls of tools that the catalogue (name to required keys) lacks, or that lack a key."""
+    rows = inv.sparkSession.createDataFrame([(name, keys) for name, keys in tools.items()], "tool string, _keys array<string>")
+    met = inv.join(F.broadcast(rows), "tool", "left")  # as many rows as there are tools
+    lacks = F.filter("_keys", lambda k: ~F.regexp_like("input", F.concat(F.lit("(?:[\"']"), k, F.lit("[\"']|\\b"), k, F.lit(")\\s*:"))))
+    problem = F.when(F.col("_keys").isNull(), F.concat(F.lit("unknown tool: "), F.col("tool"))).when(F.size(lacks) > 0, F.concat(F.col("tool"), F.lit(" lacks "), F.array_join(lacks, ", ")))
+    return met.select("session", "number", problem.alias("problem")).where("problem IS NOT NULL")

@@ -789,3 +789,11 @@ def config_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
     follow = F.when(F.col("n_regionkey") == 1, F.lit("true")).otherwise(F.lit("false"))
     source = F.concat(F.lit("version = 1 # "), "n_name", F.lit('\n[formatting]\nfallback = "none"\n[files.patch]\n# kept\n[safety]\nfollow_symlinks = '), follow, F.lit("\n"))
     return table(spark, sf_dir, "nation").select("n_nationkey", migrating.migrate_udf(source, F.lit("/w/c.toml")).alias("m")).select("n_nationkey", "m.source", "m.changed")
+
+
+@query("SELECT user_id, event_id, CASE WHEN event_type IN ('error', 'signup') THEN 'unknown tool: ' || event_type ELSE event_type || ' lacks z' END AS problem FROM events WHERE event_type IN ('error', 'signup', 'view')")
+def tool_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as calls: two kinds are not in the catalogue, one lacks a key it needs."""
+    inv = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("number"), F.col("event_type").alias("tool"), F.col("props").alias("input"))
+    found = transcripts.catalogue_problems(inv, {"click": ["k"], "purchase": [], "view": ["k", "z"]})
+    return found.select(F.col("session").alias("user_id"), F.col("number").alias("event_id"), "problem")

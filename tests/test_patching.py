@@ -205,3 +205,15 @@ def test_evaluate_files_and_expected_output(spark):
     declared = spark.createDataFrame([(r[0], "/w") for r in rows], "session string, root string")
     got = {r.session: (r.problem, r.assertions) for r in transcripts.evaluate(b, cases, declared).collect()}
     assert got == {"ok": (None, 2), "untargeted": ("input does not target required file: a.txt", 0), "unproven": ("output does not prove file result: a.txt", 0), "blank": ("input lacks required keys", 0), "outside": ("search input escapes transcript workspace roots: /x/y", 0)}
+
+
+def test_bodies_of_a_trace(spark):
+    steps = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "position int, node string")
+    bodies = spark.createDataFrame([("a", "1\n2\n3"), ("b", "z"), ("b", "y")], "node string, body string")
+    got = {r.node: (r.position, r.body, r.cut) for r in graph.with_bodies(steps, bodies, max_lines=2).collect()}
+    assert got == {"a": (0, "1\n2", True), "b": (1, "y", False), "c": (2, None, None)}
+
+
+def test_catalogue_problems(spark):
+    inv = spark.createDataFrame([("s", 0, "trace", "{from: 'a'}"), ("s", 1, "trace", '{"from": "a", "to": "b"}'), ("s", 2, "nope", "{}"), ("t", 0, "search", "{}")], "session string, number int, tool string, input string")
+    assert sorted(tuple(r) for r in transcripts.catalogue_problems(inv).collect()) == [("s", 0, "trace lacks to"), ("s", 2, "unknown tool: nope"), ("t", 0, "search lacks query")]
