@@ -1,11 +1,36 @@
-"""Session helper and table reader shared by every operator."""
+"""Session helper, table reader and the shipping of this package to the workers."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Applications whose workers have this package already.
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers of ``spark``, once for each application.
+
+    Functions that run in Python workers are pickled by name, so each worker has to import the
+    package, wherever the driver was started and whether or not it is installed there.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    if package.parent.is_dir():  # else this is an archive that was shipped already
+        archive = Path(tempfile.mkdtemp(prefix="quarry-ship-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
 
 def session(cores: int | str = "*", app: str = "quarry", **conf: str) -> SparkSession:
     """A local session with the settings the tests and the bench use; a cluster brings its own."""
@@ -21,9 +46,12 @@ def session(cores: int | str = "*", app: str = "quarry", **conf: str) -> SparkSe
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the fixed tables; goes through Spark's reader only, so any store works."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
