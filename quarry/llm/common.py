@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,13 +13,15 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.session import ship
 
 #: Bounds of one Arrow batch: bytes for whole texts, rows for narrow ones. Spark's own are 64 MB and 10,000 rows.
 BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "32768")}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker and its JVM hold of one batch, where the session has not chosen a bound."""
+    """Bounds what a Python worker and its JVM hold of one batch, where the session has not chosen a bound; ships the package."""
+    ship(spark)
     for key, (default, own) in BATCH.items():
         if spark.conf.get(key, default) == default:
             spark.conf.set(key, own)
@@ -41,7 +42,6 @@ def release() -> None:
 def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     """``run`` for mapInArrow, with its memory released when a task ends; workers are used again by other stages."""
 
-    @functools.wraps(run)
     def task(batches: Batches) -> Batches:
         try:
             yield from run(batches)

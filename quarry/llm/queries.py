@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, chat, fingerprints, html_extract, jaccard_join, line_dedup, media, mixing, toxicity, warc
+from quarry.llm import bpe, chat, fingerprints, html_extract, jaccard_join, language, line_dedup, media, mixing, ranked, repair, toxicity, warc
 from quarry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: The others can't be stated in DuckDB's SQL; the tests hold each against brute force, a round trip or held-out rows.
-ORACLES: dict[str, str] = {"op3_warc": warc.ORACLE, "op7_chat_pairs": chat.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}
+ORACLES: dict[str, str] = {"op3_warc": warc.ORACLE, "op7_chat_pairs": chat.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE, "op11_repair": repair.ORACLE, "op12_ranked": ranked.ORACLE}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -68,3 +68,19 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repairs(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+@query
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.train(docs))
