@@ -198,28 +198,25 @@ def fit(windows: np.ndarray, labels: list[str], hidden: int = 12, steps: int = 3
 
 def _windows(batches: Batches) -> Batches:
     """Evenly spaced windows of each text, at most ``WINDOWS``, as bytes."""
-    for batch in batches:
-        for piece in slices(iter([batch]), "text"):
-            langs, codes = [], []
-            for lang, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                n = -(-len(data) // WINDOW)
-                for k in sorted({i * (n - 1) // max(1, WINDOWS - 1) for i in range(WINDOWS)}) if n else []:
-                    langs.append(lang)
-                    codes.append(data[k * WINDOW : (k + 1) * WINDOW])
-            yield pa.record_batch([pa.array(langs, pa.string()), pa.array(codes, pa.binary())], ["lang", "codes"])
+    for piece in slices(batches, "text"):
+        found = []
+        for text in piece.column("text").to_pylist():
+            data = text.encode("utf-8", "surrogatepass")
+            n = -(-len(data) // WINDOW)
+            found.append([data[k * WINDOW : (k + 1) * WINDOW] for k in sorted({i * (n - 1) // max(1, WINDOWS - 1) for i in range(WINDOWS)})] if n else [])
+        yield pa.record_batch([piece.column("lang"), piece.column("_by"), pa.array(found, pa.list_(pa.binary()))], ["lang", "_by", "found"])
 
 
 def train(docs: DataFrame, sample: int = 3000, per_language: int = 400, **how: float) -> Network:
     """A network from the documents that are not held out; see the module's text for the bounds."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64(F.col("doc_id"), F.col("text")).alias("_by"))
-    # The lowest of each language are found in each partition before any are moved; then whole languages share the bound.
-    ranked = rows.selectExpr("lang", "text", "_by", "row_number() OVER (PARTITION BY lang ORDER BY _by) AS _n").where(F.col("_n") <= per_language)
-    chosen = ranked.orderBy("_n", "_by", "lang").limit(sample).select("lang", "text")
-    got = chosen.mapInArrow(lean(_windows), "lang string, codes binary").toArrow()
-    got = got.sort_by([("lang", "ascending"), ("codes", "ascending")])  # the order of tasks plays no part
-    codes = [bytes(x) for x in got.column("codes").to_pylist()]
-    return fit(cut(codes)[1], got.column("lang").to_pylist(), **how)
+    found = rows.mapInArrow(lean(_windows), "lang string, _by long, found array<binary>")  # texts stay where they are
+    # The lowest of each language are found in each partition, then in 64 parts, then whole; last, languages share the bound.
+    for part in (", pmod(_by, 64)", ""):
+        found = found.selectExpr("lang", "_by", "found", f"row_number() OVER (PARTITION BY lang{part} ORDER BY _by, found) AS _n").where(F.col("_n") <= per_language)
+    got = found.orderBy("_n", "_by", "lang", "found").limit(sample).select("lang", "found").toArrow()
+    pairs = [(lang, window) for lang, windows in zip(got.column("lang").to_pylist(), got.column("found").to_pylist(), strict=True) for window in windows]
+    return fit(cut([w for _, w in pairs])[1], [lang for lang, _ in pairs], **how)
 
 
 def predict(docs: DataFrame, network: Network) -> DataFrame:

@@ -134,15 +134,18 @@ def top_documents(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
     cuts = stored(cuts.selectExpr("item", "item_id", "term", "one", "least", "one * least(top, least - 1) AS more", "bound"))
     limits = stored(cuts.groupBy("item").agg(F.sum("more").alias("rest"), F.min("bound").alias("bound")))
     # A posting moves once, to its document's task; there it meets the items, and sums of one document and item need no further shuffle.
-    worthy = lists.join(cuts.groupBy("term").agg(F.min("least").alias("lowest")), "term").where("worth >= lowest").drop("lowest").repartition("row")
+    lowest = stored(cuts.groupBy("term").agg(F.min("least").alias("lowest")))
+    worthy = lists.join(lowest, "term").where("worth >= lowest").drop("lowest").repartition("row")
     fetched = worthy.join(cuts.select("item", "term", "one", "least", "more"), "term").where("worth >= least")
     sums = fetched.groupBy("item", "row").agg(F.max("doc_id").alias("doc_id"), F.sum(F.expr("one * worth")).alias("total"), F.sum(F.expr("one * worth - more")).alias("above"))
     reaching = stored(sums.join(limits, "item").where("above + rest >= greatest(bound, 1L)").selectExpr("item", "row", "doc_id", "total", "above + rest AS most"))
-    candidates = reaching.join(_kth(reaching, k, "better"), "item", "left").where("most >= coalesce(better, 1L)").select("item", "row", "doc_id")
+    candidates = reaching.join(stored(_kth(reaching, k, "better")), "item", "left").where("most >= coalesce(better, 1L)").select("item", "row", "doc_id")
 
     # 3: the look-ups.
-    exact = candidates.join(cuts.select("item", "item_id", "term", "one"), "item").join(lists.select("term", "row", "worth"), ["term", "row"])
-    scores = exact.groupBy("item", "item_id", "row", "doc_id").agg(F.sum(F.expr("one * worth")).alias("score")).where("score > 0")
+    # Candidates meet their documents' postings by document, so that what is moved is one row for each candidate, not one for each of its terms.
+    held = candidates.join(lists.select("row", "term", "worth"), "row")
+    exact = held.join(cuts.select("item", "item_id", "term", "one"), ["item", "term"])
+    scores = exact.groupBy("item", "row").agg(F.max("item_id").alias("item_id"), F.max("doc_id").alias("doc_id"), F.sum(F.expr("one * worth")).alias("score")).where("score > 0")
     ranked = scores.selectExpr("item_id", "row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, row) AS rank", "doc_id", "score")
     return ranked.where(f"rank <= {k}")
 
