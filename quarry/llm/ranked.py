@@ -3,11 +3,12 @@
 The lists of the items' terms are stored once, dealt by term (a list over several places) and sorted by what an
 occurrence is worth. Then, for all items together:
 
-1. the heads: the ``k`` best postings of each list. The ``HEADS * k`` documents of an item with the best partial sums are looked
-   up, and the k-th best of their scores is a lower bound of its k-th best score;
+1. the heads: the best postings of each place of each list. The k-th best sum of an item's heads is a lower bound of its
+   k-th best score, from which the threshold is taken; a better one, for weighing candidates, is the k-th best score of the
+   ``LOOKED_UP * k`` documents with the best sums;
 2. the uniform threshold: from each of an item's m lists, every posting worth at least the bound's m-th part. A
-   document that none of them holds has a sum below the bound. Sums of what was fetched give a better bound, and a document stays a candidate if its
-   sum, and the most that its unseen lists can add, reach that;
+   document that none of them holds has a sum below the bound. A document stays a candidate if the sum of what was fetched, and the
+   most that its unseen lists can add, reach the better bound, and the k-th best of those sums;
 3. the look-ups: candidates' exact scores over all of the item's lists.
 
 Lists, sums and candidates are only ever joined and grouped by Spark; the driver holds two counts and a bit map of fixed size,
@@ -36,8 +37,8 @@ from quarry.llm.common import Batches, bit_map, in_bit_map, lean, slices, stored
 
 #: Every byte that is not of a term becomes a space, and A-Z become a-z; bytes above 127 are of terms.
 TRANSLATION = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
-#: Documents that are looked up for the lower bound, as multiples of k.
-HEADS = 2
+#: Documents that are looked up for the better bound, as multiples of k.
+LOOKED_UP = 10
 #: Places of one list in the stored table.
 PLACES = 32
 FIELDS = [("row", pa.int64()), ("id", pa.int64()), ("term", pa.string()), ("hash", pa.int64()), ("tf", pa.int64()), ("n", pa.int64())]
@@ -98,12 +99,12 @@ def _kth(sums: DataFrame, k: int, name: str) -> DataFrame:
 
 
 def posting_lists(raw: DataFrame, weights: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
-    """``term, row, doc_id, worth`` of the terms in ``weights``, dealt by term in ``PLACES`` places, the best of a list first."""
+    """``term, row, doc_id, worth, head`` of the terms in ``weights``, dealt by term in ``PLACES`` places; the best of a place have ``head`` 1, 2, ..."""
     m = f"(75 + (25 * n * {n_docs}L) DIV {max(1, n_terms)}L)"
     worth = F.expr(f"(1000000000L * tf) DIV (1000L * tf + 12L * {m})").alias("worth")
     lists = raw.where("term IS NOT NULL").join(weights.select("term"), "term").select("term", "row", F.col("id").alias("doc_id"), worth)
-    dealt = lists.withColumn("place", F.pmod(F.hash("row"), F.lit(PLACES))).repartition("term", "place")
-    return stored(dealt.sortWithinPartitions("term", F.desc("worth")).drop("place"))
+    placed = lists.withColumn("place", F.pmod(F.hash("row"), F.lit(PLACES)))
+    return stored(placed.selectExpr("term", "row", "doc_id", "worth", "row_number() OVER (PARTITION BY term, place ORDER BY worth DESC, row) AS head"))
 
 
 def top_documents(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
@@ -118,27 +119,29 @@ def top_documents(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
     lists = posting_lists(raw, weights, n_docs, n_terms)
 
     # 1: the heads. ``one`` is what a unit of worth counts for an item.
-    best = lists.selectExpr("term", "row", "worth", "row_number() OVER (PARTITION BY term ORDER BY worth DESC, row) AS _place").where(f"_place <= {k}")
     wanted = stored(
         asked.join(weights, "term").selectExpr("item", "item_id", "term", "reps * w AS one").join(lists.groupBy("term").agg(F.max("worth").alias("top")), "term")
     )
-    first = best.join(wanted, "term").groupBy("item", "row").agg(F.sum(F.expr("one * worth")).alias("total"))
-    leading = first.selectExpr("item", "row", "row_number() OVER (PARTITION BY item ORDER BY total DESC, row) AS _place").where(f"_place <= {HEADS * k}")
-    sought = stored(leading.join(wanted.select("item", "term", "one"), "item").select("item", "row", "term", "one"))
-    bound = _kth(sought.join(lists.select("term", "row", "worth"), ["term", "row"]).groupBy("item", "row").agg(F.sum(F.expr("one * worth")).alias("total")), k, "bound")
+    score = F.sum(F.expr("one * worth")).alias("total")
+    deep = -(-5 * k // PLACES)
+    heads = lists.where(f"head <= {deep}").join(wanted, "term").groupBy("item", "row").agg(score, F.sum(F.expr("CASE WHEN head = 1 THEN one * worth ELSE 0L END")).alias("first"))
+    leading = stored(heads.selectExpr("item", "row", "total", "first", "row_number() OVER (PARTITION BY item ORDER BY total DESC, row) AS _place").where(f"_place <= {LOOKED_UP * k}"))
+    bound = _kth(leading.selectExpr("item", "row", "first AS total"), k, "bound")
+    looked_up = lists.select("row", "term", "worth").join(leading.select("item", "row"), "row").join(wanted.select("item", "term", "one"), ["item", "term"])
+    floor = _kth(looked_up.groupBy("item", "row").agg(score), k, "floor")
 
     # 2: the uniform threshold. ``least`` is the least worth to be fetched; what is not fetched adds at most ``more``.
     m = wanted.groupBy("item").agg(F.count("*").alias("m"))
     least = F.expr("greatest(1L, CAST((bound + m * one - 1) DIV (m * one) AS LONG))")
-    cuts = wanted.join(m, "item").join(bound, "item", "left").na.fill(0, ["bound"]).withColumn("least", least)
-    cuts = stored(cuts.selectExpr("item", "item_id", "term", "one", "least", "one * least(top, least - 1) AS more", "bound"))
-    limits = stored(cuts.groupBy("item").agg(F.sum("more").alias("rest"), F.min("bound").alias("bound")))
+    cuts = wanted.join(m, "item").join(bound, "item", "left").join(floor, "item", "left").na.fill(0, ["bound", "floor"]).withColumn("least", least)
+    cuts = stored(cuts.selectExpr("item", "item_id", "term", "one", "least", "one * least(top, least - 1) AS more", "floor"))
+    limits = stored(cuts.groupBy("item").agg(F.sum("more").alias("rest"), F.min("floor").alias("floor")))
     # A posting moves once, to its document's task; there it meets the items, and sums of one document and item need no further shuffle.
     lowest = stored(cuts.groupBy("term").agg(F.min("least").alias("lowest")))
     worthy = lists.join(lowest, "term").where("worth >= lowest").drop("lowest").repartition("row")
     fetched = worthy.join(cuts.select("item", "term", "one", "least", "more"), "term").where("worth >= least")
     sums = fetched.groupBy("item", "row").agg(F.max("doc_id").alias("doc_id"), F.sum(F.expr("one * worth")).alias("total"), F.sum(F.expr("one * worth - more")).alias("above"))
-    reaching = stored(sums.join(limits, "item").where("above + rest >= greatest(bound, 1L)").selectExpr("item", "row", "doc_id", "total", "above + rest AS most"))
+    reaching = stored(sums.join(limits, "item").where("above + rest >= greatest(floor, 1L)").selectExpr("item", "row", "doc_id", "total", "above + rest AS most"))
     candidates = reaching.join(stored(_kth(reaching, k, "better")), "item", "left").where("most >= coalesce(better, 1L)").select("item", "row", "doc_id")
 
     # 3: the look-ups.
