@@ -5,12 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes a table below ``spark.checkpoint.dir`` and reads it again; a local folder serves only a local master."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession) -> str:
+    """A new path below ``spark.checkpoint.dir``; a local folder serves only a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quarry.scratch.dir", None)
     if not root:
         master = spark.sparkContext.master
@@ -18,6 +17,11 @@ def stored(df: DataFrame) -> DataFrame:
             raise ValueError(f"spark.checkpoint.dir has to name a folder that all executors of {master} share")
         root = tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("quarry.scratch.dir", root)
-    path = f"{root.rstrip('/')}/quarry-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/quarry-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes a table below ``spark.checkpoint.dir`` and reads it again, which cuts the lineage."""
+    path = fresh_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import migrating, paths, scanning, text
 from quarry.functions.replacing import replace_udf
-from quarry.operators import changes, config_layers, content, documents, graph, hooks, patching, policy, pysource, search, transcripts
+from quarry.operators import changes, config_layers, content, documents, graph, hooks, index, patching, policy, pysource, search, transcripts
+from quarry.operators.shared import fresh_path
 from quarry.plans import goldens
 from quarry.session import table
 from quarry.streaming import expiry
@@ -508,6 +509,43 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", F.round("score", 5).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
 
 
+def _refreshed_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """An index of an older state of the documents, brought up to the table: a tenth changed, a tenth new, a tenth gone."""
+    now = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    older = now.where("doc_id % 10 <> 1").selectExpr("doc_id", "CASE WHEN doc_id % 10 = 0 THEN concat('license of an older text ', left(text, 40)) ELSE text END AS text", "lang")
+    older = older.unionByName(now.where("doc_id % 10 = 2").selectExpr("doc_id + 1000000000000 AS doc_id", "concat(text, ' license agreement') AS text", "lang"))
+    found = index.build(older, fresh_path(spark), "doc_id", "text", "lang")
+    index.refresh(found, now, "doc_id", "text", "lang")
+    return found
+
+
+@query(_BM25 + "SELECT doc_id, round(score, 5) AS score FROM b ORDER BY round(score, 5) DESC, doc_id LIMIT 10")
+def index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents from a stored index after a refresh."""
+    return index.search(_refreshed_index(spark, sf_dir), _QUERY).select(F.col("key").alias("doc_id"), F.round("score", 5).alias("score"))
+
+
+@query(
+    _BM25
+    + ", l AS (SELECT b.doc_id, score FROM b JOIN documents USING (doc_id) WHERE lang IN ('de', 'fr')) SELECT doc_id, round(score, 5) AS score FROM l ORDER BY round(score, 5) DESC, doc_id LIMIT 10"
+)
+def index_topk_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same among documents of two languages; the statistics are those of all."""
+    return index.search(_refreshed_index(spark, sf_dir), _QUERY, languages=["de", "fr"]).select(F.col("key").alias("doc_id"), F.round("score", 5).alias("score"))
+
+
+@query("WITH t AS (SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+')) AS n FROM documents) SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS words, round(avg(n), 6) AS mean, CAST(2 AS BIGINT) AS segments FROM t")
+def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics that a refresh keeps by changes, against those of the table."""
+    return _refreshed_index(spark, sf_dir).statistics().select("docs", "words", F.round("mean", 6).alias("mean"), "segments")
+
+
+@query("SELECT term, CAST(count(*) AS BIGINT) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+')) AS term FROM documents) GROUP BY term")
+def index_document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term's document count after a refresh."""
+    return _refreshed_index(spark, sf_dir).document_counts()
+
+
 def _probe(spark: SparkSession, sf_dir: str) -> list[float]:
     """The vector of the smallest id."""
     return list(table(spark, sf_dir, "embeddings").orderBy("vec_id").first().embedding)
