@@ -63,19 +63,21 @@ def occurrences(rows: DataFrame, id_column: str, bits: np.ndarray | None = None)
 
     With ``bits``, terms whose hash has no bit are left out, but count in ``n``. ``row`` is unique, and stable once stored.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(bits) if bits is not None else None  # 8 MB, however many terms
+    # 8 MB, however many terms, and far less if they are few. Executors write a broadcast to disk more than once.
+    shared = rows.sparkSession.sparkContext.broadcast(zlib.compress(bits.tobytes(), 1)) if bits is not None else None
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         start = (context.partitionId() if context else 0) << 40
+        asked = np.frombuffer(zlib.decompress(shared.value), np.uint64) if shared is not None else None
         for piece in slices(batches, 1):
             row, coded = terms_of(piece.column(1).cast(pa.string()))
             n = np.bincount(row, minlength=piece.num_rows)
             known = coded.dictionary.to_pylist()
             hashes = np.fromiter((zlib.crc32(t.encode()) for t in known), np.int64, len(known))
             code = coded.indices.to_numpy(zero_copy_only=False)
-            if shared is not None and len(known):
-                kept = in_bit_map(shared.value, hashes)[code]
+            if asked is not None and len(known):
+                kept = in_bit_map(asked, hashes)[code]
                 row, code = row[kept], code[kept]
             pairs, tf = np.unique((row << 32) | code, return_counts=True)
             code = pairs & 0xFFFFFFFF
