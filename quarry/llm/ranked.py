@@ -13,7 +13,7 @@ occurrence is worth. Then, for all items together:
 
 Lists, sums and candidates are only ever joined and grouped by Spark; the driver holds two counts and a bit map of fixed size,
 which says what terms may be asked for (an exact join follows). Text is read once. Joins with the items' side are broadcast
-only where Spark knows its stored size to be small; else it sorts and splits skewed lists.
+only where it is stored and counted to be small; else Spark sorts and splits skewed lists.
 
 Defined results: a null text has no terms; an item without terms, or without a document that scores above 0,
 has no rows; rows that repeat a document's or item's id are documents and items of their own, equal scores of one id
@@ -39,6 +39,8 @@ from quarry.llm.common import Batches, bit_map, in_bit_map, lean, slices, stored
 TRANSLATION = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 #: Documents that are looked up for the better bound, as multiples of k.
 LOOKED_UP = 10
+#: Rows of a table that is broadcast: a few MB.
+SMALL = 100_000
 #: Places of one list in the stored table.
 PLACES = 32
 FIELDS = [("row", pa.int64()), ("id", pa.int64()), ("term", pa.string()), ("hash", pa.int64()), ("tf", pa.int64()), ("n", pa.int64())]
@@ -94,6 +96,12 @@ def occurrences(rows: DataFrame, id_column: str, bits: np.ndarray | None = None)
     return rows.select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), DDL)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A stored table, broadcast when joined if it is counted to have at most ``SMALL`` narrow rows, which Spark can't tell from many small files."""
+    kept = stored(df)
+    return F.broadcast(kept) if kept.count() <= SMALL else kept
+
+
 def _kth(sums: DataFrame, k: int, name: str) -> DataFrame:
     """The k-th largest positive ``total`` of each item; items with fewer have none."""
     ranked = sums.where("total > 0").selectExpr("item", "total", "row_number() OVER (PARTITION BY item ORDER BY total DESC, row) AS _place")
@@ -104,7 +112,7 @@ def posting_lists(raw: DataFrame, weights: DataFrame, n_docs: int, n_terms: int)
     """``term, row, doc_id, worth, head`` of the terms in ``weights``, dealt by term in ``PLACES`` places; the best of a place have ``head`` 1, 2, ..."""
     m = f"(75 + (25 * n * {n_docs}L) DIV {max(1, n_terms)}L)"
     worth = F.expr(f"(1000000000L * tf) DIV (1000L * tf + 12L * {m})").alias("worth")
-    lists = raw.where("term IS NOT NULL").join(weights.select("term"), "term").select("term", "row", F.col("id").alias("doc_id"), worth)
+    lists = raw.where("term IS NOT NULL").join(weights, "term").select("term", "row", F.col("id").alias("doc_id"), worth)
     placed = lists.withColumn("place", F.pmod(F.hash("row"), F.lit(PLACES)))
     return stored(placed.selectExpr("term", "row", "doc_id", "worth", "row_number() OVER (PARTITION BY term, place ORDER BY worth DESC, row) AS head"))
 
@@ -117,39 +125,39 @@ def top_documents(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
     n_docs, n_terms = int(totals[0]), int(totals[1])
     df = raw.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
     weight: Column = F.floor(1000 * F.log(F.lit(2.0 * n_docs + 2) / (2.0 * F.col("df") + 1))).alias("w")
-    weights = stored(df.join(asked.select("term").distinct(), "term").select("term", weight).where("w > 0"))
+    weights = _small(df.join(asked.select("term").distinct(), "term").select("term", weight).where("w > 0"))
     lists = posting_lists(raw, weights, n_docs, n_terms)
 
     # 1: the heads. ``one`` is what a unit of worth counts for an item.
-    wanted = stored(
+    wanted = _small(
         asked.join(weights, "term").selectExpr("item", "item_id", "term", "reps * w AS one").join(lists.groupBy("term").agg(F.max("worth").alias("top")), "term")
     )
     score = F.sum(F.expr("one * worth")).alias("total")
     deep = -(-5 * k // PLACES)
     heads = lists.where(f"head <= {deep}").join(wanted, "term").groupBy("item", "row").agg(score, F.sum(F.expr("CASE WHEN head = 1 THEN one * worth ELSE 0L END")).alias("first"))
-    leading = stored(heads.selectExpr("item", "row", "total", "first", "row_number() OVER (PARTITION BY item ORDER BY total DESC, row) AS _place").where(f"_place <= {LOOKED_UP * k}"))
+    leading = _small(heads.selectExpr("item", "row", "total", "first", "row_number() OVER (PARTITION BY item ORDER BY total DESC, row) AS _place").where(f"_place <= {LOOKED_UP * k}"))
     bound = _kth(leading.selectExpr("item", "row", "first AS total"), k, "bound")
-    looked_up = lists.select("row", "term", "worth").join(leading.select("item", "row"), "row").join(wanted.select("item", "term", "one"), ["item", "term"])
+    looked_up = lists.select("row", "term", "worth").join(leading.drop("total", "first", "_place"), "row").join(wanted.drop("item_id", "top"), ["item", "term"])
     floor = _kth(looked_up.groupBy("item", "row").agg(score), k, "floor")
 
     # 2: the uniform threshold. ``least`` is the least worth to be fetched; what is not fetched adds at most ``more``.
     m = wanted.groupBy("item").agg(F.count("*").alias("m"))
     least = F.expr("greatest(1L, CAST((bound + m * one - 1) DIV (m * one) AS LONG))")
     cuts = wanted.join(m, "item").join(bound, "item", "left").join(floor, "item", "left").na.fill(0, ["bound", "floor"]).withColumn("least", least)
-    cuts = stored(cuts.selectExpr("item", "item_id", "term", "one", "least", "one * least(top, least - 1) AS more", "floor"))
-    limits = stored(cuts.groupBy("item").agg(F.sum("more").alias("rest"), F.min("floor").alias("floor")))
+    cuts = _small(cuts.selectExpr("item", "item_id", "term", "one", "least", "one * least(top, least - 1) AS more", "floor"))
+    limits = _small(cuts.groupBy("item").agg(F.sum("more").alias("rest"), F.min("floor").alias("floor")))
     # A posting moves once, to its document's task; there it meets the items, and sums of one document and item need no further shuffle.
-    lowest = stored(cuts.groupBy("term").agg(F.min("least").alias("lowest")))
+    lowest = _small(cuts.groupBy("term").agg(F.min("least").alias("lowest")))
     worthy = lists.join(lowest, "term").where("worth >= lowest").drop("lowest").repartition("row")
-    fetched = worthy.join(cuts.select("item", "term", "one", "least", "more"), "term").where("worth >= least")
+    fetched = worthy.join(cuts, "term").where("worth >= least")
     sums = fetched.groupBy("item", "row").agg(F.max("doc_id").alias("doc_id"), F.sum(F.expr("one * worth")).alias("total"), F.sum(F.expr("one * worth - more")).alias("above"))
     reaching = stored(sums.join(limits, "item").where("above + rest >= greatest(floor, 1L)").selectExpr("item", "row", "doc_id", "total", "above + rest AS most"))
-    candidates = reaching.join(stored(_kth(reaching, k, "better")), "item", "left").where("most >= coalesce(better, 1L)").select("item", "row", "doc_id")
+    candidates = reaching.join(_small(_kth(reaching, k, "better")), "item", "left").where("most >= coalesce(better, 1L)").select("item", "row", "doc_id")
 
     # 3: the look-ups.
     # Candidates meet their documents' postings by document, so that what is moved is one row for each candidate, not one for each of its terms.
     held = candidates.join(lists.select("row", "term", "worth"), "row")
-    exact = held.join(cuts.select("item", "item_id", "term", "one"), ["item", "term"])
+    exact = held.join(cuts, ["item", "term"])
     scores = exact.groupBy("item", "row").agg(F.max("item_id").alias("item_id"), F.max("doc_id").alias("doc_id"), F.sum(F.expr("one * worth")).alias("score")).where("score > 0")
     ranked = scores.selectExpr("item_id", "row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, row) AS rank", "doc_id", "score")
     return ranked.where(f"rank <= {k}")
