@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import migrating, paths, scanning, text
 from quarry.functions.replacing import replace_udf
-from quarry.operators import changes, config_layers, content, documents, graph, hooks, index, patching, policy, pysource, search, transcripts
+from quarry.operators import changes, config_layers, content, documents, graph, hooks, index, patching, policy, pysource, related, search, transcripts
 from quarry.operators.shared import fresh_path
 from quarry.plans import goldens
 from quarry.session import table
@@ -560,6 +560,37 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.round(search.cosine(F.col("embedding"), _probe(spark, sf_dir)), 5).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
 
 
+def _vector_index(spark: SparkSession, sf_dir: str) -> related.VectorIndex:
+    return related.build(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), fresh_path(spark), ("vec_id",), "embedding")
+
+
+@query(
+    f"""
+SELECT query, vec_id, score FROM (
+  SELECT p.vec_id AS query, e.vec_id, round({_COSINE}, 4) AS score, row_number() OVER (PARTITION BY p.vec_id ORDER BY {_COSINE} DESC, e.vec_id) AS n
+  FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0) p) WHERE n <= 10
+"""
+)
+def vector_index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth vector from the stored index, by its exact fallback."""
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").selectExpr("vec_id AS query", "embedding AS vector")
+    return related.search(_vector_index(spark, sf_dir), asked, exact=True).select("query", "vec_id", F.round("score", 4).alias("score"))
+
+
+@query()
+def vector_index_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from coded vectors of the probed lists; recall is tested against brute force."""
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").selectExpr("vec_id AS query", "embedding AS vector")
+    return related.search(_vector_index(spark, sf_dir), asked).select("query", "vec_id", F.round("score", 4).alias("score"))
+
+
+@query()
+def related_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of all documents nearest to the one that holds the first line of document 0; tested against brute force."""
+    chunked = related.chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return related.find_related(related.build(related.embedded(chunked), fresh_path(spark), ("file", "start", "end")), 0, 1)
+
+
 @query(
     _BM25
     + f""", v AS (SELECT e.vec_id AS doc_id, {_COSINE} AS score FROM embeddings e, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) p),
