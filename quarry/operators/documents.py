@@ -66,7 +66,7 @@ def select(document: object, pointer: str) -> object:
                 index = float(token.strip() or 0)
             except ValueError:
                 return _MISSING
-            if index != int(index) or not 0 <= index < len(at):
+            if not 0 <= index < len(at) or index != int(index):
                 return _MISSING
             at = at[int(index)]
         elif isinstance(at, dict):
@@ -96,7 +96,7 @@ def query_udf(text: pd.Series, extension: pd.Series, pointer: pd.Series) -> pd.D
             rows.append((None, False, "document_result_too_large") if large else (value, got is not _MISSING, None))
         except SelectorError:
             rows.append((None, False, "invalid_document_selector"))
-        except ValueError as err:
+        except (ValueError, RecursionError, MemoryError) as err:  # nested deeper than the parsers go, too
             rows.append((None, False, str(err) if str(err) == "document_format_unsupported" else "document_invalid"))
     return pd.DataFrame(rows, columns=["value", "present", "error"])
 
@@ -124,7 +124,7 @@ def canonical_udf(text: pd.Series) -> pd.Series:
     def one(t: str | None) -> str | None:
         try:
             return None if t is None else canonical_json(t)
-        except ValueError:
+        except (ValueError, RecursionError, MemoryError):
             return None
 
     return text.map(one)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import ast
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -35,17 +36,29 @@ def symbols(source: str) -> list[dict]:
     return out
 
 
+#: What the parser and walks over its trees raise on texts that are no source or are nested too deeply for them.
+UNREADABLE = (SyntaxError, ValueError, RecursionError, MemoryError)
+
+
 def error_count(source: str) -> int:
     try:
         ast.parse(source)
-    except (SyntaxError, ValueError):
+    except UNREADABLE:
         return 1
     return 0
 
 
+def guarded(f: Callable[[str], object], source: str | None, failed: object) -> object:
+    """``f`` of a source, or ``failed`` where it can't be read; one row never ends a job."""
+    try:
+        return f(source or "")
+    except UNREADABLE:
+        return failed
+
+
 @pandas_udf(SYMBOLS)
 def symbols_udf(source: pd.Series) -> pd.Series:
-    return source.map(lambda s: symbols(s or "") if not error_count(s or "") else None)
+    return source.map(lambda s: guarded(symbols, s, None))
 
 
 @pandas_udf("int")
@@ -88,7 +101,7 @@ def imports(source: str) -> list[str]:
 
 @pandas_udf("array<string>")
 def imports_udf(source: pd.Series) -> pd.Series:
-    return source.map(lambda s: imports(s or "") if not error_count(s or "") else [])
+    return source.map(lambda s: guarded(imports, s, []))
 
 
 def calls(source: str) -> list[tuple[str, str]]:
@@ -113,7 +126,7 @@ def calls(source: str) -> list[tuple[str, str]]:
 
 @pandas_udf("array<struct<caller:string,callee:string>>")
 def calls_udf(source: pd.Series) -> pd.Series:
-    return source.map(lambda s: [{"caller": a, "callee": b} for a, b in calls(s or "")] if not error_count(s or "") else [])
+    return source.map(lambda s: guarded(lambda t: [{"caller": a, "callee": b} for a, b in calls(t)], s, []))
 
 
 def surface(sources: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
@@ -175,7 +188,7 @@ def rewrite_first(source: str, pattern: str, template: str) -> tuple[int, str]:
     """
     try:
         found = _matches(source, pattern)
-    except SyntaxError:
+    except UNREADABLE:
         return 0, source
     if not found:
         return 0, source
@@ -194,7 +207,7 @@ def search(sources: DataFrame, pattern: str, path: str = "path", text: str = "te
 
     @F.pandas_udf("array<struct<line:int,column:int,text:string>>")
     def run(source: pd.Series) -> pd.Series:
-        return source.map(lambda s: pattern_matches(s or "", pattern) if not error_count(s or "") else [])
+        return source.map(lambda s: guarded(lambda t: pattern_matches(t, pattern), s, []))
 
     found = sources.select(F.col(path).alias("path"), run(text).alias("m")).where(F.size("m") > 0)
     return found.select("path", F.slice("m", 1, shown).alias("matches"), F.size("m").cast("long").alias("total"))

@@ -23,6 +23,7 @@ from quarry.streaming import expiry
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+EXAMPLES: dict[str, Query] = {}
 
 
 def query(oracle: str | None = None) -> Callable:
@@ -37,6 +38,12 @@ def query(oracle: str | None = None) -> Callable:
     return register
 
 
+def example(f: Query) -> Query:
+    """Inline goldens, which the tests run; they read no table, so they are no registered queries."""
+    EXAMPLES[f.__name__] = f
+    return f
+
+
 def _text(df: DataFrame) -> DataFrame:
     return df.withColumn("text", F.coalesce("text", F.lit("")))
 
@@ -265,7 +272,7 @@ def suite_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.suite_problems(cases, ["web", "books"])
 
 
-@query()
+@example
 def transcript_goldens(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = transcripts.score(goldens.sessions(spark), goldens.cases(spark))
     return s.withColumn("errors", F.array_join("errors", "; "))
@@ -693,28 +700,28 @@ def exact_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", F.md5(F.col("r.content").cast("binary")).alias("replaced"), "r.method", "r.error")
 
 
-@query()
+@example
 def cascade_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = goldens.replacements(spark)
     return g.select("name", replace_udf()("content", "search", "replacement").alias("r")).select("name", "r.*")
 
 
-@query()
+@example
 def hook_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hooks.decide(goldens.events(spark), "event", allow=("reader",), block=("danger",)).select("name", "denied", "rule")
 
 
-@query()
+@example
 def shell_mutates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return goldens.shell(spark).select("command", scanning.shell_mutates_udf("command").alias("mutates"))
 
 
-@query()
+@example
 def python_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pysource.symbol_map(goldens.sources(spark)).select("path", "kind", "name", "start", "end", "public")
 
 
-@query()
+@example
 def preflight_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch, files, importers = goldens.batch(spark)
     return changes.preflight(batch, files, importers)

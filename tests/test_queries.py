@@ -26,12 +26,12 @@ def test_byte_cap(spark, sf_dir):
 
 
 def test_shell_goldens(spark, sf_dir):
-    got = {r.command: r.mutates for r in catalogue.QUERIES["shell_mutates"](spark, sf_dir).collect()}
+    got = {r.command: r.mutates for r in catalogue.EXAMPLES["shell_mutates"](spark, sf_dir).collect()}
     assert got == goldens.SHELL
 
 
 def test_hook_goldens(spark, sf_dir):
-    got = {r.name: (r.denied, r.rule) for r in catalogue.QUERIES["hook_decision"](spark, sf_dir).collect()}
+    got = {r.name: (r.denied, r.rule) for r in catalogue.EXAMPLES["hook_decision"](spark, sf_dir).collect()}
     assert got == {
         "blocked": (True, "blocked"), "allowed": (False, "allowed"), "direct": (True, "direct"), "shell": (True, "shell"), "shell_read": (False, "none"),
         "executor_nested": (True, "nested"), "executor_plain": (False, "none"), "other": (False, "none"),
@@ -39,7 +39,7 @@ def test_hook_goldens(spark, sf_dir):
 
 
 def test_cascade_goldens(spark, sf_dir):
-    got = {r.name: (r.method, r.error, r.content) for r in catalogue.QUERIES["cascade_method"](spark, sf_dir).collect()}
+    got = {r.name: (r.method, r.error, r.content) for r in catalogue.EXAMPLES["cascade_method"](spark, sf_dir).collect()}
     assert got["exact"] == ("exact", None, "a $$$ARGS b")
     assert got["ambiguous"][1] == "ambiguous" and got["empty"][1] == "empty_search" and got["none"][1] == "no_match"
     assert got["append"] == ("append", None, "first\nsecond")
@@ -50,7 +50,7 @@ def test_cascade_goldens(spark, sf_dir):
 
 
 def test_transcript_goldens(spark, sf_dir):
-    got = {r.session: r for r in catalogue.QUERIES["transcript_goldens"](spark, sf_dir).collect()}
+    got = {r.session: r for r in catalogue.EXAMPLES["transcript_goldens"](spark, sf_dir).collect()}
     assert got["malformed"].errors == "line 1: invalid JSON; unmatched output ID: orphan" and not got["malformed"].passed
     d = got["direct"]
     assert (d.batches, d.evaluated_cases, d.tool_calls, d.output_chars) == (1, 1, "file_hash=1", 11) and "unknown eval ID: 999" in d.errors
@@ -65,12 +65,12 @@ def test_transcript_goldens(spark, sf_dir):
 
 
 def test_preflight_goldens(spark, sf_dir):
-    got = sorted((r.path, r.code) for r in catalogue.QUERIES["preflight_errors"](spark, sf_dir).collect())
+    got = sorted((r.path, r.code) for r in catalogue.EXAMPLES["preflight_errors"](spark, sf_dir).collect())
     assert got == [("b", "still_imported"), ("c", "destination_exists"), ("e", "duplicate_destination"), ("g", "stale_or_missing_hash"), ("h", "not_found")]
 
 
 def test_python_symbols(spark, sf_dir):
-    got = sorted((r.kind, r.name, r.start, r.end) for r in catalogue.QUERIES["python_symbols"](spark, sf_dir).collect())
+    got = sorted((r.kind, r.name, r.start, r.end) for r in catalogue.EXAMPLES["python_symbols"](spark, sf_dir).collect())
     assert ("class", "Shape", 8, 13) in got and ("method", "Shape.side", 9, 10) in got and len(got) == 5
 
 
