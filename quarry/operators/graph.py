@@ -51,35 +51,116 @@ def tagged(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def shortest_path(edges: DataFrame, ends: DataFrame, hops: int = 12) -> DataFrame:
     """``position, node`` of a shortest path of at most ``hops`` edges, the smallest of them as a list; both ends if none.
 
-    ``ends``: one row of start and goal.
+    ``ends``: one row of start and goal. The search goes from both ends, a level of the smaller
+    frontier a round, and keeps nodes only. Where the frontiers meet, the levels are walked back for the edges
+    of shortest paths, and the path takes the smallest node of each next level.
     """
     edges, ends = stored(edges.select(F.col("src").cast("long"), F.col("dst").cast("long"))), stored(ends.select(F.col("start").cast("long"), F.col("goal").cast("long")))
-    goal = ends.select(F.col("goal").alias("node"))
     none = ends.select(F.posexplode(F.array("start", "goal")).alias("position", "node"), F.lit(False).alias("found"))
-    frontier = ends.select(F.col("start").alias("node"), F.array("start").alias("path"))
-    known = frontier.select("node")
-    for _ in range(hops):
-        step = edges.join(frontier, edges.src == frontier.node).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        frontier = stored(step.groupBy("node").agg(F.min("path").alias("path")).join(known, "node", "left_anti"))
-        done = frontier.join(goal, "node", "left_semi")
-        if not done.isEmpty():
-            return done.select(F.posexplode("path").alias("position", "node"), F.lit(True).alias("found"))
-        if frontier.isEmpty():
+    ahead, back = [ends.select(F.col("start").alias("node"))], [ends.select(F.col("goal").alias("node"))]
+    sizes = [1, 1]
+    meeting = None
+    # A path has an edge at least, so a start that is its own goal meets after a step.
+    while len(ahead) + len(back) - 2 < hops:
+        levels, turned = (ahead, False) if sizes[0] <= sizes[1] else (back, True)
+        step = (reversed_edges(edges) if turned else edges).join(levels[-1], F.col("src") == F.col("node"), "left_semi").select(F.col("dst").alias("node")).distinct()
+        for level in levels[1:]:
+            step = step.join(level, "node", "left_anti")
+        levels.append(stored(step))
+        sizes[turned] = levels[-1].count()
+        if not sizes[turned]:
             return none
-        known = known.unionByName(frontier.select("node"))
-    return none
+        meeting = ahead[-1].join(back[-1], "node", "left_semi")
+        if not meeting.isEmpty():
+            break
+    else:
+        return none
+    # Edges of shortest paths: backwards from the meeting to the start, then on to the goal.
+    parts, wanted = [], stored(meeting)
+    for i in range(len(ahead) - 1, 0, -1):
+        part = stored(edges.join(wanted.select(F.col("node").alias("dst")), "dst", "left_semi").join(ahead[i - 1].select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst"))
+        parts.insert(0, part)
+        wanted = part.select(F.col("src").alias("node")).distinct()
+    wanted = meeting
+    for i in range(len(back) - 1, 0, -1):
+        part = stored(edges.join(wanted.select(F.col("node").alias("src")), "src", "left_semi").join(back[i - 1].select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
+        parts.append(part)
+        wanted = part.select(F.col("dst").alias("node")).distinct()
+    path = [ends.first().start]
+    for part in parts:  # one node of each level
+        path.append(part.where(F.col("src") == path[-1]).agg(F.min("dst")).first()[0])
+    return edges.sparkSession.createDataFrame([(i, n, True) for i, n in enumerate(path)], "position int, node long, found boolean")
+
+
+def jumped(chain: DataFrame) -> DataFrame:
+    """``node, back, ahead, low, open`` of nodes with one edge in and one out: pointers past the chain's ends, by doubling.
+
+    ``open`` nodes are those of rings, which have no ends; ``low`` is the ring's smallest node.
+    """
+    now, last = stored(chain.select("node", "back", "ahead", F.col("node").alias("low"), F.lit(True).alias("open"))), -1
+    while True:
+        a = now.select(F.col("node").alias("_a"), F.col("ahead").alias("_ahead"), F.col("low").alias("_low"))
+        b = now.select(F.col("node").alias("_b"), F.col("back").alias("_back"))
+        joined = now.join(a, F.col("ahead") == F.col("_a"), "left").join(b, F.col("back") == F.col("_b"), "left")
+        low = F.least("low", F.coalesce("_low", "low"))
+        now = stored(joined.select("node", F.coalesce("_back", "back").alias("back"), F.coalesce("_ahead", "ahead").alias("ahead"), low.alias("low"), (F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("open"), (low < F.col("low")).alias("_moved"), (F.col("_a").isNotNull().cast("int") + F.col("_b").isNotNull().cast("int")).alias("_going")))
+        going, moved = now.agg(F.sum("_going"), F.count_if("_moved")).first()
+        # Each round brings more pointers past an end; once none is, only rings go on, until each is known whole.
+        if not going or (going == last and not moved):
+            return now.drop("_moved", "_going")
+        last = going
 
 
 def cycles(edges: DataFrame, min_size: int = 2) -> DataFrame:
     """``component, node`` of strongly connected components of ``min_size`` nodes, or of one node with an edge to itself.
 
-    Forward colouring: a node's colour is the smallest node that reaches it; within one
-    colour, all that reach that node are its component. What is left is coloured again.
-    ``component`` is the smallest node.
+    ``component`` is the smallest node. Rounds of two steps first make the graph small: nodes without an edge in or out
+    are in no cycle and go; chains of nodes with one edge in and one out become an edge each, by pointer doubling, so
+    that a chain takes logarithmically many rounds, and a ring is a component at once. A chain's nodes are in its ends'
+    component if both ends are in one. What is left is coloured: a node's colour is the smallest node that reaches
+    it, and within a colour all that reach that node are its component.
     """
     edges = stored(edges.select("src", "dst").distinct())
     own = edges.where("src = dst").select(F.col("src").alias("component"), F.col("src").alias("node"))
     left = stored(edges.where("src != dst"))
+    size = left.count()
+    chains: list[DataFrame] = []
+    rings: list[DataFrame] = []
+    while size:
+        left = stored(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        ins = left.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.max("src").alias("back")).where("n = 1")
+        outs = left.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.max("dst").alias("ahead")).where("n = 1")
+        chain = stored(ins.drop("n").join(outs.drop("n"), "node"))
+        if not chain.isEmpty():
+            ends = jumped(chain)
+            rings.append(ends.where("open").select(F.col("low").alias("component"), "node"))
+            chains.append(ends.where("NOT open").select("node", "back", "ahead"))
+            inside = chain.select("node")
+            kept = left.join(inside.withColumnRenamed("node", "src"), "src", "left_anti").join(inside.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+            left = stored(kept.unionByName(chains[-1].where("back != ahead").select(F.col("back").alias("src"), F.col("ahead").alias("dst"))).distinct())
+        before, size = size, left.count()
+        if size > 0.9 * before:
+            break
+    found = _coloured(left)
+    # Components of the ends are known from the last round's to the first's.
+    for chain in reversed(chains):
+        at = lambda end: (found.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")) if found is not None else chain.select(end, F.col(end).alias(f"_{end}")).where("false"))  # noqa: E731, B023
+        told = chain.join(at("back"), "back", "left").join(at("ahead"), "ahead", "left").selectExpr("node", "back", "coalesce(_back, back) AS _b", "coalesce(_ahead, ahead) AS _a").where("_b = _a")
+        part = stored(told.select(F.col("_b").alias("component"), "node", "back"))
+        both = part.select("component", "node").unionByName(part.select("component", F.col("back").alias("node")))
+        found = stored((both if found is None else found.unionByName(both)).distinct())
+    for ring in rings:
+        found = ring if found is None else found.unionByName(ring)
+    if found is None:
+        return own
+    # The ends' component was named by its smallest end; now by its smallest node.
+    sized = found.join(found.groupBy("component").agg(F.min("node").alias("_least"), F.count("*").alias("_n")), "component")
+    large = sized.where(F.col("_n") >= min_size).select(F.col("_least").alias("component"), "node")
+    return large.unionByName(own.join(large.select("node"), "node", "left_anti").select("component", "node")).distinct()
+
+
+def _coloured(left: DataFrame) -> DataFrame | None:
+    """Strongly connected components (component, node) of edges without loops, single nodes among them; None if there is none."""
     found = None
     while not left.isEmpty():
         # Nodes without an edge in or out are in no cycle.
@@ -110,11 +191,7 @@ def cycles(edges: DataFrame, min_size: int = 2) -> DataFrame:
         found = part if found is None else found.unionByName(part)
         gone = part.select("node")
         left = stored(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
-    if found is None:
-        return own
-    sized = found.join(found.groupBy("component").count(), "component")
-    large = sized.where(F.col("count") >= min_size).select("component", "node")
-    return large.unionByName(own.join(large.select("node"), "node", "left_anti").select("component", "node")).distinct()
+    return found
 
 
 def impact(calls: DataFrame, imports: DataFrame, target: DataFrame, tests: DataFrame, depth: int = 2, mode: str = "all") -> DataFrame:

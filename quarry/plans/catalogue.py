@@ -427,6 +427,53 @@ def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cycles(_edges(spark, sf_dir))
 
 
+#: From each order to the customer's next, and to the next of the 64 keys it is among: as sparse as the orders are many.
+_ORDERS = """(SELECT DISTINCT src, dst FROM (SELECT o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS dst FROM orders
+UNION ALL SELECT o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_orderkey // 64 ORDER BY o_orderkey) FROM orders) WHERE dst IS NOT NULL)"""
+
+
+def _next_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    return orders.selectExpr("o_orderkey AS src", "lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS dst").where("dst IS NOT NULL")
+
+
+@query(
+    """
+WITH g AS (SELECT o_custkey, min(o_orderkey) AS component, count(*) AS n FROM orders WHERE o_custkey % 3 = 0 GROUP BY o_custkey HAVING count(*) > 1)
+SELECT component, o_orderkey AS node FROM orders JOIN g USING (o_custkey)
+"""
+)
+def cycles_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders are a chain; those of every third customer end where they begin."""
+    ends = table(spark, sf_dir, "orders").where("o_custkey % 3 = 0").groupBy("o_custkey").agg(F.max("o_orderkey").alias("src"), F.min("o_orderkey").alias("dst")).where("src <> dst")
+    return graph.cycles(_next_orders(spark, sf_dir).unionByName(ends.select("src", "dst")))
+
+
+def _order_trace_sql(hops: int) -> str:
+    ends = "f AS (SELECT min(o_orderkey) AS a FROM orders), n AS (SELECT min(dst) AS n FROM e, f WHERE src = a), c AS (SELECT o_custkey FROM orders, n WHERE o_orderkey = n), g AS (SELECT a, max(o_orderkey) AS b FROM f, orders JOIN c USING (o_custkey) GROUP BY a)"
+    parts = [f"e AS MATERIALIZED {_ORDERS}", ends, "s0 AS (SELECT a AS node, [a] AS path FROM g)"]
+    seen = "SELECT NULL::BIGINT AS node WHERE FALSE"
+    for i in range(1, hops + 1):
+        parts.append(f"s{i} AS MATERIALIZED (SELECT e.dst AS node, min(list_append(p.path, e.dst)) AS path FROM e JOIN s{i - 1} p ON e.src = p.node WHERE e.dst NOT IN (SELECT node FROM ({seen}) WHERE node IS NOT NULL) GROUP BY e.dst)")
+        seen += f" UNION ALL SELECT node FROM s{i}"
+    union = " UNION ALL ".join(f"SELECT path, {i} AS n FROM s{i} WHERE node = (SELECT b FROM g)" for i in range(1, hops + 1))
+    parts.append(f"w AS (SELECT path FROM ({union}) ORDER BY n LIMIT 1), o AS (SELECT path, TRUE AS found FROM w UNION ALL SELECT [a, b], FALSE FROM g WHERE NOT EXISTS (SELECT 1 FROM w))")
+    return f"WITH {', '.join(parts)} SELECT CAST(generate_subscripts(path, 1) - 1 AS INTEGER) AS position, unnest(path) AS node, found FROM o"
+
+
+@query(_order_trace_sql(16))
+def trace_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path over sparse edges, from the first order to the last of a customer that one of its next orders is of."""
+    orders = table(spark, sf_dir, "orders")
+    near = orders.selectExpr("o_orderkey AS src", "lead(o_orderkey) OVER (PARTITION BY o_orderkey DIV 64 ORDER BY o_orderkey) AS dst").where("dst IS NOT NULL")
+    edges = _next_orders(spark, sf_dir).unionByName(near).distinct()
+    first = orders.agg(F.min("o_orderkey").alias("start"))
+    then = edges.join(F.broadcast(first), F.col("src") == F.col("start")).agg(F.min("dst").alias("o_orderkey"))
+    customer = orders.join(F.broadcast(then), "o_orderkey").select("o_custkey")
+    goal = orders.join(F.broadcast(customer), "o_custkey").agg(F.max("o_orderkey").alias("goal"))
+    return graph.shortest_path(edges, first.join(F.broadcast(goal), F.lit(True)), 16)
+
+
 def _capped_sql(edges: str) -> str:
     return f"WITH f AS (SELECT DISTINCT dst AS node FROM {edges} WHERE src = (SELECT max(s_suppkey) FROM supplier)) SELECT node, count(*) OVER () AS total FROM f ORDER BY node LIMIT 200"
 
