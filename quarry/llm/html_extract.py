@@ -8,9 +8,10 @@ the content cluster. The content regions are all ``article`` (or ``main``) eleme
 they hold half of the cluster's characters, or else the lowest element that holds all
 of the cluster, or its container if that is a block without others or a part such as a
 list, table, quote or section; a region's lines are all kept, apart from those marked
-above, so short paragraphs are not lost.
+above, so short paragraphs are not lost. A headline (h1) that stands before that element below
+the same wrapper is taken in with what follows it, as a byline.
 
-Marks are whole classes, ids and roles, and on containers some compounds of them; none
+Marks are whole classes, ids and roles, and on containers compounds that hold certain words; none
 counts on headings, nor on the page's only main or article and what that stands in. An
 inline element that is left out does not end its block.
 
@@ -48,8 +49,11 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor spons
 LAST = frozenset("ad ads advert adverts advertisement banner nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar comments commentlist disqus respond cookie cookies consent gdpr newsletter subscribe popup modal overlay pagination pager widget widgets promo sponsored".split())
 OF_SITE = frozenset("site page main global top".split())
 AFTER = frozenset("area bar block body bottom box button buttons col column container content dialog form group holder icons inner left link links list main message notice outer panel primary right row secondary section slot text thread title top unit wrap wrapper".split())
-#: A compound that starts with one of these says something about its surroundings.
+#: A compound that holds one of these says something about its surroundings.
 ABOUT = frozenset("has have with without no not non is show hide".split())
+#: Words that mark a compound wherever they stand in it, unless it speaks of the article itself.
+ANYWHERE = frozenset("advert adverts advertisement breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus gdpr masthead newsletter notice notices pagination popup replies sidebar sponsored".split())
+ARTICLE = frozenset("article articles body content entry main page post story text".split())
 CONTAINERS = frozenset("div section ul ol dl table aside header footer nav form details center".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 REGIONS = frozenset(["article", "main"])
@@ -69,8 +73,10 @@ def _is_mark(token: str, tag: str) -> bool:
     if tag not in CONTAINERS:
         return False
     words = [w.lower() for w in _WORDS.findall(token) if len(w) > 1]
-    if not words or words[0] in ABOUT:
+    if not words or ABOUT.intersection(words):
         return False
+    if ANYWHERE.intersection(words) and not ARTICLE.intersection(words):
+        return True
     return words[-1] in LAST or (words[0] in OF_SITE and words[-1] == "header") or (words[0] in MARKS and all(w in AFTER for w in words[1:]))
 
 
@@ -221,6 +227,31 @@ def smooth(ratios: np.ndarray) -> np.ndarray:
     return np.convolve(ratios, _KERNEL)[_RADIUS:-_RADIUS] / weight
 
 
+def cluster(size: np.ndarray, tags: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Which lines are content: kept ones whose smoothed ratio reaches the deviation of all; every kept one if none does."""
+    smoothed = smooth(np.where(kept, size / np.maximum(1, tags), 0.0))
+    content = kept & (smoothed >= min(smoothed.std(), smoothed.max()))
+    return content if content.any() else kept
+
+
+def _headed(page: Lines, kept: np.ndarray, inside: np.ndarray, root: int) -> int:
+    """The line of the headline that stands before the region ``root`` below the same wrapper, or -1.
+
+    It is the last kept h1 before the region's first line, unless the region has one of its own; what stands between them is the article's.
+    """
+    heads = [i for i, o in enumerate(page.owner) if kept[i] and page.tag[o] == "h1"]
+    first = next(i for i, o in enumerate(page.owner) if inside[o])
+    if not root or any(inside[page.owner[i]] for i in heads):
+        return -1
+    wrapper = page.parent[root]
+    for i in reversed([i for i in heads if i < first]):
+        e = page.owner[i]
+        while e and e != wrapper:
+            e = page.parent[e]
+        return i if e == wrapper else -1
+    return -1
+
+
 def main_text(html: str | None) -> str:
     page = Lines()
     page.read(html or "")
@@ -230,11 +261,7 @@ def main_text(html: str | None) -> str:
     owner, skipped = page.owner, page.skipped()
     kept = np.array([not skipped[o] for o in owner])
     size = np.array([len(t) for t in page.texts], np.float64)
-    ratio = np.where(kept, size / np.maximum(1, page.tags), 0.0)
-    smoothed = smooth(ratio)
-    content = kept & (smoothed >= min(smoothed.std(), smoothed.max()))
-    if not content.any():
-        content = kept
+    content = cluster(size, np.array(page.tags, np.float64), kept)
     total = size[content].sum()
     if not total:
         return ""
@@ -258,7 +285,9 @@ def main_text(html: str | None) -> str:
     inside[root] = True
     for e in range(1, len(page.tag)):
         inside[e] |= inside[page.parent[e]]
-    return "\n\n".join(t for t, o, k in zip(page.texts, owner, kept, strict=True) if k and inside[o])
+    head = _headed(page, kept, inside, root)
+    last = max(i for i, o in enumerate(owner) if inside[o])
+    return "\n\n".join(t for i, (t, o, k) in enumerate(zip(page.texts, owner, kept, strict=True)) if k and (inside[o] or 0 <= head <= i < last))
 
 
 RESULT = "page_id long, url string, text string, n_chars long"

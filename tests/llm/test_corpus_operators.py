@@ -641,6 +641,41 @@ def test_html_marks_are_whole_words():
         assert html_extract.main_text(f'<div class="post"><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div><div class="{mark}"><p>{PARAGRAPH}</p></div>') == f"{prose}\n\n{prose}", mark
 
 
+BODY = "".join(f"<p>Paragraph {i} of a long enough article, with several words, so that its ratio is high.</p>" for i in range(6))
+TEXT = html_extract.main_text(f"<html><body><div class=content>{BODY}</div></body></html>")
+
+
+@pytest.mark.parametrize("before, after", [
+    ("<div><h1>Title</h1><span>By somebody</span></div><div class=content>", "</div>"),
+    ("<div class=top><a href=/>Home</a></div><div><h1>Title</h1></div><p>By somebody</p><div class=content>", "</div>"),
+])
+def test_html_takes_in_the_headline(before, after):
+    got = html_extract.main_text(f"<html><body><nav>Menu</nav>{before}{BODY}{after}<footer>f</footer></body></html>")
+    assert got == "Title\n\nBy somebody\n\n" + TEXT
+
+
+@pytest.mark.parametrize("part", ["<section id='reader_comments_list'><p>I think so too, and I said it before.</p></section>", "<div class='site-notice'>We changed our terms of use lately.</div>", "<ul class='thread-replies-list'><li>Me too, of course.</li></ul>", "<div id='js-cookieConsentBox'>Accept all of them?</div>"])
+@pytest.mark.parametrize("page", ["<article><h1>T</h1>{b}{p}</article>", "<div class='content-with-comments'>{p}{b}</div>", "<div id=main>{b}</div>{p}"])
+def test_html_marks_by_any_word(part, page):
+    got = html_extract.main_text("<html><body>" + page.format(b=BODY, p=part) + "</body></html>")
+    assert got.removeprefix("T\n\n") == TEXT
+
+
+def test_html_cluster_equals_loops():
+    draw = random.Random(2)
+    for _ in range(60):
+        n = draw.randint(1, 25)
+        size, tags, kept = [draw.choice([3, 10, 80, 400]) for _ in range(n)], [draw.randint(0, 6) for _ in range(n)], [draw.random() < 0.8 for _ in range(n)]
+        ratio = [s / max(1, t) if k else 0.0 for s, t, k in zip(size, tags, kept, strict=True)]
+        weight = lambda d: float(np.exp(-d * d / (2 * html_extract.SIGMA**2))) if abs(d) <= 3 else 0.0
+        smoothed = [sum(weight(i - j) * ratio[j] for j in range(n)) / sum(weight(i - j) for j in range(n)) for i in range(n)]
+        mean = sum(smoothed) / n
+        limit = min((sum((x - mean) ** 2 for x in smoothed) / n) ** 0.5, max(smoothed))
+        want = [k and x >= limit - 1e-9 for k, x in zip(kept, smoothed, strict=True)]
+        got = html_extract.cluster(np.array(size, float), np.array(tags, float), np.array(kept)).tolist()
+        assert got == (want if any(want) else kept)
+
+
 def test_html_time_is_linear():
     import time
 
