@@ -17,6 +17,7 @@ from quarry.functions.scanning import embedded_mutates_udf, nested_calls_udf, sh
 from quarry.functions.text import canonical_histogram, utf16_length
 from quarry.operators import assertions
 from quarry.operators.assertions import has_key
+from quarry.operators.shared import stored
 
 # Tools that keep state, mutations that are counted, and required input keys of each tool.
 STATEFUL = ("file_chattr", "file_delete", "file_patch", "file_rename", "file_write", "find_related", "index", "search")
@@ -122,14 +123,17 @@ def excused(call_ids: Column, tools: Column, output: Column, rename_case: int =
     return F.array_contains(call_ids, F.lit(rename_case).cast("long")) & F.exists(tools, lambda t: t.tool == "file_rename") & F.regexp_like(output, F.lit("(?i)destination.*exist|already exists"))
 
 
-def errors(recs: DataFrame, all_calls: DataFrame, outs: DataFrame) -> DataFrame:
+def errors(recs: DataFrame, all_calls: DataFrame, outs: DataFrame, names: Names = Names()) -> DataFrame:
     """``session, error`` of everything that breaks a transcript's integrity."""
     b = bound(all_calls, outs)
+    prompt = ~F.col("bad") & (F.col("type") == "response_item") & (F.col("item") == "message") & (F.col("role") == "user")
+    marked = F.size(F.array_distinct(F.transform(F.regexp_extract_all("message", F.lit(f"{names.marker}([0-9]+)"), F.lit(1)), lambda x: x.cast("long"))))
     say = lambda df, *parts: df.select("session", F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts)).alias("error"))
     known = all_calls.select("session", "call_id").distinct()
     bad_output = b.where(F.col("failed") & ~excused(F.col("eval_ids"), F.col("invocations"), F.col("output")))
     found = [
         say(recs.where("bad"), "line ", F.col("line").cast("string"), ": invalid JSON"),
+        say(recs.where(prompt & (marked > 1)), "user evaluation prompt carries multiple eval markers; evidence must be isolated per case"),
         say(all_calls.where("repeat"), "duplicate call ID: ", F.col("call_id")),
         say(outs.where("nth > 1"), "duplicate output ID: ", F.col("call_id")),
         say(b.where("answered IS NULL"), "missing output for call ID: ", F.col("call_id")),
@@ -229,12 +233,13 @@ def evaluate(sessions_bound: DataFrame, cases: DataFrame, declared: DataFrame |
 
 def score(sessions: DataFrame, cases: DataFrame, names: Names = Names(), strict: bool = False, access: assertions.Access = assertions.Access()) -> DataFrame:
     """One row of metrics per session."""
-    recs = records(lines(sessions))
-    all_calls, outs = calls(recs, names), outputs(recs)
-    b = bound(all_calls, outs)
+    # What several metrics read is made once: a session's text is parsed once, a call bound and a case judged once.
+    recs = stored(records(lines(sessions)))
+    all_calls, outs = stored(calls(recs, names)), outputs(recs)
+    b = stored(bound(all_calls, outs))
     inv = invocations(all_calls)
-    judged = evaluate(b, cases, roots(recs), names, access)
-    problems = errors(recs, all_calls, outs).unionByName(judged.where("problem IS NOT NULL").select("session", F.concat(F.lit("eval "), F.col("eval_id").cast("string"), F.lit(": "), F.col("problem")).alias("error")))
+    judged = stored(evaluate(b, cases, roots(recs), names, access))
+    problems = errors(recs, all_calls, outs, names).unionByName(judged.where("problem IS NOT NULL").select("session", F.concat(F.lit("eval "), F.col("eval_id").cast("string"), F.lit(": "), F.col("problem")).alias("error")))
     if strict:
         wanted = recs.select("session").distinct().crossJoin(F.broadcast(cases.select(F.col("id").cast("long").alias("eval_id"))))
         unmet = wanted.join(judged.select("session", "eval_id"), ["session", "eval_id"], "left_anti")
