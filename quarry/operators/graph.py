@@ -38,6 +38,7 @@ def reach(edges: DataFrame, sources: DataFrame, depth: int | None = None) -> Dat
 
 def capped(found: DataFrame, limit: int, *order: str) -> DataFrame:
     """The first ``limit`` rows in order, each with the exact ``total``."""
+    found = stored(found)  # read for the total and for the rows
     total = found.agg(F.count(F.lit(1)).alias("total"))
     return found.orderBy(*order).limit(limit).join(F.broadcast(total), F.lit(True))
 

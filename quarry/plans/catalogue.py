@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import migrating, paths, scanning, text
 from quarry.functions.replacing import replace_udf
-from quarry.operators import changes, config_layers, content, documents, graph, hooks, index, patching, policy, pysource, related, search, transcripts
+from quarry.operators import changes, config_layers, content, documents, graph, hooks, index, patching, policy, pysource, reexports, related, search, transcripts
 from quarry.operators.shared import fresh_path
 from quarry.plans import goldens
 from quarry.session import table
@@ -474,6 +474,32 @@ def trace_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.shortest_path(edges, first.join(F.broadcast(goal), F.lit(True)), 16)
 
 
+@query(
+    """
+WITH RECURSIVE d AS (SELECT p_partkey AS m, p_brand AS n FROM part),
+x AS (SELECT p.p_partkey AS m, 'x' || (p.p_partkey % 7) AS n, q.p_partkey AS sm, q.p_brand AS sn FROM part p JOIN part q ON q.p_partkey = p.p_partkey - 1 WHERE p.p_partkey % 4 = 1),
+e AS (SELECT m, n, sm, sn FROM x UNION ALL SELECT p_partkey, NULL, p_partkey // 2, NULL FROM part WHERE p_partkey % 3 <> 1 AND p_partkey > 1 UNION ALL SELECT p_partkey, NULL, p_partkey - 2, NULL FROM part WHERE p_partkey % 8 = 0),
+own AS (SELECT m, n FROM d UNION SELECT m, n FROM x),
+s AS (
+  SELECT m, n, m AS om, n AS ename, 0 AS hops FROM d
+  UNION
+  SELECT m, n, om, ename, min(hops) FROM (
+    SELECT e.m, coalesce(e.n, s.n) AS n, s.om, s.ename, s.hops + 1 AS hops FROM s JOIN e ON e.sm = s.m AND (e.sn IS NULL OR e.sn = s.n)
+    WHERE s.hops < 16 AND (e.n IS NOT NULL OR (e.m, s.n) NOT IN (SELECT m, n FROM own))) GROUP BY ALL),
+r AS (SELECT m, n, om, ename, CAST(min(hops) AS INTEGER) AS hops FROM s GROUP BY m, n, om, ename)
+SELECT m AS module, n AS name, om AS origin, ename AS origin_name, hops, count(*) OVER (PARTITION BY m, n) > 1 AS ambiguous FROM r
+"""
+)
+def surface_reexports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as modules that define their brand, and take on names of the part before and all names of two others."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    before = part.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("p_partkey").alias("source"), F.col("p_brand").alias("source_name"))
+    named = part.where("p_partkey % 4 = 1").join(before, "p_partkey").selectExpr("p_partkey AS module", "concat('x', p_partkey % 7) AS name", "source", "source_name")
+    halves = part.where("p_partkey % 3 <> 1 AND p_partkey > 1").selectExpr("p_partkey AS module", "CAST(NULL AS STRING) AS name", "p_partkey DIV 2 AS source", "CAST(NULL AS STRING) AS source_name")
+    lower = part.where("p_partkey % 8 = 0").selectExpr("p_partkey AS module", "CAST(NULL AS STRING) AS name", "p_partkey - 2 AS source", "CAST(NULL AS STRING) AS source_name")
+    return reexports.surface(part.selectExpr("p_partkey AS module", "p_brand AS name"), named.unionByName(halves).unionByName(lower))
+
+
 def _capped_sql(edges: str) -> str:
     return f"WITH f AS (SELECT DISTINCT dst AS node FROM {edges} WHERE src = (SELECT max(s_suppkey) FROM supplier)) SELECT node, count(*) OVER () AS total FROM f ORDER BY node LIMIT 200"
 
@@ -602,7 +628,7 @@ def index_document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _probe(spark: SparkSession, sf_dir: str) -> list[float]:
     """The vector of the smallest id."""
-    return list(table(spark, sf_dir, "embeddings").orderBy("vec_id").first().embedding)
+    return list(table(spark, sf_dir, "embeddings").agg(F.min_by("embedding", "vec_id")).first()[0])
 
 
 _COSINE = "list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(p.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[]))))"
