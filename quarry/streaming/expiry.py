@@ -14,6 +14,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quarry.streaming.folds import sorted_fold
+
 RECEIPT_TTL_MS, MAX_RECEIPTS, MAX_BYTES, MAX_ONE = 300_000, 32, 16 << 20, 4 << 20
 
 
@@ -118,22 +120,16 @@ def least_recent(touches: DataFrame, key: str, at: str, keep: int = 128) -> Data
 def quota(items: DataFrame, session: str, size: str, *order: str, max_bytes: int = MAX_BYTES, max_items: int = MAX_RECEIPTS) -> DataFrame:
     """Items in order, whether each is accepted, and bytes and count that its session uses after it.
 
-    An item that doesn't fit is refused and uses nothing, so whether one fits depends on
-    which earlier ones did: a fold over a session's items. Its state and rows stay in
-    one task, as a window's partition does.
+    An item that doesn't fit, or has no size, is refused and uses nothing, so whether one fits depends on
+    which earlier ones did: a fold over a session's items.
     """
-    def step(state: Column, x: Column) -> Column:
-        fits = (state.bytes + x[size] <= max_bytes) & (state.items < max_items)
-        return F.struct((state.bytes + F.when(fits, x[size]).otherwise(0)).cast("long").alias("bytes"), (state.items + F.when(fits, 1).otherwise(0)).cast("long").alias("items"), fits.alias("fits"))
 
-    w = Window.partitionBy(session).orderBy(*order)
-    # Only sizes are folded; the verdicts go back to the rows by their place.
-    sized = items.withColumn("_place", F.row_number().over(w))
-    start = F.struct(F.lit(0).cast("long").alias("bytes"), F.lit(0).cast("long").alias("items"), F.lit(False).alias("fits"))
-    folded = F.aggregate(F.col("_rows"), F.struct(start.alias("now"), F.array().cast("array<struct<bytes:bigint,items:bigint,fits:boolean>>").alias("past")), lambda s, x: F.struct(step(s.now, x).alias("now"), F.concat(s.past, F.array(step(s.now, x))).alias("past")), lambda s: s.past)
-    verdicts = sized.groupBy(session).agg(F.array_sort(F.collect_list(F.struct("_place", F.col(size).cast("long").alias(size)))).alias("_rows")).select(session, F.posexplode(folded).alias("_at", "v"))
-    verdicts = verdicts.select(session, (F.col("_at") + 1).alias("_place"), F.col("v.bytes").alias("used_bytes"), F.col("v.items").alias("used_items"), F.col("v.fits").alias("accepted"))
-    return sized.join(verdicts, [session, "_place"]).drop("_place")
+    def step(used: tuple[int, int], n: int | None) -> tuple[tuple[int, int], tuple]:
+        fits = n is not None and used[0] + n <= max_bytes and used[1] < max_items
+        used = (used[0] + n, used[1] + 1) if fits else used
+        return used, (*used, fits)
+
+    return sorted_fold(items, [session], list(order), [size], lambda: (0, 0), step, "used_bytes long, used_items long, accepted boolean")
 
 
 def challenges(requests: DataFrame, max_pending: int = 64) -> DataFrame:
@@ -166,33 +162,26 @@ def grants(actions: DataFrame, ttl_ms: int = RECEIPT_TTL_MS) -> DataFrame:
     key of any length needs the state of one.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, opened, whole, once, declined = None, None, False, set(), False
-        for frame in frames:
-            out = []
-            for a in frame.itertuples():
-                if (a.session, a.grant) != key:
-                    key, opened, whole, once, declined = (a.session, a.grant), None, False, set(), False
-                live = opened is not None and a.at_ms < opened + ttl_ms
-                outcome = None
-                if a.action == "request":
-                    outcome = "allowed" if whole or a.invocation in once else "denied" if declined else "asked"
-                    declined = False
-                    if outcome == "asked" and not live:
-                        opened = a.at_ms
-                elif live and a.action in ANSWERS:
-                    opened, outcome = None, a.action
-                    whole |= a.action == "allow_session"
-                    declined = a.action == "decline"
-                    if a.action in ("allow_once", "always_allow"):
-                        once.add(a.invocation)
-                if outcome:
-                    out.append((a.session, a.grant, a.seq, outcome))
-            yield pd.DataFrame(out, columns=["session", "grant", "seq", "outcome"])
+    def step(state: tuple, at_ms: int, action: str, invocation: str | None) -> tuple[tuple, tuple]:
+        opened, whole, once, declined = state
+        live = opened is not None and at_ms < opened + ttl_ms
+        outcome = None
+        if action == "request":
+            outcome = "allowed" if whole or invocation in once else "denied" if declined else "asked"
+            declined = False
+            if outcome == "asked" and not live:
+                opened = at_ms
+        elif live and action in ANSWERS:
+            opened, outcome = None, action
+            whole |= action == "allow_session"
+            declined = action == "decline"
+            if action in ("allow_once", "always_allow"):
+                once.add(invocation)
+        return (opened, whole, once, declined), (outcome,)
 
     wanted = actions.select(F.col("session").cast("string"), F.col("grant").cast("string"), F.col("seq").cast("long"), F.col("at_ms").cast("long"), "action", F.col("invocation").cast("string"))
-    ordered = wanted.repartition("session", "grant").sortWithinPartitions("session", "grant", "seq")
-    judged = ordered.mapInPandas(run, "session string, grant string, seq long, outcome string")
+    folded = sorted_fold(wanted, ["session", "grant"], ["seq"], ["at_ms", "action", "invocation"], lambda: (None, False, set(), False), step, "outcome string")
+    judged = folded.where("outcome IS NOT NULL").select("session", "grant", "seq", "outcome")
     always = judged.where("outcome = 'always_allow'").groupBy("grant").agg(F.min("seq").alias("_from"))
     requests = judged.where(~F.col("outcome").isin(*ANSWERS)).join(always, "grant", "left")
     return requests.select("session", "grant", "seq", F.when(F.col("_from") < F.col("seq"), F.lit("allowed")).otherwise(F.col("outcome")).alias("outcome"))
