@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import migrating, paths, scanning, text
 from quarry.functions.replacing import replace_udf
-from quarry.operators import changes, config_layers, content, documents, graph, hooks, index, patching, policy, pysource, reexports, related, search, transcripts
+from quarry.operators import changes, config_layers, content, documents, graph, hooks, index, locations, patching, policy, pysource, reexports, related, search, transcripts
 from quarry.operators.shared import fresh_path
 from quarry.plans import goldens
 from quarry.session import table
@@ -125,6 +125,18 @@ def json_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", documents.fixed_pointer(F.col("props"), "/k").alias("k"))
 
 
+@query(
+    """
+SELECT event_id, '' AS pointer, 0 AS "start", CAST(length(props) AS INTEGER) AS "end", props AS value FROM events WHERE json_valid(props)
+UNION ALL SELECT event_id, '/k', CAST(strpos(props, ':') + 1 AS INTEGER), CAST(length(props) - 1 AS INTEGER), CAST(json_extract(props, '/k') AS VARCHAR) FROM events WHERE json_valid(props)
+"""
+)
+def json_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every value of ``props`` stands, and what stands there."""
+    found = locations.located(table(spark, sf_dir, "events").select("event_id", "props"), "props").select("event_id", "props", F.explode("values").alias("v"))
+    return found.select("event_id", "v.*", F.expr("substring(props, v.start + 1, v.end - v.start)").alias("value"))
+
+
 @query("SELECT event_id, CASE WHEN json_type(props, '/k') IS NULL THEN 'missing' WHEN json_type(props, '/k') = 'NULL' THEN 'null' ELSE 'value' END AS k_state, 'missing' AS absent_state FROM events")
 def json_pointer_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
