@@ -27,6 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.shared import stored
+
 DIM, QUERIES, LIST_ROWS, MOST_LISTS, TUNED = 128, 1024, 256, 1024, 64
 Batches = Iterator[pa.RecordBatch]
 
@@ -117,7 +119,8 @@ def build(vectors: DataFrame, path: str, keys: tuple[str, ...], vector: str = "v
     """Indexes every vector of length above 0; lists of about ``LIST_ROWS``, at most ``MOST_LISTS``."""
     spark = vectors.sparkSession
     length = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    real = vectors.where(F.col(vector).isNotNull() & (length > 0)).select(*keys, F.transform(vector, lambda x: (x / F.sqrt(length)).cast("float")).alias("vector"))
+    # Read for the sample, the count and the lists, so made once.
+    real = stored(vectors.where(F.col(vector).isNotNull() & (length > 0)).select(*keys, vector).withColumn("_length", F.sqrt(length)).select(*keys, F.transform(vector, lambda x: (x / F.col("_length")).cast("float")).alias("vector")))
     taken = unit(as_rows(real.withColumn("_by", F.xxhash64(*keys)).orderBy("_by", *keys).limit(sample).select("vector").toArrow().column(0).combine_chunks()))
     count = int(min(MOST_LISTS, max(1, real.count() // LIST_ROWS), max(1, len(taken))))
     middle = centroids(taken, count) if len(taken) else np.zeros((0, 0), np.float32)
