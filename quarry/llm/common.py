@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -42,6 +43,7 @@ def release() -> None:
 def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     """``run`` for mapInArrow, with its memory released when a task ends; workers are used again by other stages."""
 
+    @functools.wraps(run)
     def task(batches: Batches) -> Batches:
         try:
             yield from run(batches)
