@@ -14,7 +14,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import ship
+from quarry.session import ship, tidy
 
 #: Bounds of one Arrow batch: bytes for whole texts, rows for narrow ones. Spark's own are 64 MB and 10,000 rows.
 BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "32768")}
@@ -23,6 +23,7 @@ BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m"), "spa
 def small_batches(spark: SparkSession) -> None:
     """Bounds what a Python worker and its JVM hold of one batch, where the session has not chosen a bound; ships the package."""
     ship(spark)
+    tidy(spark)
     for key, (default, own) in BATCH.items():
         if spark.conf.get(key, default) == default:
             spark.conf.set(key, own)
@@ -74,7 +75,6 @@ def scratch(spark: SparkSession) -> str:
     gets a local folder that the session remembers; any other has no folder that all its
     executors see, which is an error.
     """
-    small_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quarry.scratch.dir", None)
     if not root:
         master = spark.sparkContext.master
@@ -82,6 +82,7 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError(f"spark.checkpoint.dir has to name a folder that all executors of {master} share")
         root = tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("quarry.scratch.dir", root)
+    small_batches(spark)
     _made.append(f"{root.rstrip('/')}/quarry-{uuid.uuid4().hex}")
     return _made[-1]
 

@@ -10,7 +10,8 @@ equal sets are one class from the start.
 2. Candidate groups. Prefix entries meet by shingle; entries whose sizes and positions
    leave room for a link connect their classes. A list of many classes only chains
    neighbours by size, so its edges are linear in its length. The components of these
-   edges are groups: no link leaves a group.
+   edges are groups: no link leaves a group. Groups larger than a block, which grow
+   together by single shared shingles, are parted by counting: see ``parted``.
 3. Skip join. A group's sets meet in one task (a large group's in pairs of blocks) and
    are joined by size over inverted lists kept in blocks by position. For a probing set
    the positional bound admits one range of sizes in each block, found by bisection; the
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bit_map, in_bit_map, lean, slices, stored, whole_text
+from quarry.llm.common import bit_map, drop_scratch, in_bit_map, lean, scratch_made, slices, stored, whole_text
 from quarry.llm.components import components, contracted
 from quarry.llm.fingerprints import mix
 
@@ -59,6 +60,8 @@ NODE, CAP = (1 << 48) - 1, (1 << 16) - 1
 ALL, EDGE = 1, 2
 #: Lists up to this length are filtered pair by pair.
 SMALL = 16
+#: Sets of large groups from which a shingle counts as common, whose sets are not paired by it.
+COMMON = 32
 #: Sets and shingles in a block of a large group.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 20
 #: A set is derived from another from this similarity on.
@@ -452,13 +455,9 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def group_links(docs: DataFrame, groups: DataFrame, sizes: DataFrame, text: str = "text") -> DataFrame:
-    """``u, v`` (signatures): a spanning forest of the links between classes.
-
-    ``groups``: node, root. ``sizes``: node, n of every class. Sets are compared by 48 bits
-    of each shingle's hash; two sets of a million shingles have a false match in one of 280.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(bit_map(groups, "node"))
+def packed_sets(docs: DataFrame, nodes: DataFrame, text: str = "text") -> DataFrame:
+    """``node, s1, s2, shingles`` of the classes that are in ``nodes`` (node), and of few others; dealt by node."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(nodes, "node"))
 
     @lean
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -471,12 +470,106 @@ def group_links(docs: DataFrame, groups: DataFrame, sizes: DataFrame, text: str
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["node", "s1", "s2", "shingles"])
 
-    # Groups too large for one task are dealt out in blocks; sizes say which, before any set moves.
+    return _keyed(docs, text).mapInArrow(emit, "node long, s1 long, s2 long, shingles binary").repartition("node").dropDuplicates(["node", "s1", "s2"])
+
+
+def large_groups(groups: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``root, blocks`` of the groups that are too large for one task; sizes say which, before any set moves."""
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    large = groups.join(sizes, "node").groupBy("root").agg(blocks.alias("blocks")).where("blocks > 1")
+    return groups.join(sizes, "node").groupBy("root").agg(blocks.alias("blocks")).where("blocks > 1")
+
+
+def parted(docs: DataFrame, groups: DataFrame, sizes: DataFrame, text: str = "text") -> DataFrame:
+    """``groups`` (node, root) with the large ones parted; no link leaves a group of the result.
+
+    Of sets ``x`` and ``y`` that link, ``needed`` shingles are common; heads of more than half
+    of each, in one order, leave at most half of the set whose head ends first behind, so the
+    heads have at least ``needed`` less half of the larger set in common, a quarter of either set or more.
+    Shingles in ``COMMON`` sets or more are last in the order. Sets meet by the others and
+    shared ones are counted for each pair; common ones could add as many as both heads hold.
+    Only sets whose heads hold a quarter of the set in common shingles could link by these
+    alone; they stay together by each.
+    """
+    large = stored(groups.join(large_groups(groups, sizes), "root", "left_semi"))
+    if large.isEmpty():
+        return groups
+    sets = stored(packed_sets(docs, large, text).join(large.select("node").distinct(), "node", "left_semi").select("node", "shingles"))
+
+    @lean
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "shingles", SLICE):
+            token, n = np.unique(np.concatenate([unpacked(x) for x in b.column(1).to_pylist()]) >> np.uint64(16), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
+
+    # Other shingles that share a bit count as common too, in every set alike.
+    counted = sets.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(counted, "token"))
+
+    def heads_of(b: pa.RecordBatch) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+        """Node, size, the head's rare and its common shingles."""
+        for node, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            s = (unpacked(data) >> np.uint64(16)).view(np.int64)
+            common = in_bit_map(shared.value, s)
+            head = len(s) // 2 + 1
+            rare = s[~common][:head]
+            yield node, len(s), rare, s[common][: head - len(rare)]
+
+    @lean
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "shingles", SLICE):
+            found = list(heads_of(b))
+            times = [len(rare) for _, _, rare, _ in found]
+            columns = [np.repeat(np.array(x, np.int64), times) for x in zip(*((node, n, len(common)) for node, n, _, common in found), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate([rare for _, _, rare, _ in found]), *columns)], ["token", "node", "n", "common"])
+
+    def pairs_of(token: np.ndarray, node: np.ndarray, n: np.ndarray, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.diff(np.append(first, len(token)))
+        for length in np.unique(size[size > 1]).tolist():
+            i, j = np.triu_indices(length, 1)
+            at = first[size == length]
+            for some in np.array_split(at, max(1, len(at) * len(i) >> 18)):
+                x, y = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
+                small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+                ok = (DEN * small >= NUM * large) & (node[x] != node[y])
+                x, y, large = x[ok], y[ok], large[ok]
+                least = -(-NUM * (n[x] + n[y]) // (NUM + DEN)) - (large - large // 2 - 1) - np.minimum(common[x], common[y])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), np.ones(len(x), np.int64), least)], ["u", "v", "n", "least"])
+
+    @lean
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = [np.empty(0, np.int64)] * 4
+        for b in batches:
+            cols = [np.concatenate([c, x.to_numpy()]) for c, x in zip(carry, b.columns, strict=True)]
+            cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last list may go on
+            yield from pairs_of(*(x[:cut] for x in cols))
+            carry = [x[cut:] for x in cols]
+        yield from pairs_of(*carry)
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sets that could link by common shingles alone, with each of these as a node above all others."""
+        for b in slices(batches, "shingles", SLICE):
+            held = [(node, common) for node, n, _, common in heads_of(b) if 4 * len(common) >= n]
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([c for _, c in held]) + NODE + 1), pa.array(np.repeat(np.array([x for x, _ in held], np.int64), [len(c) for _, c in held]))], ["u", "v"])
+
+    pairs = sets.mapInArrow(emit, "token long, node long, n long, common long").repartition("token").sortWithinPartitions("token").mapInArrow(meet, "u long, v long, n long, least long")
+    linked = pairs.groupBy("u", "v").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least").select("u", "v")
+    found = components(stored(linked.unionByName(sets.mapInArrow(contracted(chain), "u long, v long")))).where(F.col("node") <= NODE)
+    return groups.join(large.select("root").distinct(), "root", "left_anti").select("node", "root").unionByName(found)
+
+
+def group_links(docs: DataFrame, groups: DataFrame, sizes: DataFrame, text: str = "text") -> DataFrame:
+    """``u, v`` (signatures): a spanning forest of the links between classes.
+
+    ``groups``: node, root. ``sizes``: node, n of every class. Sets are compared by 48 bits
+    of each shingle's hash; two sets of a million shingles have a false match in one of 280.
+    """
+    # Groups too large for one task are dealt out in blocks.
+    large = large_groups(groups, sizes)
     placed = groups.join(large, "root", "left").select("node", "root", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     # One shuffle by node serves both the removal of copies and the join.
-    sets = _keyed(docs, text).mapInArrow(emit, "node long, s1 long, s2 long, shingles binary").repartition("node").dropDuplicates(["node", "s1", "s2"])
+    sets = packed_sets(docs, groups, text)
     own = F.pmod(F.xxhash64("s2"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: F.struct(F.least(t, own).alias("a"), F.greatest(t, own).alias("b"), own.alias("own")))
     rows = sets.join(placed, "node").select("root", "s1", "shingles", F.inline(pairs)).select("root", "a", "b", "own", "s1", "shingles")
@@ -509,15 +602,21 @@ def group_links(docs: DataFrame, groups: DataFrame, sizes: DataFrame, text: str
 def near_components(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     head = stored(heads(docs, text))
+    since = scratch_made()
     listed = frequent(docs, text)
     groups = stored(components(candidate_edges(docs, listed, text)))
+    drop_scratch(docs.sparkSession, since)
     sizes = head.where("n > 0").groupBy("s1", "s2").agg(F.first("n").alias("n")).select(F.expr(f"s1 & {NODE}").alias("node"), "n")
+    groups = stored(parted(docs, groups, sizes, text))
+    drop_scratch(docs.sparkSession, since)
     linked = components(group_links(docs, groups, sizes, text))
     classes = head.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
     rooted = classes.join(linked, F.col("s1") == F.col("node"), "left").select("s1", "s2", "first", "rows", "root")
     shared = stored(rooted.where("rows > 1 OR root IS NOT NULL"))
+    drop_scratch(docs.sparkSession, since)
     least = shared.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"))
     named = stored(shared.join(least, "root", "left").select("s1", "s2", "rows", F.coalesce("least", "first").alias("component_id")))
+    drop_scratch(docs.sparkSession, since)
     often = max(1000, head.count() // 256)
     hot = F.broadcast(named.where(F.col("rows") > often).drop("rows"))  # at most 256 classes
     cold = named.where(F.col("rows") <= often).drop("rows")

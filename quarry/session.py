@@ -13,6 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[str] = set()
 
 
+#: Shuffle files go when the query that made them ends, and not when the driver's memory happens to be collected.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def tidy(spark: SparkSession) -> None:
+    """Sets ``TIDY`` where the session has not chosen; the jobs here write what they read again."""
+    if spark.conf.get(TIDY, None) is None:
+        spark.conf.set(TIDY, "true")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the workers of ``spark``, once for each application.
 
@@ -54,4 +64,5 @@ def session(cores: int | str = "*", app: str = "quarry", **conf: str) -> SparkSe
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the fixed tables; goes through Spark's reader only, so any store works."""
     ship(spark)
+    tidy(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
