@@ -6,7 +6,7 @@ component; lists are folders, so a search reads only those that it probes. Centr
 keys hash lowest, by Lloyd's rounds in numpy; every vector is indexed. How many lists a search probes is measured: the fewest by which ``TUNED`` vectors of
 the sample find the share ``recall`` of their exact neighbours.
 
-A search takes up to ``QUERIES`` vectors at once. Each task scores the coded vectors of the probed lists and passes on its
+A search takes up to ``QUERIES`` vectors at once, ``search_all`` any number in such blocks. Each task scores the coded vectors of the probed lists and passes on its
 ``rerank * k`` best for each query, whose whole vectors then give exact cosines. With ``exact``, all lists are read and whole
 vectors scored, which is the fallback with a certain result. However the rows of lists are dealt over tasks, a hot list
 included, a task passes on a bounded number for each query.
@@ -216,6 +216,26 @@ def search(index: VectorIndex, queries: DataFrame, k: int = 10, probes: int | No
     return scored.selectExpr("*", f"row_number() OVER (PARTITION BY query ORDER BY score DESC, {ordered}) AS _n").where(F.col("_n") <= k).drop("_n")
 
 
+def search_all(index: VectorIndex, queries: DataFrame, k: int = 10, exact: bool = False) -> DataFrame:
+    """``search`` for any number of queries (query, vector): by hash in blocks of about half of ``QUERIES``, one after the other, each block's result stored.
+
+    The driver and a task hold one block; what the index reads grows with the number of blocks.
+    """
+    asked = stored(queries.where("vector IS NOT NULL").select("query", "vector").distinct())
+    blocks = 1
+    while True:  # a block that is too large by chance, which is rare, halves all
+        block = F.pmod(F.xxhash64("query", "vector"), F.lit(blocks))
+        most = asked.groupBy(block).count().agg(F.max("count")).first()[0] or 0
+        if most <= QUERIES or blocks > 1 << 30:
+            break
+        blocks *= max(2, -(-most // QUERIES))
+    parts = [stored(search(index, asked.where(block == i), k, exact=exact)) for i in range(blocks)] if blocks > 1 else [search(index, asked, k, exact=exact)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def find_related(index: VectorIndex, file: object, line: int, k: int = 10, exact: bool = False) -> DataFrame:
     """``file, start, end, score`` of the ``k`` chunks nearest to the one that holds ``line`` (from 1) of ``file``, itself left out."""
     own = (F.col("file") == F.lit(file)) & (F.col("start") <= line) & (F.col("end") >= line)

@@ -666,14 +666,14 @@ SELECT query, vec_id, score FROM (
 def vector_index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of every hundredth vector from the stored index, by its exact fallback."""
     asked = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").selectExpr("vec_id AS query", "embedding AS vector")
-    return related.search(_vector_index(spark, sf_dir), asked, exact=True).select("query", "vec_id", F.round("score", 4).alias("score"))
+    return related.search_all(_vector_index(spark, sf_dir), asked, exact=True).select("query", "vec_id", F.round("score", 4).alias("score"))
 
 
 @query()
 def vector_index_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from coded vectors of the probed lists; recall is tested against brute force."""
     asked = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").selectExpr("vec_id AS query", "embedding AS vector")
-    return related.search(_vector_index(spark, sf_dir), asked).select("query", "vec_id", F.round("score", 4).alias("score"))
+    return related.search_all(_vector_index(spark, sf_dir), asked).select("query", "vec_id", F.round("score", 4).alias("score"))
 
 
 @query()

@@ -68,3 +68,18 @@ def test_nothing_and_zero_vectors(spark):
     assert related.search(empty, df.selectExpr("id AS query", "vector"), 5).collect() == []
     with pytest.raises(ValueError):
         related.search(index, spark.range(2000).selectExpr("id AS query", "array(1.0, 2.0) AS vector"))
+
+
+def test_more_queries_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(related, "QUERIES", 60)
+    monkeypatch.setattr(related, "TUNED", 8)
+    draw = np.random.default_rng(4)
+    rows = {i: draw.normal(size=8).tolist() for i in range(90)}
+    df = spark.createDataFrame(list(rows.items()), "id long, vector array<float>")
+    index = related.build(df, fresh_path(spark), ("id",))
+    asked = df.selectExpr("id AS query", "vector")
+    got = {}
+    for r in related.search_all(index, asked, 5, exact=True).orderBy("query", "score", ascending=[True, False]).collect():
+        got.setdefault(r.query, []).append(r.id)
+    assert got == {i: brute(rows, rows[i], 5) for i in rows}
+    assert related.search_all(index, asked, 5).count() == 450
