@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bit_map, in_bit_map, lean, slices, stored, whole_text
+from quarry.llm.common import bit_map, drop_scratch, in_bit_map, lean, scratch_made, slices, stored, whole_text
 from quarry.llm.fingerprints import mix
 
 BLOCK = 512
@@ -496,6 +496,7 @@ class Route:
 
 def near_lines(docs: DataFrame, distinct: DataFrame, threshold: int, min_chars: int, text: str = "text", words: int = 0) -> DataFrame:
     """``h1, h2`` of the distinct lines with an earlier line within the threshold."""
+    since = scratch_made()
     met = stored(met_entries(docs, threshold, min_chars, text, words, distinct.count()))
     # Near copies share many keys: of keys with the same lines in the same roles one does.
     keys = met.groupBy("key").agg(F.bit_xor(F.xxhash64("h1", "role")).alias("x"), F.count(F.lit(1)).alias("n"), F.min("h1").alias("root")).where("n > 1")
@@ -512,6 +513,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame, threshold: int, min_chars:
     one = joined.where("blocks = 1").select("route", "key", *(F.lit(0).alias(c) for c in ("a", "b", "own")), "role", "h1")
     more = joined.where("blocks > 1").select("key", "role", "h1", F.inline(pairs)).select(F.xxhash64("key", "a", "b").alias("route"), "key", "a", "b", "own", "role", "h1")
     members = stored(one.unionByName(more))
+    drop_scratch(docs.sparkSession, since)
     # Texts are shuffled twice: to be one for each line, and to their routes.
     shown = members.select("route", F.col("h1").alias("name")).distinct().join(distinct.withColumn("name", F.col("h1").bitwiseAND(LINE)), "name")
     shown = shown.join(line_texts(docs, members.select("h1"), min_chars, text), ["h1", "h2"])
@@ -555,6 +557,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame, threshold: int, min_chars:
 
 def dropped(docs: DataFrame, threshold: int = 2, min_chars: int = 24, text: str = "text", copies: int | None = None, words: int = 0) -> DataFrame:
     """``id, place, h1, near`` of every occurrence that goes."""
+    since = scratch_made()
     all_ = stored(occurrences(docs, min_chars, text, copies))
     # The first occurrence as one number, which a hash aggregate can hold, as it can't a struct.
     first = all_.groupBy("h1", "h2").agg(F.min(F.expr("CAST(id AS DECIMAL(20, 0)) * 2147483648 + place")).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -562,6 +565,7 @@ def dropped(docs: DataFrame, threshold: int = 2, min_chars: int = 24, text: str
     distinct = stored(first.select("h1", "h2", F.expr("CAST((first - place) / 2147483648 AS BIGINT)").alias("id"), "place", "n"))
     near = near_lines(docs, distinct.select("h1", "h2", "id", "place"), threshold, min_chars, text, words).withColumn("near", F.lit(True))
     gone = stored(distinct.join(near, ["h1", "h2"], "left").where("n > 1 OR near").select("h1", "h2", F.col("id").alias("_id"), F.col("place").alias("_place"), "n", F.coalesce("near", F.lit(False)).alias("near")))
+    drop_scratch(docs.sparkSession, since + 1)  # but for all_ and gone
     # At most 256 lines are more than a 256th of all; those go by broadcast, so that no task gets the copies of a hot line.
     often = max(1000, all_.count() // 256)
     parts = [all_.join(F.broadcast(gone.where(F.col("n") > often)), ["h1", "h2"]), all_.join(gone.where(F.col("n") <= often), ["h1", "h2"])]
@@ -569,7 +573,9 @@ def dropped(docs: DataFrame, threshold: int = 2, min_chars: int = 24, text: str
 
 
 def _joined(docs: DataFrame, threshold: int, min_chars: int, text: str, copies: int | None, words: int) -> DataFrame:
-    drops = dropped(docs, threshold, min_chars, text, copies, words).groupBy(F.col("id").alias("__line_id")).agg(F.array_sort(F.collect_set(F.struct("place", "h1", "near"))).alias("__line_drops"))
+    since = scratch_made()
+    drops = stored(dropped(docs, threshold, min_chars, text, copies, words).groupBy(F.col("id").alias("__line_id")).agg(F.array_sort(F.collect_set(F.struct("place", "h1", "near"))).alias("__line_drops")))
+    drop_scratch(docs.sparkSession, since)  # what led to them goes before whole texts are shuffled
     keyed = docs.withColumn("__line_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
     return keyed.join(drops, F.col("__line_key") == F.col("__line_id"), "left").drop("__line_key", "__line_id")
 
