@@ -488,7 +488,7 @@ def parted(docs: DataFrame, groups: DataFrame, sizes: DataFrame, text: str = "te
     Shingles in ``COMMON`` sets or more are last in the order. Sets meet by the others and
     shared ones are counted for each pair; common ones could add as many as both heads hold.
     Only sets whose heads hold a quarter of the set in common shingles could link by these
-    alone; they stay together by each.
+    alone; they stay together by each, and are not counted against those they stay with.
     """
     large = stored(groups.join(large_groups(groups, sizes), "root", "left_semi"))
     if large.isEmpty():
@@ -505,7 +505,7 @@ def parted(docs: DataFrame, groups: DataFrame, sizes: DataFrame, text: str = "te
     counted = sets.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
     shared = docs.sparkSession.sparkContext.broadcast(bit_map(counted, "token"))
 
-    def heads_of(b: pa.RecordBatch) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    def heads_of(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Node, size, the head's rare and its common shingles."""
         for node, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             s = (unpacked(data) >> np.uint64(16)).view(np.int64)
@@ -519,10 +519,10 @@ def parted(docs: DataFrame, groups: DataFrame, sizes: DataFrame, text: str = "te
         for b in slices(batches, "shingles", SLICE):
             found = list(heads_of(b))
             times = [len(rare) for _, _, rare, _ in found]
-            columns = [np.repeat(np.array(x, np.int64), times) for x in zip(*((node, n, len(common)) for node, n, _, common in found), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate([rare for _, _, rare, _ in found]), *columns)], ["token", "node", "n", "common"])
+            columns = [np.repeat(np.array(x, np.int64), times) for x in zip(*((node, n, len(common), root) for (node, n, _, common), root in zip(found, b.column(2).to_pylist(), strict=True)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate([rare for _, _, rare, _ in found]), *columns)], ["token", "node", "n", "common", "held"])
 
-    def pairs_of(token: np.ndarray, node: np.ndarray, n: np.ndarray, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs_of(token: np.ndarray, node: np.ndarray, n: np.ndarray, common: np.ndarray, held: np.ndarray) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.append(first, len(token)))
         for length in np.unique(size[size > 1]).tolist():
@@ -531,14 +531,14 @@ def parted(docs: DataFrame, groups: DataFrame, sizes: DataFrame, text: str = "te
             for some in np.array_split(at, max(1, len(at) * len(i) >> 18)):
                 x, y = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
                 small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-                ok = (DEN * small >= NUM * large) & (node[x] != node[y])
+                ok = (DEN * small >= NUM * large) & (held[x] != held[y])
                 x, y, large = x[ok], y[ok], large[ok]
                 least = -(-NUM * (n[x] + n[y]) // (NUM + DEN)) - (large - large // 2 - 1) - np.minimum(common[x], common[y])
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), np.ones(len(x), np.int64), least)], ["u", "v", "n", "least"])
 
     @lean
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = [np.empty(0, np.int64)] * 4
+        carry = [np.empty(0, np.int64)] * 5
         for b in batches:
             cols = [np.concatenate([c, x.to_numpy()]) for c, x in zip(carry, b.columns, strict=True)]
             cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last list may go on
@@ -553,9 +553,11 @@ def parted(docs: DataFrame, groups: DataFrame, sizes: DataFrame, text: str = "te
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([c for _, c in held]) + NODE + 1), pa.array(np.repeat(np.array([x for x, _ in held], np.int64), [len(c) for _, c in held]))], ["u", "v"])
 
-    pairs = sets.mapInArrow(emit, "token long, node long, n long, common long").repartition("token").sortWithinPartitions("token").mapInArrow(meet, "u long, v long, n long, least long")
+    chained = stored(components(sets.mapInArrow(contracted(chain), "u long, v long")).where(F.col("node") <= NODE))  # a root is a set, as sets are below shingles
+    held = sets.join(chained, "node", "left").select("node", "shingles", F.coalesce("root", "node").alias("held"))
+    pairs = held.mapInArrow(emit, "token long, node long, n long, common long, held long").repartition("token").sortWithinPartitions("token").mapInArrow(meet, "u long, v long, n long, least long")
     linked = pairs.groupBy("u", "v").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least").select("u", "v")
-    found = components(stored(linked.unionByName(sets.mapInArrow(contracted(chain), "u long, v long")))).where(F.col("node") <= NODE)
+    found = components(stored(linked.unionByName(chained.select(F.col("node").alias("u"), F.col("root").alias("v")))))
     return groups.join(large.select("root").distinct(), "root", "left_anti").select("node", "root").unionByName(found)
 
 

@@ -51,6 +51,23 @@ def test_single_shared_shingles_do_not_hold_a_group_together(spark, monkeypatch,
         assert max(Counter(parts.values()).values()) < len(parts) / 4
 
 
+def test_near_copies_are_not_counted_in_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 8)
+    texts = []
+    for n in range(120):  # each pair of words of the two places once: ten or twelve copies share each edit
+        words = [f"w{i}" for i in range(200)]
+        words[20], words[100] = f"a{n % 12}", f"b{n // 12}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    edges, own = [], jaccard_join.components
+    monkeypatch.setattr(jaccard_join, "components", lambda e: (edges.append(e), own(e))[1])
+    sizes = jaccard_join.heads(docs).select(F.expr(f"s1 & {jaccard_join.NODE}").alias("node"), "n")
+    whole = sizes.crossJoin(sizes.agg(F.min("node").alias("root"))).select("node", "root")
+    parts = jaccard_join.parted(docs, whole, sizes).collect()
+    assert len(parts) == 120 and len({r.root for r in parts}) == 1
+    assert edges[-1].count() <= 120  # 1,200 pairs before: one for every two copies with an edit in common
+
+
 def test_scratch_of_inner_steps_is_gone(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     for run, most in ((jaccard_join.near_components, 2), (lambda d: line_dedup.dedup_lines(d, **line_dedup.WHOLE), 1)):
