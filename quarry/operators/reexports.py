@@ -5,6 +5,7 @@ module, under its own or a new name, or, with both names null, all names of the
 defined or exported by name, shadow what a wildcard brings. The closure runs over (module, name, origin) in
 rounds, each joined with the exports by source, so that a module with many names or users is spread as any join is;
 it ends when a round brings nothing or after ``depth`` rounds. A ring of wildcards ends by itself, as known names are not new.
+Rounds join by sorted shuffles: tables are broadcast in none, as what rounds send to the driver would add up.
 
 Defined results: an export of what its source does not offer brings nothing; rows that repeat count once; a name with several
 origins has a row for each, marked ``ambiguous``; rows without a module or with one name null are left out.
@@ -27,20 +28,15 @@ def surface(definitions: DataFrame, exports: DataFrame, depth: int = 16) -> Data
     own = stored(defined.unionByName(named.select("module", "name")).distinct())
     origin = ["module", "name", "origin", "origin_name"]
     frontier = stored(defined.select("module", "name", F.col("module").alias("origin"), F.col("name").alias("origin_name"), F.lit(0).alias("hops")))
-    rounds = [frontier]
+    found = frontier
     for hops in range(1, depth + 1):
         given = frontier.select(F.col("module").alias("source"), F.col("name").alias("source_name"), "origin", "origin_name")
-        taken = given.join(named, ["source", "source_name"]).select(*origin)
-        brought = given.join(wild, "source").select("module", F.col("source_name").alias("name"), "origin", "origin_name").join(own, ["module", "name"], "left_anti")
+        taken = given.join(named.hint("merge"), ["source", "source_name"]).select(*origin)
+        brought = given.join(wild.hint("merge"), "source").select("module", F.col("source_name").alias("name"), "origin", "origin_name").join(own.hint("merge"), ["module", "name"], "left_anti")
         step = taken.unionByName(brought).distinct()
-        for known in rounds:
-            step = step.join(known.select(*origin), origin, "left_anti")
-        frontier = stored(step.withColumn("hops", F.lit(hops)))
+        frontier = stored(step.join(found.select(*origin).hint("merge"), origin, "left_anti").withColumn("hops", F.lit(hops)))
         if frontier.isEmpty():
             break
-        rounds.append(frontier)
-    found = rounds[0]
-    for r in rounds[1:]:
-        found = found.unionByName(r)
+        found = found.unionByName(frontier)
     counts = found.groupBy("module", "name").agg((F.count("*") > 1).alias("ambiguous"))
-    return found.join(counts, ["module", "name"])
+    return found.join(counts.hint("merge"), ["module", "name"])

@@ -44,3 +44,20 @@ def test_long_chain_and_nothing(spark):
     e = spark.createDataFrame([(i + 1, f"n{i + 1}", i, f"n{i}" if i else "a") for i in range(20)], "module long, name string, source long, source_name string")
     assert sorted((r.module, r.name, r.hops) for r in reexports.surface(d, e).collect())[-1] == (16, "n16", 16)
     assert reexports.surface(d.where("false"), e).collect() == []
+
+
+def test_rounds_broadcast_nothing(spark, monkeypatch):
+    joins, own = [], reexports.stored
+
+    def stored(df):
+        joins.append(df._jdf.queryExecution().executedPlan().toString())
+        return own(df)
+
+    monkeypatch.setattr(reexports, "stored", stored)
+    d = spark.range(40).selectExpr("id AS module", "'a' AS name")
+    e = spark.range(1, 40).selectExpr("id AS module", "CAST(NULL AS STRING) AS name", "id DIV 2 AS source", "CAST(NULL AS STRING) AS source_name")
+    found = reexports.surface(d, e)
+    assert found.count() == 40
+    joins.append(found._jdf.queryExecution().executedPlan().toString())
+    assert not [p for p in joins if "BroadcastHashJoin" in p or "BroadcastExchange" in p]
+    assert "SortMergeJoin" in joins[-1]
