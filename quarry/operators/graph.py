@@ -98,18 +98,31 @@ def jumped(chain: DataFrame) -> DataFrame:
 
     ``open`` nodes are those of rings, which have no ends; ``low`` is the ring's smallest node.
     """
-    now, last = stored(chain.select("node", "back", "ahead", F.col("node").alias("low"), F.lit(True).alias("open"))), -1
+    now, last = stored(chain.select("node", "back", "ahead", F.col("node").alias("low"), F.lit(True).alias("_a"), F.lit(True).alias("_b"))), -1
+    # As pointers that are not past an end are equally long both ways, a node is pointed to by those that it points to, and sends each
+    # its own pointer on: one shuffle a round. One that heard nothing from a side points past that end, and sends nothing there;
+    # one that heard from neither is done.
+    done: list[DataFrame] = []
+    null = F.lit(None).cast(chain.schema["node"].dataType)
     while True:
-        a = now.select(F.col("node").alias("_a"), F.col("ahead").alias("_ahead"), F.col("low").alias("_low"))
-        b = now.select(F.col("node").alias("_b"), F.col("back").alias("_back"))
-        joined = now.join(a, F.col("ahead") == F.col("_a"), "left").join(b, F.col("back") == F.col("_b"), "left")
+        send = lambda *x: F.struct(*(c.alias(n) for c, n in zip(x, ("to", "back", "ahead", "low", "_back", "_ahead", "_low"), strict=True)))
+        sent = F.array(
+            send(F.col("node"), F.col("back"), F.col("ahead"), F.col("low"), null, null, null),
+            F.when(F.col("_b"), send(F.col("back"), null, null, null, null, F.col("ahead"), F.col("low"))),
+            F.when(F.col("_a"), send(F.col("ahead"), null, null, null, F.col("back"), null, null)),
+        )
+        heard = now.select(F.inline(F.filter(sent, lambda x: x.isNotNull()))).groupBy(F.col("to").alias("node")).agg(*(F.max(c).alias(c) for c in ("back", "ahead", "low", "_back", "_ahead", "_low"))).where("low IS NOT NULL")
         low = F.least("low", F.coalesce("_low", "low"))
-        now = stored(joined.select("node", F.coalesce("_back", "back").alias("back"), F.coalesce("_ahead", "ahead").alias("ahead"), low.alias("low"), (F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("open"), (low < F.col("low")).alias("_moved"), (F.col("_a").isNotNull().cast("int") + F.col("_b").isNotNull().cast("int")).alias("_going")))
-        going, moved = now.agg(F.sum("_going"), F.count_if("_moved")).first()
+        now = stored(heard.select("node", F.coalesce("_back", "back").alias("back"), F.coalesce("_ahead", "ahead").alias("ahead"), low.alias("low"), F.col("_ahead").isNotNull().alias("_a"), F.col("_back").isNotNull().alias("_b"), (low < F.col("low")).alias("_moved")))
+        going, moved = now.agg(F.sum(F.col("_a").cast("int") + F.col("_b").cast("int")), F.count_if("_moved")).first()
         # Each round brings more pointers past an end; once none is, only rings go on, until each is known whole.
         if not going or (going == last and not moved):
-            return now.drop("_moved", "_going")
-        last = going
+            break
+        done.append(now.where("NOT (_a OR _b)"))
+        now, last = now.where("_a OR _b"), going
+    for part in done:
+        now = now.unionByName(part)
+    return now.select("node", "back", "ahead", "low", (F.col("_a") & F.col("_b")).alias("open"))
 
 
 def cycles(edges: DataFrame, min_size: int = 2) -> DataFrame:

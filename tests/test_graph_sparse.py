@@ -56,6 +56,28 @@ def test_long_chain_takes_few_rounds(spark, monkeypatch):
     assert len(rounds) < 30
 
 
+def test_doubling_shuffles_once_a_round_and_lets_go_of_what_is_done(spark, monkeypatch):
+    edges = {(10 * c + i, 10 * c + i + 1) for c in range(100, 200) for i in range(c % 9)} | {(i, i + 1) for i in range(40)} | {(40, 0)}
+    chain = spark.createDataFrame([(b, a, c) for a, b in edges for b2, c in edges if b == b2], "node long, back long, ahead long")
+    plans, rows, own = [], [], graph.stored
+
+    def stored(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        out = own(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "stored", stored)
+    got = {r.node: (r.back, r.ahead, r.low, r.open) for r in graph.jumped(chain).collect()}
+    ahead, back = dict(edges), {b: a for a, b in edges}
+    assert set(got) == set(ahead) & set(back)
+    for node, (b, a, low, open_) in got.items():
+        assert open_ == (node <= 40)
+        assert low == 0 if open_ else b == node // 10 * 10 and a == b + b // 10 % 9
+    assert all(p.count("Exchange") <= 1 and "Join" not in p for p in plans)
+    assert rows[-1] == 41 < rows[0]  # the ring alone
+
+
 def slow_path(edges, a, b, hops):
     paths, seen = [[a]], set()
     for _ in range(hops):
