@@ -22,16 +22,22 @@ Defined results: a null text is empty; keys are unique; a query without a known
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.search import K1, WORD, B, postings
+from quarry.operators.shared import stored
 from quarry.sources.files import refreshed_index
 
 BUCKETS, PLACES, BLOCK = 64, 8, 128
 POSTINGS = "term string, place int, block long, n long, most long, shortest int, entries array<struct<key:{key},tf:bigint,n:int>>, segment int, bucket int"
+Batches = Iterator[pa.RecordBatch]
 
 
 @dataclass(frozen=True)
@@ -78,22 +84,60 @@ def _digested(docs: DataFrame, key: str, text: str, language: str | None) -> Dat
     return docs.select(F.col(key).alias("key"), body.alias("text"), spoken.alias("language"), F.sha2(F.concat(F.coalesce(spoken, F.lit("")), F.lit("\n"), body), 256).alias("digest"))
 
 
+def _counted(batches: Batches) -> Batches:
+    """Batches of key, digest, language and lower-cased text with the number of words for the text."""
+    for b in batches:
+        yield pa.record_batch([*b.columns[:3], pc.count_substring_regex(b.column(3), WORD).cast(pa.int32())], ["key", "digest", "language", "n_terms"])
+
+
+def _blocks(batches: Batches) -> Batches:
+    """Rows of bucket, place, term, key, tf and n, in order of the first three, as blocks; what waits is less than a block."""
+    rest, block = None, 0
+
+    def made(rows: pa.Table, first: np.ndarray, end: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
+        whole = rows.slice(0, int(end[-1])).combine_chunks()
+        key, tf, n = (whole.column(c).chunk(0) for c in ("key", "tf", "n"))
+        entries = pa.ListArray.from_arrays(pa.array(np.append(first, end[-1]).astype(np.int32)), pa.StructArray.from_arrays([key, tf, n], ["key", "tf", "n"]))
+        at = pa.array(first)
+        lead = {c: whole.column(c).chunk(0).take(at) for c in ("term", "place", "bucket")}
+        most, shortest = np.maximum.reduceat(tf.to_numpy(), first), np.minimum.reduceat(n.to_numpy(), first)
+        columns = {"term": lead["term"], "place": lead["place"], "block": pa.array(number), "n": pa.array(end - first), "most": pa.array(most), "shortest": pa.array(shortest), "entries": entries, "bucket": lead["bucket"]}
+        return pa.record_batch(list(columns.values()), list(columns))
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+        rows = rows.combine_chunks()
+        bucket, place = (rows.column(c).to_numpy() for c in ("bucket", "place"))
+        term = rows.column("term").chunk(0).dictionary_encode().indices.to_numpy()
+        new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (place[1:] != place[:-1]) | (term[1:] != term[:-1])])
+        start = np.flatnonzero(new)
+        at = np.arange(len(new)) - np.repeat(start, np.diff(np.append(start, len(new))))
+        at[: start[1] if len(start) > 1 else len(at)] += block * BLOCK  # the first rows go on where the last batch ended
+        first = np.flatnonzero(at % BLOCK == 0)
+        end, number = np.append(first[1:], len(at)), at[first] // BLOCK
+        if len(first) > 1:
+            yield made(rows, first[:-1], end[:-1], number[:-1])
+        rest, block = rows.slice(int(first[-1])), int(number[-1])
+    if rest is not None:
+        yield made(rest, np.zeros(1, np.int64), np.array([rest.num_rows]), np.array([block]))
+
+
 def _write_segment(index: Index, segment: int, new: DataFrame, dropped: DataFrame) -> None:
     """``new``: key, text, language, digest. ``dropped``: key, was, n_terms."""
     root = lambda name: f"{index.path}/{name}/segment={segment}"
     spark = index.spark
     place = lambda df, name: df.write.mode("overwrite").parquet(root(name))
     place(dropped.select("key", "was"), "gone")
-    words = F.size(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), F.lit(1))).alias("n_terms")
-    place(new.select("key", "digest", "language", words), "docs")
-    part = F.expr(f"tf / (tf + {K1} * ({1 - B} + {B} * n_terms / 256))")  # only orders the blocks
-    single = postings(new.select("key", "text"), "key", "text").withColumn("bucket", F.pmod(F.hash("term"), F.lit(BUCKETS))).withColumn("place", F.pmod(F.hash("key"), F.lit(PLACES)))
-    dealt = single.withColumn("part", part).repartition("bucket", "place")
-    ranked = dealt.selectExpr("bucket", "term", "place", "key", "tf", "n_terms AS n", "(row_number() OVER (PARTITION BY bucket, place, term ORDER BY part DESC, key) - 1) DIV " + f"{BLOCK} AS block")
-    blocks = ranked.groupBy("bucket", "place", "term", "block").agg(
-        F.count("*").alias("n"), F.max("tf").alias("most"), F.min("n").alias("shortest"), F.collect_list(F.struct("key", "tf", "n")).alias("entries")
-    )
-    blocks.select("term", "place", F.col("block").cast("long").alias("block"), "n", "most", "shortest", "entries", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(root("postings"))
+    place(new.select("key", "digest", "language", F.lower("text").alias("text")).mapInArrow(_counted, f"key {index.key_type}, digest string, language string, n_terms int"), "docs")
+    dealt = postings(new.select("key", "text"), "key", "text").select(F.pmod(F.hash("term"), F.lit(BUCKETS)).alias("bucket"), F.pmod(F.hash("key"), F.lit(PLACES)).alias("place"), "term", "key", "tf", F.col("n_terms").alias("n")).repartition("bucket", "place")
+    part = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("n") / 256))  # only orders the blocks
+    # Most comparisons of the sort end at the first number.
+    order = F.shiftleft((F.col("bucket") * PLACES + F.col("place")).cast("long"), 54).bitwiseOR(F.xxhash64("term").bitwiseAND((1 << 54) - 1))
+    ranked = dealt.select("*", order.alias("order"), part.alias("part")).sortWithinPartitions("order", "term", F.desc("part"), "key").drop("order", "part")
+    blocks = ranked.mapInArrow(_blocks, POSTINGS.format(key=index.key_type).replace("segment int, ", ""))
+    blocks.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(root("postings"))
     schema = POSTINGS.format(key=index.key_type).replace(", segment int", "")
     added = spark.read.schema(schema).parquet(root("postings")).groupBy("term").agg(F.sum("n").alias("change"))
     gone = spark.read.schema(f"key {index.key_type}, was int").parquet(root("gone"))
@@ -120,6 +164,7 @@ def refresh(index: Index, docs: DataFrame, key: str, text: str, language: str |
     """Brings an index up to ``docs`` and gives the new segment's number; documents with the digest they had are not touched."""
     live = index.live()
     new, dropped = refreshed_index(live, _digested(docs, key, text, language), "key", "digest")
+    new = stored(new)  # found by a join over all documents, and read for their words and their terms
     segment = max(index.segments()) + 1
     _write_segment(index, segment, new, live.join(dropped, "key", "left_semi").select("key", F.col("segment").alias("was"), "n_terms"))
     return segment

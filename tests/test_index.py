@@ -97,3 +97,34 @@ def test_nulls_and_nothing(spark):
     assert [k for k, _ in found(ix, "a b", 3)] == [3, 4] and ix.statistics().first().docs == 4
     index.refresh(ix, frame(spark, {7: "x"}).where("false"), "id", "text")
     assert found(ix, "a b", 3) == [] and ix.statistics().first().docs == 0
+
+
+def test_blocks_are_whole_across_batches(spark, tmp_path, monkeypatch):
+    texts = [(i, " ".join(["all"] * (1 + i % 5) + [f"w{i % 3}"] * (i % 2) + ["rest_9", "Ünï-x"] * (i % 4))) for i in range(3000)] + [(9000, None), (9001, "ALL K İx")]
+    docs = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    monkeypatch.setattr(search, "TEXTS", 7)
+    spark.conf.set(key, "50")  # less than a block
+    try:
+        built = index.build(docs, str(tmp_path / "index"), "id", "text")
+    finally:
+        spark.conf.set(key, was)
+    rows = built.postings().collect()
+    want = {}
+    for i, t in docs.selectExpr("id", "lower(coalesce(text, ''))").collect():
+        words = re.findall(r"[a-z0-9_]+", t)
+        for w in words:
+            want[w, i] = (words.count(w), len(words))
+    assert {(r.term, e.key): (e.tf, e.n) for r in rows for e in r.entries} == want
+    assert sum(len(r.entries) for r in rows) == len(want)
+    lists = {}
+    for r in rows:
+        assert r.n == len(r.entries) and r.most == max(e.tf for e in r.entries) and r.shortest == min(e.n for e in r.entries)
+        lists.setdefault((r.term, r.place), {})[r.block] = r.entries
+    assert max(map(len, lists.values())) > 2
+    for blocks in lists.values():
+        assert sorted(blocks) == list(range(len(blocks))) and all(len(blocks[b]) == index.BLOCK for b in range(len(blocks) - 1))
+        part = [e.tf / (e.tf + 1.2 * (0.25 + 0.75 * e.n / 256)) for b in sorted(blocks) for e in blocks[b]]
+        assert part == sorted(part, reverse=True)
+    assert {(r.key, r.n_terms) for r in built.live().collect()} == {(i, next((n for (_, k), (_, n) in want.items() if k == i), 0)) for i, _ in texts}
