@@ -17,10 +17,17 @@ _shipped: set[str] = set()
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Bytes of one Arrow batch, Spark's own and ours: functions over texts hold several copies of a batch in each Python worker.
+BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+
+
 def tidy(spark: SparkSession) -> None:
-    """Sets ``TIDY`` where the session has not chosen; the jobs here write what they read again."""
+    """Sets ``TIDY`` and ``BYTES`` where the session has not chosen; the jobs here write what they read again."""
     if spark.conf.get(TIDY, None) is None:
         spark.conf.set(TIDY, "true")
+    key, default, own = BYTES
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, own)
 
 
 def ship(spark: SparkSession) -> None:
