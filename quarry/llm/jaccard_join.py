@@ -61,7 +61,7 @@ ALL, EDGE = 1, 2
 #: Lists up to this length are filtered pair by pair.
 SMALL = 16
 #: Sets of large groups from which a shingle counts as common, whose sets are not paired by it.
-COMMON = 32
+COMMON = 16
 #: Sets and shingles in a block of a large group.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 20
 #: A set is derived from another from this similarity on.
@@ -485,8 +485,9 @@ def parted(docs: DataFrame, groups: DataFrame, sizes: DataFrame, text: str = "te
     Of sets ``x`` and ``y`` that link, ``needed`` shingles are common; heads of more than half
     of each, in one order, leave at most half of the set whose head ends first behind, so the
     heads have at least ``needed`` less half of the larger set in common, a quarter of either set or more.
-    Shingles in ``COMMON`` sets or more are last in the order. Sets meet by the others and
-    shared ones are counted for each pair; common ones could add as many as both heads hold.
+    Shingles in ``COMMON`` sets or more are last in the order. Sets meet by the others, and
+    shared ones are counted for each pair, once for all shingles with the same sets: a set has
+    less than ``COMMON`` partners by a shingle. Common ones could add as many as both heads hold.
     Only sets whose heads hold a quarter of the set in common shingles could link by these
     alone; they stay together by each, and are not counted against those they stay with.
     """
@@ -522,29 +523,47 @@ def parted(docs: DataFrame, groups: DataFrame, sizes: DataFrame, text: str = "te
             columns = [np.repeat(np.array(x, np.int64), times) for x in zip(*((node, n, len(common), root) for (node, n, _, common), root in zip(found, b.column(2).to_pylist(), strict=True)), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate([rare for _, _, rare, _ in found]), *columns)], ["token", "node", "n", "common", "held"])
 
-    def pairs_of(token: np.ndarray, node: np.ndarray, n: np.ndarray, common: np.ndarray, held: np.ndarray) -> Iterator[pa.RecordBatch]:
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        size = np.diff(np.append(first, len(token)))
-        for length in np.unique(size[size > 1]).tolist():
-            i, j = np.triu_indices(length, 1)
-            at = first[size == length]
-            for some in np.array_split(at, max(1, len(at) * len(i) >> 18)):
-                x, y = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
-                small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-                ok = (DEN * small >= NUM * large) & (held[x] != held[y])
-                x, y, large = x[ok], y[ok], large[ok]
-                least = -(-NUM * (n[x] + n[y]) // (NUM + DEN)) - (large - large // 2 - 1) - np.minimum(common[x], common[y])
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), np.ones(len(x), np.int64), least)], ["u", "v", "n", "least"])
+    def lists_of(token: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Lists of two sets or more that are not all held together, each as bytes, and how many shingles of this task have it."""
+        order = np.lexsort((rows[:, 0], token))
+        token, rows = token[order], rows[order]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))[: len(token)]
+        if not len(first):
+            return
+        apart = np.minimum.reduceat(rows[:, 3], first) < np.maximum.reduceat(rows[:, 3], first)
+        found = Counter(rows[a:z].tobytes() for a, z in zip(first[apart].tolist(), np.append(first[1:], len(token))[apart].tolist(), strict=True))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["list", "times"])
 
     @lean
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = [np.empty(0, np.int64)] * 5
+        token, rows = np.empty(0, np.int64), np.empty((0, 4), np.int64)
         for b in batches:
-            cols = [np.concatenate([c, x.to_numpy()]) for c, x in zip(carry, b.columns, strict=True)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last list may go on
-            yield from pairs_of(*(x[:cut] for x in cols))
-            carry = [x[cut:] for x in cols]
-        yield from pairs_of(*carry)
+            token = np.concatenate([token, b.column(0).to_numpy()])
+            rows = np.concatenate([rows, np.stack([x.to_numpy() for x in b.columns[1:]], axis=1)])
+            cut = int(np.searchsorted(token, token[-1])) if len(token) else 0  # the last list may go on
+            yield from lists_of(token[:cut], rows[:cut])
+            token, rows = token[cut:], rows[cut:]
+        yield from lists_of(token, rows)
+
+    @lean
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "list", SLICE >> 4):
+            by_length: dict[int, tuple[list[bytes], list[int]]] = {}
+            for data, times in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                some = by_length.setdefault(len(data) // 32, ([], []))
+                some[0].append(data)
+                some[1].append(times)
+            for length, (some, times) in by_length.items():
+                node, n, common, held = np.frombuffer(b"".join(some), np.int64).reshape(-1, 4).T
+                i, j = np.triu_indices(length, 1)
+                at = (np.arange(len(some)) * length)[:, None]
+                x, y, times = (at + i).ravel(), (at + j).ravel(), np.repeat(np.array(times, np.int64), len(i))
+                small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+                ok = (DEN * small >= NUM * large) & (held[x] != held[y])
+                x, y, large = x[ok], y[ok], large[ok]
+                least = -(-NUM * (n[x] + n[y]) // (NUM + DEN)) - (large - large // 2 - 1) - np.minimum(common[x], common[y])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[x], node[y], times[ok], least)], ["u", "v", "n", "least"])
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sets that could link by common shingles alone, with each of these as a node above all others."""
@@ -555,7 +574,9 @@ def parted(docs: DataFrame, groups: DataFrame, sizes: DataFrame, text: str = "te
 
     chained = stored(components(sets.mapInArrow(contracted(chain), "u long, v long")).where(F.col("node") <= NODE))  # a root is a set, as sets are below shingles
     held = sets.join(chained, "node", "left").select("node", "shingles", F.coalesce("root", "node").alias("held"))
-    pairs = held.mapInArrow(emit, "token long, node long, n long, common long, held long").repartition("token").sortWithinPartitions("token").mapInArrow(meet, "u long, v long, n long, least long")
+    lists = held.mapInArrow(emit, "token long, node long, n long, common long, held long").repartition("token").sortWithinPartitions("token").mapInArrow(meet, "list binary, times long")
+    # The shingles of one edit or passage are in the same sets: pairs are made once for all of them.
+    pairs = lists.groupBy("list").agg(F.sum("times").alias("times")).mapInArrow(pair, "u long, v long, n long, least long")
     linked = pairs.groupBy("u", "v").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least").select("u", "v")
     found = components(stored(linked.unionByName(chained.select(F.col("node").alias("u"), F.col("root").alias("v")))))
     return groups.join(large.select("root").distinct(), "root", "left_anti").select("node", "root").unionByName(found)

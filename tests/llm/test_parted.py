@@ -68,6 +68,25 @@ def test_near_copies_are_not_counted_in_pairs(spark, monkeypatch):
     assert edges[-1].count() <= 120  # 1,200 pairs before: one for every two copies with an edit in common
 
 
+def test_shingles_of_the_same_sets_are_paired_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 4)
+    texts = [" ".join([f"p{n % 4}w{i}" for i in range(60)] + [f"d{n}w{i}" for i in range(40)]) for n in range(12)]  # passages of 56 shingles, each in three
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    made, own = [], type(docs).mapInArrow
+
+    def map_in_arrow(self, run, schema, *more):
+        out = own(self, run, schema, *more)
+        made.extend([out] if "least" in schema else [])
+        return out
+
+    monkeypatch.setattr(type(docs), "mapInArrow", map_in_arrow)
+    sizes = jaccard_join.heads(docs).select(F.expr(f"s1 & {jaccard_join.NODE}").alias("node"), "n")
+    whole = sizes.crossJoin(sizes.agg(F.min("node").alias("root"))).select("node", "root")
+    assert jaccard_join.parted(docs, whole, sizes).count() < 12
+    rows = made[-1].collect()
+    assert len({(r.u, r.v) for r in rows}) == 12 and len(rows) <= 24 < sum(r.n for r in rows)  # a row for each shingle before
+
+
 def test_scratch_of_inner_steps_is_gone(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     for run, most in ((jaccard_join.near_components, 2), (lambda d: line_dedup.dedup_lines(d, **line_dedup.WHOLE), 1)):
