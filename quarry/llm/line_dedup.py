@@ -20,9 +20,12 @@ the query and the pipeline use.
    are allowed. Longer lines share a run of words of a known least length, and so the
    smallest hash of word n-grams in a window of that run; lines meet under these hashes
    in buckets of length, each line in its own and, if a shorter one can be near, the lower.
-4. Of keys with the same lines one stays. Lines that are left get their text, and each
-   key's lines are compared with the earlier ones, by character or word counts and then
-   by a banded bit-parallel edit distance, until one is near.
+4. Of keys with the same lines one stays. A line's sketch, its numbers of words by classes,
+   bounds its edits to another: of each key only lines with such a partner stay, and no
+   text moves for the others, however many share a key.
+5. Lines that are left get their text, and each key's lines are compared with the earlier
+   ones, by character or word counts and then by a banded bit-parallel edit distance, until
+   one is near.
 
 Hot keys: a key that many lines of one batch share is salted (a marker row keeps the
 unsalted rest alive), and a key with more than ``BLOCK`` lines is compared in pairs of
@@ -59,6 +62,10 @@ INDEX, PROBE, MARK, WORDS, HOT = 1, 2, 4, 8, 16
 LINE = (1 << 48) - 32
 #: Entries of a line, about, and entries of a bucket that meet at once in a Python worker.
 ENTRIES, BUCKET = 32, 1 << 18
+#: Classes of words in a line's sketch, of 4 bits each; coarse ones, of so many, are looked at first. Lengths in a band of a large key differ by this factor at most.
+CLASSES, COARSE, BAND = 64, 8, 1.25
+#: Pairs of sketches that are looked at together.
+PAIRS = 1 << 18
 #: Lines that are compared as one group; a line is found near once in it.
 ROUTE = 4096
 #: Largest number of word edits that is found by segments.
@@ -182,15 +189,31 @@ class Lines:
         edge[self.base] = True
         end = np.flatnonzero(edge[1:] & ~blank) + 1
         hashes = mix((self.total[end] - self.total[start]) * self.inverse[start] ^ (end - start).astype(np.uint64))
-        return hashes, np.bincount(np.searchsorted(self.base, start, "right") - 1, minlength=len(self.base))
+        return hashes, np.diff(np.append(np.searchsorted(start, self.base), len(start)))
 
 
 def _sums(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Running sums of symbols times powers, and inverse powers."""
     n = len(symbols)
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _R)]))
-    inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _R_INVERSE)]))
-    return np.concatenate([[np.uint64(0)], np.cumsum(symbols * power[:n])]), inverse
+    power, inverse = _power_tables(n)
+    total = np.zeros(n + 1, np.uint64)
+    np.multiply(symbols, power[:n], out=total[1:])
+    np.cumsum(total[1:], out=total[1:])
+    return total, inverse
+
+
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers up to ``n`` and more; kept for the usual sizes only, so that a long text's are freed with it."""
+    size = max(SLICE, n)
+    if size in _powers:
+        return _powers[size]
+    tables = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, r)])) for r in (_R, _R_INVERSE))
+    if size == SLICE:
+        _powers[size] = tables
+    return tables
 
 
 def entries(lines: Lines, of: np.ndarray, hashes: np.ndarray, threshold: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,12 +265,18 @@ def word_entries(found: np.ndarray, length: np.ndarray, hashes: np.ndarray, word
     window = run - gram + 1
     long = length >= words * k
     if long.any():
-        at = np.arange(len(found) - run + 1)
         line = np.repeat(np.arange(len(length)), length)
-        at = at[long[line[at]] & (at + run <= (base + length)[line[at]])]
-        s = np.arange(len(found) - gram + 1)
-        h = mix((total[s + gram] - total[s]) * inverse[s])
-        s = np.unique(at + np.lib.stride_tricks.sliding_window_view(h, window)[at].argmin(axis=1))
+        last = len(found) - run + 1
+        at = np.flatnonzero(long[line[:last]] & (line[:last] == line[run - 1 :]))
+        grams = len(found) - gram + 1
+        h = mix((total[gram : gram + grams] - total[:grams]) * inverse[:grams])
+        least, place = h[:last].copy(), np.zeros(last, np.int8)
+        for j in range(1, window):
+            less = h[j : j + last] < least
+            np.minimum(least, h[j : j + last], out=least)
+            np.maximum(place, less.view(np.int8) * np.int8(j), out=place)
+        s = at + place[at]  # the first smallest of each window, which never moves back
+        s = s[np.concatenate([[True], s[1:] != s[:-1]])]
         bucket = np.floor(np.log2(length[line[s]])).astype(np.int64)
         add(h[s], bucket * 64 + 63, hashes[line[s]], PROBE | INDEX)
         near = length[line[s]] < 2.0**bucket * (1 + 1 / words)
@@ -278,6 +307,20 @@ def _batch_lines(b: pa.RecordBatch, min_chars: int) -> list[str]:
     return list(dict.fromkeys(x for t in b.column(1).to_pylist() for x in t.split("\n") if len(x) >= min_chars))
 
 
+def sketches(names: np.ndarray, found: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A row of bytes for each line: its name, its number of words, and how many words of each class it has, up to 15.
+
+    A word that comes or goes changes one of these numbers by one at most, so they say that lines are far, never that they are near.
+    """
+    of = np.repeat(np.arange(len(length)) * CLASSES, length)
+    counts = np.minimum(np.bincount(of + (found & np.uint64(CLASSES - 1)).astype(np.int64), minlength=len(length) * CLASSES), 15).astype(np.uint8).reshape(-1, CLASSES)
+    out = np.empty((len(length), 12 + CLASSES // 2), np.uint8)
+    out[:, :8] = names.astype("<i8").view(np.uint8).reshape(-1, 8)
+    out[:, 8:12] = length.astype("<i4").view(np.uint8).reshape(-1, 4)
+    out[:, 12:] = counts[:, ::2] | counts[:, 1::2] << 4
+    return out
+
+
 def _packed(key: np.ndarray, entry: np.ndarray) -> np.ndarray:
     """Twelve bytes a row: the upper 48 bits of the key, the lower 48 of the entry."""
     out = np.empty((len(key), 12), np.uint8)
@@ -335,7 +378,16 @@ class Meeting:
 
 
 def met_entries(docs: DataFrame, threshold: int, min_chars: int, text: str = "text", words: int = 0, lines: int = 1 << 20) -> DataFrame:
-    """``key, h1, role`` of the entries whose key has two lines or more, one of them in the index; ``h1`` is 43 bits of a line's hash.
+    """``key, h1, role`` of the entries whose key has two lines or more, one of them in the index; ``h1`` is 43 bits of a line's hash."""
+    return _entries_of(_met(docs, threshold, min_chars, text, words, lines))
+
+
+def _entries_of(met: DataFrame) -> DataFrame:
+    return met.where("sketch IS NULL").select("key", "h1", "role").distinct()
+
+
+def _met(docs: DataFrame, threshold: int, min_chars: int, text: str, words: int, lines: int) -> DataFrame:
+    """``key, h1, role, of, sketch``: entries as in ``met_entries``, some repeated, and rows ``h1, of, sketch`` of all lines, which have no key; ``of``: number of words.
 
     ``lines``: about how many distinct lines there are; they set the number of buckets.
     """
@@ -349,22 +401,29 @@ def met_entries(docs: DataFrame, threshold: int, min_chars: int, text: str = "te
                 continue
             hashes = line_hashes(lines)[0]
             cut = Lines(lines)
+            found, length = cut.words()
+            sketched = sketches(hashes & LINE, found, length)
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - (int(hashes[0]) & (buckets - 1))]), pa.array([sketched.tobytes()], pa.binary())], ["bucket", "packed"])
             if words:
-                found, length = cut.words()
                 # An edit of a code point is two of words at most, and changes their number by one: longer lines need no entries of code points.
                 few = np.flatnonzero(length < words * 2 * threshold + threshold)
                 key, h1, role = (np.concatenate(x) for x in zip(entries(cut, few, hashes, threshold, min_chars), word_entries(found, length, hashes, words), strict=True))
             else:
                 key, h1, role = entries(cut, np.arange(len(lines)), hashes, threshold, min_chars)
-            values, at, n = np.unique(key, return_inverse=True, return_counts=True)
-            hot = n >= HOT_LINES
-            entry = h1 & LINE | role | np.where(hot[at], HOT, 0)
-            where = mix(key.view(np.uint64) + np.where(hot[at], 1 + (h1 & (SALTS - 1)), 0).astype(np.uint64))
-            if hot.any():
-                key, entry = np.concatenate([key, values[hot]]), np.concatenate([entry, np.full(int(hot.sum()), MARK)])
-                where = np.concatenate([where, mix(values[hot].view(np.uint64))])
-            bucket = (where & np.uint64(buckets - 1)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            # Only keys that share their lowest bits with so many entries can be hot.
+            low = key & ((1 << 18) - 1)
+            maybe = np.flatnonzero((np.bincount(low, minlength=1 << 18) >= HOT_LINES)[low])
+            values, at, n = np.unique(key[maybe], return_inverse=True, return_counts=True)
+            values, rows = values[n >= HOT_LINES], maybe[(n >= HOT_LINES)[at]]
+            entry = h1 & LINE | role
+            where = key.view(np.uint64).copy()
+            if len(values):
+                entry[rows] |= HOT
+                where[rows] += (1 + (h1[rows] & (SALTS - 1))).astype(np.uint64)
+                key, entry = np.concatenate([key, values]), np.concatenate([entry, np.full(len(values), MARK)])
+                where = np.concatenate([where, values.view(np.uint64)])
+            bucket = (mix(where) & np.uint64(buckets - 1)).astype(np.int64)
+            order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
             bucket = bucket[order]
             first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             offsets = pa.py_buffer((np.append(first, len(bucket)) * 12).astype(np.int64))
@@ -373,6 +432,7 @@ def met_entries(docs: DataFrame, threshold: int, min_chars: int, text: str = "te
 
     @lean
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "h1", "role", "of", "sketch"]
         waiting: list[bytes] = []
         at, held, meeting = None, 0, Meeting()
 
@@ -380,10 +440,16 @@ def met_entries(docs: DataFrame, threshold: int, min_chars: int, text: str = "te
             key, entry = meeting.add(*_unpacked(b"".join(waiting)))
             waiting.clear()
             if len(key):
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(entry & LINE), pa.array((entry & (INDEX | PROBE | WORDS)).astype(np.int8))], ["key", "h1", "role"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(entry & LINE), pa.array((entry & (INDEX | PROBE | WORDS)).astype(np.int8)), pa.nulls(len(key), pa.int32()), pa.nulls(len(key), pa.binary())], names)
 
         for b in batches:
             for bucket, packed in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if bucket < 0:
+                    raw = np.frombuffer(packed, np.uint8).reshape(-1, 12 + CLASSES // 2)
+                    n, rest = len(raw), np.ascontiguousarray(raw[:, 12:])
+                    sketch = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * rest.shape[1]), pa.py_buffer(rest)])
+                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(np.ascontiguousarray(raw[:, :8]).view("<i8").reshape(-1)), pa.nulls(n, pa.int8()), pa.array(np.ascontiguousarray(raw[:, 8:12]).view("<i4").reshape(-1)), sketch], names)
+                    continue
                 if bucket != at or held > 12 * max(4 * BUCKET, 2 * len(meeting.key)):
                     yield from give()
                     held = 0
@@ -395,7 +461,90 @@ def met_entries(docs: DataFrame, threshold: int, min_chars: int, text: str = "te
 
     # Entries move as blocks of bytes, one for each batch and bucket: no row for each of them.
     rows = _keyed(docs, text).mapInArrow(emit, "bucket long, packed binary")
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key long, h1 long, role byte").distinct()
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key long, h1 long, role byte, of int, sketch binary")
+
+
+def passing(first: np.ndarray, size: np.ndarray, n: np.ndarray, by_word: np.ndarray, counts: np.ndarray, threshold: int, words: int) -> np.ndarray:
+    """Which lines have a partner in their group that their sketches leave room for. Groups are rows ``first`` on, ``size`` of them, in order of ``n``.
+
+    An edit of a word takes one and adds one; an edit of a code point changes three words at most, as where a blank goes.
+    """
+    some_words, all_words = (np.repeat(x.reduceat(by_word, first), size) for x in (np.logical_or, np.logical_and))
+    most = np.maximum(2 * (n // max(1, words)) * some_words, 3 * threshold * ~all_words)  # to a line of as many words or more
+    coarse = np.ascontiguousarray(counts.reshape(len(n), COARSE, -1).sum(axis=2, dtype=np.int16).T)
+    good = np.zeros(len(n), bool)
+
+    def look(x: np.ndarray, y: np.ndarray) -> None:
+        apart = np.zeros(np.broadcast_shapes(x.shape, y.shape), np.int16)
+        for c in coarse:
+            apart += np.abs(c[x] - c[y])
+        ok = (apart <= most[x]) & (x < y)
+        x, y = (np.broadcast_to(v, ok.shape)[ok] for v in (x, y))
+        for at in range(0, len(x), PAIRS >> 3):
+            i, j = x[at : at + (PAIRS >> 3)], y[at : at + (PAIRS >> 3)]
+            a, b = counts[i], counts[j]
+            near = (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int32) <= most[i]
+            good[i[near]] = good[j[near]] = True
+
+    for length in np.unique(size[(size > 1) & (size <= 16)]).tolist():
+        i, j = np.triu_indices(length, 1)
+        at = first[size == length]
+        for some in np.array_split(at, max(1, len(at) * len(i) // PAIRS)):
+            look((some[:, None] + i).ravel(), (some[:, None] + j).ravel())
+    for start, rows in zip(first[size > 16].tolist(), size[size > 16].tolist(), strict=True):
+        of, end = n[start : start + rows], start + rows
+        # Lines with more words than these edits allow are not looked at.
+        reach = start + np.searchsorted(of, np.maximum(of + 2 * threshold, of + of // words if words else 0), "right")
+        at = start
+        while at < end:
+            step = max(1, PAIRS // max(1, int(reach[min(at + 255, end - 1) - start]) - at))
+            to = min(end, at + min(256, step))
+            look(np.arange(at, to)[:, None], np.arange(at, int(reach[to - 1 - start]))[None, :])
+            at = to
+    return good
+
+
+def near_members(met: DataFrame, members: DataFrame, threshold: int, words: int) -> DataFrame:
+    """``key, h1, role`` of ``members`` (key, h1, role, n: lines of the key) with a partner by their sketches, which ``met`` has."""
+    sketched = met.where("sketch IS NOT NULL").select("h1", "of", "sketch").repartition("h1").dropDuplicates()
+    # Lines of one band of a large key, and those that may be near the band below, meet there.
+    band = lambda n: F.floor(F.log(F.greatest(F.lit(1.0), n)) / F.log(F.lit(BAND)))
+    bands = F.sequence(band(F.col("of") * F.lit(1 - 1 / max(1, words)) - 1), band(F.col("of").cast("double")))
+    wide = (F.col("n") > BLOCK) & (F.col("role").bitwiseAND(WORDS) > 0)
+    rows = members.join(sketched, "h1").select("key", F.explode(F.when(wide, bands).otherwise(F.array(F.lit(0).cast("long")))).alias("band"), "of", "h1", "role", "sketch")
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def give(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            key, band, n, h1, role = (table.column(i).to_numpy() for i in range(5))
+            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (band[1:] != band[:-1])]))
+            raw = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint8).reshape(len(key), -1)
+            counts = np.stack([raw & 15, raw >> 4], axis=2).reshape(len(key), -1)
+            good = passing(first, np.diff(np.append(first, len(key))), n.astype(np.int64), role & WORDS > 0, counts, threshold, words)
+            yield pa.RecordBatch.from_arrays([pa.array(x[good]) for x in (key, h1, role)], ["key", "h1", "role"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            # The last group may go on; what is before it is looked at.
+            key, band = b.column(0).to_numpy(), b.column(1).to_numpy()
+            other = np.flatnonzero((key != key[-1]) | (band != band[-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if not cut and waiting:
+                last = waiting[-1].slice(waiting[-1].num_rows - 1)
+                if (last.column(0)[0].as_py(), last.column(1)[0].as_py()) != (key[-1], band[-1]):
+                    yield from give(pa.Table.from_batches(waiting))
+                    waiting = []
+            if cut:
+                yield from give(pa.Table.from_batches([*waiting, b.slice(0, cut)]))
+                waiting = []
+            waiting.append(b.slice(cut))
+        if waiting:
+            yield from give(pa.Table.from_batches(waiting))
+
+    return rows.repartition("key", "band").sortWithinPartitions("key", "band", "of").mapInArrow(run, "key long, h1 long, role byte").distinct()
 
 
 def line_texts(docs: DataFrame, lines: DataFrame, min_chars: int, text: str = "text") -> DataFrame:
@@ -494,22 +643,35 @@ class Route:
                 self.near.add(rows[k][2:4])
 
 
+def _different(met: DataFrame) -> DataFrame:
+    """``key, root, n`` of keys of two lines or more, one of those with the same lines in the same roles; ``root``: the smallest line."""
+    keys = met.groupBy("key").agg(F.bit_xor(F.xxhash64("h1", "role")).alias("x"), F.count(F.lit(1)).alias("n"), F.min("h1").alias("root")).where("n > 1")
+    return keys.groupBy("x", "n").agg(F.min("key").alias("key"), F.min("root").alias("root")).select("key", "root", "n")
+
+
+def _with_keys(met: DataFrame, keys: DataFrame) -> DataFrame:
+    """``met`` joined with ``keys`` (key, n and others)."""
+    often = max(1000, (keys.agg(F.sum("n")).first()[0] or 0) // 256)  # at most 256 keys have more lines
+    return met.join(F.broadcast(keys.where(F.col("n") > often)), "key").unionByName(met.join(keys.where(F.col("n") <= often), "key"))
+
+
 def near_lines(docs: DataFrame, distinct: DataFrame, threshold: int, min_chars: int, text: str = "text", words: int = 0) -> DataFrame:
     """``h1, h2`` of the distinct lines with an earlier line within the threshold."""
     since = scratch_made()
-    met = stored(met_entries(docs, threshold, min_chars, text, words, distinct.count()))
+    all_ = stored(_met(docs, threshold, min_chars, text, words, distinct.count()))
+    met = stored(_entries_of(all_))
     # Near copies share many keys: of keys with the same lines in the same roles one does.
-    keys = met.groupBy("key").agg(F.bit_xor(F.xxhash64("h1", "role")).alias("x"), F.count(F.lit(1)).alias("n"), F.min("h1").alias("root")).where("n > 1")
-    keys = stored(keys.groupBy("x", "n").agg(F.min("key").alias("key"), F.min("root").alias("root")))
+    keys = stored(_different(met))
+    met = stored(near_members(all_, _with_keys(met, keys.select("key", "n")), threshold, words))
+    drop_scratch(docs.sparkSession, since)
+    keys = stored(_different(met))
     # Keys with the same smallest line are compared together, so that its copies' texts come once; too many lines go by key.
     heavy = keys.groupBy("root").agg(F.sum("n").alias("all")).where(F.col("all") > ROUTE).select("root", F.lit(True).alias("heavy"))
     # A key with more lines than a block: each of its lines goes to every pair of blocks that has its own.
     routed = keys.join(heavy, "root", "left").select("key", "n", F.when(F.col("heavy"), F.col("key")).otherwise(F.col("root")).alias("route"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    often = max(1000, (keys.agg(F.sum("n")).first()[0] or 0) // 256)  # at most 256 keys have more lines
-    hot = F.broadcast(routed.where(F.col("n") > often))
     own = F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: F.struct(F.least(t, own).alias("a"), F.greatest(t, own).alias("b"), own.alias("own")))
-    joined = met.join(hot, "key").unionByName(met.join(routed.where(F.col("n") <= often), "key"))
+    joined = _with_keys(met, routed)
     one = joined.where("blocks = 1").select("route", "key", *(F.lit(0).alias(c) for c in ("a", "b", "own")), "role", "h1")
     more = joined.where("blocks > 1").select("key", "role", "h1", F.inline(pairs)).select(F.xxhash64("key", "a", "b").alias("route"), "key", "a", "b", "own", "role", "h1")
     members = stored(one.unionByName(more))
