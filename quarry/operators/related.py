@@ -30,15 +30,18 @@ from pyspark.sql import functions as F
 from quarry.operators.shared import stored
 
 DIM, QUERIES, LIST_ROWS, MOST_LISTS, TUNED = 128, 1024, 256, 1024, 64
+#: Rows of a list in one file, about.
+FILE_ROWS = 1 << 15
 Batches = Iterator[pa.RecordBatch]
 
 
 def chunks(docs: DataFrame, key: str, text: str, lines: int = 20) -> DataFrame:
     """``file, start, end, text``: spans of ``lines`` lines, numbered from 1, to the end of each text."""
     split = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    cut = docs.select(F.col(key).alias("file"), split.alias("_lines")).withColumn("start", F.explode(F.sequence(F.lit(1), F.size("_lines"), F.lit(lines))))
-    end = F.least(F.col("start") + lines - 1, F.size("_lines"))
-    return cut.select("file", "start", end.alias("end"), F.array_join(F.slice("_lines", F.col("start"), lines), "\n").alias("text"))
+    end = lambda at: F.least(at + lines - 1, F.size("_lines")).alias("end")
+    # Cut before they are rows, so that no row holds a whole text beside its chunk.
+    cut = F.transform(F.sequence(F.lit(1), F.size("_lines"), F.lit(lines)), lambda at: F.struct(at.alias("start"), end(at), F.array_join(F.slice("_lines", at, lines), "\n").alias("text")))
+    return docs.select(F.col(key).alias("file"), split.alias("_lines")).select("file", F.inline(cut))
 
 
 def word_vectors(texts: pa.Array) -> np.ndarray:
@@ -85,6 +88,32 @@ def as_rows(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def normed(vectors: DataFrame, keys: tuple[str, ...], vector: str) -> DataFrame:
+    """The keys and ``vector``, at length 1, of vectors of length above 0 that hold no null."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            width = pc.fill_null(pc.list_value_length(batch.column(vector)), 0).to_numpy()
+            real = width > 0
+            values = batch.column(vector).flatten()
+            if values.null_count:
+                real[np.repeat(np.arange(len(width)), width)[values.is_null().to_numpy(zero_copy_only=False)]] = False
+            if not real.any():
+                continue
+            batch = batch.filter(pa.array(real))
+            rows = batch.column(vector).flatten().cast(pa.float64()).to_numpy().reshape(batch.num_rows, -1)
+            length = np.zeros(len(rows))
+            for x in rows.T:  # in order, so that a sum does not hang on a machine's vector width
+                length += x * x
+            length = np.sqrt(length)
+            real = ~(length <= 0)
+            batch = batch.filter(pa.array(real))
+            yield pa.record_batch([*(batch.column(c) for c in keys), as_lists(rows[real] / length[real, None])], [*keys, "vector"])
+
+    named = ", ".join(f"{k} {vectors.schema[k].dataType.simpleString()}" for k in keys)
+    return vectors.select(*keys, vector).mapInArrow(run, f"{named}, vector array<float>")
+
+
 def centroids(sample: np.ndarray, count: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
     """Lloyd's rounds over unit vectors; a centroid that loses all its members takes the vector that is farthest from its own."""
     rng = np.random.default_rng(seed)
@@ -118,35 +147,40 @@ class VectorIndex:
 def build(vectors: DataFrame, path: str, keys: tuple[str, ...], vector: str = "vector", sample: int = 8192, recall: float = 0.95) -> VectorIndex:
     """Indexes every vector of length above 0; lists of about ``LIST_ROWS``, at most ``MOST_LISTS``."""
     spark = vectors.sparkSession
-    length = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     # Read for the sample, the count and the lists, so made once.
-    real = stored(vectors.where(F.col(vector).isNotNull() & (length > 0)).select(*keys, vector).withColumn("_length", F.sqrt(length)).select(*keys, F.transform(vector, lambda x: (x / F.col("_length")).cast("float")).alias("vector")))
+    real = stored(normed(vectors, keys, vector))
     taken = unit(as_rows(real.withColumn("_by", F.xxhash64(*keys)).orderBy("_by", *keys).limit(sample).select("vector").toArrow().column(0).combine_chunks()))
-    count = int(min(MOST_LISTS, max(1, real.count() // LIST_ROWS), max(1, len(taken))))
+    held = real.count()
+    count = int(min(MOST_LISTS, max(1, held // LIST_ROWS), max(1, len(taken))))
     middle = centroids(taken, count) if len(taken) else np.zeros((0, 0), np.float32)
-    shared = spark.sparkContext.broadcast(middle)  # at most MOST_LISTS vectors
+    # A large list is spread over files and tasks, in as many parts as its share of the sample calls for.
+    share = np.bincount((taken @ middle.T).argmax(axis=1), minlength=len(middle)) / len(taken) if len(taken) else np.zeros(0)
+    parts = np.maximum(1, np.ceil(share * held / FILE_ROWS)).astype(np.int64)
+    shared = spark.sparkContext.broadcast((middle, parts))  # at most MOST_LISTS vectors
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             rows = as_rows(batch.column("vector"))
-            own = (rows @ shared.value.T).argmax(axis=1) if len(rows) else np.zeros(0, np.int64)
-            rest = rows - shared.value[own] if len(rows) else rows
+            middle, parts = shared.value
+            own = (rows @ middle.T).argmax(axis=1) if len(rows) else np.zeros(0, np.int64)
+            rest = rows - middle[own] if len(rows) else rows
             scale = np.abs(rest).max(axis=1, initial=1e-12) / 127
             codes = np.round(rest / scale[:, None]).astype(np.int8)
             columns = [batch.column(c) for c in keys] + [batch.column("vector"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale.astype(np.float32)), pa.array(own.astype(np.int32))]
-            yield pa.record_batch(columns, [*keys, "vector", "code", "scale", "list"])
+            yield pa.record_batch([*columns, pa.array(parts[own] if len(own) else own)], [*keys, "vector", "code", "scale", "list", "_parts"])
 
     named = ", ".join(f"{k} {vectors.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{named}, vector array<float>, code binary, scale float, list int"
-    # A list of any size is spread over several files and tasks.
-    real.mapInArrow(run, schema).withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(16))).repartition("list", "_part").drop("_part").write.mode("overwrite").partitionBy("list").parquet(f"{path}/lists")
+    dealt = real.mapInArrow(run, f"{schema}, _parts long").withColumn("_part", F.pmod(F.xxhash64(*keys), F.col("_parts"))).repartition("list", "_part")
+    dealt.drop("_part", "_parts").write.mode("overwrite").partitionBy("list").parquet(f"{path}/lists")
     index = VectorIndex(spark, path, keys, schema, middle)
     if not len(taken):
         return index
     asked = taken[:TUNED]
     queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(asked)], "query long, vector array<float>")
     rank = np.argsort(np.argsort(-(asked @ middle.T), axis=1, kind="stable"), axis=1)
-    found = search(index, queries, 10, exact=True).join(index.rows().select(*keys, "list"), list(keys)).select("query", "list").toArrow()
+    near = search(index, queries, 10, exact=True)  # 10 rows a query
+    found = index.rows().select(*keys, "list").join(F.broadcast(near), list(keys)).select("query", "list").toArrow()
     needed = np.sort(rank[found.column("query").to_numpy(), found.column("list").to_numpy()])
     return replace(index, probes=int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1)
 

@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.operators import related
 from quarry.operators.shared import fresh_path
@@ -83,3 +84,33 @@ def test_more_queries_than_a_block(spark, monkeypatch):
         got.setdefault(r.query, []).append(r.id)
     assert got == {i: brute(rows, rows[i], 5) for i in rows}
     assert related.search_all(index, asked, 5).count() == 450
+
+
+def test_a_list_is_one_file_and_a_large_one_several(spark, monkeypatch):
+    monkeypatch.setattr(related, "LIST_ROWS", 64)
+    monkeypatch.setattr(related, "FILE_ROWS", 100)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would join these few rows
+    draw = np.random.default_rng(5)
+    rows = {i: ([1.0, 0.0, 0.0, 0.0] if i < 600 else draw.normal(size=4).tolist()) for i in range(1000)}
+    index = related.build(spark.createDataFrame(list(rows.items()), "id long, vector array<double>"), fresh_path(spark), ("id",))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = {r.list: (r.files, r.n) for r in index.rows().selectExpr("list", "input_file_name() AS f").groupBy("list").agg(F.countDistinct("f").alias("files"), F.count("*").alias("n")).collect()}
+    assert sum(n for _, n in files.values()) == 1000
+    assert all(f <= -(-n // 100) for f, n in files.values()) and max(n for _, n in files.values()) >= 600 and max(f for f, _ in files.values()) >= 3, files
+    got = related.search(index, spark.createDataFrame([(0, rows[700])], "query long, vector array<double>"), 5, exact=True)
+    assert [r.id for r in got.orderBy(F.desc("score"), "id").collect()] == brute(rows, rows[700], 5)
+
+
+def test_vectors_are_normed_as_they_are(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, None]), (5, []), (6, [1e-30, 0.0]), (7, [nan, 1.0])], "id long, vector array<double>").coalesce(1)
+    got = {r.id: r.vector for r in related.normed(df, ("id",), "vector").collect()}
+    assert got[1] == [np.float32(0.6), np.float32(0.8)] and got[6] == [1.0, 0.0] and set(got) == {1, 6, 7} and np.isnan(got[7]).all()
+    whole = spark.createDataFrame([(1, [3, 4])], "id long, vector array<int>")
+    assert related.normed(whole, ("id",), "vector").first().vector == [np.float32(0.6), np.float32(0.8)]
+
+
+def test_a_chunk_is_cut_before_it_is_a_row(spark):
+    plan = related.chunks(spark.createDataFrame([("a", "x")], "path string, body string"), "path", "body")._jdf.queryExecution().optimizedPlan().toString()
+    made = plan[: plan.index("Generate")]
+    assert "array_join" not in made and "slice" not in made, plan
