@@ -41,12 +41,14 @@ input are passed on unchanged, whatever their names.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from operator import ne
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import bit_map, drop_scratch, in_bit_map, lean, scratch_made, slices, stored, whole_text
@@ -68,6 +70,8 @@ CLASSES, COARSE, BAND = 64, 8, 1.25
 PAIRS = 1 << 18
 #: Lines that are compared as one group; a line is found near once in it.
 ROUTE = 4096
+#: Edits that are looked for along diagonals.
+DIAGONAL = 4
 #: Largest number of word edits that is found by segments.
 SEGMENTED = 3
 #: Parameters of the query and the pipeline.
@@ -83,17 +87,12 @@ def line_hashes(lines: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return (high >> np.uint64(4)).view(np.int64), ((high & np.uint64(15)) << np.uint64(56) | low >> np.uint64(8)).view(np.int64)
 
 
-def _hash_columns(line: Column) -> tuple[Column, Column]:
-    """``line_hashes`` as DataFrame functions."""
-    digest = F.sha2(line.cast("binary"), 256)
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.conv(F.substring(digest, 16, 15), 16, 10).cast("long")
-
-
 def within(a: Sequence[str], b: Sequence[str], k: int) -> bool:
     """Whether the edit distance of ``a`` and ``b`` is ``k`` or less.
 
-    Equal ends are cut off; what is left goes through a bit-parallel dynamic program
-    (vertical differences as bit vectors) restricted to the 2k + 1 diagonals of the band.
+    Equal ends are cut off. Up to ``DIAGONAL`` edits are found by the furthest place that each number of
+    edits reaches on each diagonal; more go through a bit-parallel dynamic program (vertical differences as
+    bit vectors) restricted to the 2k + 1 diagonals of the band.
     """
     if len(a) > len(b):
         a, b = b, a
@@ -113,6 +112,23 @@ def within(a: Sequence[str], b: Sequence[str], k: int) -> bool:
         return False
     if m == n and sum(map(ne, a, b)) <= k:  # replacements alone
         return True
+    few, gap = min(k, DIAGONAL), n - m
+    # reach[x] is the row reached on diagonal x; places before -few are past few, as lists count from the end.
+    reach = [-2] * (2 * few + 3)
+    reach[0] = 0
+    for d in range(1, few + 1):
+        last, reach = reach, [-2] * (2 * few + 3)
+        for x in range(max(-d, gap - k + d), min(d, gap + k - d) + 1):
+            i = min(max(last[x] + 1, last[x + 1] + 1, last[x - 1]), m, n - x)
+            if i < 0 or i + x < 0:
+                continue
+            while i < m and i + x < n and a[i] == b[i + x]:
+                i += 1
+            if i == m and x == gap:
+                return True
+            reach[x] = i
+    if few == k:
+        return False
     # Bit r of the window for column j is row j - k + r; rows outside 1..m are padding.
     width = 2 * k + 1
     full = (1 << width) - 1
@@ -172,14 +188,17 @@ class Lines:
         self.length = np.fromiter(map(len, lines), np.int64, len(lines))
         self.base = np.cumsum(self.length) - self.length
         self.codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-        symbols = _KNOWN[self.codes & 0xFFFF]
-        high = np.flatnonzero(self.codes > 0xFFFF)
-        symbols[high] = mix(self.codes[high].astype(np.uint64))
+        symbols = _KNOWN.take(self.codes.astype(np.intp), mode="clip")  # indexing by the type of addresses is faster
+        if self.codes.max(initial=0) > 0xFFFF:
+            high = np.flatnonzero(self.codes > 0xFFFF)
+            symbols[high] = mix(self.codes[high].astype(np.uint64))
         self.total, self.inverse = _sums(symbols)
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words, and the number of words of each line."""
-        blank = _BLANK[np.minimum(self.codes, len(_BLANK) - 1)]
+        blank = self.codes == 32
+        other = np.flatnonzero(self.codes - np.uint32(32) >= 96)  # neither blank nor a sign of ASCII
+        blank[other] = _BLANK.take(self.codes[other], mode="clip")
         edge = np.ones(len(blank) + 1, bool)
         edge[1:] = blank
         edge[self.base] = True
@@ -288,18 +307,30 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), whole_text(text).alias("text"))
 
 
-#: All white space, as str.isspace() has it.
-BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+def _places(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the place of every line."""
+    n = np.fromiter(map(len, texts), np.int64, len(texts))
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) - (np.cumsum(n) - n)[row]
 
 
 def occurrences(docs: DataFrame, min_chars: int, text: str = "text", copies: int | None = None) -> DataFrame:
     """``h1, h2, id, place`` of every line that takes part."""
     least = min_chars if copies is None else max(1, min(copies, min_chars))
-    x = F.col("line")
-    takes_part = (F.length(x) >= min_chars) | ((F.length(x) >= least) & (F.length(F.translate(x, BLANKS, "")) > 0))
-    lines = _keyed(docs, text).select("id", F.posexplode(F.split("text", "\n")).alias("place", "line")).where(takes_part)
-    h1, h2 = _hash_columns(x)
-    return lines.select(h1.alias("h1"), h2.alias("h2"), "id", "place")
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", SLICE):
+            texts = [t.split("\n") for t in b.column(1).to_pylist()]
+            row, place = _places(texts)
+            lines = [x for t in texts for x in t]
+            takes_part = [i for i, x in enumerate(lines) if len(x) >= min_chars or (len(x) >= least and not x.isspace())]
+            if takes_part:
+                h1, h2 = line_hashes([lines[i] for i in takes_part])
+                ids = b.column(0).to_numpy()[row[takes_part]]
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(ids), pa.array(place[takes_part].astype(np.int32))], ["h1", "h2", "id", "place"])
+
+    return _keyed(docs, text).mapInArrow(run, "h1 long, h2 long, id long, place int")
 
 
 def _batch_lines(b: pa.RecordBatch, min_chars: int) -> list[str]:
@@ -344,8 +375,11 @@ class Meeting:
 
     def __init__(self) -> None:
         self.key = self.entry = self.alive = np.empty(0, np.int64)
+        self.parts = 0
 
-    def add(self, key: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def add(self, key: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys and entries that go out, and whether other buckets have rows of such a key."""
+        self.parts += 1
         key, entry = np.concatenate([self.key, key]), np.concatenate([self.entry, entry])
         order = np.argsort(key)
         key, entry = key[order], entry[order]
@@ -359,7 +393,7 @@ class Meeting:
         key, entry = key[some], entry[some]
         if not len(key):
             self.key, self.entry = waits
-            return key, entry
+            return key, entry, np.zeros(0, bool)
         order = np.lexsort((entry, key))
         key, entry = key[order], entry[order]
         fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (entry[1:] != entry[:-1])])
@@ -372,9 +406,9 @@ class Meeting:
         bits = np.bitwise_or.reduceat(entry & ~LINE, first)
         good = ((low < high) & (bits & INDEX > 0)) | (bits & (MARK | HOT) > 0) | np.isin(key[first], self.alive)
         self.alive = np.union1d(self.alive, key[first[good]])
-        good = np.repeat(good, np.diff(np.append(first, len(key))))
+        good, salted = (np.repeat(x, np.diff(np.append(first, len(key)))) for x in (good, bits & (MARK | HOT) > 0))
         self.key, self.entry = np.concatenate([waits[0], key[~good]]), np.concatenate([waits[1], entry[~good]])
-        return key[good & own], entry[good & own]
+        return key[good & own], entry[good & own], salted[good & own]
 
 
 def met_entries(docs: DataFrame, threshold: int, min_chars: int, text: str = "text", words: int = 0, lines: int = 1 << 20) -> DataFrame:
@@ -383,11 +417,14 @@ def met_entries(docs: DataFrame, threshold: int, min_chars: int, text: str = "te
 
 
 def _entries_of(met: DataFrame) -> DataFrame:
-    return met.where("sketch IS NULL").select("key", "h1", "role").distinct()
+    rows = met.where("key IS NOT NULL")
+    # Most rows are known to be the only ones of their kind.
+    again = rows.where("again").select("key", "h1", "role").distinct()
+    return rows.where("NOT again").select("key", "h1", "role").unionByName(again)
 
 
 def _met(docs: DataFrame, threshold: int, min_chars: int, text: str, words: int, lines: int) -> DataFrame:
-    """``key, h1, role, of, sketch``: entries as in ``met_entries``, some repeated, and rows ``h1, of, sketch`` of all lines, which have no key; ``of``: number of words.
+    """``key, h1, role, again, of, sketch``: entries as in ``met_entries``, those with ``again`` perhaps repeated, and rows ``h1, of, sketch`` of all lines, which have no key; ``of``: number of words.
 
     ``lines``: about how many distinct lines there are; they set the number of buckets.
     """
@@ -432,15 +469,16 @@ def _met(docs: DataFrame, threshold: int, min_chars: int, text: str, words: int,
 
     @lean
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "h1", "role", "of", "sketch"]
+        names = ["key", "h1", "role", "again", "of", "sketch"]
         waiting: list[bytes] = []
         at, held, meeting = None, 0, Meeting()
 
-        def give() -> Iterator[pa.RecordBatch]:
-            key, entry = meeting.add(*_unpacked(b"".join(waiting)))
+        def give(last: bool) -> Iterator[pa.RecordBatch]:
+            key, entry, again = meeting.add(*_unpacked(b"".join(waiting)))
             waiting.clear()
             if len(key):
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(entry & LINE), pa.array((entry & (INDEX | PROBE | WORDS)).astype(np.int8)), pa.nulls(len(key), pa.int32()), pa.nulls(len(key), pa.binary())], names)
+                again |= not last or meeting.parts > 1  # another part of the bucket may give a row too
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(entry & LINE), pa.array((entry & (INDEX | PROBE | WORDS)).astype(np.int8)), pa.array(again), pa.nulls(len(key), pa.int32()), pa.nulls(len(key), pa.binary())], names)
 
         for b in batches:
             for bucket, packed in zip(*(x.to_pylist() for x in b.columns), strict=True):
@@ -448,20 +486,20 @@ def _met(docs: DataFrame, threshold: int, min_chars: int, text: str, words: int,
                     raw = np.frombuffer(packed, np.uint8).reshape(-1, 12 + CLASSES // 2)
                     n, rest = len(raw), np.ascontiguousarray(raw[:, 12:])
                     sketch = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * rest.shape[1]), pa.py_buffer(rest)])
-                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(np.ascontiguousarray(raw[:, :8]).view("<i8").reshape(-1)), pa.nulls(n, pa.int8()), pa.array(np.ascontiguousarray(raw[:, 8:12]).view("<i4").reshape(-1)), sketch], names)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(np.ascontiguousarray(raw[:, :8]).view("<i8").reshape(-1)), pa.nulls(n, pa.int8()), pa.nulls(n, pa.bool_()), pa.array(np.ascontiguousarray(raw[:, 8:12]).view("<i4").reshape(-1)), sketch], names)
                     continue
                 if bucket != at or held > 12 * max(4 * BUCKET, 2 * len(meeting.key)):
-                    yield from give()
+                    yield from give(bucket != at)
                     held = 0
                     if bucket != at:
                         at, meeting = bucket, Meeting()
                 waiting.append(packed)
                 held += len(packed)
-        yield from give()
+        yield from give(True)
 
     # Entries move as blocks of bytes, one for each batch and bucket: no row for each of them.
     rows = _keyed(docs, text).mapInArrow(emit, "bucket long, packed binary")
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key long, h1 long, role byte, of int, sketch binary")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key long, h1 long, role byte, again boolean, of int, sketch binary")
 
 
 def passing(first: np.ndarray, size: np.ndarray, n: np.ndarray, by_word: np.ndarray, counts: np.ndarray, threshold: int, words: int) -> np.ndarray:
@@ -548,20 +586,21 @@ def near_members(met: DataFrame, members: DataFrame, threshold: int, words: int)
 
 
 def line_texts(docs: DataFrame, lines: DataFrame, min_chars: int, text: str = "text") -> DataFrame:
-    """``h1, h2, line`` of distinct lines; all whose ``h1`` has its bits of ``LINE`` in ``lines``, and few others."""
-    shared = docs.sparkSession.sparkContext.broadcast(bit_map(lines, "h1"))
+    """``h1, h2, line`` of distinct lines; all that stand at an ``id, place`` of ``lines``, and few others. Only these are hashed again."""
+    at = F.shiftleft("id", 7).bitwiseXOR(F.col("place").cast("long"))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(lines.select(at.alias("at")), "at"))
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for b in slices(batches, "text", SLICE):
-            lines = _batch_lines(b, min_chars)
-            if not lines:
-                continue
-            h1, h2 = line_hashes(lines)
-            hit = np.flatnonzero(in_bit_map(bits, h1 & LINE))
-            if len(hit):
-                yield pa.RecordBatch.from_arrays([pa.array(h1[hit]), pa.array(h2[hit]), pa.array([lines[i] for i in hit.tolist()], pa.string())], ["h1", "h2", "line"])
+            texts = [t.split("\n") for t in b.column(1).to_pylist()]
+            row, place = _places(texts)
+            hit = np.flatnonzero(in_bit_map(bits, b.column(0).to_numpy()[row] << 7 ^ place))
+            lines = list(dict.fromkeys(x for r, i in zip(row[hit].tolist(), place[hit].tolist(), strict=True) if len(x := texts[r][i]) >= min_chars))
+            if lines:
+                h1, h2 = line_hashes(lines)
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(lines, pa.string())], ["h1", "h2", "line"])
 
     return _keyed(docs, text).mapInArrow(run, "h1 long, h2 long, line string").groupBy("h1", "h2").agg(F.first("line").alias("line"))
 
@@ -578,6 +617,7 @@ class Route:
         self.far: set[tuple] = set()
         self.split: dict[tuple[int, int], list[str]] = {}
         self.sets: dict[tuple, frozenset[str]] = {}
+        self.repeats: dict[tuple, frozenset] = {}
         self.counts: dict[tuple, np.ndarray] = {}
 
     def _symbols(self, line: tuple, by_word: bool) -> Sequence[str]:
@@ -604,6 +644,16 @@ class Route:
             self.sets[name] = frozenset(self._symbols(line, by_word))
         return self.sets[name]
 
+    def _repeated(self, line: tuple) -> frozenset:
+        """The line's words, a word's second place and later ones beside it."""
+        name = line[2:4]
+        if name not in self.repeats:
+            x, found = self._symbols(line, True), set(self._distinct(line, True))
+            if len(found) < len(x):
+                found.update([(w, i) for w, n in Counter(x).items() if n > 1 for i in range(1, n)])
+            self.repeats[name] = frozenset(found)
+        return self.repeats[name]
+
     def _near(self, a: tuple, b: tuple, by_word: bool) -> bool:
         """Whether two lines are near; pairs that are not are remembered."""
         name = (*a[2:4], *b[2:4], by_word)
@@ -614,8 +664,14 @@ class Route:
         if abs(len(x) - len(y)) <= most:
             one, other = self._distinct(a, by_word), self._distinct(b, by_word)
             # An edit takes one distinct symbol away at most, and adds one.
-            if len(one - other) <= most and len(other - one) <= most and within(x, y, most):
-                return True
+            if max(len(one), len(other)) - len(one & other) <= most:
+                if len(x) == len(y) and sum(map(ne, x, y)) <= most:  # replacements alone
+                    return True
+                # Nor does it take more than one word of all, repeats included: that tells most lines apart.
+                if by_word and most > DIAGONAL:
+                    one, other = self._repeated(a), self._repeated(b)
+                if max(len(one), len(other)) - len(one & other) <= most and within(x, y, most):
+                    return True
         self.far.add(name)
         return False
 
@@ -659,7 +715,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame, threshold: int, min_chars:
     """``h1, h2`` of the distinct lines with an earlier line within the threshold."""
     since = scratch_made()
     all_ = stored(_met(docs, threshold, min_chars, text, words, distinct.count()))
-    met = stored(_entries_of(all_))
+    met = _entries_of(all_)
     # Near copies share many keys: of keys with the same lines in the same roles one does.
     keys = stored(_different(met))
     met = stored(near_members(all_, _with_keys(met, keys.select("key", "n")), threshold, words))
@@ -677,8 +733,8 @@ def near_lines(docs: DataFrame, distinct: DataFrame, threshold: int, min_chars:
     members = stored(one.unionByName(more))
     drop_scratch(docs.sparkSession, since)
     # Texts are shuffled twice: to be one for each line, and to their routes.
-    shown = members.select("route", F.col("h1").alias("name")).distinct().join(distinct.withColumn("name", F.col("h1").bitwiseAND(LINE)), "name")
-    shown = shown.join(line_texts(docs, members.select("h1"), min_chars, text), ["h1", "h2"])
+    shown = stored(members.select("route", F.col("h1").alias("name")).distinct().join(distinct.withColumn("name", F.col("h1").bitwiseAND(LINE)), "name"))
+    shown = shown.join(line_texts(docs, shown.select("id", "place"), min_chars, text), ["h1", "h2"])
     null = lambda t: F.lit(None).cast(t)
     rows = shown.select("route", F.lit(0).alias("key"), *(F.lit(0).alias(c) for c in ("a", "b", "own", "role")), "name", "id", "place", "h1", "h2", "line")
     rows = rows.unionByName(members.select("route", "key", "a", "b", "own", F.col("role").cast("int").alias("role"), F.col("h1").alias("name"), null("long").alias("id"), null("int").alias("place"), null("long").alias("h1"), null("long").alias("h2"), null("string").alias("line")))
@@ -717,14 +773,26 @@ def near_lines(docs: DataFrame, distinct: DataFrame, threshold: int, min_chars:
     return rows.repartition("route").sortWithinPartitions(*order).mapInArrow(compare, "h1 long, h2 long").distinct()
 
 
+def _first(all_: DataFrame) -> DataFrame:
+    """``h1, h2, id, place, n``: each line's first occurrence, and how many there are.
+
+    An occurrence is one number, which a hash aggregate can hold, as it can't a struct: a long for usual ids, a decimal for those beyond 32 bits.
+    """
+    usual = F.col("id").between(-(1 << 31), (1 << 31) - 1)
+    small = F.when(usual, F.shiftleft("id", 31) + F.col("place"))
+    large = F.when(~usual, F.expr("CAST(id AS DECIMAL(20, 0)) * 2147483648 + place"))
+    first = all_.groupBy("h1", "h2").agg(F.min(small).alias("small"), F.min(large).alias("large"), F.count(F.lit(1)).alias("n"))
+    at = F.expr("CAST(pmod(large, 2147483648) AS INT)")
+    large_first = F.col("small").isNull() | F.coalesce(F.col("large") < 0, F.lit(False))
+    found = first.withColumn("place", F.when(large_first, at).otherwise(F.col("small").bitwiseAND((1 << 31) - 1).cast("int")))
+    return found.select("h1", "h2", F.when(large_first, F.expr("CAST((large - place) / 2147483648 AS BIGINT)")).otherwise(F.shiftright("small", 31)).alias("id"), "place", "n")
+
+
 def dropped(docs: DataFrame, threshold: int = 2, min_chars: int = 24, text: str = "text", copies: int | None = None, words: int = 0) -> DataFrame:
     """``id, place, h1, near`` of every occurrence that goes."""
     since = scratch_made()
     all_ = stored(occurrences(docs, min_chars, text, copies))
-    # The first occurrence as one number, which a hash aggregate can hold, as it can't a struct.
-    first = all_.groupBy("h1", "h2").agg(F.min(F.expr("CAST(id AS DECIMAL(20, 0)) * 2147483648 + place")).alias("first"), F.count(F.lit(1)).alias("n"))
-    first = first.withColumn("place", F.expr("CAST(pmod(first, 2147483648) AS INT)"))
-    distinct = stored(first.select("h1", "h2", F.expr("CAST((first - place) / 2147483648 AS BIGINT)").alias("id"), "place", "n"))
+    distinct = stored(_first(all_))
     near = near_lines(docs, distinct.select("h1", "h2", "id", "place"), threshold, min_chars, text, words).withColumn("near", F.lit(True))
     gone = stored(distinct.join(near, ["h1", "h2"], "left").where("n > 1 OR near").select("h1", "h2", F.col("id").alias("_id"), F.col("place").alias("_place"), "n", F.coalesce("near", F.lit(False)).alias("near")))
     drop_scratch(docs.sparkSession, since + 1)  # but for all_ and gone
@@ -742,13 +810,22 @@ def _joined(docs: DataFrame, threshold: int, min_chars: int, text: str, copies:
     return keyed.join(drops, F.col("__line_key") == F.col("__line_id"), "left").drop("__line_key", "__line_id")
 
 
-def _kept(text: str, drops: list[dict]) -> tuple[str, int, int]:
-    """The text without the dropped lines, and how many went as copies and as near copies."""
+def _kept(text: str, drops: list[tuple[int, int, bool]]) -> tuple[str, int, int]:
+    """The text without the dropped lines (place, h1, near), and how many went as copies and as near copies."""
+    if not drops:
+        return text, 0, 0
     lines = text.split("\n")
-    there = [d for d in drops if d["place"] < len(lines)]
-    gone = {d["place"]: d["near"] for d, h in zip(there, line_hashes([lines[d["place"]] for d in there])[0].tolist(), strict=True) if h == d["h1"]}
+    there = [d for d in drops if d[0] < len(lines)]
+    gone = {place: near for (place, own, near), h in zip(there, line_hashes([lines[d[0]] for d in there])[0].tolist(), strict=True) if h == own}
     near = sum(gone.values())
-    return "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone) - near, near
+    return "\n".join([x for i, x in enumerate(lines) if i not in gone]), len(gone) - near, near
+
+
+def _drops(column: pa.ListArray) -> list[list[tuple[int, int, bool]]]:
+    """Each row's drops (place, h1, near); a null is empty."""
+    flat = list(zip(*(x.to_pylist() for x in column.flatten().flatten()), strict=True))
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy())
+    return [flat[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 def dedup_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 24, text: str = "text", copies: int | None = None, words: int = 0) -> DataFrame:
@@ -759,7 +836,7 @@ def dedup_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 24, text:
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, at, SLICE):
-            drops = b.column(drops_at).to_pylist()
+            drops = _drops(b.column(drops_at))
             texts, keep = b.column(at).to_pylist(), []
             for i, d in enumerate(drops):
                 keep.append(True)
@@ -784,8 +861,8 @@ def line_report(docs: DataFrame, threshold: int = 2, min_chars: int = 24, text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", SLICE):
             rows = []
-            for i, t, d in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                kept, copies, near = _kept(t, d or [])
+            for i, t, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _drops(b.column(2)), strict=True):
+                kept, copies, near = _kept(t, d)
                 rows.append((i, t.count("\n") + 1, copies, near, hashlib.sha256(kept.encode("utf-8")).hexdigest()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)], [x.split()[0] for x in RESULT.split(", ")])
