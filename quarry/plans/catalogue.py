@@ -509,7 +509,7 @@ def surface_reexports(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = part.where("p_partkey % 4 = 1").join(before, "p_partkey").selectExpr("p_partkey AS module", "concat('x', p_partkey % 7) AS name", "source", "source_name")
     halves = part.where("p_partkey % 3 <> 1 AND p_partkey > 1").selectExpr("p_partkey AS module", "CAST(NULL AS STRING) AS name", "p_partkey DIV 2 AS source", "CAST(NULL AS STRING) AS source_name")
     lower = part.where("p_partkey % 8 = 0").selectExpr("p_partkey AS module", "CAST(NULL AS STRING) AS name", "p_partkey - 2 AS source", "CAST(NULL AS STRING) AS source_name")
-    return reexports.surface(part.selectExpr("p_partkey AS module", "p_brand AS name"), named.unionByName(halves).unionByName(lower))
+    return reexports.surface(part.selectExpr("p_partkey AS module", "p_brand AS name"), named.unionByName(halves).unionByName(lower), None)
 
 
 def _capped_sql(edges: str) -> str:

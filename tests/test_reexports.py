@@ -5,6 +5,7 @@ import random
 import pytest
 
 from quarry.operators import reexports
+from quarry.plans import catalogue
 
 
 def slow(defined, exports, depth):
@@ -61,3 +62,22 @@ def test_rounds_broadcast_nothing(spark, monkeypatch):
     joins.append(found._jdf.queryExecution().executedPlan().toString())
     assert not [p for p in joins if "BroadcastHashJoin" in p or "BroadcastExchange" in p]
     assert "SortMergeJoin" in joins[-1]
+
+
+def test_chains_without_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(reexports, "ROUNDS", 4)
+    defined = {("m0", "a"), ("r1", "a"), ("r2", "b")}
+    exports = {(f"m{i + 1}", None, f"m{i}", None) if i % 3 else (f"m{i + 1}", "a", f"m{i}", "a") for i in range(18)}
+    exports |= {("r1", None, "r2", None), ("r2", None, "r1", None), ("m0", None, "r1", None)}
+    d = spark.createDataFrame(list(defined), "module string, name string")
+    e = spark.createDataFrame(list(exports), "module string, name string, source string, source_name string")
+    got = {(r.module, r.name, r.origin, r.origin_name, r.hops, r.ambiguous) for r in reexports.surface(d, e, None).collect()}
+    assert got == slow(defined, exports, 99)
+    assert max(r[4] for r in got) == 18
+
+
+def test_query_follows_chains_of_any_length(spark, tmp_path):
+    keys = [3 << i for i in range(21)]  # each takes on all names of its half
+    spark.createDataFrame([(k, f"b{i}") for i, k in enumerate(keys)], "p_partkey long, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    got = [(r.module, r.name, r.origin, r.hops) for r in catalogue.QUERIES["surface_reexports"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted((k, f"b{j}", keys[j], i - j) for i, k in enumerate(keys) for j in range(i + 1))
